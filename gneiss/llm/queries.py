@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, substrings
 
 
 def queries() -> dict:
     return {
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+        "op3_substring_dedup": substrings.op3_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": minhash.OP2_SQL,
+        "op3_substring_dedup": substrings.OP3_SQL,
     }
