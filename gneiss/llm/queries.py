@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, substrings
+from . import lines, minhash, substrings
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_substring_dedup": substrings.op3_substring_dedup,
     }
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": lines.OP1_SQL,
         "op2_minhash_near_dedup": minhash.OP2_SQL,
         "op3_substring_dedup": substrings.OP3_SQL,
     }
