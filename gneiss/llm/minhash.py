@@ -6,9 +6,10 @@ coordinate keeps its smallest value, a document stops once all its coordinates a
 round 2t - 1 fills the last one for certain. Cost is O(n + t log t) instead of O(n t).
 
 Candidate pairs come from equal bands. No bucket is ever paired out: each member is held against
-the smallest member of its bucket, components are formed, and only members of a bucket that are
-still in different components are compared with one another. So copies cost one row each, and a
-bucket loses no link between texts.
+the smallest member of its bucket, the hub, and components are formed. Members of a bucket that are
+still in different components are gathered by hub, dealt over tiles of bounded size, and each pair
+of tiles is compared inside one task, which returns only links that join components. So copies cost
+one row each, and a bucket loses no link between texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import written
+from .store import small_batches, written
 from .text import lowered, mix, range_hashes, slices, window_starts, word_ranges
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -137,6 +138,76 @@ def _verify(percent: int):
     return run
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, through blocks of shared items."""
+    sizes = np.array([len(x) for x in left + right])
+    item, inverse, count = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.cumsum(count > 1) - 1
+    shared = count[inverse] > 1
+    row, column = row[shared], column[inverse[shared]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        block = np.zeros((len(sizes), 4096), np.float32)
+        block[row[a:b], column[a:b] - at] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out
+
+
+def _tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components among (tile, id, component, items); one link for each join of components."""
+    low = min(r[0] for r in rows)
+    left = [r for r in rows if r[0] == low]
+    right = [r for r in rows if r[0] != low] or left
+    sizes = [np.array([len(r[3]) for r in x]) for x in (left, right)]
+    both = _intersections([r[3] for r in left], [r[3] for r in right])
+    near = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    parts = [np.array([r[2] for r in x]) for x in (left, right)]
+    near &= parts[0][:, None] != parts[1][None, :]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in np.argwhere(near):
+        a, b = find(left[i][2]), find(right[j][2])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((left[i][1], right[j][1]))
+    return out
+
+
+def _tiles(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            links = _tile_links(rows, percent) if len({r[2] for r in rows}) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            head = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+            items = batch.column(6)
+            for i, (hub, p, q, tile, id_, c) in enumerate(head):
+                if (hub, p, q) != key:
+                    yield from done()
+                    key, rows = (hub, p, q), []
+                rows.append((tile, id_, c, np.frombuffer(items[i].as_py(), np.uint64)))
+        yield from done()
+
+    return run
+
+
+TILE = 256
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -156,6 +227,7 @@ def near_duplicates(
 
     With 40 bands of 6 rows a pair at exactly 0.8 is missed with probability 5e-6, at 0.85 with 2e-9.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     sketched = written(source.mapInArrow(_sketches(shingle_words, bands, rows), "id long, n long, sig1 long, sig2 long, bands array<long>"))
     full = sketched.filter("n > 0")
@@ -169,23 +241,28 @@ def near_duplicates(
     buckets = written(entries.join(hubs, "key"))
     stars = written(buckets.filter("id > hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct())
     nodes = stars.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = written(source.join(nodes, "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, items binary"))
+    sets = written(source.join(nodes.hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, items binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("src"), F.col("items").alias("a"))
         b = sets.select(F.col("id").alias("dst"), F.col("items").alias("b"))
-        both = pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")
+        both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", "a", "b")
         return both.mapInArrow(_verify(percent), "src long, dst long")
 
     links = written(confirmed(stars))
     found = written(connected_components(links))
     # Members of one bucket that are still apart: only these are compared with each other.
-    placed = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    places = found.withColumnRenamed("node", "id").hint("merge")
+    placed = buckets.join(places, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    apart = written(placed.join(split, "key"))
-    x, y = apart.select("key", F.col("id").alias("dst"), F.col("c").alias("c1")), apart.select("key", F.col("id").alias("src"), F.col("c").alias("c2"))
-    rest = x.join(y, "key").filter("dst < src and c1 <> c2").select("src", "dst").distinct().join(stars, ["src", "dst"], "left_anti")
-    more = written(confirmed(rest))
+    apart = placed.join(split, "key").select("hub", "id", "c").distinct()
+    tiles = apart.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = apart.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("hub", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "c")
+    dealt = dealt.join(sets.hint("merge"), "id").select("hub", "p", "q", "tile", "id", "c", "items")
+    dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")
+    more = written(dealt.mapInArrow(_tiles(percent), "src long, dst long"))
     groups = connected_components(links.union(more).union(copies))
     out = sketched.select("id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")

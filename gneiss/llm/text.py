@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # text bytes handled at once, so memory does not follow the batch size
+SLICE_BYTES = 1 << 20  # text bytes handled at once, so memory does not follow the batch size
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
