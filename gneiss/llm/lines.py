@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from .store import written
 
 BLOCKS = 2
-_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
+    """Runs outside [\\x20\\x09-\\x0D]; single-character splits need no regular expression."""
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -90,30 +92,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     lines = written(lines)
     earliest = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = lines.select("id", "line", "h1", "h2").join(earliest, ["h1", "h2"]).filter("struct(id, line) > first").select("id", "line")
+    gone = written(lines.select("id", "line", "h1", "h2").join(earliest, ["h1", "h2"]).filter("struct(id, line) > first").select("id", "line"))
     if max_edits:
-        gone = gone.union(_near_lines(lines, texts))
+        gone = gone.union(_near_lines(lines, gone, texts))
     removed = gone.groupBy("id").agg(F.collect_set("line").alias("removed"))
-    whole = texts.join(removed, "id", "left").withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
+    whole = texts.join(removed.hint("shuffle_hash"), "id", "left").withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
     count = F.size("lines")
-    stay = F.when(count > 0, F.array_except(F.sequence(F.lit(0), count - 1), "removed")).otherwise(F.array().cast("array<int>"))
-    kept = F.when(F.col("removed").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
-    return whole.select("id", count.cast("long").alias("n_lines"), kept.alias("kept"), "lines").select(
-        "id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"), F.array_join("kept", "\n").alias("text")
+    stay = F.array_except(F.sequence(F.lit(0), count - 1), "removed")
+    kept = F.when(F.col("removed").isNotNull() & (count > 0), F.transform(stay, lambda i: F.get("lines", i)))
+    return whole.select("id", "text", count.alias("n"), kept.alias("kept")).select(
+        "id",
+        F.col("n").cast("long").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long").alias("n_removed"),
+        F.when(F.col("kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("kept", "\n")).alias("text"),
     )
 
 
-def _near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
+def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, line) of the lines that have an earlier line one word edit away."""
     entries = lines.filter("keys is not null").select("id", "line", "h1", F.posexplode("keys").alias("kind", "key"))
     shared = entries.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
-    places = entries.select("id", "line", "kind", "key").join(shared, "key")
+    places = entries.select("id", "line", "kind", "key").join(shared, "key").join(copies, ["id", "line"], "left_anti")
     places = written(places.groupBy("id").agg(F.collect_list(F.struct("line", "kind", "key")).alias("places")))
 
     def line_words(line: Column) -> Column:
         return _words(F.get("lines", line))
 
-    found = texts.join(places, "id").select("id", "places", F.split("text", "\n").alias("lines"))
+    found = texts.join(places.hint("shuffle_hash"), "id").select("id", "places", F.split("text", "\n").alias("lines"))
     found = found.select("id", F.explode(F.transform("places", lambda p: F.struct(p.line.alias("line"), p.kind.alias("kind"), p.key.alias("key"), line_words(p.line).alias("w")))).alias("p"))
     found = found.select("id", "p.*").filter("w is not null")
     less = F.floor(F.col("kind") / BLOCKS).cast("int")
@@ -140,7 +145,7 @@ def _near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
 
     def with_words(p: DataFrame, key: str, line: str, name: str) -> DataFrame:
         t = texts.select(F.col("id").alias(key), "text")
-        return p.join(t, key).withColumn(name, _words(F.get(F.split("text", "\n"), F.col(line)))).drop("text")
+        return t.join(p.hint("shuffle_hash"), key).withColumn(name, _words(F.get(F.split("text", "\n"), F.col(line)))).drop("text")
 
     both = with_words(with_words(pairs, "id", "line", "a"), "id0", "line0", "b")
     return both.filter(_near(F.col("a"), F.col("b"))).select("id", "line")
