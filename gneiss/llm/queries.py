@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, substrings, toxicity
+from . import lines, minhash, packing, substrings, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": lines.op1_line_dedup,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
