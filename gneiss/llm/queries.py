@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, packing, substrings, toxicity
+from . import embeddings, lines, minhash, packing, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": lines.OP1_SQL,
         "op2_minhash_near_dedup": minhash.OP2_SQL,
         "op3_substring_dedup": substrings.OP3_SQL,
+        "op8_embedding_near_dedup": embeddings.OP8_SQL,
     }
