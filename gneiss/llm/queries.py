@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, lines, minhash, packing, substrings, toxicity
+from . import embeddings, lines, minhash, mixing, packing, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_mixing": mixing.op6_mixing,
         "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
