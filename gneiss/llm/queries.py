@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, lines, minhash, mixing, packing, substrings, toxicity
+from . import embeddings, fingerprints, lines, minhash, mixing, packing, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_line_dedup": lines.op1_line_dedup,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_mixing": mixing.op6_mixing,
+        "op7_token_counts": tokens.op7_token_counts,
         "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
