@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, lines, minhash, mixing, packing, substrings, tokens, toxicity
+from . import embeddings, fingerprints, lines, minhash, mixing, packing, scoring, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
+        "op9_lm_scoring": scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
