@@ -17,64 +17,118 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import shuffle_width, small_batches, written
-from .text import slices
+from .store import small_batches, written
+from .text import Slice, lowered, range_hashes, slices, word_ranges
 
-CACHED_WORDS = 1 << 17  # words whose ids a worker remembers
+CACHED_WORDS = 1 << 20  # words whose ids a worker remembers
+SALTS = 64
 
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, "WordEncoder"] = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this worker and the ids of words it has met."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+class WordEncoder:
+    """Ids of whole texts, for vocabularies in lower case whose tokens never span white space.
 
+    A text's ids are then the ids of its words one after another, so each distinct word is encoded
+    once and remembered. A full stop or comma after an ASCII letter or digit is a token of its own
+    in these vocabularies and is looked up apart, which leaves fewer distinct words.
+    """
 
-def encode_words(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    For vocabularies whose tokens never span white space, as those with word-end marks: a text's ids
-    are the ids of its words one after another, so words are encoded once and remembered.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    fresh = list({w for ws in split for w in ws if w not in known})
-    for w, e in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.used, self.rows = 0, 0
+        self.tails = self._add([".", ","])
+
+    def _add(self, fresh: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        more = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        while self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(ids) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + len(more)] = more
+        self.start[self.rows + 1 : self.rows + len(ids) + 1] = self.used + np.cumsum(sizes)
+        out = np.arange(self.rows, self.rows + len(ids))
+        self.used, self.rows = self.used + len(more), self.rows + len(ids)
+        return out
+
+    def encode(self, part: Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each closed by end_id; bounds of each text)."""
+        # A special token's name must not arise from lower-casing: such slices are left as they are.
+        plain = b"<|" not in part.data.tobytes()
+        data = lowered(part.data) if plain else part.data
+        starts, ends, bounds = word_ranges(part)
+        tail = np.zeros(len(starts), np.int64)
+        if plain and len(starts):
+            mark, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+            inner = (ends - starts > 1) & (((before >= 97) & (before <= 122)) | ((before >= 48) & (before <= 57)))
+            tail = np.where(inner & (mark == 0x2E), 1, np.where(inner & (mark == 0x2C), 2, 0))
+        to = ends - (tail > 0)
+        h, first, inverse = np.unique(range_hashes(data, starts, to), return_index=True, return_inverse=True) if len(starts) else (np.zeros(0, np.uint64), starts, starts)
+        keys = h.tolist()
+        if len(self.row) > CACHED_WORDS:
+            self._forget()
+        fresh = [i for i, x in enumerate(keys) if x not in self.row]
+        if fresh:
+            raw = data.tobytes()
+            rows = self._add([raw[starts[k] : to[k]].decode() for k in first[fresh]])
+            self.row.update(zip([keys[i] for i in fresh], rows.tolist()))
+        word = np.array([self.row[x] for x in keys], np.int64)[inverse]
+        # In order: each word, its tail if it has one, and after each text a place for end_id.
+        row_of = np.repeat(np.arange(len(part)), np.diff(bounds))
+        place = np.arange(len(word)) + np.cumsum(tail > 0) - (tail > 0) + row_of
+        entry = np.full(len(word) + int((tail > 0).sum()) + len(part), -1, np.int64)
+        entry[place] = word
+        entry[place[tail > 0] + 1] = self.tails[tail[tail > 0] - 1]
+        known = entry >= 0
+        size = np.ones(len(entry), np.int64)
+        size[known] = (self.start[1:] - self.start[:-1])[entry[known]]
+        begin = np.where(known, self.start[np.maximum(entry, 0)], 0)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)
+        ids = self.flat[at]
+        stops = np.flatnonzero(~known)
+        ids[edge[stops]] = end_id
+        return ids.astype("<u4", copy=False), np.concatenate([[0], edge[stops + 1]])
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document cut at `capacity` ids, its end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
         for batch in batches:
             for part in slices(batch.column(1)):
-                raw = part.data.tobytes()
-                texts = [raw[a:b] for a, b in zip(part.offsets[:-1], part.offsets[1:])]
+                ids, bounds = _encoder(tokenizer_path).encode(part, end_id)
                 row, piece, length, crc = [], [], [], []
-                for i, ids in enumerate(encode_words(texts, tokenizer_path)):
-                    ids += end
-                    for j, at in enumerate(range(0, len(ids), width)):
-                        one = ids[at : at + width]
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    for j, at in enumerate(range(a, b, capacity)):
+                        one = ids[at : min(b, at + capacity)]
                         row.append(i)
                         piece.append(j)
-                        length.append(len(one) // 4)
+                        length.append(len(one))
                         crc.append(zlib.crc32(one))
                 id_ = batch.column(0).slice(part.rows.start, len(part)).take(pa.array(row, pa.int64()))
                 piece = np.array(piece, np.int64)
@@ -142,9 +196,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = written(tokenised_pieces(source, tokenizer_path, capacity))
-    salts = max(8, shuffle_width(spark))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x salts rows
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS rows
     totals: dict[int, int] = defaultdict(int)
     before = []
     for r in sorted(counts):
