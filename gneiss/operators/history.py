@@ -66,8 +66,11 @@ def distinct_events_over(df: DataFrame, h: History, subjects: DataFrame) -> Data
 
 
 def radius(df: DataFrame, event: str, subject: str, owner: str, amount: str, target: str | None = None) -> DataFrame:
-    """How far each event reaches: subjects, owners, share of the target owner, amounts (null if all are)."""
-    single = df.groupBy(event, subject).agg(F.first(owner).alias("_o"), F.sum(amount).alias("_p"))
+    """How far each event reaches: subjects, owners, share of the target owner, amounts (null if all are).
+
+    A subject with several owners counts for the smallest.
+    """
+    single = df.groupBy(event, subject).agg(F.min(owner).alias("_o"), F.sum(amount).alias("_p"))
     hit = F.count(F.when(F.col("_o") == target, 1)) if target is not None else F.lit(0)
     return single.groupBy(event).agg(
         F.count("*").alias("files"), F.countDistinct("_o").alias("packages"), ratio(hit, F.count("*")).alias("target_share"), F.sum("_p").alias("lines")

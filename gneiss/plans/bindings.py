@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import facts, graphs, logs, records
+
+_MODULES = (facts, records, graphs, logs)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
