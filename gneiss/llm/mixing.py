@@ -26,7 +26,7 @@ from .toxicity import sample_labelled
 #: Most labelled rows of each domain that the classifier learns from.
 MAX_LABELLED = 1500
 PULL = 1e-3
-STEP = 0.5
+STEP = 0.9
 
 
 def train_domains(docs: DataFrame, labels: DataFrame, label_col: str, domains: int, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
@@ -73,7 +73,7 @@ def rates_of(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-5) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-4) -> list[np.ndarray]:
     """Gradient steps that bring the domains' expected token totals to their targets.
 
     members is (tokens, posterior); targets are shares of the corpus' own token total. A target that
