@@ -6,7 +6,9 @@ linear softmax reads it. Embeddings and softmax are trained together, so a word
 training still has the vectors of the n-grams it shares with words that were.
 
 A text is its consecutive windows. With pool="mean" all windows count alike; with pool="max" the
-class margin of the text is a smooth maximum over its windows, so one passage decides a long text.
+class margin of the text is the largest of its windows, so one passage decides a long text (in
+training a smooth maximum, which all windows feel). There the bias is fixed at BASE_RATE: a text of
+which training knows nothing scores that.
 """
 
 from __future__ import annotations
@@ -19,22 +21,29 @@ import pyarrow as pa
 from .text import Slice, lowered, range_hashes, slices, word_ranges
 
 SHARPNESS = 2.0  # of the smooth maximum
+BASE_RATE = 0.1
 
 
 @dataclass
 class Bag:
-    """Distinct words of a slice as rows of bucket ids, and the word of every token."""
+    """Distinct words of a slice as bucket ids, and the word of every token."""
 
     grams: np.ndarray
-    bounds: np.ndarray
+    word: np.ndarray  # of each gram, in no order
     token: np.ndarray
     rows: np.ndarray  # bounds of each text's tokens
+    words: int
+
+    def means(self, values: np.ndarray) -> np.ndarray:
+        """Mean over each word's grams of rows of values."""
+        sizes = np.bincount(self.word, minlength=self.words)
+        return np.stack([np.bincount(self.word, v, self.words) for v in values.T], 1) / sizes[:, None]
 
 
 def bag(part: Slice, buckets: int, least: int = 3, most: int = 6) -> Bag:
     starts, ends, rows = word_ranges(part)
     if not len(starts):
-        return Bag(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), rows)
+        return Bag(*(np.zeros(0, np.int64) for _ in range(3)), rows, 0)
     data = lowered(part.data)
     _, first, token = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
     # The distinct words end to end, each between marks that no text byte equals.
@@ -52,10 +61,8 @@ def bag(part: Slice, buckets: int, least: int = 3, most: int = 6) -> Bag:
         hi.append(at + n)
         word.append(np.repeat(np.arange(len(first)), count))
     h = range_hashes(text, np.concatenate(lo), np.concatenate(hi))
-    word = np.concatenate(word)
-    order = np.argsort(word, kind="stable")
-    grams = (h[order] & np.uint64(buckets - 1)).astype(np.int64)
-    return Bag(grams, np.searchsorted(word[order], np.arange(len(first) + 1)), token, rows)
+    grams = (h & np.uint64(buckets - 1)).astype(np.int64)
+    return Bag(grams, np.concatenate(word), token, rows, len(first))
 
 
 def window_bounds(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +87,9 @@ class Model:
         out = np.tile(self.bias, (len(part), 1)).astype(np.float64)
         if not len(b.token):
             return out
-        word = np.add.reduceat(self.scores[b.grams], b.bounds[:-1]) / np.diff(b.bounds)[:, None]
+        word = b.means(self.scores[b.grams])
         at, counts = window_bounds(b.rows, self.window if self.pool == "max" else 1 << 60)
-        sums = np.add.reduceat(word[b.token].astype(np.float64), at)
+        sums = np.add.reduceat(word[b.token], at)
         sums /= np.diff(np.append(at, len(b.token)))[:, None]
         some = counts > 0
         first = (np.cumsum(counts) - counts)[some]
@@ -90,10 +97,7 @@ class Model:
             out[some] += sums
             return out
         margin = sums[:, 1] - sums[:, 0]
-        top = np.maximum.reduceat(margin, first)
-        lift = np.exp(SHARPNESS * (margin - np.repeat(top, counts[some])))
-        smooth = top + np.log(np.add.reduceat(lift, first)) / SHARPNESS
-        out[some, 1] += smooth
+        out[some, 1] += np.maximum.reduceat(margin, first)
         return out
 
     def probabilities(self, part: Slice) -> np.ndarray:
@@ -117,12 +121,14 @@ def train(
 ) -> Model:
     """Fit by stochastic gradient descent with per-coordinate step sizes, classes weighted alike in each batch."""
     if not len(texts):
-        return Model(np.zeros((buckets, classes), np.float32), np.zeros(classes), window, pool)
+        return Model(np.zeros((buckets, classes), np.float32), np.zeros(classes), window, pool)  # knows nothing at all
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 1 / size, (buckets, size)).astype(np.float32)
     W = rng.normal(0, 1 / np.sqrt(size), (size, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
-    gE, gW, gb = np.full(buckets, 1e-6, np.float32), np.full_like(W, 1e-6), np.full_like(bias, 1e-6)
+    if pool == "max":
+        bias[1] = np.log(BASE_RATE / (1 - BASE_RATE))
+    gE, gW, gb = np.full(buckets, 1e-6, np.float64), np.full_like(W, 1e-6), np.full_like(bias, 1e-6)
     labels = np.asarray(labels)
     scale = 20.0  # a mean over many n-grams is short; keeps a window's vector of ordinary length
 
@@ -143,8 +149,8 @@ def train(
                 continue
             ids, where = np.unique(b.grams, return_inverse=True)
             e = E[ids]
-            grams = np.diff(b.bounds)
-            word = np.add.reduceat(e[where], b.bounds[:-1]) / grams[:, None]
+            grams = np.bincount(b.word, minlength=b.words)
+            word = b.means(e[where])
             starts, counts = window_bounds(b.rows, window if pool == "max" else 1 << 60)
             tokens = np.diff(np.append(starts, len(b.token)))
             x = np.add.reduceat(word[b.token], starts) / tokens[:, None] * scale
@@ -177,16 +183,18 @@ def train(
             dW = x.T @ gz
             dx = (gz @ W.T) / tokens[:, None] * scale
             owner = np.repeat(np.arange(len(starts)), tokens)
-            dword = np.stack([np.bincount(b.token, dx[owner, j], len(grams)) for j in range(size)], 1) / grams[:, None]
-            dgram = np.repeat(dword, grams, axis=0)
+            dword = np.stack([np.bincount(b.token, dx[owner, j], b.words) for j in range(size)], 1) / grams[:, None]
+            dgram = dword[b.word]
             de = np.stack([np.bincount(where, dgram[:, j], len(ids)) for j in range(size)], 1).astype(np.float32)
             step = rate_now(done, steps)
             gE[ids] += (de**2).mean(1)
             E[ids] -= step * de / np.sqrt(gE[ids])[:, None]
             gW += dW**2
             W -= (step * dW / np.sqrt(gW)).astype(np.float32)
-            db = g.sum(0)
-            gb += db**2
-            bias -= (step * db / np.sqrt(gb)).astype(np.float32)
+            if pool == "mean":
+                db = g.sum(0)
+                gb += db**2
+                bias -= (step * db / np.sqrt(gb)).astype(np.float32)
             done += 1
+    E[gE <= 1e-6] = 0  # n-grams that training never met say nothing
     return Model((E @ W * scale).astype(np.float32), bias.astype(np.float64), window, pool)
