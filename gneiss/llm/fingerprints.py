@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id is not null")
     n = shuffle_width(spark)
     cuts = source.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranges = Bucketizer(splits=splits, inputCol="x", outputCol="range")
     source = ranges.transform(source.withColumn("x", F.col("id").cast("double"))).select("id", "text", F.col("range").cast("int").alias("range"))
     heads = sorted(source.groupBy("range").agg(F.max("id")).collect())  # one row for each range
