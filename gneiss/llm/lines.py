@@ -23,11 +23,21 @@ from .store import written
 BLOCKS = 2
 
 
-def _words(line: Column) -> Column:
-    """Runs outside [\\x20\\x09-\\x0D]; single-character splits need no regular expression."""
+def _spaced(text: Column) -> Column:
+    """White space other than newlines as spaces, so that single-character splits do."""
     for c in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _words(line: Column) -> Column:
+    """Runs outside [\\x20\\x09-\\x0D]."""
+    return F.array_remove(F.split(_spaced(line), " "), "")
+
+
+def _once(x: Column) -> Column:
+    """x as a generated column: the optimiser would otherwise copy it into every expression that reads it."""
+    return F.explode(F.array(x))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -57,7 +67,9 @@ def _block_key(words: Column, base: Column, j: int) -> Column:
     return F.xxhash64(base, F.lit(j), F.slice(words, 1, before), F.slice(words, F.size(words) - after + 1, after))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 8) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 8, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Drop each line that an earlier line equals, or comes within max_edits word edits of.
 
     Lines end at a newline; words are runs of bytes outside [\\x20\\x09-\\x0D]. Earlier is a smaller
@@ -68,19 +80,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns (id, n_lines, n_removed, text): one row for each input row, text the lines that stay.
     A null text has no lines and gives an empty text. Rows with a null id are left out. In rows that
     repeat an id, lines with equal numbers are neither earlier than the other; what is dropped at a
-    line number is dropped in all rows of that id. Other columns are ignored.
+    line number is dropped in all rows of that id. Other columns are ignored, but for those named in
+    carry, which follow the others (renamed to carry_ and their number).
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
-    texts = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .filter("id is not null")
-        .repartition("id")
-    )
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    lines = source.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("id", "line", _words(F.col("s")).alias("w"))
+    carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carried).filter("id is not null")
+    texts = source.repartition("id")
+    lines = source.select("id", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "s"))
+    lines = lines.select("id", "line", _once(F.array_remove(F.split("s", " "), "")).alias("w"))
     n = F.size("w")
     keys = [_block_key(F.col("w"), (n - less).cast("int"), j) for less in (0, 1) for j in range(BLOCKS)]
     lines = lines.filter(n > 0).select(
@@ -100,11 +111,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count = F.size("lines")
     stay = F.array_except(F.sequence(F.lit(0), count - 1), "removed")
     kept = F.when(F.col("removed").isNotNull() & (count > 0), F.transform(stay, lambda i: F.get("lines", i)))
-    return whole.select("id", "text", count.alias("n"), kept.alias("kept")).select(
+    names = [f"carry_{i}" for i in range(len(carry))]
+    return whole.select("id", "text", count.alias("n"), kept.alias("kept"), *names).select(
         "id",
         F.col("n").cast("long").alias("n_lines"),
         F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long").alias("n_removed"),
         F.when(F.col("kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("kept", "\n")).alias("text"),
+        *names,
     )
 
 
@@ -125,14 +138,16 @@ def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFr
     base = F.size("w") - less
     before, after = _block(base, F.col("kind") % BLOCKS)
     middle = F.slice("w", before + 1, F.greatest(F.size("w") - before - after, F.lit(0)))
-    found = found.select("id", "line", "key", less.alias("less"), middle.alias("m")).filter("size(m) > 0")
+    # Eight bytes for each word: cutting a word out copies bytes, not arrays.
+    middle = F.unhex(F.array_join(F.transform(middle, lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0")), ""))
+    found = found.select("id", "line", "key", less.alias("less"), _once(middle).alias("m")).filter("length(m) > 0")
 
     def variant(i: Column) -> Column:
-        cut = F.concat(F.slice("m", 1, i - 1), F.slice("m", i + 1, F.size("m")))
+        cut = F.concat(F.substring("m", F.lit(1), 8 * (i - 1)), F.substring("m", 8 * i + 1, F.length("m")))
         return F.struct(F.xxhash64("key", F.when(F.col("less") == 0, i).otherwise(0), cut).alias("k"), F.col("less").alias("role"))
 
     whole = F.struct(F.xxhash64("key", F.lit(0), "m").alias("k"), F.lit(2).alias("role"))
-    variants = F.transform(F.sequence(F.lit(1), F.size("m")), variant)
+    variants = F.transform(F.sequence(F.lit(1), (F.length("m") / 8).cast("int")), variant)
     found = found.select("id", "line", F.explode(F.when(F.col("less") == 0, F.concat(variants, F.array(whole))).otherwise(variants)).alias("v"))
     found = found.select("id", "line", "v.k", "v.role")
     # Role 0 meets role 0 (a word replaced at one place); 1 (a word left out) meets 2 (a whole line).
