@@ -49,13 +49,13 @@ def retention(log: DataFrame, position: str, ts: str, cutoff: Column, slowest: i
 
 
 def change_events(states: DataFrame, key: str, order: str, status: str, fields: list[str]) -> DataFrame:
-    """Events between following states of a key: queued, entered:<status>, updated:<fields>, removed (status null)."""
+    """Events between following states of a key: queued (no status before), entered:<status>, updated:<fields>, removed."""
     w = Window.partitionBy(key).orderBy(order)
     before = F.lag(F.struct(status, *fields)).over(w)
     rows = states.withColumn("_b", before)
     changed = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"_b.{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields])), ",")
     event = (
-        F.when(F.col("_b").isNull() & F.col(status).isNotNull(), "queued")
+        F.when(F.col(f"_b.{status}").isNull() & F.col(status).isNotNull(), "queued")
         .when(F.col(status).isNull() & F.col(f"_b.{status}").isNotNull(), "removed")
         .when(~F.col(f"_b.{status}").eqNullSafe(F.col(status)), F.concat(F.lit("entered:"), F.col(status)))
         .when(F.col("_b").isNotNull() & (changed != ""), F.concat(F.lit("updated:"), changed))

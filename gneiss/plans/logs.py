@@ -84,7 +84,7 @@ QUERIES = {
     "gap_check": (gap_check, "with x as (select conv_id, turn, coalesce(lag(turn) over (partition by conv_id order by turn) + 1, 0) as expected from conversations where turn <> 2) select conv_id, expected, turn as found from x where expected <> turn"),
     "retry_schedule": (retry_schedule, "select event_id, least(2 ** (event_id % 12) * 1000, 300000)::bigint as delay_ms, least(2 ** (event_id % 12) * 1000, 300000)::bigint as wait_ms from events"),
     "retention": (retention, "with c as (select max(ts) - interval 7 days as c from events), y as (select min(event_id) as y from events, c where ts >= c) select event_id from events, y where event_id <= 400 and (y is null or event_id < y)"),
-    "change_events": (change_events, "with s as (select user_id, event_id, case when event_id % 11 <> 0 then event_type end as status, event_id % 3 as a from events), x as (select *, lag(status) over w as b, lag(a) over w as pa, row_number() over w as r from s window w as (partition by user_id order by event_id)), v as (select user_id, event_id, case when r = 1 and status is not null then 'queued' when r = 1 then null when status is null and b is not null then 'removed' when status is not null and b is null then 'entered:' || status when status <> b then 'entered:' || status when pa <> a then 'updated:a' end as event from x) select * from v where event is not null"),
+    "change_events": (change_events, "with s as (select user_id, event_id, case when event_id % 11 <> 0 then event_type end as status, event_id % 3 as a from events), x as (select *, lag(status) over w as b, lag(a) over w as pa, row_number() over w as r from s window w as (partition by user_id order by event_id)), v as (select user_id, event_id, case when status is not null and b is null then 'queued' when r = 1 then null when status is null and b is not null then 'removed' when status <> b then 'entered:' || status when pa <> a then 'updated:a' end as event from x) select * from v where event is not null"),
     "velocity": (velocity, "select event_id, round(coalesce(value - lag(value) over (partition by user_id order by ts, event_id), 0), 6) as delta from events"),
     "rate_limit": (rate_limit, "select event_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as recent from events"),
     "budget_cut": (budget_cut, "with t as (select conv_id, turn, role, sum(ceil(length(text) / 4) + 4) over (partition by conv_id order by turn desc rows unbounded preceding) as s from conversations), c as (select conv_id, coalesce(max(turn) filter (s >= 120), min(turn)) as c from t group by 1) select c.conv_id, coalesce(min(turn) filter (role = 'user'), any_value(c)) as first_kept from c join t on t.conv_id = c.conv_id and turn >= c group by 1"),
