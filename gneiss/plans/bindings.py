@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, logs, records
+from . import facts, graphs, logs, records, shapes
 
-_MODULES = (facts, records, graphs, logs)
+_MODULES = (facts, records, graphs, shapes, logs)
 
 
 def queries() -> dict:
