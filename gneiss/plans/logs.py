@@ -73,8 +73,8 @@ def claimed_once(spark, d):
 
 
 def windowed_counts(spark, d):
-    e = _events(spark, d).groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    e = _events(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return e.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 QUERIES = {
