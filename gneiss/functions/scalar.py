@@ -212,3 +212,32 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def at_least_level(level: Column, least: str, levels: tuple[str, ...] = ("debug", "info", "warn", "error")) -> Column:
+    """True where a named level is `least` or above; unknown levels are below all."""
+    rank = F.array_position(F.array(*map(F.lit, levels)), level)
+    return rank >= levels.index(least) + 1
+
+
+def search_keys(keys: Column, needle: str, mode: str) -> Column:
+    """True if any of an array of names matches in any case: "exact", "prefix" or "contains"."""
+    n = F.lit(needle.lower())
+    tests = {"exact": lambda k: F.lower(k) == n, "prefix": lambda k: F.startswith(F.lower(k), n), "contains": lambda k: F.contains(F.lower(k), n)}
+    if mode not in tests:
+        raise ValueError(f"unknown mode {mode}")
+    return F.exists(keys, tests[mode])
+
+
+def has_pairs(tags: Column, wanted: dict[str, str]) -> Column:
+    """True if a map holds every wanted pair."""
+    out = F.lit(True)
+    for k, v in wanted.items():
+        out &= F.coalesce(F.try_element_at(tags, F.lit(k)) == v, F.lit(False))
+    return out
+
+
+def set_parts(left: Column, right: Column) -> Column:
+    """Struct of what two arrays share and what only one has, each sorted."""
+    parts = {"shared": F.array_intersect(left, right), "left_only": F.array_except(left, right), "right_only": F.array_except(right, left)}
+    return F.struct(*[F.array_sort(c).alias(n) for n, c in parts.items()])

@@ -25,21 +25,55 @@ def jaccard_of_counts(both: Column, left: Column, right: Column) -> Column:
     return ratio(both, left + right - both)
 
 
+BUCKETS = 256
+
+
+def running_before(df: DataFrame, by: list[str], value: str, measure: str, name: str, how: str = "sum") -> DataFrame:
+    """Sum or maximum of `measure` over the group's rows with a smaller value; value is numeric and distinct in its group.
+
+    A group may be the whole table, so it is not given to one task: values fall in BUCKETS ranges
+    between the least and the largest, ranges are totalled, and each range runs on its own.
+    """
+    total = {"sum": F.sum, "max": F.max}[how]
+    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    bucket = F.coalesce(F.width_bucket(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), F.lit(BUCKETS)), F.lit(0))
+
+    def back(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        """Joined on keys that may be null."""
+        named = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        joined = rows.join(named, same) if keys else rows.join(F.broadcast(named))  # without keys it is one row
+        return joined.drop(*[f"_k{i}" for i in range(len(keys))])
+
+    rows = back(df, ends, by).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    sums = rows.groupBy(*by, "_bucket").agg(total(measure).alias("_t"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 2 rows of a group at most
+    sums = sums.withColumn("_before", total("_t").over(earlier)).drop("_t")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = back(rows.withColumn("_inside", total(measure).over(inside)), sums, [*by, "_bucket"])
+    both = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)) if how == "sum" else F.greatest("_before", "_inside")
+    return rows.withColumn(name, both).drop("_bucket", "_before", "_inside")
+
+
 def with_strict_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Share of the group's rows with a strictly smaller value; neither percent_rank nor cume_dist.
+    """Share of the group's rows with a strictly smaller number; neither percent_rank nor cume_dist. Nulls rank 0.
 
-    Counts of each distinct value are ranked, not the rows, so a group as large as the table is
-    reduced before its window.
+    Counts of each distinct value are ranked, not the rows.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*by).orderBy(value)
-    below = F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    ranks = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias("_v"), (below / total).alias(name))
-    same = F.col(value).eqNullSafe(F.col("_v"))
+    totals = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    known = counts.filter(F.col(value).isNotNull())
+    ranks = running_before(known, by, value, "_n", "_below").select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias("_v"), "_below")
+    totals = totals.select(*[F.col(c).alias(f"_t{c}") for c in by], "_all")
+    same, group = F.col(value) == F.col("_v"), F.lit(True)
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(ranks, same, "left").drop("_v", *[f"_{c}" for c in by])
+        group &= F.col(c).eqNullSafe(F.col(f"_t{c}"))
+    out = df.join(ranks, same, "left")
+    out = out.join(totals, group) if by else out.join(F.broadcast(totals))  # one row
+    return out.withColumn(name, F.coalesce("_below", F.lit(0)) / F.col("_all")).drop("_v", "_below", "_all", *[f"_{c}" for c in by], *[f"_t{c}" for c in by])
 
 
 def nearest_rank(value: str, p: float) -> Column:

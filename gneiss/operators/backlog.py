@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def availability(tasks: DataFrame, deps: DataFrame, settled: list[str], active: list[str]) -> DataFrame:
     """(id, availability, blocked_by): settled, active, blocked by unsettled dependencies, or ready.
@@ -24,8 +26,7 @@ def blocked_ancestors(tasks: DataFrame, blocked: DataFrame, depth: int = 100) ->
     for _ in range(depth):
         below = tasks.select("id", "parent_id").join(front.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
         front = below.join(found, "id", "left_anti").distinct()
-        if front.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
+        front = cut(front)
         if front.isEmpty():
             break
         found = found.union(front)

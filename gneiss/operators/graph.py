@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import ratio, ratio_or_null
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder of the session; one of our own only where it names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -44,17 +44,17 @@ def closure(edges: DataFrame, distance: bool = False) -> DataFrame:
     Semi-naive: each round joins only the pairs found in the round before, drops known ones and is
     checkpointed; cycles end because no new pair appears.
     """
-    e = _cut(simple(edges))
+    e = cut(simple(edges))
     found = front = e.withColumn("hops", F.lit(1))
     hops = 1
     while True:
         hops += 1
         step = front.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").filter("src <> dst")
         fresh = step.select("src", "dst").distinct().join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops))
-        front = _cut(fresh)
+        front = cut(fresh)
         if front.isEmpty():
             break
-        found = _cut(found.union(front))
+        found = cut(found.union(front))
     return found if distance else found.select("src", "dst")
 
 
@@ -83,16 +83,16 @@ def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 def layers(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, layer): longest path from the component down to one without dependencies."""
-    dag = _cut(condensation(edges, components))
+    dag = cut(condensation(edges, components))
     level = components.select(F.col("component").alias("c")).distinct().withColumn("layer", F.lit(0))
     front = level
     step = 0
     while True:
         step += 1
-        front = _cut(dag.join(front.select(F.col("c").alias("dst")), "dst").select(F.col("src").alias("c")).distinct().withColumn("layer", F.lit(step)))
+        front = cut(dag.join(front.select(F.col("c").alias("dst")), "dst").select(F.col("src").alias("c")).distinct().withColumn("layer", F.lit(step)))
         if front.isEmpty():
             break
-        level = _cut(level.union(front).groupBy("c").agg(F.max("layer").alias("layer")))
+        level = cut(level.union(front).groupBy("c").agg(F.max("layer").alias("layer")))
     return components.join(level.withColumnRenamed("c", "component"), "component").select("id", "component", "layer")
 
 
@@ -102,13 +102,13 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then follows labels of labels, so
     long chains need few rounds.
     """
-    e = _cut(simple(edges.select("src", "dst").union(edges.select("dst", "src"))))
-    label = _cut(nodes.select("id", F.col("id").alias("c")).distinct())
+    e = cut(simple(edges.select("src", "dst").union(edges.select("dst", "src"))))
+    label = cut(nodes.select("id", F.col("id").alias("c")).distinct())
     while True:
         near = e.join(label.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         low = label.join(near, "id", "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         far = low.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = _cut(low.join(far, "c", "left").select("id", F.least("c", "cc").alias("c"), "was"))
+        after = cut(low.join(far, "c", "left").select("id", F.least("c", "cc").alias("c"), "was"))
         label = after.select("id", "c")
         if after.filter("c <> was").isEmpty():
             return label.withColumnRenamed("c", "component")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import distribution, ratio
+from .graph import cut
 
 
 @dataclass(frozen=True)
@@ -110,12 +111,15 @@ def spaced_checkpoints(df: DataFrame, event: str, ts: str, n: int) -> DataFrame:
 def with_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Dense position from 0 over the whole table.
 
-    Rows are range-sorted; each partition numbers its own and starts at the sum of the counts before
-    it, so no task sees more than its range.
+    Rows are range-sorted and checkpointed; each partition numbers its own and starts at the sum of
+    the counts before it, so no task sees more than its range.
     """
-    schema = df.schema.add(name, "long", False)
-    rows = df.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rows, schema)
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_p", F.shiftright("_m", 33))
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_p", before.alias("_s")))
+    return rows.join(starts, "_p").withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_s")).drop("_m", "_p", "_s")
 
 
 def rename_finals(renames: DataFrame, old: str = "old", new: str = "new", rounds: int = 20) -> DataFrame:
@@ -124,7 +128,7 @@ def rename_finals(renames: DataFrame, old: str = "old", new: str = "new", rounds
     for _ in range(rounds):
         step = now.select(F.col("old").alias("final"), F.col("final").alias("next"))
         joined = now.join(step, "final", "left").select("old", F.coalesce("next", "final").alias("final"), (F.col("next").isNotNull() & (F.col("next") != F.col("old"))).alias("moved"))
-        joined = joined.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else joined
+        joined = cut(joined)
         moved = joined.filter("moved").limit(1).count()
         now = joined.filter("old <> final").select("old", "final")
         if not moved:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ancestors, covers
-from ..functions.stats import clamp01, with_strict_rank
+from ..functions.stats import clamp01, running_before, with_strict_rank
 from ..policy import DEFAULT, Policy
 
 
@@ -51,12 +51,9 @@ def pareto(df: DataFrame, id_col: str, smaller: list[str], larger: list[str]) ->
 
 
 def skyline(df: DataFrame, id_col: str, smaller: str, larger: str) -> DataFrame:
-    """pareto() of two dimensions by one sort: a row stays if no row that is smaller or equal has more."""
+    """pareto() of two numbers by one sort: a row stays if no row that is smaller or equal has more."""
     best = df.groupBy(smaller).agg(F.max(larger).alias("_m"))
-    from pyspark.sql import Window
-
-    before = F.max("_m").over(Window.orderBy(smaller).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_m") > F.col("_b"))).select(smaller, F.col("_m").alias(larger))
+    front = running_before(best, [], smaller, "_m", "_b", "max").filter(F.col("_b").isNull() | (F.col("_m") > F.col("_b"))).select(smaller, F.col("_m").alias(larger))
     return df.join(front, [smaller, larger], "left_semi").select(id_col, smaller, larger)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, logs, records, shapes
+from . import facts, graphs, logs, records, shapes, views
 
-_MODULES = (facts, records, graphs, shapes, logs)
+_MODULES = (facts, records, views, graphs, shapes, logs)
 
 
 def queries() -> dict:
