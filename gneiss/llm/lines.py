@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_groups
 from .store import written
 
 BLOCKS = 2
@@ -103,7 +104,8 @@ def line_dedup(
     )
     lines = written(lines)
     earliest = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = written(lines.select("id", "line", "h1", "h2").join(earliest, ["h1", "h2"]).filter("struct(id, line) > first").select("id", "line"))
+    placed = join_groups(lines.select("id", "line", "h1", "h2"), earliest, ["h1", "h2"], "n", lines.count())
+    gone = written(placed.filter("struct(id, line) > first").select("id", "line"))
     if max_edits:
         gone = gone.union(_near_lines(lines, gone, texts))
     removed = gone.groupBy("id").agg(F.collect_set("line").alias("removed"))

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import small_batches, written
+from .skew import join_groups
+from .store import small_batches, trimmed, written
 from .text import lowered, mix, range_hashes, slices, window_starts, word_ranges
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -229,10 +230,11 @@ def near_duplicates(
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    sketched = written(source.mapInArrow(_sketches(shingle_words, bands, rows), "id long, n long, sig1 long, sig2 long, bands array<long>"))
+    sketched = written(source.mapInArrow(trimmed(_sketches(shingle_words, bands, rows)), "id long, n long, sig1 long, sig2 long, bands array<long>"))
     full = sketched.filter("n > 0")
-    classes = full.groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep"))
-    copies = written(full.select("id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
+    classes = full.groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
+    members = join_groups(full.select("id", "n", "sig1", "sig2"), classes, ["n", "sig1", "sig2"], "members", sketched.count())
+    copies = written(members.filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     entries = (
         full.join(copies.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         .select("id", F.explode("bands").alias("key"))
@@ -241,13 +243,13 @@ def near_duplicates(
     buckets = written(entries.join(hubs, "key"))
     stars = written(buckets.filter("id > hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct())
     nodes = stars.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = written(source.join(nodes.hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, items binary"))
+    sets = written(source.join(nodes.hint("merge"), "id", "left_semi").mapInArrow(trimmed(_sets(shingle_words)), "id long, items binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("src"), F.col("items").alias("a"))
         b = sets.select(F.col("id").alias("dst"), F.col("items").alias("b"))
         both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", "a", "b")
-        return both.mapInArrow(_verify(percent), "src long, dst long")
+        return both.mapInArrow(trimmed(_verify(percent)), "src long, dst long")
 
     links = written(confirmed(stars))
     found = written(connected_components(links))
