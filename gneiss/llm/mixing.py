@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches, written
+from .store import small_batches, trimmed, written
 from .subword import Model, train
 from .text import mix, slices, word_ranges
 from .toxicity import sample_labelled
@@ -62,7 +62,7 @@ def domain_memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part)), pa.array(tokens), lists], names=["id", "tokens", "posterior"])
 
-    return source.mapInArrow(run, "id long, tokens long, posterior array<double>")
+    return source.mapInArrow(trimmed(run), "id long, tokens long, posterior array<double>")
 
 
 def rates_of(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, model: Model, steps: list[np.ndarray], id_col: str =
                 copies = np.floor(r + _uniform(own.column(who))).astype(np.int64)
                 yield own.take(pa.array(np.repeat(np.arange(len(part)), copies)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, label_col: str, targets: list[float], id_col: str = "doc_id", text_col: str = "text"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches, written
+from .store import small_batches, trimmed, written
 from .text import Slice, lowered, range_hashes, slices, word_ranges
 
 CACHED_WORDS = 1 << 20  # words whose ids a worker remembers
@@ -137,7 +137,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -44,5 +44,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def release_memory() -> None:
+    """Give memory that a finished task of this worker no longer uses back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
+def trimmed(run):
+    """The batch function `run`, after which its task's memory goes back to the system."""
+
+    def whole(batches):
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

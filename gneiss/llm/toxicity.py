@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches
+from .store import small_batches, trimmed
 from .subword import Model, train
 from .text import slices
 
@@ -72,7 +72,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_c
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
