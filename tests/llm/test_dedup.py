@@ -145,3 +145,12 @@ def test_empty_tables(spark):
     assert lines.line_dedup(empty).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
     assert substrings.substring_dedup(empty).count() == 0
+
+
+def test_hot_groups_are_joined_apart(spark):
+    from gneiss.llm.skew import join_groups
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 300).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+    got = {(r.id, r.k, r.n, r.first) for r in join_groups(rows, groups, ["k"], "n", 3000).collect()}
+    assert got == {(r.id, r.k, r.n, r.first) for r in rows.join(groups, "k").collect()} and len(got) == 3000
