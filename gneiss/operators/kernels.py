@@ -165,3 +165,44 @@ def modularity_groups(edges: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame(rows, columns=[by, "id", "group"])
 
     return edges.groupBy(by).applyInPandas(merge, f"{by} {outer}, id {kind}, group {kind}")
+
+
+def _reached(adjacency: dict, source, without: tuple | None = None) -> set:
+    seen, queue = {source}, [source]
+    while queue:
+        v = queue.pop()
+        for w in adjacency.get(v, ()):
+            if w not in seen and (v, w) != without:
+                seen.add(w)
+                queue.append(w)
+    return seen
+
+
+def edge_structure(edges: DataFrame) -> DataFrame:
+    """(src, dst, severed, bridge, src_side, dst_side) of every edge.
+
+    severed counts the ordered pairs that only this edge lets reach each other; bridge is true if
+    its ends fall apart without it in either direction, and the sides are then the sizes of both parts.
+    """
+    spark = edges.sparkSession
+    directed = _adjacency(edges)
+    shared = spark.sparkContext.broadcast((directed, _adjacency(edges.select("src", "dst").union(edges.select("dst", "src")))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forward, both = shared.value
+        backward: dict = defaultdict(list)
+        for v, out in forward.items():
+            for w in out:
+                backward[w].append(v)
+        for batch in batches:
+            rows = []
+            for s, d in zip(batch["src"], batch["dst"]):
+                severed = sum(len(_reached(forward, v)) - len(_reached(forward, v, (s, d))) for v in _reached(backward, s))
+                adjacent = {**both, s: [w for w in both[s] if w != d], d: [w for w in both[d] if w != s]}
+                left = _reached(adjacent, s)
+                bridge = d not in left
+                rows.append((s, d, severed, bridge, len(left) if bridge else 0, len(_reached(adjacent, d)) if bridge else 0))
+            yield pd.DataFrame(rows, columns=["src", "dst", "severed", "bridge", "src_side", "dst_side"])
+
+    one, two = (edges.schema[c].dataType.simpleString() for c in ("src", "dst"))
+    return simple(edges).mapInPandas(run, f"src {one}, dst {two}, severed long, bridge boolean, src_side long, dst_side long")

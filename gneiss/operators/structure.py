@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ancestors
 from ..functions.stats import nearest_rank, ratio
 from ..policy import DEFAULT, Policy
-from . import graph
+from . import graph, kernels
 from .rules import signals
 
 
@@ -73,27 +73,10 @@ def fan_cutoffs(modules: DataFrame, package: str, value: str, policy: Policy = D
     return modules.select(package).distinct().join(cut, package, "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("inf"))))
 
 
-def seams(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between weak components that only they join: both sides' sizes when the edge is taken out.
-
-    An edge is a bridge if its ends fall apart without it. One closure of the undirected graph less
-    the edge is needed for each; candidates are only edges that no triangle and no second edge spans.
-    """
-    e = graph.simple(edges)
-    both = graph.simple(e.union(e.select("dst", "src")))
-    low = both.filter("src < dst")
-    triangle = low.join(both.select(F.col("src").alias("dst"), F.col("dst").alias("via")), "dst").join(both.select("src", F.col("dst").alias("via")), ["src", "via"])
-    candidates = low.join(triangle.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    out = None
-    for r in candidates.orderBy("src", "dst").limit(200).collect():
-        rest = both.filter(~(((F.col("src") == r.src) & (F.col("dst") == r.dst)) | ((F.col("src") == r.dst) & (F.col("dst") == r.src))))
-        parts = graph.weak_components(nodes, rest)
-        ends = {x.id: x.component for x in parts.filter(F.col("id").isin(r.src, r.dst)).collect()}
-        if ends[r.src] != ends[r.dst]:
-            sizes = {x.component: x["count"] for x in parts.filter(F.col("component").isin(*ends.values())).groupBy("component").count().collect()}
-            row = nodes.sparkSession.createDataFrame([(r.src, r.dst, sizes[ends[r.src]], sizes[ends[r.dst]])], ["src", "dst", "src_side", "dst_side"])
-            out = row if out is None else out.union(row)
-    return out if out is not None else low.limit(0).select("src", "dst", F.lit(0).cast("long").alias("src_side"), F.lit(0).cast("long").alias("dst_side"))
+def seams(edges: DataFrame) -> DataFrame:
+    """Edges whose ends only they join, the ones that part the graph most evenly first."""
+    rows = kernels.edge_structure(edges).filter("bridge")
+    return rows.orderBy(F.desc(F.least("src_side", "dst_side")), F.desc("severed"), "src", "dst").select("src", "dst", "severed", "src_side", "dst_side")
 
 
 def longest_chains(components: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:

@@ -127,6 +127,10 @@ def modularity(spark, d):
     return kernels.modularity_groups(edges.join(region, "src").select("region", "src", "dst", F.lit(1.0).alias("weight")), "region")
 
 
+def edge_structure(spark, d):
+    return kernels.edge_structure(_trade(spark, d)[1])
+
+
 QUERIES = {
     "degree_roles": (degree_roles, f"with {EDGES}, i as (select dst as id, count(*) as n from e group by 1), x as (select src as id, count(*) as n from e group by 1) select n_nationkey as id, coalesce(i.n, 0) as fan_in, coalesce(x.n, 0) as fan_out, case when i.n is null and x.n is null then 'isolated' when i.n is null then 'source' when x.n is null then 'sink' else 'inner' end as role from nation left join i on i.id = n_nationkey left join x on x.id = n_nationkey"),
     "density": (density, f"with {EDGES} select (select count(*) from nation) as nodes, (select count(*) from e) as edges, round((select count(*) from e) / ((select count(*) from nation) * ((select count(*) from nation) - 1)), 9) as density"),
@@ -144,5 +148,6 @@ QUERIES = {
     "betweenness": (betweenness, None),
     "articulation": (articulation, None),
     "corridors": (corridors, None),
+    "edge_structure": (edge_structure, None),
     "modularity": (modularity, None),
 }

@@ -12,11 +12,10 @@ def test_longest_prefix_owner(spark):
 
 
 def test_seams_split_the_graph(spark):
-    nodes = spark.createDataFrame([(c,) for c in "abcxyz"], "id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x")], "src string, dst string")
-    assert [tuple(r) for r in structure.seams(nodes, edges).collect()] == [("c", "x", 3, 3)]
+    assert [tuple(r) for r in structure.seams(edges).collect()] == [("c", "x", 9, 3, 3)]
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "x"), ("x", "a")], "src string, dst string")
-    assert structure.seams(nodes, ring).count() == 0
+    assert structure.seams(ring).count() == 0
 
 
 def test_foundations_group_by_equal_members(spark):
