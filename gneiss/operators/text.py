@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ def read_range(df: DataFrame, id_col: str, text: str, offset: int, limit: int) -
 
 def grep(df: DataFrame, id_col: str, text: str, pattern: str, mode: str = "content", ignore_case: bool = False) -> DataFrame:
     """Lines that match: "content" gives them, "files" the ids that have one, "count" their number by id."""
-    hits = df.filter(F.col(text).rlike(("(?im)" if ignore_case else "(?m)") + pattern)) if not pattern.startswith("^") else df
-    hits = lines_of(hits, id_col, text).filter(F.col("content").rlike(("(?i)" if ignore_case else "") + pattern))
+    pattern_ = ("(?i)" if ignore_case else "") + pattern
+    # Patterns without anchors and look-around match a whole text if they match a line: texts without a match are not split.
+    hits = df if re.search(r"\(\?|\\[AZzGbB]|\^|\$", pattern) else df.filter(F.col(text).rlike(pattern_))
+    hits = lines_of(hits, id_col, text).filter(F.col("content").rlike(pattern_))
     if mode == "content":
         return hits
     if mode == "files":

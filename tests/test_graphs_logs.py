@@ -199,3 +199,12 @@ def test_chunks_cover_the_text(spark):
     got = text.fixed_chunks(df, "id", "t", 4).orderBy("id", "chunk").collect()
     assert [(r.id, r.start, r.end, r.first_line, r.last_line, r.content) for r in got] == [(1, 0, 4, 1, 2, "ab\nc"), (1, 4, 8, 2, 3, "d\nef"), (1, 8, 9, 3, 3, "g")]
     assert [r.content for r in text.recursive_chunks(df.filter("id = 1"), "id", "t", 100).collect()] == ["ab\ncd\nefg"]
+
+
+def test_grep_modes(spark):
+    df = spark.createDataFrame([(1, "alpha\nbeta\nAlps"), (2, "gamma"), (3, None)], "id int, t string")
+    assert [(r.id, r.line, r.content) for r in text.grep(df, "id", "t", "^al", ignore_case=True).orderBy("line").collect()] == [(1, 1, "alpha"), (1, 3, "Alps")]
+    assert [r.id for r in text.grep(df, "id", "t", "mm", "files").collect()] == [2]
+    assert [(r.id, r.matches) for r in text.grep(df, "id", "t", "a", "count").orderBy("id").collect()] == [(1, 2), (2, 1)]
+    with pytest.raises(ValueError):
+        text.grep(df, "id", "t", "a", "none")
