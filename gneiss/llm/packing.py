@@ -17,7 +17,6 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +55,20 @@ class WordEncoder:
         self.tails = self._add([".", ","])
 
     def _add(self, fresh: list[str]) -> np.ndarray:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        more = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        # One text of all words: tokens never span white space, so each belongs to the word that holds its last character.
+        e = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        more = np.array(e.ids, np.uint32)
+        ends = np.fromiter((b for _, b in e.offsets), np.int64, len(more))
+        begins = np.cumsum([0] + [len(w) + 1 for w in fresh])
+        sizes = np.bincount(np.searchsorted(begins, ends - 1, "right") - 1, minlength=len(fresh))
         while self.used + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.rows + len(ids) + 1 > len(self.start):
+        while self.rows + len(fresh) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.used : self.used + len(more)] = more
-        self.start[self.rows + 1 : self.rows + len(ids) + 1] = self.used + np.cumsum(sizes)
-        out = np.arange(self.rows, self.rows + len(ids))
-        self.used, self.rows = self.used + len(more), self.rows + len(ids)
+        self.start[self.rows + 1 : self.rows + len(fresh) + 1] = self.used + np.cumsum(sizes)
+        out = np.arange(self.rows, self.rows + len(fresh))
+        self.used, self.rows = self.used + len(more), self.rows + len(fresh)
         return out
 
     def encode(self, part: Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
