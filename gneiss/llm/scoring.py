@@ -2,18 +2,22 @@
 
 The model is a bigram model with Dirichlet smoothing towards the unigrams:
 P(w | v) = (c(v, w) + m P(w)) / (c(v) + m), which sums to 1 for every context v. Unigrams are
-smoothed by one half, with one place for all unknown words. The MODELLED most frequent words have
-bigrams of their own; all others share one class, inside which they keep their unigram shares:
-P(w | v) = P(class | v) P(w) / P(class). No token is left out.
-
-Nothing that grows with the corpus is broadcast. Each task packs the bigrams of its texts, with the
-text they come from, into one block for each shard. A shard counts those of training texts, builds
-its part of the trie in memory-mapped levels, and answers every packed bigram at once, so a text
-gets back one partial sum from each shard. Frequent contexts are split over shards by successor.
+smoothed by one half, with one place for all unknown words. Every word has
+bigrams of its own. Where MODELLED is set, only that many most frequent words do; the others then
+share one class, inside which they keep their unigram shares: P(w | v) = P(class | v) P(w) / P(class).
+
+Nothing that grows with the corpus is broadcast. Words are known by their 64-bit hashes. The shards
+form a grid: a context's hash says the row and a successor's the column, so a frequent word is
+spread over a whole row or column, and a word's count is sent to its row and its column only (that
+of a word met once in all texts not even there: its bigram tells). Each
+task packs the bigrams of its texts, with the text they come from, into one block for each shard. A
+shard counts those of training texts, builds its part of the trie in memory-mapped levels, and
+answers every packed bigram at once, so a text gets back one partial sum from each shard.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,144 +30,180 @@ from .store import release_memory, shuffle_width, small_batches, written
 from .text import mix, slices, words
 from .trie import BigramTrie
 
-MODELLED = 1 << 18  # most words with bigrams of their own; bounds what is broadcast
+MODELLED = None  # most words with bigrams of their own, which are then broadcast; None: all words, and no broadcast
 SMOOTHING = 1000.0
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 6 << 20
 HELD = 1 << 19  # distinct words a task holds before it passes them on
 
 _END = np.uint64(0x5EED0E4D5EED0E4D)  # the end token's hash
+_START = np.uint64(0x5EED57A25EED57A2)  # the start's
+_OTHER = np.uint64(0x5EED07E25EED07E2)  # that of the class of words without bigrams of their own
+_MARKS = np.array([_END, _START, _OTHER])
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+def _merged(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    keys, *counts = (np.concatenate(x) for x in zip(*held))
+    k, inverse = np.unique(keys, return_inverse=True)
+    return k, *(np.bincount(inverse, c, len(k)).astype(np.int64) for c in counts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of all lower-cased words of (id, text), and of one end for each text."""
+    """(word, n, met): counts of all lower-cased words of (id, text, train), and of one end for each text; n those of the texts to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            k, c = _merged(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["word", "n"])
+            k, n, met = _merged(held)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), pa.array(met)], names=["word", "n", "met"])
 
         for batch in batches:
+            learnt = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for part in slices(batch.column(1)):
-                k, c = np.unique(words(part, lower=True).hashes, return_counts=True)
-                keys += [k, np.array([_END])]
-                counts += [c, np.array([len(part)])]
-                held += len(k)
-                if held > HELD:
-                    k, c = _merged(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > HELD:
+                w = words(part, lower=True)
+                train = learnt[part.rows]
+                k, inverse = np.unique(w.hashes, return_inverse=True)
+                held.append((k, np.bincount(inverse, train[w.row_of_word()], len(k)), np.bincount(inverse, minlength=len(k))))
+                held.append((np.array([_END]), np.array([train.sum()]), np.array([len(part)])))
+                size += len(k)
+                if size > HELD:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD:
                         yield out()
-                        keys, counts, held = [], [], 0
-        if keys:
+                        held, size = [], 0
+        if held:
             yield out()
-        keys = counts = None
+        held = None
         release_memory()
 
-    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word long, n long, met long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
 
 
 class Unigrams:
-    """Counts of the modelled words, by rising hash, and what the smoothing needs of all others.
-
-    Ids: 0 is the class of all other words, 1.. the modelled words, then the end and the start.
-    """
+    """What the smoothing needs of all words, and the modelled words where they are limited (else top is None)."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.tokens, self.distinct, self.texts = tokens, distinct, texts
-        ends = 1 if texts else 0
-        other, kinds = tokens - int(counts.sum()) - texts, distinct - len(hashes) - ends
+    def __init__(self, tokens: int, distinct: int, texts: int, top: np.ndarray | None = None, top_tokens: int = 0) -> None:
+        self.tokens, self.texts = tokens, texts
         self.total = tokens + 0.5 * (distinct + 1)
-        self.end, self.start = len(hashes) + 1, len(hashes) + 2
-        self.ids = len(hashes) + 3
-        self.context = np.concatenate([[other], self.counts, [0], [texts]]).astype(np.float64)
-        mass = np.concatenate([[other + 0.5 * (kinds + 1)], self.counts + 0.5, [texts + 0.5], [0.0]])
-        self.p = mass / self.total
+        self.top = None if top is None else np.sort(top)
+        if top is not None:
+            self.other = tokens - top_tokens - texts
+            self.other_p = (self.other + 0.5 * (distinct - len(top) - (1 if texts else 0) + 1)) / self.total
+
+    def pooled(self, names: np.ndarray) -> np.ndarray:
+        """Whether each of names shares the class of other words."""
+        return np.zeros(len(names), bool) if self.top is None else ~(np.isin(names, self.top) | np.isin(names, _MARKS))
+
+
+def _row_of(names: np.ndarray, side: int) -> np.ndarray:
+    return (mix(names) % np.uint64(side)).astype(np.int64)
+
+
+def _column_of(names: np.ndarray, side: int) -> np.ndarray:
+    return (mix(names * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(side)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Id of each word hash."""
-        at = np.searchsorted(self.hashes, h)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == h[known]
-        return np.where(known, at + 1, 0)
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / self.total)
+def _read_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
 
 
-def _pack(v: np.ndarray, w: np.ndarray, doc: np.ndarray, n: np.ndarray, ids: np.ndarray, train: np.ndarray) -> bytes:
-    """Bigrams ascending by v and w as one compressed block with the ids of their texts."""
+def _pack(names: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, n: np.ndarray, ids: np.ndarray, train: np.ndarray) -> bytes:
+    """Bigrams ascending by v and w, places in the rising names, as one compressed block with their names and the ids of their texts."""
+    some, place = np.unique(np.concatenate([v, w]), return_inverse=True)
+    v, w = place[: len(v)], place[len(v) :]
     used, doc = np.unique(doc, return_inverse=True)
     columns = [np.diff(v, prepend=0).astype("<u4"), w.astype("<u4"), doc.astype("<u4"), n.astype("<u4")]
-    planes = b"".join(c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    planes = b"".join(_planes(c) for c in columns) + _planes(np.diff(names[some], prepend=np.uint64(0)).astype("<u8"))
     texts = np.diff(ids[used], prepend=0).astype("<i8").tobytes() + train[used].astype(np.uint8).tobytes()
-    head = np.array([len(v), len(used)], "<u4").tobytes()
+    head = np.array([len(v), len(some), len(used)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + planes + texts)
 
 
-def _unpack(block: bytes, ids: int) -> tuple[np.ndarray, ...]:
-    """(v * ids + w, place of the text, count, ids of the texts, whether each is learnt from)."""
+def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    """(names, v, w, place of the text, count, ids of the texts, whether each is learnt from)."""
     raw = zstandard.ZstdDecompressor().decompress(block)
-    n, texts = np.frombuffer(raw, "<u4", 2).tolist()
-    v, w, doc, count = (np.frombuffer(raw, np.uint8, 4 * n, 8 + 4 * n * i).reshape(4, n).T.copy().view("<u4").ravel() for i in range(4))
-    at = 8 + 16 * n
+    n, some, texts = np.frombuffer(raw, "<u4", 3).tolist()
+    v, w, doc, count = (_read_planes(raw, "<u4", n, 12 + 4 * n * i) for i in range(4))
+    at = 12 + 16 * n
+    names = np.cumsum(_read_planes(raw, "<u8", some, at), dtype=np.uint64)
+    at += 8 * some
     who = np.cumsum(np.frombuffer(raw, "<i8", texts, at))
     train = np.frombuffer(raw, np.uint8, texts, at + 8 * texts).astype(bool)
-    return np.cumsum(v, dtype=np.int64) * ids + w, doc, count, who, train
+    return names, np.cumsum(v, dtype=np.int64), w.astype(np.int64), doc, count, who, train
 
 
-_ROW = "part int, kind int, word long, id long, n long, known long, base double, block binary"
+_ROW = "part int, kind int, block binary"
 
 
-def _rows(part, kind: int, size: int, **given) -> pa.RecordBatch:
-    blank = {"word": pa.int64(), "id": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "block": pa.binary()}
-    columns = [pa.array(np.asarray(part, np.int32)), pa.array(np.full(size, kind, np.int32))]
-    columns += [pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in blank.items()]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", *blank])
+def _rows(part, kind: int, blocks: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(part, np.int32)), pa.array(np.full(len(blocks), kind, np.int32)), pa.array(blocks, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "block"])
 
 
-def _dealt(shared, parts: int):
-    """Rows for the shards: 0 what a text knows of itself, 1 its less frequent words, 2 blocks of bigrams."""
+def _counts_dealt(shared, side: int):
+    """Counts of words for the shards: each to the row it has as a context and the column it has as a successor."""
+
+    def packed(names: np.ndarray, counts: np.ndarray) -> bytes:
+        head = np.array([len(names)], "<u4").tobytes()
+        return zstandard.ZstdCompressor(level=1).compress(head + _planes(np.diff(names, prepend=np.uint64(0)).astype("<u8")) + _planes(counts.astype("<u8")))
+
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(names)
+        names, counts = names[order], counts[order]
+        seat = np.where(shared.value.pooled(names), _OTHER, names)
+        for at, step, line in ((_row_of(seat, side) * side, 1, 1), (_column_of(seat, side), side, 0)):
+            for first in np.unique(at):
+                mine = at == first
+                if line:  # a context of the class is counted as the class
+                    mine &= seat != _OTHER
+                if mine.any():
+                    block = packed(names[mine], counts[mine])
+                    yield _rows(first + step * np.arange(side), 3, [block] * side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)))
+            many += batch.num_rows
+            if many > HELD:
+                yield from out(held)
+                held, many = [], 0
+        if held:
+            yield from out(held)
+        held = None
+        release_memory()
+
+    return run
+
+
+def _dealt(shared, side: int):
+    """Blocks of bigrams for the shards, which hold every token once as a successor."""
 
     def chunk(tokens: list[tuple]) -> Iterator[pa.RecordBatch]:
         u: Unigrams = shared.value
         ids = np.concatenate([t[0] for t in tokens])
         train = np.concatenate([t[1] for t in tokens])
         sizes = np.concatenate([t[3] for t in tokens])
-        hashes = np.concatenate([t[2] for t in tokens])
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        found = u.find(distinct)
-        token = found[inverse]
+        names, inverse = np.unique(np.concatenate([*(t[2] for t in tokens), _MARKS]), return_inverse=True)
+        token, (end, start, other) = inverse[: -len(_MARKS)], inverse[-len(_MARKS) :]
         row = np.repeat(np.arange(len(ids)), sizes)
         # Every text: start, words, end.
         edge = np.concatenate([[0], np.cumsum(sizes + 1)])
-        line = np.full(edge[-1], u.end, np.int64)
+        line = np.full(edge[-1], end, np.int64)
         line[np.arange(len(token)) + row] = token
-        before = np.full(edge[-1], u.start, np.int64)
-        before[1:] = line[:-1]
-        before[edge[:-1]] = u.start
+        seat = np.where(u.pooled(names), other, np.arange(len(names)))
+        before = np.full(edge[-1], start, np.int64)
+        before[1:] = seat[line[:-1]]
+        before[edge[:-1]] = start
         owner = np.repeat(np.arange(len(ids)), sizes + 1)
-        own = np.concatenate([[0.0], np.where(u.counts > 0, u.base(u.counts), 0.0), [u.base(np.array(u.texts))], [0.0]])
-        known = (line > 0) & ((line != u.end) | (u.texts > 0))
-        yield _rows(
-            ids % parts, 0, len(ids), id=ids, n=sizes + 1, known=np.bincount(owner, known, len(ids)).astype(np.int64), base=np.bincount(owner, own[line], len(ids))
-        )
-        other = token == 0
-        if other.any():
-            key, count = np.unique(np.stack([row[other].astype(np.uint64), hashes[other]]), axis=1, return_counts=True)
-            yield _rows((key[1] % np.uint64(parts)).astype(np.int64), 1, len(count), word=key[1].view(np.int64), id=ids[key[0].astype(np.int64)], n=count)
-        # A context is split by successor into as many pieces as it fills quarters of a shard.
-        pieces = np.ceil(4 * parts * u.context[before] / max(1, u.tokens)).astype(np.uint64)
-        sub = mix(line.astype(np.uint64)) % np.maximum(pieces, np.uint64(1))
-        shard = (mix(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sub) % np.uint64(parts)).astype(np.int64)
+        shard = _row_of(names, side)[before] * side + _column_of(names[seat], side)[line]
         order = np.lexsort((owner, line, before, shard))
         s, v, w, d = shard[order], before[order], line[order], owner[order]
         new = np.ones(len(s), bool)
@@ -173,8 +213,7 @@ def _dealt(shared, parts: int):
         s, v, w, d = s[at], v[at], w[at], d[at]
         present, cut = np.unique(s, return_index=True)
         cut = np.append(cut, len(s))
-        blocks = [_pack(v[a:b], w[a:b], d[a:b], n[a:b], ids, train) for a, b in zip(cut[:-1], cut[1:])]
-        yield _rows(present, 2, len(present), block=blocks)
+        yield _rows(present, 2, [_pack(names, v[a:b], w[a:b], d[a:b], n[a:b], ids, train) for a, b in zip(cut[:-1], cut[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held = [], 0
@@ -205,7 +244,7 @@ def _sums(pieces: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
     ids, row = np.unique(ids, return_inverse=True)
     columns = [ids]
     for c in range(1, 5):
-        columns.append(np.bincount(row, np.concatenate([np.zeros(len(p[0])) if p[c] is None else p[c] for p in pieces]), len(ids)))
+        columns.append(np.bincount(row, np.concatenate([p[c] for p in pieces]), len(ids)))
     part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     present, cut = np.unique(part[order], return_index=True)
@@ -235,73 +274,95 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answered(shared, smoothing: float, parts: int):
     """Packed partial sums of each text from the rows of a shard."""
 
+    def counted(blocks: list[bytes], names: np.ndarray) -> np.ndarray:
+        """Count of each of the rising names, from packed counts."""
+        out = np.zeros(len(names), np.int64)
+        for block in blocks:
+            raw = zstandard.ZstdDecompressor().decompress(block)
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            given, n_given = np.cumsum(_read_planes(raw, "<u8", n, 4), dtype=np.uint64), _read_planes(raw, "<u8", n, 4 + 8 * n)
+            at = np.searchsorted(names, given)
+            hit = at < len(names)
+            hit[hit] = names[at[hit]] == given[hit]
+            out[at[hit]] = n_given[hit]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: Unigrams = shared.value
-        rare, vocabulary, blocks, pieces = [], [], [], []
+        blocks, vocabulary = [], []
         for batch in batches:
             kind = batch.column(1).to_numpy(zero_copy_only=False)
-            for k in (0, 1, 3):
-                some = batch.filter(pa.array(kind == k))
-                if not some.num_rows:
-                    continue
-                if k == 0:
-                    pieces.append((*(some.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6)), some.column(6).to_numpy(zero_copy_only=False) * 0))
-                elif k == 1:
-                    rare.append([some.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4)])
-                else:
-                    vocabulary.append([some.column(c).to_numpy(zero_copy_only=False) for c in (2, 4)])
-            blocks += batch.column(7).filter(pa.array(kind == 2)).to_pylist()
-        if rare:
-            word, id_, n = (np.concatenate(x) for x in zip(*rare))
-            names, counts = (np.concatenate(x) for x in zip(*vocabulary)) if vocabulary else (np.zeros(0, np.int64),) * 2
-            order = np.argsort(names)
-            names, counts = names[order], counts[order]
-            at = np.searchsorted(names, word)
-            hit = at < len(names)
-            hit[hit] = names[at[hit]] == word[hit]
-            count = np.zeros(len(word), np.int64)
-            count[hit] = counts[at[hit]]
-            ids, row = np.unique(id_, return_inverse=True)
-            base = n * u.base(count)
-            # Inside the class of less frequent words each keeps its unigram share.
-            sums = [np.bincount(row, x, len(ids)) for x in (n * (count > 0), base, base - n * np.log10(u.p[0]))]
-            pieces.append((ids, None, *sums))
-            del word, id_, n, names, counts, at, hit, count, row, base
+            blocks += batch.column(2).filter(pa.array(kind == 2)).to_pylist()
+            vocabulary += batch.column(2).filter(pa.array(kind == 3)).to_pylist()
         if blocks:
-            opened = [_unpack(x, u.ids) for x in blocks]
+            opened = [_unpack(x) for x in blocks]
             del blocks
-            base = np.cumsum([0] + [len(x[3]) for x in opened]).tolist()
-            key = np.concatenate([x[0] for x in opened])
-            doc = np.concatenate([(x[1] + o).astype(np.int32) for x, o in zip(opened, base)])
-            n = np.concatenate([x[2] for x in opened])
-            who = np.concatenate([x[3] for x in opened])
-            train = np.concatenate([x[4] for x in opened])
-            del opened
+            names, place = np.unique(np.concatenate([*(x[0] for x in opened), _MARKS]), return_inverse=True)
+            start, other = place[-2], place[-1]
+            at = np.cumsum([0] + [len(x[0]) for x in opened]).tolist()
+            base_at = np.cumsum([0] + [len(x[5]) for x in opened]).tolist()
+            v = np.concatenate([place[x[1] + o] for x, o in zip(opened, at)]).astype(np.int32)
+            w = np.concatenate([place[x[2] + o] for x, o in zip(opened, at)]).astype(np.int32)
+            doc = np.concatenate([(x[3] + o).astype(np.int32) for x, o in zip(opened, base_at)])
+            n = np.concatenate([x[4] for x in opened])
+            who = np.concatenate([x[5] for x in opened])
+            train = np.concatenate([x[6] for x in opened])
+            del opened, place
+            count = counted(vocabulary, names)
+            del vocabulary
+            # A word learnt from whose count was not sent is met once.
+            learnt = np.zeros(len(names), bool)
+            learnt[v[train[doc]]] = learnt[w[train[doc]]] = True
+            count[learnt & (count == 0)] = 1
+            base = np.log10((count + 0.5) / u.total)
+            context, p = count.astype(np.float64), (count + 0.5) / u.total
+            context[start] = u.texts
+            sums = [np.bincount(doc, x, len(who)) for x in (n, n * (count > 0)[w], n * base[w])]
+            pooled = u.pooled(names)
+            score = np.zeros(len(who))
+            if u.top is not None:
+                context[other], p[other] = u.other, u.other_p
+                # Inside the class of other words each keeps its unigram share.
+                score += np.bincount(doc, np.where(pooled[w], n * (base[w] - np.log10(u.other_p)), 0.0), len(who))
+                w = np.where(pooled[w], other, w)
+            key = v * np.int64(len(names)) + w
+            del v, w
             order = np.argsort(key, kind="stable").astype(np.int32)
             key, doc, n = key[order], doc[order], n[order]
             del order
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             runs = np.diff(np.append(first, len(key)))
-            v, w = key[first] // u.ids, key[first] % u.ids
+            v, w = key[first] // len(names), key[first] % len(names)
             del key
             seen = np.add.reduceat(np.where(train[doc], n, 0), first).astype(np.float64)
-            below = np.log10(u.context[v] + smoothing)
+            below = np.log10(context[v] + smoothing)
             kept = seen > 0
-            log_p = np.log10(seen[kept] + smoothing * u.p[w[kept]]) - below[kept]
-            trie = BigramTrie(v[kept], w[kept], log_p, u.ids)
+            log_p = np.log10(seen[kept] + smoothing * p[w[kept]]) - below[kept]
+            trie = BigramTrie(v[kept], w[kept], log_p, len(names))
             answer = trie.log_p(v, w)
             unseen = np.isnan(answer)
-            answer[unseen] = np.log10(smoothing * u.p[w[unseen]]) - below[unseen]
-            pieces.append((who, None, None, None, np.bincount(doc, np.repeat(answer, runs) * n, len(who))))
+            answer[unseen] = np.log10(smoothing * p[w[unseen]]) - below[unseen]
+            score += np.bincount(doc, np.repeat(answer, runs) * n, len(who))
             del doc, n, answer, runs, first, v, w, seen, below, trie
-        if pieces:
-            yield from _sums(pieces, parts)
-        pieces = None
+            yield from _sums([(who, *sums, score)], parts)
         release_memory()
 
     return run
 
 
+def _most_frequent(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """Hashes of the words above a count that at most `most` words reach, found on a short histogram, and their tokens."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, many = 1 << 20, 0
+    for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True):
+        many += r["count"]
+        if many > most:
+            break
+        least = r.level
+    top = vocabulary.filter(level >= least).toPandas()
+    return top["word"].to_numpy(np.int64).view(np.uint64), int(top["n"].sum())
+
+
 def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
     """Score every whole text by a bigram model of the texts for which `learn`, an SQL condition on `id`, holds.
 
@@ -314,27 +375,14 @@ def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null").withColumn("train", F.expr(learn))
-    vocabulary = written(word_counts(source.filter("train").select("id", "text")))
-    # The modelled words: all above a count that at most MODELLED words reach, found on a short histogram.
+    vocabulary = written(word_counts(source).filter("n > 0"))
     end = F.col("word") == int(_END.astype(np.int64))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    levels = sorted(vocabulary.filter(~end).groupBy(level.alias("level")).count().collect(), reverse=True)
-    least, many = 1 << 20, 0
-    for r in levels:
-        many += r["count"]
-        if many > MODELLED:
-            break
-        least = r.level
     totals = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0))).first()
-    top = vocabulary.filter(~end & (level >= least)).toPandas()
-    u = Unigrams(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(totals[1]), int(totals[0]), int(totals[2]))
+    u = Unigrams(int(totals[1]), int(totals[0]), int(totals[2]), *([] if MODELLED is None else _most_frequent(vocabulary.filter(~end), MODELLED)))
     shared = spark.sparkContext.broadcast(u)
     width = shuffle_width(spark)
-    parts = 4 * width  # a shard is held whole by its task
-    rest = vocabulary.filter(~end & (level < least))
-    unsigned = F.expr(f"cast(pmod(cast(word as decimal(20)) + if(word < 0, 18446744073709551616, 0), {parts}) as int)")
-    rest = rest.select(unsigned.alias("part"), F.lit(3).alias("kind"), "word", F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("known"), F.lit(None).cast("double").alias("base"), F.lit(None).cast("binary").alias("block"))
-    dealt = source.mapInArrow(_dealt(shared, parts), _ROW).union(rest).repartition(parts, "part")
+    side = math.isqrt(2 * width - 1) + 1  # a shard is held whole by its task
+    dealt = source.mapInArrow(_dealt(shared, side), _ROW).union(vocabulary.filter("met > 1").mapInArrow(_counts_dealt(shared, side), _ROW)).repartition(side * side, "part")
     sums = dealt.mapInArrow(_answered(shared, smoothing, width), "part int, block binary").repartition(width, "part")
     return sums.mapInArrow(_totals, "id long, n long, known long, base double, score double").select(
         "id",

@@ -238,6 +238,20 @@ def test_scores_equal_brute_force(spark, monkeypatch, modelled):
         assert abs(r.score - score) < len(x) * trie.BigramTrie.STEP
 
 
+def test_every_word_has_bigrams_of_its_own(spark):
+    # More distinct words than any fixed table of frequent ones holds, all seen once but the pair below.
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(10_000))) for i in range(30)] + [(100, "rara avis"), (101, "rara avis"), (102, "rara avis")]
+    got = {r.id: r for r in scoring.language_model_scores(documents(spark, rows), "id <> 101", smoothing=50.0).collect()}
+    n, v = 30 * 10_001 + 2 * 3, 300_000 + 3
+    total = n + 0.5 * (v + 1)
+    p = 2.5 / total
+    want = math.log10(50 * p + 2) - math.log10(82) + math.log10(50 * p + 2) - math.log10(52) + math.log10(50 * 32.5 / total + 2) - math.log10(52)
+    assert abs(got[101].score - want) < 3 * trie.BigramTrie.STEP
+    once = math.log10(1 + 75 / total) - math.log10(51)  # a word seen once after a word seen once
+    first, last = math.log10(1 + 75 / total) - math.log10(82), math.log10(1 + 50 * 32.5 / total) - math.log10(51)
+    assert abs(got[3].score - (first + 9_999 * once + last)) < 10_001 * trie.BigramTrie.STEP
+
+
 def test_score_edges(spark):
     assert scoring.language_model_scores(documents(spark, []), "id % 5 <> 1").count() == 0
     got = scoring.language_model_scores(documents(spark, [(1, "a b"), (6, None), (None, "c")]), "id % 5 <> 1").collect()
