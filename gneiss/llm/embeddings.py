@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a PCA-ordered tiled comparison.
 
 Vectors are scaled to unit length and turned onto the principal axes of the whole table, so that
-leading coordinates carry most of every product. Inside a label, vectors are range-sorted along the
+leading coordinates carry most of every product (of the AXES most frequent lengths, each its own
+axes; others stay as they are, which costs time only). Inside a label and a length, vectors are range-sorted along the
 first axis into tiles of bounded size; tiles further apart on that axis than two near vectors can
 be are never paired. A pair of tiles is compared in one task: leading coordinates are multiplied
 first, what the rest can still add is bounded by the norms of the suffixes, and rows and columns
@@ -24,6 +25,7 @@ from .graph import connected_components
 from .store import written
 
 TILE = 512
+AXES = 8  # most lengths of vectors that are turned; bounds the matrices held at once
 BLOCK = 16  # coordinates multiplied before bounds are looked at again
 
 
@@ -31,49 +33,56 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float64).reshape(-1, size) if len(column) else np.zeros((0, size))
 
 
-def _moments(size: int):
-    """Partial sums of x xT of unit vectors: one row of size * size numbers for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
-        for batch in batches:
-            x = _matrix(batch.column(0), size)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    return run
+def _by_size(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Each length of the packed vectors of a column, with the places of those that have it."""
+    sizes = np.array([len(x.as_buffer()) // 8 for x in column], np.int64)
+    for size in np.unique(sizes).tolist():
+        yield size, pa.array(np.flatnonzero(sizes == size))
 
 
-def _packed(size: int):
-    """(class id, label, copies, raw doubles) of usable vectors; -0.0 is stored as 0.0."""
+def _moments(sizes: list[int]):
+    """Partial sums of x xT of unit vectors: one row of size * size numbers for each task and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {size: np.zeros((size, size)) for size in sizes}
         for batch in batches:
-            lists = batch.column(2)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size) + 0.0
-            good = np.isfinite(x).all(1) & (x != 0).any(1)
-            at = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array([r.tobytes() for r in x[good]], pa.binary())],
-                names=["id", "label", "v"],
-            )
+            for size, at in _by_size(batch.column(0)):
+                if size in total:
+                    x = _matrix(batch.column(0).take(at), size)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    total[size] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["size", "m"])
 
     return run
 
 
-def _rotated(axes: np.ndarray):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, raw doubles) of usable vectors; -0.0 is stored as 0.0."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+        edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        good = ~np.logical_or.reduceat(~np.isfinite(x), edge[:-1]) & np.logical_or.reduceat(x != 0, edge[:-1])
+        at = np.flatnonzero(good)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([x[a:b].tobytes() for a, b in zip(edge[at], edge[at + 1])], pa.binary())],
+            names=["id", "label", "v"],
+        )
+
+
+def _rotated(axes: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(axes)
         for batch in batches:
-            x = _matrix(batch.column(3), size)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            y = unit @ axes
-            blob = [a.tobytes() for a in y]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(y[:, 0]), pa.array(blob, pa.binary())],
-                names=["id", "label", "copies", "lead", "y"],
-            )
+            for size, at in _by_size(batch.column(3)):
+                x = _matrix(batch.column(3).take(at), size)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                y = unit @ axes[size] if size in axes else unit
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in range(3)), pa.array(np.full(len(y), size, np.int32)), pa.array(y[:, 0]), pa.array([a.tobytes() for a in y], pa.binary())],
+                    names=["id", "label", "copies", "size", "lead", "y"],
+                )
 
     return run
 
@@ -99,17 +108,18 @@ def _compare(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.
     return i[a], j[b]
 
 
-def _tile_pairs(size: int, threshold: float):
+def _tile_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if not rows:
                 return
-            left = [r for r in rows if r[0] == key[1]]
-            right = [r for r in rows if r[0] == key[2]]
-            same = key[1] == key[2]
-            x, y = (np.array([r[3] for r in side]).reshape(-1, size) for side in (left, right))
+            _, size, p, q = key
+            left = [r for r in rows if r[0] == p]
+            right = [r for r in rows if r[0] == q]
+            same = p == q
+            x, y = (np.frombuffer(b"".join(r[3] for r in side)).reshape(-1, size) for side in (left, right))
             a, b = _compare(x, y, threshold)
             if same:
                 a, b = a[a < b], b[a < b]
@@ -131,13 +141,11 @@ def _tile_pairs(size: int, threshold: float):
             )
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(6)]
-            vectors = _matrix(batch.column(6), size)
-            for n, (label, p, q, tile, id_, copies) in enumerate(zip(*cols)):
-                if (label, p, q) != key:
+            for label, size, p, q, tile, id_, copies, y in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (label, size, p, q) != key:
                     yield from done()
-                    key, rows = (label, p, q), []
-                rows.append((tile, id_, copies, vectors[n]))
+                    key, rows = (label, size, p, q), []
+                rows.append((tile, id_, copies, y))
         yield from done()
 
     return run
@@ -165,44 +173,44 @@ def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 def embedding_near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """Link vectors of equal label whose cosine, in double precision, is at least threshold (over 0).
+    """Link vectors of equal label and length whose cosine, in double precision, is at least threshold (over 0).
 
     Returns (id, n_links, component_id, kept), one row for each input row: n_links counts the other
     rows linked directly, component_id is the smallest id reachable, kept where it is the row's own.
-    Vectors that are null, zero, of another length than the first usable one by id, or that hold
-    null or non-finite components link with nothing, nor do rows with a null label. Rows with a null
-    id are left out. Rows that repeat an id are one node; copies of it count as links of each other.
+    Vectors that are null, empty, zero, or that hold null or non-finite components link with
+    nothing, nor do rows with a null label. Rows with a null id are left out. Rows that repeat an id are one node; copies of it count as links of each other.
     An empty table gives no rows. Other columns are ignored.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
     usable = source.filter("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
-    head = usable.orderBy("id").select(F.size("v")).limit(1).collect()
-    size = head[0][0] if head else 1
-    packed = usable.filter(F.size("v") == size).mapInArrow(_packed(size), usable.drop("v").schema.add("v", "binary"))
+    packed = usable.mapInArrow(_packed, usable.drop("v").schema.add("v", "binary"))
     packed = packed.withColumn("h", F.sha2("v", 256))
     classes = written(packed.groupBy("label", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    moments = [np.frombuffer(r.m, np.float64).reshape(size, size) for r in classes.select("v").mapInArrow(_moments(size), "m binary").toLocalIterator()]
-    axes = np.linalg.eigh(sum(moments, np.zeros((size, size))))[1][:, ::-1]
-    turned = classes.select("id", "label", "copies", "v").mapInArrow(_rotated(axes), "id long, label " + classes.schema["label"].dataType.simpleString() + ", copies long, lead double, y binary")
+    sizes = classes.groupBy(F.expr("cast(octet_length(v) / 8 as int)").alias("size")).count().orderBy(F.desc("count"), "size").limit(AXES).collect()
+    moments = {r.size: np.zeros((r.size, r.size)) for r in sizes}
+    for r in classes.select("v").mapInArrow(_moments(list(moments)), "size int, m binary").toLocalIterator():
+        moments[r.size] += np.frombuffer(r.m, np.float64).reshape(r.size, r.size)
+    axes = {size: np.linalg.eigh(m)[1][:, ::-1] for size, m in moments.items()}
+    turned = classes.select("id", "label", "copies", "v").mapInArrow(_rotated(axes), "id long, label " + classes.schema["label"].dataType.simpleString() + ", copies long, size int, lead double, y binary")
     turned = written(turned)
     # Range-sorted tiles: bins along the first axis, small neighbours together, large ones split by hash.
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9)
     bins = turned.withColumn("bin", F.floor((F.col("lead") + 1) / F.lit(reach / 16)).cast("long"))
-    run = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    tiles = bins.groupBy("label", "bin").agg(F.count("*").alias("n")).select(
-        "label", "bin", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / TILE).alias("tile")
+    run = Window.partitionBy("label", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = bins.groupBy("label", "size", "bin").agg(F.count("*").alias("n")).select(
+        "label", "size", "bin", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / TILE).alias("tile")
     )
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     t = F.when(F.col("parts") > 1, F.xxhash64(F.lit("split"), "bin", part)).otherwise(F.xxhash64(F.lit("whole"), "tile"))
-    tiled = bins.join(tiles, ["label", "bin"]).withColumn("t", t)
-    tiled = written(tiled.select("label", "t", "id", "copies", "lead", "y"))
-    spans = tiled.groupBy("label", "t").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
-    a, b = spans.select("label", F.col("t").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), spans.select("label", F.col("t").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = a.join(b, "label").filter((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach))
-    sides = pairs.select("label", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("t"))
-    dealt = sides.join(tiled, ["label", "t"]).select("label", "p", "q", "t", "id", "copies", "y")
-    dealt = dealt.repartition("label", "p", "q").sortWithinPartitions("label", "p", "q")
-    found = written(dealt.mapInArrow(_tile_pairs(size, threshold), "id long, n long, to long"))
+    tiled = bins.join(tiles, ["label", "size", "bin"]).withColumn("t", t)
+    tiled = written(tiled.select("label", "size", "t", "id", "copies", "lead", "y"))
+    spans = tiled.groupBy("label", "size", "t").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    a, b = spans.select("label", "size", F.col("t").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), spans.select("label", "size", F.col("t").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = a.join(b, ["label", "size"]).filter((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach))
+    sides = pairs.select("label", "size", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("t"))
+    dealt = sides.join(tiled, ["label", "size", "t"]).select("label", "size", "p", "q", "t", "id", "copies", "y")
+    dealt = dealt.repartition("label", "size", "p", "q").sortWithinPartitions("label", "size", "p", "q")
+    found = written(dealt.mapInArrow(_tile_pairs(threshold), "id long, n long, to long"))
     degree = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     rows = packed.select(F.col("id").alias("row_id"), "label", "h").join(classes.select("label", "h", "id", "copies"), ["label", "h"])
     linked = rows.join(degree, "id", "left").select(F.col("row_id").alias("id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("id").alias("rep"))

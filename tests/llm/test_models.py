@@ -186,6 +186,23 @@ def test_embedding_links(spark, monkeypatch, tile):
     assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in got}
 
 
+def test_embedding_lengths_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "AXES", 2, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(0, [float("nan")], 0), (1, [1.0, 2.0, 3.0], 0)]
+    for size in (24, 7, 40):
+        for i in range(30):
+            base = rng.normal(size=size) if i % 3 == 0 else np.array(rows[-1][1])
+            rows.append((len(rows), [float(np.float32(x)) for x in base + rng.normal(size=size) * 0.05], i % 2))
+    rows += [(len(rows), [2.0, 4.0, 6.0], 0), (len(rows) + 1, [5.0], 0), (len(rows) + 2, [7.0], 0)]
+    degree = Counter()
+    for size in {len(r[1]) for r in rows}:
+        same = [r for r in rows if len(r[1]) == size]
+        degree.update(same[a][0] for a, _ in brute_links(same, 0.9))
+    got = {r.id: r.n_links for r in embeddings.embedding_near_duplicates(vectors(spark, rows), 0.9).collect()}
+    assert got == {i: degree[i] for i, _, _ in rows} and all(any(degree[r[0]] for r in rows if len(r[1]) == size) for size in (1, 3, 7, 24, 40))
+
+
 def test_embedding_edges(spark):
     assert embeddings.embedding_near_duplicates(vectors(spark, [])).count() == 0
     got = embeddings.embedding_near_duplicates(vectors(spark, [(1, None, 1), (None, [1.0], 1)])).collect()
