@@ -20,17 +20,21 @@ def availability(tasks: DataFrame, deps: DataFrame, settled: list[str], active:
     return out.select("id", label.alias("availability"), "blocked_by")
 
 
-def blocked_ancestors(tasks: DataFrame, blocked: DataFrame, depth: int = 100) -> DataFrame:
-    """Ids of tasks with a blocked ancestor (id, parent_id); parent cycles end because no id is added twice."""
-    found = front = blocked.select("id").distinct()
-    for _ in range(depth):
-        below = tasks.select("id", "parent_id").join(front.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-        front = below.join(found, "id", "left_anti").distinct()
-        front = cut(front)
-        if front.isEmpty():
-            break
-        found = found.union(front)
-    return found
+def blocked_ancestors(tasks: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Ids of blocked tasks and of tasks with a blocked ancestor (id, parent_id), however far up.
+
+    Each round doubles the distance looked up, so parent cycles end once it reaches the number of tasks.
+    """
+    marked = blocked.select("id").distinct().withColumn("held", F.lit(True))
+    state = cut(tasks.select("id", F.col("parent_id").alias("up")).join(marked, "id", "left").na.fill(False, ["held"]))
+    reach, most = 1, state.count()
+    going = ~F.col("held") & F.col("up").isNotNull()
+    while reach < most and not state.filter(going).isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("held").alias("over"))
+        moved = state.filter(going).join(above, "up", "left").select("id", F.col("next").alias("up"), F.coalesce("over", F.lit(False)).alias("held"))
+        state = cut(state.filter(~going).unionByName(moved))
+        reach *= 2
+    return state.filter("held").select("id")
 
 
 def ready(tasks: DataFrame, deps: DataFrame, settled: list[str], active: list[str]) -> DataFrame:

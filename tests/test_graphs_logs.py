@@ -116,6 +116,15 @@ def test_availability_and_parents(spark):
     assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"], ["active"]).collect()) == [1, 7]
 
 
+def test_blocked_ancestor_far_up(spark):
+    # 1 is blocked by 1000; 2 .. 150 are a chain below it, 300 .. 450 one below no blocked task, 500 and 501 a cycle.
+    rows = [(1, "open", None), (1000, "open", None), *((i, "open", i - 1) for i in range(2, 151))]
+    rows += [(300, "open", None), *((i, "open", i - 1) for i in range(301, 451)), (500, "open", 501), (501, "open", 500)]
+    tasks = spark.createDataFrame(rows, "id int, status string, parent_id int")
+    deps = spark.createDataFrame([(1, 1000)], "task_id int, depends_on_id int")
+    assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"], ["active"]).collect()) == [*range(300, 451), 500, 501, 1000]
+
+
 def test_renames_follow_chains(spark):
     got = {(r.old, r.final) for r in history.rename_finals(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "old string, new string")).collect()}
     assert got == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "y")}
