@@ -1,8 +1,8 @@
-"""Compact levels of an n-gram trie: Elias-Fano sequences in memory-mapped files."""
+"""Compact levels of an n-gram trie: Elias-Fano sequences in memory maps."""
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 
@@ -10,20 +10,14 @@ BLOCK = 1 << 15  # values decoded at once while searching
 
 
 class Mapped:
-    """Arrays appended to one temporary file and read back through memory maps; the file goes with the object."""
-
-    def __init__(self) -> None:
-        self._file = tempfile.TemporaryFile()
+    """Arrays kept in memory maps of their own, outside the heap and without a file on the machine; each goes with its array."""
 
     def put(self, array: np.ndarray) -> np.ndarray:
         if not array.size:
             return array
-        at = self._file.seek(0, 2)
-        at += -at % 16
-        self._file.seek(at)
-        array.tofile(self._file)
-        self._file.flush()
-        return np.memmap(self._file, array.dtype, "r", at, array.shape)
+        held = mmap.mmap(-1, array.nbytes)
+        held[:] = array.tobytes()
+        return np.frombuffer(held, array.dtype)
 
 
 class EliasFano:
@@ -75,33 +69,41 @@ class EliasFano:
         return at, hit
 
 
-class BigramTrie:
-    """Successors of each context with a quantised log10 probability each.
+class NgramTrie:
+    """Word sequences read backwards, last word first, with quantised log10 numbers at every level.
 
-    Level one holds the contexts, the pointers say where each one's successors begin, and level two
-    holds all successors in one rising sequence, each as its context's rank times the number of ids
-    plus its own id, so a search in level two is relative to the context found in level one.
+    Level one holds the last words, level two the word before within each, level three the word
+    before that. Level n's rising sequence stores each entry as its parent's rank times the number
+    of ids plus its own id, so a search is relative to the parent found one level up; the pointers
+    say where each parent's entries begin. Every level holds the smoothed numerator of a sequence
+    that is known so far and no further; levels one and two also the denominator of the words that follow.
     """
 
-    STEP = 1 / 2048  # of a stored log10 probability
+    STEP = 1 / 2048  # of a stored log10 number
+    LEAST = -16.0
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, log_p: np.ndarray, ids: int) -> None:
-        """Pairs ascending by context, then word, each once."""
+    def __init__(self, levels: list[tuple[np.ndarray, ...]], ids: int) -> None:
+        """levels[n]: (parent rank, id, numbers ...) of entries ascending by parent and id; level one has parent 0."""
         store = Mapped()
-        contexts, first = np.unique(context, return_index=True)
         self.ids = np.uint64(ids)
-        self.contexts = EliasFano(contexts, store)
-        self.pointers = EliasFano(np.append(first, len(context)), store)
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(first, len(context))))
-        self.words = EliasFano(rank * self.ids + word.astype(np.uint64), store)
-        self.cost = store.put(np.clip(np.rint(-log_p / self.STEP), 0, 65535).astype(np.uint16))
-
-    def log_p(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Stored log10 probability of each pair, nan where the pair is not there. Pairs ascend as in the trie."""
-        rank, known = self.contexts.successor(context)
-        at, hit = self.words.successor(rank.astype(np.uint64)[known] * self.ids + word[known].astype(np.uint64))
-        out = np.full(len(context), np.nan)
-        found = np.full(len(at), np.nan)
-        found[hit] = -self.cost[at[hit]].astype(np.float64) * self.STEP
-        out[known] = found
+        self.entries, self.pointers, self.numbers = [], [], []
+        for n, (parent, word, *numbers) in enumerate(levels):
+            self.entries.append(EliasFano(parent.astype(np.uint64) * self.ids + word.astype(np.uint64), store))
+            if n:
+                above = len(levels[n - 1][0])
+                self.pointers.append(EliasFano(np.searchsorted(parent, np.arange(above + 1)), store))
+            self.numbers.append([store.put(self._stored(x)) for x in numbers])
+
+    def _stored(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((x - self.LEAST) / self.STEP), 0, 65535).astype(np.uint16)
+
+    def number(self, level: int, which: int, at: np.ndarray) -> np.ndarray:
+        return self.numbers[level][which][at].astype(np.float64) * self.STEP + self.LEAST
+
+    def find(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each (parent, word) in a level, -1 where it is not there or has no parent; queries ascend."""
+        out = np.full(len(word), -1, np.int64)
+        known = np.flatnonzero(parent >= 0)
+        at, hit = self.entries[level].successor(parent[known].astype(np.uint64) * self.ids + word[known].astype(np.uint64))
+        out[known[hit]] = at[hit]
         return out
