@@ -34,7 +34,7 @@ from .store import release, release_memory, shuffle_width, small_batches, writte
 from .text import mix, slices, words
 from .trie import NgramTrie
 
-PAIR, BASE = 0.05, 1.0
+PAIR, BASE = 0.01, 10.0
 FREQUENT = 1 << 16
 CHUNK_BYTES = 6 << 20
 HELD = 1 << 19  # distinct keys a task holds before it passes them on
@@ -122,6 +122,8 @@ class Shared:
     distinct: int
     texts: int
     frequent: np.ndarray  # rising hashes; the marks are among them
+    pair: float
+    base: float
     hot: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # keys rising and counts of words, pairs, triples
 
     @property
@@ -363,7 +365,7 @@ def _answered(shared, parts: int):
             del hashes
         word_of = word[pair]
         base = np.log10((c1 + 0.5) / s.total)
-        share = BASE * (c1 + 0.5) / s.total
+        share = s.base * (c1 + 0.5) / s.total
         known = c1 > 0
         sums = [np.bincount(doc, n, len(who)), np.bincount(doc, n * np.repeat(known[word_of], length), len(who)), np.bincount(doc, n * np.repeat(base[word_of], length), len(who))]
         # The trie of what training texts hold, last word first.
@@ -374,23 +376,23 @@ def _answered(shared, parts: int):
         upper[k2] = np.arange(len(k2))
         trie = NgramTrie(
             [
-                (np.zeros(len(k1), np.int64), w[p][o][k1], np.log10(share[k1]), np.log10(PAIR * c1[k1] + BASE)),
-                (up[word[k2]], v[p][k2], np.log10(PAIR * c2[k2] + share[word[k2]]), np.log10(c2[k2] + PAIR * c1[word[k2]] + BASE)),
-                (upper[pair[k3]], u[k3], np.log10(c3[k3] + PAIR * c2[pair[k3]] + share[word_of[k3]])),
+                (np.zeros(len(k1), np.int64), w[p][o][k1], np.log10(share[k1]), np.log10(s.pair * c1[k1] + s.base)),
+                (up[word[k2]], v[p][k2], np.log10(s.pair * c2[k2] + share[word[k2]]), np.log10(c2[k2] + s.pair * c1[word[k2]] + s.base)),
+                (upper[pair[k3]], u[k3], np.log10(c3[k3] + s.pair * c2[pair[k3]] + share[word_of[k3]])),
             ],
             frequent + len(names),
         )
         one = trie.find(0, np.zeros(len(o), np.int64), w[p][o])
         two = trie.find(1, one[word], v[p])
         three = trie.find(2, two[pair], u)
-        top = np.full(len(o), np.log10(BASE * 0.5 / s.total))
+        top = np.full(len(o), np.log10(s.base * 0.5 / s.total))
         top[one >= 0] = trie.number(0, 0, one[one >= 0])
-        below = np.full(len(o), np.log10(BASE))
+        below = np.full(len(o), np.log10(s.base))
         below[one >= 0] = trie.number(0, 1, one[one >= 0])
         top, below = top[word], below[word]
         top[two >= 0] = trie.number(1, 0, two[two >= 0])
         below[two >= 0] = trie.number(1, 1, two[two >= 0])
-        below[w[p] == np.searchsorted(s.frequent, _END)] = np.log10(s.texts * (1 + PAIR) + BASE)  # nothing follows an end: the text's first denominator
+        below[w[p] == np.searchsorted(s.frequent, _END)] = np.log10(s.texts * (1 + s.pair) + s.base)  # nothing follows an end: the text's first denominator
         top = top[pair]
         top[three >= 0] = trie.number(2, 0, three[three >= 0])
         sums.append(np.bincount(doc, np.repeat(top - below[pair], length) * n, len(who)))
@@ -419,9 +421,11 @@ def _most_frequent(vocabulary: DataFrame, most: int) -> np.ndarray:
     return vocabulary.filter(level >= least).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
 
 
-def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", pair: float = PAIR, base: float = BASE) -> DataFrame:
     """Score every whole text by a trigram model of the texts for which `learn`, an SQL condition on `id`, holds.
 
+    pair and base are the weights of pairs and of unigrams against triples, both above 0.
+
     Tokens are lower-cased (A-Z) words and one end. Returns (id, learnt, n_tokens, n_known,
     train_tokens, base_score, score): base_score the unigram and score the trigram log10 probability
     of the text. Null and blank texts have the end as their only token. With nothing to learn from,
@@ -445,7 +449,7 @@ def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", t
     order = np.argsort(keys)
     words_hot = (keys[order], hot["n"].to_numpy(np.int64)[order])
     release(vocabulary)
-    known = Shared(int(totals[1]), int(totals[0]), int(totals[2]), frequent, [words_hot, *_hot_grams(source, words_hot[0], least)])
+    known = Shared(int(totals[1]), int(totals[0]), int(totals[2]), frequent, pair, base, [words_hot, *_hot_grams(source, words_hot[0], least)])
     shared = spark.sparkContext.broadcast(known)
     parts = 2 * width  # a shard is held whole by its task
     dealt = source.mapInArrow(_dealt(shared, parts), "part int, block binary").repartition(parts, "part")
