@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_groups
 from .store import release, written
 
 
@@ -12,18 +13,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """(node, component): component is the smallest node reachable. Nodes without a link are not returned.
 
     Every round aggregates neighbours to their minimum and joins that minimum back, so no node's
-    neighbour list is ever gathered; self links, nulls, repeated and reversed links are harmless.
+    neighbour list is ever gathered, nor do the links of a hub meet in one task; self links, nulls,
+    repeated and reversed links are harmless.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct()
     e = written(e)
     seen = _mark(e)
     while True:
+        total = 2 * seen[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(both.filter("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         after = written(small)
         release(e)

@@ -160,11 +160,14 @@ def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFr
     pairs = found.join(best, "k").select("id", "line", other.alias("o")).filter("o < struct(id, line)").select("id", "line", "o.id", "o.line")
     pairs = pairs.toDF("id", "line", "id0", "line0").distinct()
 
-    def with_words(p: DataFrame, key: str, line: str, name: str) -> DataFrame:
-        t = texts.select(F.col("id").alias(key), "text")
-        return t.join(p.hint("shuffle_hash"), key).withColumn(name, _words(F.get(F.split("text", "\n"), F.col(line)))).drop("text")
-
-    both = with_words(with_words(pairs, "id", "line", "a"), "id0", "line0", "b")
+    pairs = written(pairs)
+    # The words of every place that a pair names, fetched from each text once; hub lines are joined apart.
+    named = pairs.select("id", "line").union(pairs.select("id0", "line0")).groupBy("id").agg(F.collect_set("line").alias("named"))
+    fetched = texts.join(named.hint("shuffle_hash"), "id").select("id", "named", F.split("text", "\n").alias("lines"))
+    fetched = fetched.select("id", F.explode(F.transform("named", lambda p: F.struct(p.alias("line"), line_words(p).alias("w")))).alias("p"))
+    fetched = written(fetched.select("id", "p.line", "p.w"))
+    hubs = fetched.toDF("id0", "line0", "b").join(pairs.groupBy("id0", "line0").agg(F.count("*").alias("n")), ["id0", "line0"])
+    both = join_groups(pairs.join(fetched.withColumnRenamed("w", "a"), ["id", "line"]), hubs, ["id0", "line0"], "n", pairs.count())
     return both.filter(_near(F.col("a"), F.col("b"))).select("id", "line")
 
 

@@ -7,9 +7,9 @@ round 2t - 1 fills the last one for certain. Cost is O(n + t log t) instead of O
 
 Candidate pairs come from equal bands. No bucket is ever paired out: each member is held against
 the smallest member of its bucket, the hub, and components are formed. Members of a bucket that are
-still in different components are gathered by hub, dealt over tiles of bounded size, and each pair
-of tiles is compared inside one task, which returns only links that join components. So copies cost
-one row each, and a bucket loses no link between texts.
+still in different components are dealt by hub over tiles of bounded size. Each pair of tiles is
+compared inside one task, unless both lie in the hub's component, and returns only links that join
+components. So copies cost one row each, and a bucket loses no link between texts.
 """
 
 from __future__ import annotations
@@ -257,10 +257,18 @@ def near_duplicates(
     places = found.withColumnRenamed("node", "id").hint("merge")
     placed = buckets.join(places, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    apart = placed.join(split, "key").select("hub", "id", "c").distinct()
-    tiles = apart.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = apart.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    apart = written(placed.join(split, "key").select("hub", "id", "c").distinct())
+    total = apart.count()
+    # Members that are in the hub's component are dealt to tiles of their own, which never meet one another.
+    home = F.max(F.when(F.col("id") == F.col("hub"), F.col("c")))
+    homes = apart.groupBy("hub").agg(home.alias("home"), F.count("*").alias("n"))
+    inner = join_groups(apart, homes, ["hub"], "n", total).withColumn("inside", F.coalesce(F.col("c") == F.col("home"), F.lit(False))).select("hub", "id", "c", "inside")
+    inside = F.count(F.when(F.col("inside"), 1))
+    tiles = inner.groupBy("hub").agg(F.ceil(inside / TILE).cast("int").alias("tp"), F.ceil((F.count("*") - inside) / TILE).cast("int").alias("tq"), F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("tp")).otherwise(F.col("tq"))).cast("int")
+    dealt = join_groups(inner, tiles, ["hub"], "n", total).withColumn("tile", place + F.when(F.col("inside"), 0).otherwise(F.col("tp")))
+    others = F.sequence(F.when(F.col("inside"), F.col("tp")).otherwise(0), F.col("tp") + F.col("tq") - 1)
+    dealt = dealt.filter("tq > 0").withColumn("other", F.explode(others))
     dealt = dealt.select("hub", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "c")
     dealt = dealt.join(sets.hint("merge"), "id").select("hub", "p", "q", "tile", "id", "c", "items")
     dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")

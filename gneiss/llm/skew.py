@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 HOT_GROUPS = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int | None = None) -> DataFrame:
     """rows ⋈ groups on keys, where `size` is the number of rows of each group and total that of all.
 
     At most HOT_GROUPS groups can hold total / HOT_GROUPS rows or more: those are broadcast, and
     their rows never meet in one task. All other groups are small and are joined by a shuffle.
+    `least` states another size from which a group counts as large.
     """
-    least = max(1000, total // HOT_GROUPS)
+    least = least or max(1000, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(F.col(size) >= least))
     cold = groups.filter(F.col(size) < least)
     rest = rows.join(F.broadcast(groups.filter(F.col(size) >= least).select(*keys)), keys, "left_anti")

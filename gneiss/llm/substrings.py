@@ -5,11 +5,12 @@ graph builders, each edge belongs to the smallest k-mer inside it, and the run o
 edges that share that k-mer occurrence is one path: its source coordinate, its length in edges and
 a hash of its words. A k-mer all of whose occurrences lie on one and the same path does not branch,
 and its edges stay compacted: every occurrence but the first repeats as a whole. Where a k-mer has
-several paths, only the first occurrence of each is opened into single edges, which are joined by
-their own hash. The coordinates decide which occurrence is the earliest.
+several paths, the node branches: only the first occurrence of each path is opened into single
+edges, which are joined by their own hash. The coordinates decide which occurrence is the earliest.
 
-Each batch settles the repeats it holds itself, so a path found in a third of all documents reaches
-the exchange once for each batch, and edges are joined to pre-aggregated minima. No group is gathered.
+Each batch settles the repeats it holds itself. Paths, the number of paths of a node, and edges are
+aggregated before they are shuffled and joined back; a path, node or edge with many rows is joined
+by a broadcast of its one aggregate, so none is gathered in a task.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_groups
 from .store import small_batches, written
 from .text import Slice, mix, range_hashes, slices, window_starts, word_ranges
 
@@ -207,24 +209,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     texts = source.repartition("id")
-    # One exchange by k-mer; places that their own batch already showed to repeat have no k-mer and spread.
-    paths = source.mapInArrow(_path_rows(window, KMER), "kmer long, path long, id long, place long")
-    paths = paths.withColumn("by", F.coalesce("kmer", F.xxhash64("id", "place"))).repartition("by")
-    path, kmer = Window.partitionBy("by", "path"), Window.partitionBy("by")
-    judged = paths.select(
-        "id",
-        "place",
-        (F.col("path").isNull() | (F.min(F.struct("id", "place")).over(path) < F.struct("id", "place"))).alias("again"),
-        (F.min("path").over(kmer) < F.max("path").over(kmer)).alias("forks"),
-    )
-    judged = written(judged.filter("again or forks").select("id", "place", "again"))
+    paths = written(source.mapInArrow(_path_rows(window, KMER), "kmer long, path long, id long, place long"))
+    # No key has this many rows in more than a bounded number of cases, whatever the size of the corpus.
+    large = max(1000, source.count() // 100)
+    known = paths.filter("kmer is not null")
+    at = F.struct("id", "place")
+    # A path's hash fixes its words and its node's place in them, and so its node.
+    by_path = known.groupBy("path").agg(F.min(at).alias("first"), F.min("kmer").alias("kmer"), F.count("*").alias("n"))
     # Compacted: all but the first occurrence of a path repeat as a whole.
-    repeats = judged.filter("again").select("id", "place")
-    # Branching: k-mers on several paths, one occurrence of each path opened into edges.
-    opened = judged.filter("not again").groupBy("id").agg(F.collect_list("place").alias("places"))
+    again = join_groups(known.select("path", "id", "place"), by_path.filter("n > 1").select("path", "first", "n"), ["path"], "n", 0, large).filter(F.col("first") < at)
+    repeats = written(paths.filter("kmer is null").select("id", "place").union(again.select("id", "place")))
+    # Branching: nodes on several paths, the first occurrence of each path opened into edges.
+    nodes = by_path.groupBy("kmer").agg(F.count("*").alias("paths")).filter("paths > 1")
+    opened = join_groups(by_path.select("kmer", "first.id", "first.place"), nodes, ["kmer"], "paths", 0, large)
+    opened = written(opened.groupBy("id").agg(F.collect_list("place").alias("places")))
     edges = texts.join(opened, "id").select("id", "text", "places").mapInArrow(_edge_rows(window), "edge long, id long, place long")
-    lowest = edges.groupBy("edge").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    single = edges.join(lowest, "edge").filter("struct(id, place) > first").select("id", "place")
+    edges = written(edges)
+    lowest = edges.groupBy("edge").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    single = join_groups(edges, lowest, ["edge"], "n", 0, large).filter(F.col("first") < at).select("id", "place")
     places = repeats.union(single).groupBy("id").agg(F.collect_list("place").alias("places"))
     whole = texts.join(places, "id", "left").select("id", "text", "places")
     return whole.mapInArrow(_cleaned(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
