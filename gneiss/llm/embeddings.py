@@ -27,6 +27,7 @@ from .store import written
 TILE = 512
 AXES = 8  # most lengths of vectors that are turned; bounds the matrices held at once
 BLOCK = 16  # coordinates multiplied before bounds are looked at again
+SLACK = 1e-9  # rounding of turned unit vectors; closer to the threshold the given components decide
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -41,17 +42,18 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _moments(sizes: list[int]):
-    """Partial sums of x xT of unit vectors: one row of size * size numbers for each task and size."""
+    """Partial sums of x xT of unit vectors: (size, place in the matrix, number) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {size: np.zeros((size, size)) for size in sizes}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for size, at in _by_size(batch.column(0)):
-                if size in total:
+                if size in sizes:
                     x = _matrix(batch.column(0).take(at), size)
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    total[size] += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["size", "m"])
+                    total[size] = total.get(size, 0) + x.T @ x
+        for size, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, size, np.int32)), pa.array(np.arange(m.size, dtype=np.int32)), pa.array(m.ravel())], names=["size", "at", "m"])
 
     return run
 
@@ -87,10 +89,12 @@ def _rotated(axes: dict[int, np.ndarray]):
     return run
 
 
-def _compare(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose product reaches threshold; pairs are given up once the suffix norms bound them below it."""
+def _compare(left: np.ndarray, right: np.ndarray, threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs whose product is at least threshold - slack, and whether it is also over threshold + slack.
+
+    Pairs are given up once the suffix norms bound them below that.
+    """
     size = left.shape[1]
-    slack = 1e-9  # rounding of partial sums; survivors are judged by their full product
     rest = [np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], 1)[:, ::-1], 0)) for m in (left, right)]
     i, j = np.arange(len(left)), np.arange(len(right))
     part = np.zeros((len(i), len(j)))
@@ -103,9 +107,9 @@ def _compare(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.
         rows, columns = alive.any(1), alive.any(0)
         i, j, part = i[rows], j[columns], part[np.ix_(rows, columns)]
         if not len(i) or not len(j):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.nonzero(part >= threshold)
-    return i[a], j[b]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    a, b = np.nonzero(part >= threshold - slack)
+    return i[a], j[b], part[a, b] > threshold + slack
 
 
 def _tile_pairs(threshold: float):
@@ -120,13 +124,15 @@ def _tile_pairs(threshold: float):
             right = [r for r in rows if r[0] == q]
             same = p == q
             x, y = (np.frombuffer(b"".join(r[3] for r in side)).reshape(-1, size) for side in (left, right))
-            a, b = _compare(x, y, threshold)
+            a, b, sure = _compare(x, y, threshold)
             if same:
-                a, b = a[a < b], b[a < b]
+                a, b, sure = a[a < b], b[a < b], sure[a < b]
             lid, rid = np.array([r[1] for r in left], np.int64), np.array([r[1] for r in right], np.int64)
             lc, rc = np.array([r[2] for r in left], np.int64), np.array([r[2] for r in right], np.int64)
             if not len(a):
                 return
+            close = [(int(lid[i]), None, int(rid[j])) for i, j in zip(a[~sure], b[~sure])]
+            a, b = a[sure], b[sure]
             degree: dict[int, int] = {}
             for ids, other, k, o in ((lid, rc, a, b), (rid, lc, b, a)):
                 sums = np.bincount(k, other[o].astype(np.float64), len(ids)).astype(np.int64)
@@ -134,7 +140,7 @@ def _tile_pairs(threshold: float):
                     degree[int(ids[n])] = degree.get(int(ids[n]), 0) + int(sums[n])
             links = _forest(lid[a], rid[b])
             ids = list(degree)
-            out = [(i, degree[i], None) for i in ids] + [(u, 0, v) for u, v in links]
+            out = [(i, degree[i], None) for i in ids] + [(u, 0, v) for u, v in links] + close
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                 names=["id", "n", "to"],
@@ -151,6 +157,20 @@ def _tile_pairs(threshold: float):
     return run
 
 
+def _decided(threshold: float):
+    """Pairs whose vectors, as they are given, have a cosine of at least threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(a.as_buffer()), np.frombuffer(b.as_buffer())
+                good.append(bool(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links u-v."""
     root: dict[int, int] = {}
@@ -188,8 +208,9 @@ def embedding_near_duplicates(
     classes = written(packed.groupBy("label", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
     sizes = classes.groupBy(F.expr("cast(octet_length(v) / 8 as int)").alias("size")).count().orderBy(F.desc("count"), "size").limit(AXES).collect()
     moments = {r.size: np.zeros((r.size, r.size)) for r in sizes}
-    for r in classes.select("v").mapInArrow(_moments(list(moments)), "size int, m binary").toLocalIterator():
-        moments[r.size] += np.frombuffer(r.m, np.float64).reshape(r.size, r.size)
+    sums = classes.select("v").mapInArrow(_moments(list(moments)), "size int, at int, m double").groupBy("size", "at").agg(F.sum("m").alias("m"))
+    for size, part in sums.toPandas().groupby("size"):  # AXES matrices at most
+        moments[size].ravel()[part["at"]] = part["m"]
     axes = {size: np.linalg.eigh(m)[1][:, ::-1] for size, m in moments.items()}
     turned = classes.select("id", "label", "copies", "v").mapInArrow(_rotated(axes), "id long, label " + classes.schema["label"].dataType.simpleString() + ", copies long, size int, lead double, y binary")
     turned = written(turned)
@@ -205,12 +226,27 @@ def embedding_near_duplicates(
     tiled = bins.join(tiles, ["label", "size", "bin"]).withColumn("t", t)
     tiled = written(tiled.select("label", "size", "t", "id", "copies", "lead", "y"))
     spans = tiled.groupBy("label", "size", "t").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
-    a, b = spans.select("label", "size", F.col("t").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), spans.select("label", "size", F.col("t").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = a.join(b, ["label", "size"]).filter((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach))
+    # Tiles are paired by bins of at least one reach along the first axis: near tiles share a bin or lie in adjacent ones.
+    wide = max(reach, 1 / 32)
+
+    def bin_of(c: str):
+        return F.floor(F.col(c) / wide).cast("long")
+
+    a = spans.select("label", "size", F.col("t").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(bin_of("lo") - 1, bin_of("hi") + 1)).alias("bin"))
+    b = spans.select("label", "size", F.col("t").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"))
+    pairs = a.join(b, ["label", "size", "bin"]).filter((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi1") <= reach) & (F.col("lo1") - F.col("hi2") <= reach))
+    pairs = pairs.select("label", "size", "p", "q").distinct()
     sides = pairs.select("label", "size", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("t"))
     dealt = sides.join(tiled, ["label", "size", "t"]).select("label", "size", "p", "q", "t", "id", "copies", "y")
     dealt = dealt.repartition("label", "size", "p", "q").sortWithinPartitions("label", "size", "p", "q")
     found = written(dealt.mapInArrow(_tile_pairs(threshold), "id long, n long, to long"))
+    # Pairs within SLACK of the threshold (n is null) are decided by the cosine of the given components.
+    one = classes.select("id", F.col("copies").alias("ca"), F.col("v").alias("a"))
+    two = classes.select(F.col("id").alias("to"), F.col("copies").alias("cb"), F.col("v").alias("b"))
+    close = found.filter("n is null").select("id", "to").join(one, "id").join(two, "to").select("id", "to", "ca", "cb", "a", "b")
+    close = written(close.mapInArrow(_decided(threshold), "id long, to long, ca long, cb long"))
+    more = close.select("id", F.col("cb").alias("n")).union(close.select("to", "ca"))
+    found = found.filter("n is not null").union(more.select("id", "n", F.lit(None).cast("long"))).union(close.select("id", F.lit(0).cast("long"), "to"))
     degree = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     rows = packed.select(F.col("id").alias("row_id"), "label", "h").join(classes.select("label", "h", "id", "copies"), ["label", "h"])
     linked = rows.join(degree, "id", "left").select(F.col("row_id").alias("id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("id").alias("rep"))

@@ -138,6 +138,58 @@ def test_syncmers_are_context_free_and_match_definition():
     assert not (row == 2).any() and len(fingerprints.fingerprints(part)[2][0]) == 1
 
 
+def test_closed_syncmers_equal_the_definition():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["ü" * 40, "aaaaaaaaaaaaaaaaaaaaaaa", "short"]
+    part = next(slices(pa.array(texts)))
+    row, pos, h = fingerprints.syncmers(part)
+    k, s = fingerprints.K, fingerprints.S
+
+    def smer(x):
+        return fingerprints._smer_hashes(np.frombuffer(x, np.uint8))[0]
+
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        want = []
+        for p in range(len(raw) - k + 1):
+            inner = [smer(raw[p + j : p + j + s]) for j in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append(p)
+        assert pos[row == i].tolist() == want
+        kmers = {}
+        for p, x in zip(pos[row == i].tolist(), h[row == i].tolist()):
+            assert kmers.setdefault(raw[p : p + k], x) == x
+        # The fingerprint is the smallest distinct hashes with their first places.
+        first = {}
+        for p, x in zip(pos[row == i].tolist(), h[row == i].tolist()):
+            first.setdefault(x, p)
+        smallest = sorted(first.items())[: fingerprints.ANCHORS]
+        mine = fingerprints.fingerprints(part)[i]
+        if smallest:
+            assert list(zip(*(a.tolist() for a in mine))) == [(x >> 32, p) for x, p in smallest]
+
+
+def test_likeness_equals_plain_count_and_survives_inserted_passages():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    text = " ".join(rng.choice(words) for _ in range(400))
+    moved = text[: len(text) // 2] + " ".join(rng.choice(words) for _ in range(150)) + text[len(text) // 2 :]
+    other = " ".join("".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(400))
+    a, b, c = fingerprints.fingerprints(next(slices(pa.array([text, moved, other]))))
+
+    def plain(x, y):
+        one, two = dict(zip(*(v.tolist() for v in x))), dict(zip(*(v.tolist() for v in y)))
+        union = sorted(set(one) | set(two))[: fingerprints.ANCHORS]
+        shifts = [two[h] - one[h] for h in union if h in one and h in two]
+        agreed = sum(sum(abs(s - t) <= fingerprints.DRIFT for t in shifts) >= min(fingerprints.AGREE, len(shifts)) for s in shifts)
+        j = agreed / len(union)
+        return 2 * j / (1 + j)
+
+    for x, y in ((a, b), (b, a), (a, c), (a, a)):
+        assert abs(fingerprints.likeness(x, y) - plain(x, y)) < 1e-12
+    assert fingerprints.likeness(a, a) == 1 and fingerprints.likeness(a, b) > 0.6 and fingerprints.likeness(a, c) == 0
+
+
 def test_fingerprint_edges(spark):
     assert fingerprints.edited_fingerprints(documents(spark, [])).count() == 0
     one = fingerprints.edited_fingerprints(documents(spark, [(5, "abc"), (None, "q")])).collect()
@@ -203,6 +255,21 @@ def test_embedding_lengths_are_kept_apart(spark, monkeypatch):
     assert got == {i: degree[i] for i, _, _ in rows} and all(any(degree[r[0]] for r in rows if len(r[1]) == size) for size in (1, 3, 7, 24, 40))
 
 
+def test_pairs_at_the_threshold_are_linked(spark):
+    # cos((3, 4), (4, 3)) is 24 / 25; whatever axes are turned to, each pair at exactly 0.96 is linked and (3, 4) with (3.999, 2.999) too.
+    rng = np.random.default_rng(5)
+    rows = []
+    for label in range(60):
+        at = rng.permutation(16)[:2]
+        for k, xy in enumerate([(3.0, 4.0), (4.0, 3.0), (4.0, 2.99)]):
+            v = np.zeros(16)
+            v[at] = np.array(xy) * 2.0 ** rng.integers(-3, 4)
+            rows.append((3 * label + k, v.tolist(), label))
+    got = {r.id: r.n_links for r in embeddings.embedding_near_duplicates(vectors(spark, rows), 0.96).collect()}
+    assert [got[3 * label] for label in range(60)] == [1] * 60
+    assert [got[3 * label + 1] for label in range(60)] == [2] * 60
+
+
 def test_embedding_edges(spark):
     assert embeddings.embedding_near_duplicates(vectors(spark, [])).count() == 0
     got = embeddings.embedding_near_duplicates(vectors(spark, [(1, None, 1), (None, [1.0], 1)])).collect()
