@@ -4,7 +4,7 @@ A k-mer of a text's bytes is a closed syncmer when the smallest of its inner s-m
 first or its last. The choice depends on the k-mer alone, so an edit elsewhere never changes it:
 syncmers are context-free anchors. A fingerprint holds the anchors with the smallest hashes, each
 with its byte position. Two fingerprints are compared on the smallest anchors of their union, and
-shared anchors count only where their positions agree on one shift.
+shared anchors count only where other shared anchors have moved as far.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from .text import Slice, _power_tables, mix, range_hashes, slices
 
 K, S = 12, 5
 ANCHORS = 64
-DRIFT = 256  # bytes by which matched anchors may leave the common shift
+DRIFT = 256  # bytes by which the shifts of anchors that agree may differ
+AGREE = 3  # anchors, itself among them, with which a shared anchor's shift has to agree
 
 Anchors = tuple[np.ndarray, np.ndarray]
 
@@ -108,7 +109,10 @@ def likeness(a: Anchors, b: Anchors, most: int = ANCHORS) -> float:
     shift = (b[1][j] - a[1][i])[inside]
     if not len(shift):
         return 0.0
-    agreed = int((np.abs(shift - np.median(shift)) <= DRIFT).sum())
+    # A passage put in or taken out moves what follows: every shift that several anchors share counts.
+    shift = np.sort(shift)
+    near = np.searchsorted(shift, shift + DRIFT, "right") - np.searchsorted(shift, shift - DRIFT, "left")
+    agreed = int((near >= min(AGREE, len(shift))).sum())
     jaccard = min(1.0, agreed / len(union))
     return 2 * jaccard / (1 + jaccard)
 
