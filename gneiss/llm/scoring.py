@@ -35,8 +35,8 @@ from .text import mix, slices, words
 from .trie import NgramTrie
 
 PAIR, BASE = 0.01, 10.0
-FREQUENT = 1 << 16
-CHUNK_BYTES = 6 << 20
+FREQUENT = 1 << 18
+CHUNK_BYTES = 4 << 20
 HELD = 1 << 19  # distinct keys a task holds before it passes them on
 LEAST_HOT = 1000  # tokens below which nothing is dealt apart
 
@@ -451,7 +451,7 @@ def language_model_scores(docs: DataFrame, learn: str, id_col: str = "doc_id", t
     release(vocabulary)
     known = Shared(int(totals[1]), int(totals[0]), int(totals[2]), frequent, pair, base, [words_hot, *_hot_grams(source, words_hot[0], least)])
     shared = spark.sparkContext.broadcast(known)
-    parts = 2 * width  # a shard is held whole by its task
+    parts = 4 * width  # a shard is held whole by its task
     dealt = source.mapInArrow(_dealt(shared, parts), "part int, block binary").repartition(parts, "part")
     sums = dealt.mapInArrow(_answered(shared, width), "part int, block binary").repartition(width, "part")
     return sums.mapInArrow(_totals, "id long, n long, known long, base double, score double").select(
