@@ -134,43 +134,70 @@ def canonical_hash(*columns: str) -> Column:
 
 
 def model_id(name: Column) -> Column:
-    """Model name in lower case, separators as one dash, without a date or "latest" at the end."""
-    x = F.regexp_replace(F.lower(name), r"[\s_.:]+", "-")
-    return F.regexp_replace(F.regexp_replace(x, r"-(\d{8}|latest)$", ""), r"-+", "-")
-
-
-def money(amount: Column) -> Column:
-    """Amount with two decimals, with four below one cent, "-" for none."""
-    return F.when(amount.isNull(), "-").when((amount > 0) & (amount < 0.01), F.format_string("%.4f", amount.cast("double"))).otherwise(F.format_string("%.2f", amount.cast("double")))
+    """Model name in lower case, dots and underscores as dashes, runs of dashes as one, none at the ends."""
+    x = F.regexp_replace(F.lower(name), "[._]", "-")
+    return F.regexp_replace(F.regexp_replace(x, "-+", "-"), "^-|-$", "")
+
+
+def money(amount: Column, currency: Column | None = None) -> Column:
+    """Amount with two decimals, with four below one, "<" where those are all zero; null for none.
+
+    Dollars, or no currency given, have their sign before, others their name after.
+    """
+    x = amount.cast("double")
+    shown = F.when(x < 1, F.format_string("%.4f", x)).otherwise(F.format_string("%.2f", x))
+    tiny = (x > 0) & (shown == "0.0000")
+    bound, shown = F.when(tiny, "<").otherwise(""), F.when(tiny, "0.0001").otherwise(shown)
+    dollars = F.concat(bound, F.lit("$"), shown)
+    return dollars if currency is None else F.when(currency == "USD", dollars).otherwise(F.concat(bound, shown, F.lit(" "), currency))
+
+
+def short_count(n: Column) -> Column:
+    """1234 as 1.2k, 1234567 as 1.2M; smaller numbers as they are."""
+    x = n.cast("double")
+    return F.when(x >= 1_000_000, F.format_string("%.1fM", x / 1_000_000)).when(x >= 1000, F.format_string("%.1fk", x / 1000)).otherwise(n.cast("string"))
+
+
+def _glob_parts(glob: str) -> tuple[list[str], int]:
+    """Alternatives of the brace group that opens glob and the place after its close; no close gives (-1)."""
+    depth, parts, at = 0, [""], 0
+    while at < len(glob):
+        c = glob[at]
+        depth += (c == "{") - (c == "}")
+        if depth == 0:
+            return parts, at + 1
+        if c == "," and depth == 1:
+            parts.append("")
+        elif at:
+            parts[-1] += c
+        at += 1
+    return parts, -1
+
+
+def _glob_body(glob: str) -> str:
+    out = ""
+    while glob:
+        if glob.startswith("**/"):
+            out, glob = out + "(?:[^/]+/)*", glob[3:]
+        elif glob.startswith("**"):
+            out, glob = out + "[^\\n\\r\\u2028\\u2029]*", glob[2:]
+        elif glob[0] in "*?":
+            out, glob = out + ("[^/]*" if glob[0] == "*" else "[^/]"), glob[1:]
+        elif glob[0] == "{" and (group := _glob_parts(glob))[1] > 0:
+            inner = [_glob_body(x) for x in group[0]]
+            out += f"(?:{'|'.join(inner)})" if len(inner) > 1 else rf"\{{{inner[0]}\}}"
+            glob = glob[group[1] :]
+        else:
+            out, glob = out + re.escape(glob[0]), glob[1:]
+    return out
 
 
 def glob_pattern(glob: str) -> str:
-    """Regular expression of a path glob: **/ and ** cross folders, * and ? do not, {a,b} are alternatives."""
-    out, i, depth = "", 0, 0
-    while i < len(glob):
-        c = glob[i]
-        if glob.startswith("**/", i):
-            out, i = out + "(?:[^\\n]*/)?", i + 3
-            continue
-        if glob.startswith("**", i):
-            out, i = out + "[^\\n]*", i + 2
-            continue
-        if c == "*":
-            out += "[^/\\n]*"
-        elif c == "?":
-            out += "[^/\\n]"
-        elif c == "{":
-            depth, out = depth + 1, out + "(?:"
-        elif c == "}" and depth:
-            depth, out = depth - 1, out + ")"
-        elif c == "," and depth:
-            out += "|"
-        else:
-            out += re.escape(c)
-        i += 1
-    if depth:
-        raise ValueError(f"unclosed brace in {glob}")
-    return f"^{out}$"
+    """Regular expression of a path glob: **/ crosses folders, ** all but line ends, * and ? stay in one.
+
+    {a,b} are alternatives, nested ones too; a brace without a comma or a partner is a character.
+    """
+    return f"^{_glob_body(glob)}(?![\\s\\S])"
 
 
 def matches_glob(path: Column, glob: str) -> Column:
@@ -186,17 +213,21 @@ def first_matching(value: Column, rules: list[tuple[str, str]], otherwise: str |
 
 
 def file_kind(path: Column) -> Column:
-    """config, test, story, source or other: the first that fits."""
-    return first_matching(
-        path,
-        [
-            ("config", r"(^|/)([^/]*\.config\.[cm]?[jt]s|[^/]*\.(json|jsonc|toml|ya?ml))$"),
-            ("test", r"(^|/)(tests?|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$"),
-            ("story", r"\.stories\.[cm]?[jt]sx?$"),
-            ("source", r"\.[cm]?[jt]sx?$"),
-        ],
-        "other",
-    )
+    """config, test, story, source or other: the first that fits.
+
+    Configuration is known by its file name alone, tests and stories by a folder above or an inner
+    suffix, and source by the extension.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    script = name.rlike(r"\.[cm]?[jt]sx?$")
+    inner = F.regexp_extract(name, r"\.([^.]+)\.[^.]+$", 1)
+    # fixed values
+    named = name.isin("package.json", "turbo.json", "knip.json", "bunfig.toml") | name.rlike(r"^tsconfig.*\.json$")
+    config = named | (script & (inner == "config")) | name.rlike(r"^\..+")
+    test = F.arrays_overlap(folders, F.array(*map(F.lit, ("test", "tests", "__tests__", "__mocks__", "e2e")))) | (script & inner.isin("test", "spec"))
+    story = F.array_contains(folders, "stories") | (script & (inner == "stories"))
+    return F.when(config, "config").when(test, "test").when(story, "story").when(script, "source").otherwise("other")
 
 
 def extension(path: Column) -> Column:
@@ -241,3 +272,104 @@ def set_parts(left: Column, right: Column) -> Column:
     """Struct of what two arrays share and what only one has, each sorted."""
     parts = {"shared": F.array_intersect(left, right), "left_only": F.array_except(left, right), "right_only": F.array_except(right, left)}
     return F.struct(*[F.array_sort(c).alias(n) for n, c in parts.items()])
+
+
+def wave_ms(text: Column, grammar: str) -> Column:
+    """Milliseconds of a duration such as 30m in one of three grammars; null where it does not fit.
+
+    "cadence" is a positive whole number of s, m, h, d; "span" a number, fractions too, of m, h, d, w;
+    "delay" a number of ms, s, m, h.
+    """
+    # fixed values
+    units = {
+        "cadence": (r"^(\d+)([smhd])$", {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}),
+        "span": (r"^(\d+(?:\.\d+)?)([mhdw])$", {"m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}),
+        "delay": (r"^(\d+(?:\.\d+)?)(ms|s|m|h)$", {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}),
+    }
+    pattern, sizes = units[grammar]
+    text = F.trim(text) if grammar != "span" else text
+    size = F.lit(None).cast("long")
+    for unit, ms in sizes.items():
+        size = F.when(F.regexp_extract(text, pattern, 2) == unit, ms).otherwise(size)
+    out = F.regexp_extract(text, pattern, 1).try_cast("double") * size
+    return F.when(out > 0, out) if grammar == "cadence" else out
+
+
+def range_start(text: Column, to: Column) -> Column:
+    """Time that lies <n>y, <n>m or <n>d before `to` in the calendar (UTC); null for "all" and what does not fit."""
+    n = F.regexp_extract(text, r"^(\d+)([ymd])$", 1).try_cast("int")
+    unit = F.regexp_extract(text, r"^(\d+)([ymd])$", 2)
+    back = lambda y, m, d: to - F.make_interval(years=y, months=m, days=d)
+    zero = F.lit(0)
+    return F.when(unit == "y", back(n, zero, zero)).when(unit == "m", back(zero, n, zero)).when(unit == "d", back(zero, zero, n))
+
+
+def next_slot(last: Column, hour: int, minute: int = 0, weekdays: list[str] | None = None) -> Column:
+    """First time after `last` at hour:minute of one of the weekdays (three letters; none: every day)."""
+    day = F.date_trunc("day", last)
+    at = day + F.make_interval(hours=F.lit(hour), mins=F.lit(minute))
+    if not weekdays:
+        return F.when(at > last, at).otherwise(at + F.expr("interval 1 day"))
+    ahead = [F.make_interval(days=F.lit(k)) for k in range(8)]
+    named = F.array(*[F.when(F.date_format(day + k, "EEE").isin(*[w.capitalize()[:3] for w in weekdays]) & (at + k > last), at + k) for k in ahead])
+    return F.array_min(F.array_compact(named))
+
+
+def backoff_ms(kind: str, attempt: Column, initial: int, step: int = 0, factor: float = 2.0, share: Column | None = None) -> Column:
+    """Delay before the next attempt, attempts counted from 1.
+
+    "fixed" is initial, "linear" adds a step each time, "exponential" multiplies by factor each time,
+    "jittered" is exponential with a share (0 to 1) between 80 % and 120 % of it.
+    """
+    grown = F.lit(float(initial)) * F.pow(F.lit(factor), attempt - 1)
+    if kind == "jittered":
+        grown = grown * (0.8 + 0.4 * (F.lit(0.5) if share is None else share))
+    plain = {"fixed": F.lit(float(initial)) + attempt * 0, "linear": F.lit(float(initial)) + step * (attempt - 1), "exponential": grown, "jittered": grown}
+    return F.round(plain[kind]).cast("long")
+
+
+def valid_json(text: Column) -> Column:
+    """True where a text is JSON whose numbers are finite and none of them is -0."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', '""')
+    zero = bare.rlike(r"-0(\.0+)?([eE][+-]?\d+)?(?![.\d])")
+    return F.coalesce(F.try_parse_json(text).isNotNull() & ~zero & ~bare.rlike(r"(?i)nan|infinity|\d[eE]\+?\d{4,}"), F.lit(False))
+
+
+def short_hash(text: Column, digits: int = 12) -> Column:
+    """First hexadecimal digits of the SHA-256 of a text."""
+    return F.substring(F.sha2(text, 256), 1, digits)
+
+
+def message_tokens(texts: Column, images: Column) -> Column:
+    """Tokens of a message of text parts (an array) and a number of images: four, a quarter of each part's characters rounded up, 768 for each image."""
+    parts = F.aggregate(texts, F.lit(0).cast("long"), lambda s, t: s + F.ceil(F.char_length(t) / 4))
+    return (parts + 4 + F.coalesce(images, F.lit(0)) * 768).cast("long")
+
+
+def effective_limit(window: Column, reserved: Column, hard: Column | None = None, ratio_: float = 0.8) -> Column:
+    """Tokens to keep below: the high-water share of the headroom rounded down, or a smaller hard limit."""
+    headroom = F.greatest(F.lit(0), window - reserved - F.ceil(window * 0.08))
+    high = F.floor(headroom * ratio_).cast("long")
+    return high if hard is None else F.least(high, hard)  # least() ignores nulls
+
+
+def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.hypot(ax - bx, ay - by)
+
+
+def frontmatter(text: Column) -> Column:
+    """Map of the `key: value` lines between two lines of --- at the start of a text; empty without them."""
+    head = F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
+    keyed = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z][\w-]*:"))
+    pair = lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), F.trim(F.regexp_extract(x, r"^[\w-]+:(.*)$", 1)).alias("value"))
+    return F.map_from_entries(F.transform(keyed, pair))
+
+
+def placeholders(text: Column) -> Column:
+    """Distinct names in {{name}} places of a prompt, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{\s*([A-Za-z_][\w.]*)\s*\}\}"), 1))
+
+
+def run_bucket(status: Column, attention: Column) -> Column:
+    """queued, running, waiting, complete, failed or cancelled; runs that ask for attention or are parked wait, others have none."""
+    return F.when(attention | status.isin("suspended", "paused"), "waiting").when(status.isin("queued", "running", "complete", "failed", "cancelled"), status)

@@ -66,48 +66,33 @@ def distinct_events_over(df: DataFrame, h: History, subjects: DataFrame) -> Data
     return df.join(subjects.select(h.subject).distinct(), h.subject, "left_semi").agg(F.countDistinct(h.event).alias("commits"))
 
 
-def radius(df: DataFrame, event: str, subject: str, owner: str, amount: str, target: str | None = None) -> DataFrame:
-    """How far each event reaches: subjects, owners, share of the target owner, amounts (null if all are).
+def monthly_checkpoints(df: DataFrame, event: str, ts: str, k: int | None = None) -> DataFrame:
+    """The last event of each month (UTC), ties by the larger event; the newest k months if k is given.
 
-    A subject with several owners counts for the smallest.
+    The last event of all is the head and closes its month, so it is always among them.
     """
-    single = df.groupBy(event, subject).agg(F.min(owner).alias("_o"), F.sum(amount).alias("_p"))
-    hit = F.count(F.when(F.col("_o") == target, 1)) if target is not None else F.lit(0)
-    return single.groupBy(event).agg(
-        F.count("*").alias("files"), F.countDistinct("_o").alias("packages"), ratio(hit, F.count("*")).alias("target_share"), F.sum("_p").alias("lines")
-    ).withColumn("composition", F.when(F.col("packages") > 1, "cross").otherwise("single"))
-
-
-def radius_summary(reach: DataFrame) -> DataFrame:
-    """Rates and spread over the rows of radius()."""
-    return reach.agg(
-        F.count("*").alias("events"), F.coalesce(F.avg((F.col("packages") > 1).cast("int")), F.lit(0.0)).alias("cross_rate"), *[c.cast("long").alias(f"files_{n}") for c, n in zip(distribution("files"), ("max", "p50", "p90", "p95"))]
-    )
-
-
-def combinations_topk(df: DataFrame, event: str, owner: str, k: int) -> DataFrame:
-    """The k most frequent sets of two or more owners that one event touches, ties by the set."""
-    sets = df.groupBy(event).agg(F.array_sort(F.collect_set(owner)).alias("owners")).filter(F.size("owners") > 1)
-    counts = sets.select(F.array_join("owners", "|").alias("owners")).groupBy("owners").agg(F.count("*").alias("commits"))
-    return counts.orderBy(F.desc("commits"), "owners").limit(k)
-
-
-def monthly_checkpoints(df: DataFrame, event: str, ts: str) -> DataFrame:
-    """The last event of each month, ties by the larger event."""
     last = F.max(F.struct(F.col(ts), F.col(event)))
-    return df.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(last.alias("l")).select("month", F.col(f"l.{event}").alias(event))
+    rows = df.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(last.alias("l")).select("month", F.col(f"l.{event}").alias(event))
+    return rows if k is None else rows.orderBy(F.desc("month")).limit(max(1, k))
 
 
 def spaced_checkpoints(df: DataFrame, event: str, ts: str, n: int) -> DataFrame:
-    """n events evenly spaced by position: round(i last / (n - 1))."""
-    if n < 2:
-        raise ValueError("n must be at least 2")
+    """At most n events evenly spaced by position: round(i last / (n - 1)); the last one alone for n = 1."""
     position = with_position(df, [ts, event], "pos")
     last = df.count() - 1
-    wanted = sorted({int(i * last / (n - 1) + 0.5) for i in range(n)}) if last >= 0 else []
+    n = min(max(1, n), last + 1)
+    wanted = sorted({int(i * last / (n - 1) + 0.5) if n > 1 else last for i in range(n)})
     return position.filter(F.col("pos").isin(wanted))
 
 
+def stride_checkpoints(df: DataFrame, event: str, ts: str, every: int, k: int) -> DataFrame:
+    """Every `every`-th event from the last one back, k at most."""
+    position = with_position(df, [ts, event], "pos")
+    every, last = max(1, every), df.count() - 1
+    back = F.lit(last) - F.col("pos")
+    return position.filter((back % every == 0) & (back < every * max(1, k)))
+
+
 def with_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Dense position from 0 over the whole table.
 
@@ -122,22 +107,35 @@ def with_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.join(starts, "_p").withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_s")).drop("_m", "_p", "_s")
 
 
-def rename_finals(renames: DataFrame, old: str = "old", new: str = "new", rounds: int = 20) -> DataFrame:
-    """(old, final) for rename edges whose chains may be long: names are followed by doubling, cycles stop."""
-    now = renames.select(F.col(old).alias("old"), F.col(new).alias("final")).filter("old <> final").distinct()
-    for _ in range(rounds):
+def rename_finals(renames: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """(old, final) for rename edges, however long their chains; names on a cycle, and those that lead to one, are left out.
+
+    Names are followed by doubling: after r rounds a name points 2^r renames ahead, so a chain is at
+    its end once that passes the number of renames, and what still moves then is on or before a cycle.
+    """
+    now = cut(renames.select(F.col(old).alias("old"), F.col(new).alias("final")).filter("old <> final").groupBy("old").agg(F.max("final").alias("final")).withColumn("moved", F.lit(True)))
+    reach, most = 1, now.count()
+    while reach <= 4 * most and not now.filter("moved").isEmpty():
         step = now.select(F.col("old").alias("final"), F.col("final").alias("next"))
-        joined = now.join(step, "final", "left").select("old", F.coalesce("next", "final").alias("final"), (F.col("next").isNotNull() & (F.col("next") != F.col("old"))).alias("moved"))
-        joined = cut(joined)
-        moved = joined.filter("moved").limit(1).count()
-        now = joined.filter("old <> final").select("old", "final")
-        if not moved:
-            break
-    return now
-
-
-def lineage_intervals(df: DataFrame, subject: str, ts: str, alive: str) -> DataFrame:
-    """[since, until) of each state of a subject whose `alive` flag changes; until is null for the last."""
-    w = Window.partitionBy(subject).orderBy(ts)
-    changes = df.withColumn("_b", F.lag(alive).over(w)).filter(F.col("_b").isNull() | (F.col("_b") != F.col(alive)))
-    return changes.select(subject, F.col(ts).alias("since"), F.lead(ts).over(w).alias("until"), alive)
+        joined = now.filter("moved").join(step, "final", "left")
+        moved = joined.select("old", F.coalesce("next", "final").alias("final"), F.col("next").isNotNull().alias("moved"))
+        now = cut(now.filter("not moved").unionByName(moved))
+        reach *= 2
+    return now.filter("not moved").select("old", "final")
+
+
+def lineage_intervals(df: DataFrame, subject: str, ts: str, alive: str, aliases: DataFrame | None = None) -> DataFrame:
+    """[since, until) of each state of a subject whose `alive` flag changes; until is null for the last.
+
+    With aliases (old, final) a renamed subject's rows belong to the lineage of its final name:
+    (lineage, subject, since, until, alive), a new interval also where the name changes.
+    """
+    if aliases is None:
+        w = Window.partitionBy(subject).orderBy(ts)
+        changes = df.withColumn("_b", F.lag(alive).over(w)).filter(F.col("_b").isNull() | (F.col("_b") != F.col(alive)))
+        return changes.select(subject, F.col(ts).alias("since"), F.lead(ts).over(w).alias("until"), alive)
+    named = df.join(aliases.select(F.col("old").alias(subject), "final"), subject, "left").withColumn("lineage", F.coalesce("final", subject))
+    w = Window.partitionBy("lineage").orderBy(ts)
+    before = F.lag(F.struct(subject, alive)).over(w)
+    changes = named.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.struct(subject, alive)))
+    return changes.select("lineage", subject, F.col(ts).alias("since"), F.lead(ts).over(w).alias("until"), alive)

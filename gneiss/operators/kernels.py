@@ -1,131 +1,17 @@
-"""Graph measures that need paths: one source or group for each unit of work, adjacency broadcast under a checked size.
-
-These serve condensed graphs (packages, not files). A graph with more edges than MAX_EDGES is refused
-rather than broadcast.
-"""
+"""Greedy modularity merges, one package's graph for each unit of work."""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import simple
-
-MAX_EDGES = 200_000
-
-
-def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    rows = simple(edges).orderBy("src", "dst").limit(MAX_EDGES + 1).collect()
-    if len(rows) > MAX_EDGES:
-        raise ValueError(f"graph has over {MAX_EDGES} edges; condense it first")
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in rows:
-        out[r.src].append(r.dst)
-    return dict(out)
-
-
-def _shortest(adjacency: dict, source) -> tuple[list, dict, dict]:
-    """(nodes by distance, number of shortest paths, predecessors on them)."""
-    order, paths, before, dist = [], defaultdict(int, {source: 1}), defaultdict(list), {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacency.get(v, ()):
-            if w not in dist:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    return order, paths, before
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, betweenness): share of ordered pairs' shortest paths through each node, normalised by (n-1)(n-2)."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(_adjacency(edges))
-    n = nodes.select("id").distinct().count()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = defaultdict(float)
-        for batch in batches:
-            for s in batch["id"]:
-                order, paths, before = _shortest(shared.value, s)
-                owed: dict = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                    if w != s:
-                        total[w] += owed[w]
-        yield pd.DataFrame({"id": list(total), "b": list(total.values())})
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    parts = nodes.select("id").distinct().mapInPandas(run, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
-    scale = (n - 1) * (n - 2)
-    return nodes.select("id").distinct().join(parts, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) / scale if scale > 0 else F.lit(0.0)).alias("betweenness"))
-
-
-def _components(adjacency: dict, nodes: set, without=None) -> int:
-    left, count = set(nodes) - {without}, 0
-    while left:
-        count += 1
-        queue = [left.pop()]
-        while queue:
-            for w in adjacency.get(queue.pop(), ()):
-                if w in left:
-                    left.discard(w)
-                    queue.append(w)
-    return count
-
-
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes whose removal leaves more weak components."""
-    spark = nodes.sparkSession
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    adjacency = _adjacency(both)
-    shared = spark.sparkContext.broadcast(adjacency)
-    linked = set(adjacency)
-    base = _components(adjacency, linked)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[x in linked and _components(shared.value, linked, x) > base for x in batch["id"]]]
 
-    return nodes.select("id").distinct().mapInPandas(run, nodes.select("id").schema)
-
-
-def corridors(nodes: DataFrame, edges: DataFrame, least: int = 2, most_paths: int = 20) -> DataFrame:
-    """(corridor, pairs): inner node runs of two or more on shortest paths of at least `least` node pairs.
-
-    At most most_paths shortest paths of one pair are listed, smallest first, as the measure defines.
-    """
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(_adjacency(edges))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for s in batch["id"]:
-                order, _, before = _shortest(shared.value, s)
-                for t in order[1:]:
-                    stack, found = [[t]], 0
-                    while stack and found < most_paths:
-                        path = stack.pop()
-                        if path[-1] == s:
-                            found += 1
-                            inner = path[::-1]
-                            out += [(f"{s}>{t}", "→".join(map(str, inner[i:j]))) for i in range(len(inner)) for j in range(i + 2, len(inner) + 1) if j - i < len(inner)]
-                        else:
-                            stack += [path + [v] for v in sorted(before[path[-1]], reverse=True)]
-            yield pd.DataFrame(out, columns=["pair", "corridor"])
-
-    spans = nodes.select("id").distinct().mapInPandas(run, "pair string, corridor string")
-    return spans.groupBy("corridor").agg(F.countDistinct("pair").alias("pairs")).filter(F.col("pairs") >= least)
+def affinity(edges: Column, flow: Column) -> Column:
+    """Weight of a tie between two responsibilities from their module edges and the symbols that flow."""
+    return F.log1p(edges) + F.log1p(flow)
 
 
 def modularity_groups(edges: DataFrame, by: str) -> DataFrame:
@@ -165,44 +51,3 @@ def modularity_groups(edges: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame(rows, columns=[by, "id", "group"])
 
     return edges.groupBy(by).applyInPandas(merge, f"{by} {outer}, id {kind}, group {kind}")
-
-
-def _reached(adjacency: dict, source, without: tuple | None = None) -> set:
-    seen, queue = {source}, [source]
-    while queue:
-        v = queue.pop()
-        for w in adjacency.get(v, ()):
-            if w not in seen and (v, w) != without:
-                seen.add(w)
-                queue.append(w)
-    return seen
-
-
-def edge_structure(edges: DataFrame) -> DataFrame:
-    """(src, dst, severed, bridge, src_side, dst_side) of every edge.
-
-    severed counts the ordered pairs that only this edge lets reach each other; bridge is true if
-    its ends fall apart without it in either direction, and the sides are then the sizes of both parts.
-    """
-    spark = edges.sparkSession
-    directed = _adjacency(edges)
-    shared = spark.sparkContext.broadcast((directed, _adjacency(edges.select("src", "dst").union(edges.select("dst", "src")))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forward, both = shared.value
-        backward: dict = defaultdict(list)
-        for v, out in forward.items():
-            for w in out:
-                backward[w].append(v)
-        for batch in batches:
-            rows = []
-            for s, d in zip(batch["src"], batch["dst"]):
-                severed = sum(len(_reached(forward, v)) - len(_reached(forward, v, (s, d))) for v in _reached(backward, s))
-                adjacent = {**both, s: [w for w in both[s] if w != d], d: [w for w in both[d] if w != s]}
-                left = _reached(adjacent, s)
-                bridge = d not in left
-                rows.append((s, d, severed, bridge, len(left) if bridge else 0, len(_reached(adjacent, d)) if bridge else 0))
-            yield pd.DataFrame(rows, columns=["src", "dst", "severed", "bridge", "src_side", "dst_side"])
-
-    one, two = (edges.schema[c].dataType.simpleString() for c in ("src", "dst"))
-    return simple(edges).mapInPandas(run, f"src {one}, dst {two}, severed long, bridge boolean, src_side long, dst_side long")

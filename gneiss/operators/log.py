@@ -42,25 +42,104 @@ def retry_schedule(df: DataFrame, failures: str, failed_at: str) -> DataFrame:
     return df.withColumn("delay_ms", delay).withColumn("retry_at", F.timestamp_millis(F.unix_millis(F.col(failed_at).cast("timestamp")) + delay))
 
 
-def retention(log: DataFrame, position: str, ts: str, cutoff: Column, slowest: int) -> DataFrame:
-    """Rows that may go: before the first young row and not beyond the slowest consumer."""
+def retention(log: DataFrame, position: str, ts: str, cutoff: Column, slowest: int, step: int | None = None) -> DataFrame:
+    """Rows that may go: before the first young row and not beyond the slowest consumer; the first `step` of them."""
     young = log.agg(F.min(F.when(F.col(ts) >= cutoff, F.col(position))).alias("_y"))  # one row
-    return log.join(F.broadcast(young)).filter((F.col(position) <= slowest) & (F.col("_y").isNull() | (F.col(position) < F.col("_y")))).drop("_y")
+    rows = log.join(F.broadcast(young)).filter((F.col(position) <= slowest) & (F.col("_y").isNull() | (F.col(position) < F.col("_y")))).drop("_y")
+    return rows if step is None else rows.orderBy(position).limit(step)
 
 
-def change_events(states: DataFrame, key: str, order: str, status: str, fields: list[str]) -> DataFrame:
-    """Events between following states of a key: queued (no status before), entered:<status>, updated:<fields>, removed."""
+def appended(rows: DataFrame, heads: DataFrame, scope: str, order: list[str]) -> DataFrame:
+    """New rows with dense positions after the head (scope, head) of each scope; a new scope starts at 1."""
+    w = Window.partitionBy(scope).orderBy(*order)
+    out = rows.join(heads.select(scope, "head"), scope, "left")
+    return out.withColumn("position", F.row_number().over(w) + F.coalesce("head", F.lit(0))).drop("head")
+
+
+def declared(consumers: DataFrame, wanted: DataFrame, log: DataFrame, position: str, now: Column) -> DataFrame:
+    """Consumers (name, position, seen_at) after declaring (name): known ones keep their position, new ones start at the head."""
+    head = log.agg(F.coalesce(F.max(position), F.lit(0)).alias("_h"))  # one row
+    out = consumers.join(wanted.select("name", F.lit(True).alias("_w")), "name", "full_outer").join(F.broadcast(head))
+    return out.select("name", F.coalesce("position", "_h").alias("position"), F.when(F.col("_w"), now).otherwise(F.col("seen_at")).alias("seen_at"))
+
+
+def moved(consumers: DataFrame, moves: DataFrame) -> DataFrame:
+    """Consumers (name, position, claim) after moves (name, from, to, claim): only from where they stand and under the claim they hold."""
+    m = moves.select("name", F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("claim").alias("_c"))
+    good = (F.col("position") == F.col("_f")) & (F.col("claim") == F.col("_c"))
+    out = consumers.join(m, "name", "left")
+    return out.select("name", F.when(good, F.col("_t")).otherwise(F.col("position")).alias("position"), "claim", F.coalesce(good, F.lit(False)).alias("moved"))
+
+
+def due(consumers: DataFrame, log: DataFrame, position: str, now: Column, timeout_ms: int = 300_000) -> DataFrame:
+    """State of each consumer (name, position, retry_at, called_at): stuck, busy, waiting, idle or due.
+
+    A call that has run for the timeout is stuck; one that runs is busy; a failed consumer waits for
+    its own time and holds back what comes after, while others go on; one at the head is idle.
+    """
+    head = log.agg(F.coalesce(F.max(position), F.lit(0)).alias("_h"))  # one row
+    ran = F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("called_at").cast("timestamp"))
+    state = F.when(ran >= timeout_ms, "stuck").when(F.col("called_at").isNotNull(), "busy").when(F.col("position") >= F.col("_h"), "idle").when(F.col("retry_at") > now, "waiting").otherwise("due")
+    return consumers.join(F.broadcast(head)).select("name", state.alias("state"), F.when(state == "due", F.col("position") + 1).alias("next"))
+
+
+def ticks(schedules: DataFrame, now: Column) -> DataFrame:
+    """Due schedules (key, next_due, every_ms, held_by): run with the time of their next tick, or skipped because they are held."""
+    run = F.col("held_by").isNull()
+    again = F.timestamp_millis(F.unix_millis(now.cast("timestamp")) + F.col("every_ms"))
+    rows = schedules.filter(F.col("next_due") <= now)
+    return rows.select("key", F.when(run, "run").otherwise(F.concat(F.lit("held by "), "held_by")).alias("outcome"), F.when(run, again).alias("next_due"))
+
+
+def frame_faults(frames: DataFrame) -> DataFrame:
+    """(run, cursor, fault) of frames (run, cursor, kind, evidence): kind terminal or other.
+
+    out-of-order where the cursor is not its place from 0; second-terminal after a terminal frame;
+    late-activity for other frames after it that are no evidence.
+    """
+    w = Window.partitionBy("run").orderBy("cursor")
+    before = F.max((F.col("kind") == "terminal").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1
+    rows = frames.withColumns({"_i": F.row_number().over(w) - 1, "_t": F.coalesce(before, F.lit(False))})
+    fault = F.when(F.col("cursor") != F.col("_i"), "out-of-order").when(F.col("_t") & (F.col("kind") == "terminal"), "second-terminal").when(F.col("_t") & ~F.col("evidence"), "late-activity")
+    return rows.select("run", "cursor", fault.alias("fault")).filter("fault is not null")
+
+
+#: Event that entering a status is.
+ENTERED = {"cancelled": "cancelled", "complete": "completed", "failed": "failed", "queued": "resumed", "running": "started", "suspended": "parked"}
+
+
+def change_events(states: DataFrame, key: str, order: str, status: str, fields: list[str], times: str | None = None) -> DataFrame:
+    """(key, order, event, changed) between following states of a key; a null status is a state in which it is gone.
+
+    A key that comes into being is queued, one that goes is removed. Between two states that are
+    there, a status move gives the event of the status entered, and changed fields give updated with
+    their names; one step may give both. A move hides a change of the field named `times`.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    before = F.lag(F.struct(status, *fields)).over(w)
-    rows = states.withColumn("_b", before)
-    changed = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"_b.{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields])), ",")
-    event = (
-        F.when(F.col(f"_b.{status}").isNull() & F.col(status).isNotNull(), "queued")
-        .when(F.col(status).isNull() & F.col(f"_b.{status}").isNotNull(), "removed")
-        .when(~F.col(f"_b.{status}").eqNullSafe(F.col(status)), F.concat(F.lit("entered:"), F.col(status)))
-        .when(F.col("_b").isNotNull() & (changed != ""), F.concat(F.lit("updated:"), changed))
+    rows = states.withColumn("_b", F.lag(F.struct(status, *fields)).over(w))
+    was, now = F.col(f"_b.{status}"), F.col(status)
+    moved = was != now
+
+    def differs(f: str) -> Column:
+        new = ~F.col(f"_b.{f}").eqNullSafe(F.col(f))
+        return new & ~moved if f == times else new
+
+    changed = F.array_join(F.array_compact(F.array(*[F.when(differs(f), F.lit(f)) for f in sorted(fields)])), ",")
+    entered = F.lit(None).cast("string")
+    for name, event in ENTERED.items():
+        entered = F.when(now == name, event).otherwise(entered)
+    there = was.isNotNull() & now.isNotNull()
+    def event(name: Column, fields_: Column) -> Column:
+        return F.struct(name.alias("event"), fields_.alias("changed"))
+
+    nothing = F.lit("")
+    events = F.array(
+        F.when(was.isNull() & now.isNotNull(), event(F.lit("queued"), nothing)),
+        F.when(was.isNotNull() & now.isNull(), event(F.lit("removed"), nothing)),
+        F.when(there & moved, event(F.coalesce(entered, F.concat(F.lit("entered "), now)), nothing)),
+        F.when(there & (changed != ""), event(F.lit("updated"), changed)),
     )
-    return rows.select(key, order, event.alias("event")).filter("event is not null")
+    return rows.select(key, order, F.explode(F.array_compact(events)).alias("e")).select(key, order, "e.event", "e.changed")
 
 
 def velocity(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
@@ -75,13 +154,20 @@ def trailing_count(df: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("recent", F.count("*").over(w))
 
 
-def budget_cut(df: DataFrame, by: str, order: str, role: str, tokens: Column, keep: int) -> DataFrame:
-    """First position kept of each conversation: the newest rows that reach `keep` tokens, moved on to the next user turn."""
+def budget_cut(df: DataFrame, by: str, order: str, role: str, tokens: Column, keep: int, pending: str | None = None) -> DataFrame:
+    """First position kept of each conversation: the newest rows that reach `keep` tokens, moved on to the next user turn.
+
+    Conversations without a user turn from there on, and those kept from their first row, are left
+    out. `pending` names a flag of rows that ask for an approval nobody has given: an earlier one of
+    these is kept too.
+    """
     w = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.select(by, F.col(order).alias("_o"), F.col(role).alias("_r"), F.sum(tokens).over(w).alias("_s"))
-    cut = run.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("_s") >= keep, F.col("_o"))), F.min("_o")).alias("_c"))
-    moved = run.join(cut, by).filter(F.col("_o") >= F.col("_c")).groupBy(by).agg(F.min(F.when(F.col("_r") == "user", F.col("_o"))).alias("_u"), F.first("_c").alias("_c"))
-    return moved.select(by, F.coalesce("_u", "_c").alias("first_kept"))
+    held = F.col(pending) if pending else F.lit(False)
+    run = df.select(by, F.col(order).alias("_o"), F.col(role).alias("_r"), held.alias("_p"), F.sum(tokens).over(w).alias("_s"))
+    cut = run.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("_s") >= keep, F.col("_o"))), F.min("_o")).alias("_c"), F.min("_o").alias("_f"), F.min(F.when(F.col("_p"), F.col("_o"))).alias("_a"))
+    moved_ = run.join(cut, by).filter((F.col("_o") >= F.col("_c")) & (F.col("_r") == "user")).groupBy(by).agg(F.min("_o").alias("_u"), F.first("_f").alias("_f"), F.first("_a").alias("_a"))
+    first = F.least("_u", "_a")
+    return moved_.select(by, first.alias("first_kept"), "_f").filter("first_kept > _f").drop("_f")
 
 
 def message_tallies(df: DataFrame, session: str, role: str, counted: str) -> DataFrame:

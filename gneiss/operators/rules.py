@@ -23,14 +23,6 @@ def first_of(rules: dict[str, Column], otherwise: str) -> Column:
     return out
 
 
-def hotspots(churn: DataFrame, complexity: DataFrame, subject: str, policy: Policy = DEFAULT) -> DataFrame:
-    """Subjects at or above the percentile in both churn and complexity, with their signals."""
-    both = churn.join(complexity, subject)
-    both = with_strict_rank(with_strict_rank(both, "commits", [], "churn_rank"), "complexity", [], "complexity_rank")
-    hot, hard = F.col("churn_rank") >= policy.hot_percentile, F.col("complexity_rank") >= policy.hot_percentile
-    return both.select(subject, "commits", "complexity", "churn_rank", "complexity_rank", signals({"frequent-change": hot, "complex": hard, "hotspot": hot & hard}).alias("signals")).filter(hot & hard)
-
-
 def pareto(df: DataFrame, id_col: str, smaller: list[str], larger: list[str]) -> DataFrame:
     """Rows that no other row matches everywhere and beats somewhere; smaller and larger name what is better.
 

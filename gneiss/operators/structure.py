@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ancestors
 from ..functions.stats import nearest_rank, ratio
 from ..policy import DEFAULT, Policy
-from . import graph, kernels
+from . import graph
 from .rules import signals
 
 
@@ -73,31 +73,45 @@ def fan_cutoffs(modules: DataFrame, package: str, value: str, policy: Policy = D
     return modules.select(package).distinct().join(cut, package, "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("inf"))))
 
 
-def seams(edges: DataFrame) -> DataFrame:
-    """Edges whose ends only they join, the ones that part the graph most evenly first."""
-    rows = kernels.edge_structure(edges).filter("bridge")
-    return rows.orderBy(F.desc(F.least("src_side", "dst_side")), F.desc("severed"), "src", "dst").select("src", "dst", "severed", "src_side", "dst_side")
+def seams(structure: DataFrame, weights: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Edges of paths.edge_structure() that sever enough pairs, or part a component into large enough sides.
 
+    weights is (src, dst, betweenness). Ordered by severed pairs, betweenness, then by their ends.
+    """
+    large = F.col("bridge") & (F.least("src_side", "dst_side") >= policy.seam_region)
+    rows = structure.filter((F.col("severed") >= policy.seam_pairs) | large).join(weights, ["src", "dst"])
+    return rows.orderBy(F.desc("severed"), F.desc("betweenness"), "src", "dst")
 
-def longest_chains(components: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """The k longest dependency chains through the condensed graph, each component by its name, ties by the chain."""
-    layer = graph.layers(components, edges).select(F.col("component").alias("c"), "layer").distinct()
-    dag = graph.condensation(edges, components).join(layer.select(F.col("c").alias("src"), F.col("layer").alias("ls")), "src").join(layer.select(F.col("c").alias("dst"), F.col("layer").alias("ld")), "dst")
-    steps = dag.filter("ls = ld + 1").select("src", "dst", "ls")
-    # From every top down along edges that lose one layer each; the smallest next component is taken.
-    nxt = steps.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("next"))
-    chain = layer.orderBy(F.desc("layer"), "c").limit(k).select(F.col("c").alias("at"), F.col("c").cast("string").alias("chain"), "layer")
-    top = chain.agg(F.max("layer")).first()[0] or 0
-    for _ in range(top):
-        chain = chain.join(nxt, "at", "left").select(F.coalesce("next", "at").alias("at"), F.when(F.col("next").isNull(), F.col("chain")).otherwise(F.concat_ws("→", "chain", F.col("next").cast("string"))).alias("chain"), "layer")
-    return chain.select("chain", (F.col("layer") + 1).alias("length"))
 
+def resolve_references(refs: DataFrame, artifacts: DataFrame, contents: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, status, content, path) of references (id, artifact, content or null, path or null).
 
-def resolve_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """State of each reference (id, target, version): ok, missing, archived or stale against (target, archived, version)."""
-    t = targets.select("target", F.col("archived").alias("_a"), F.col("version").alias("_v"), F.lit(True).alias("_t"))
-    state = F.when(F.col("_t").isNull(), "missing").when(F.col("_a"), "archived").when(F.col("version") < F.col("_v"), "stale").otherwise("ok")
-    return refs.join(t, "target", "left").select("id", "target", state.alias("state"))
+    artifacts is (artifact, current), contents (content, artifact, usable, root, entry), where root
+    is the path the content opens at and entry whether that has to be a file, entries (content, path, type).
+    The first that applies: artifact-missing, content-missing, content-mismatch, content-unusable,
+    path-invalid, entry-missing, else available. Without a content asked for, the artifact's current
+    one counts if it is usable.
+    """
+    a = artifacts.select("artifact", "current", F.lit(True).alias("_a"))
+    c = contents.select(F.col("content").alias("_id"), F.col("artifact").alias("_owner"), F.col("usable").alias("_u"), "root", F.col("entry").alias("_e"))
+    rows = refs.withColumnRenamed("content", "_asked").withColumnRenamed("path", "_path").join(a, "artifact", "left")
+    rows = rows.withColumn("_id", F.coalesce("_asked", "current")).join(c, "_id", "left")
+    asked, there = F.col("_asked").isNotNull(), F.col("_owner").isNotNull()
+    content = F.when(asked | F.col("_u"), F.when(there, F.col("_id")))
+    rows = rows.withColumn("_content", content).withColumn("path", F.coalesce("_path", F.when(F.col("_content").isNotNull(), F.col("root"))))
+    rows = rows.join(entries.select(F.col("content").alias("_content"), "path", "type"), ["_content", "path"], "left")
+    invalid = F.col("path").isNotNull() & ((F.col("path") == "") | F.col("path").rlike(r"^/|\\|(^|/)\.{1,2}(/|$)|//|/$|\x00"))
+    status = (
+        F.when(F.col("_a").isNull(), "artifact-missing")
+        .when(asked & ~there, "content-missing")
+        .when(asked & (F.col("_owner") != F.col("artifact")), "content-mismatch")
+        .when(asked & ~F.col("_u"), "content-unusable")
+        .when(invalid, "path-invalid")
+        .when(F.col("_path").isNull() & F.col("_content").isNotNull() & F.coalesce("_e", F.lit(False)) & ~F.coalesce(F.col("type") == "file", F.lit(False)), "entry-missing")
+        .otherwise("available")
+    )
+    good = status == "available"
+    return rows.select("id", status.alias("status"), F.when(good, F.col("_content")).alias("content"), F.when(good, F.col("path")).alias("path"))
 
 
 def broken_references(refs: DataFrame, ref: str, targets: DataFrame, key: str) -> DataFrame:
@@ -138,31 +152,6 @@ def next_due(schedules: DataFrame, key: str, state: str, due: str) -> DataFrame:
     return schedules.filter(F.col(state) == "waiting").groupBy(key).agg(F.min(F.struct(due, *rest)).alias("r")).select(key, "r.*")
 
 
-def shape_signals(consumers: Column, primary_share: Column, surface_share: Column, direct: Column) -> Column:
-    """Shapes of how a package is used, from its consumers and their shares."""
-    return signals({
-        "unused": consumers == 0,
-        "single-consumer": consumers == 1,
-        "concentrated": (consumers > 1) & (primary_share >= 0.6),
-        "shared": (consumers > 1) & (primary_share < 0.6),
-        "narrow": (consumers > 0) & (surface_share < 0.25),
-        "broad": (consumers > 0) & (surface_share >= 0.75),
-        "transitive-only": (consumers > 0) & (direct == 0),
-    })
-
-
-def pressures(packages: DataFrame) -> DataFrame:
-    """(id, pressure) for each structural pressure a package (id, fan_in, fan_out, cycle_size, layer) is under."""
-    rules = {
-        "cycle": F.col("cycle_size") > 1,
-        "hub": (F.col("fan_in") >= 3) & (F.col("fan_out") >= 3),
-        "foundation": (F.col("fan_in") >= 3) & (F.col("fan_out") == 0),
-        "leaf": (F.col("fan_in") == 0) & (F.col("fan_out") > 0),
-    }
-    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return packages.select("id", F.explode(names).alias("pressure"))
-
-
 def reinforced(static: DataFrame, churn: DataFrame, eligible: int, percentile: float = 0.75, least: int = 10) -> DataFrame:
     """Static signals (id, pressure) against history (id, rank): reinforced, static-only, or insufficient-history."""
     out = static.join(churn.select("id", "rank"), "id", "left")
@@ -170,14 +159,6 @@ def reinforced(static: DataFrame, churn: DataFrame, eligible: int, percentile: f
     return out.select("id", "pressure", state.alias("state"))
 
 
-def pattern_strength(count: Column, sources: Column, coverage: Column) -> Column:
-    return F.when((count >= 5) & (sources >= 2) & (coverage >= 0.5), "strong").when((count >= 3) & (coverage >= 0.25), "moderate").otherwise("limited")
-
-
-def propagation(up: Column, down: Column) -> Column:
-    return F.when(up & down, "bidirectional").when(up, "upstream").when(down, "downstream").otherwise("local")
-
-
 def overlap_assessment(dimensions: dict[str, Column], structural: list[str]) -> Column:
     """Dimensions that agree, if there are two or more and a structural one is among them; else empty."""
     agreed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in dimensions.items()]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, logs, records, shapes, views
+from . import cuts, facts, graphs, logs, records, repository, shapes, views
 
-_MODULES = (facts, records, views, graphs, shapes, logs)
+_MODULES = (facts, records, views, graphs, shapes, logs, repository, cuts)
 
 
 def queries() -> dict:

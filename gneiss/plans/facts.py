@@ -62,7 +62,7 @@ def cochange_pairs(spark, d):
 
 PAIRS = """
 b as (select l_orderkey, l_suppkey, max(o_orderdate) as t from lineitem join orders on l_orderkey = o_orderkey group by all),
-k as (select * from b where l_orderkey in (select l_orderkey from b group by all having count(*) <= 200)),
+k as (select * from b where l_orderkey in (select l_orderkey from b group by all having count(*) <= 40)),
 n as (select l_suppkey, count(*) as n from k group by all),
 s as (select x.l_suppkey as "left", y.l_suppkey as "right", count(*) as support, max(x.t) as last_at from k x join k y on x.l_orderkey = y.l_orderkey and x.l_suppkey < y.l_suppkey group by all),
 p as (select s."left", s."right", support, a.n as left_n, b2.n as right_n, support / a.n as left_conditional, support / b2.n as right_conditional,
@@ -79,20 +79,10 @@ def _owned(spark, d):
     return lines(spark, d).join(owner, "l_suppkey")
 
 
-def radius_per_event(spark, d):
-    r = history.radius(_owned(spark, d), "l_orderkey", "l_partkey", "s_nationkey", "l_quantity")
-    return r.drop("target_share")
 
 
-def radius_summary(spark, d):
-    one = _owned(spark, d).groupBy("l_orderkey", "l_suppkey").agg(F.first("s_nationkey").alias("o"), F.sum("l_quantity").alias("l_quantity"))
-    s = history.radius_summary(history.radius(one, "l_orderkey", "l_suppkey", "o", "l_quantity"))
-    return s.withColumn("cross_rate", F.round("cross_rate", 9))
 
 
-def combinations_topk(spark, d):
-    named_ = _owned(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
-    return history.combinations_topk(named_, "l_orderkey", "n_name", 20)
 
 
 def monthly_checkpoints(spark, d):
@@ -108,11 +98,6 @@ def lineage_intervals(spark, d):
     return history.lineage_intervals(rows, "o_custkey", "o_orderkey", "alive").withColumn("until", F.coalesce("until", F.lit(-1)))
 
 
-def hotspots(spark, d):
-    churn = history.churn(lines(spark, d), HISTORY)
-    complexity = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("complexity"))
-    h = rules.hotspots(churn, complexity, "l_partkey")
-    return h.withColumns({c: F.round(c, 9) for c in ("churn_rank", "complexity_rank")})
 
 
 def _refs(spark, d):
@@ -211,13 +196,9 @@ QUERIES = {
     "distribution_pack": (distribution_pack, "select l_returnflag, round(sum(l_extendedprice), 2) as total, round(avg(l_extendedprice), 4) as average, max(l_extendedprice) as max, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.9) as p90, quantile_disc(l_extendedprice, 0.95) as p95, min(l_extendedprice) as min, quantile_disc(l_extendedprice, 0.5) as median from lineitem group by 1"),
     "cochange_pairs": (cochange_pairs, f"with {PAIRS} select \"left\", \"right\", support, left_n, right_n, round(left_conditional, 9) as left_conditional, round(right_conditional, 9) as right_conditional, round(jaccard, 9) as jaccard, last_at from p where support >= 2 and (greatest(left_conditional, right_conditional) >= 0.02 or jaccard >= 0.01)"),
     "cochange_partner": (cochange_partner, f"with {PAIRS}, u as (select \"left\" as node, \"right\" as partner, jaccard, left_conditional as c from p union all select \"right\", \"left\", jaccard, right_conditional from p), r as (select *, row_number() over (partition by node order by jaccard desc, c desc, partner) as r, count(*) over (partition by node) as partners from u) select node, partners, partner as strongest, round(jaccard, 9) as jaccard from r where r = 1"),
-    "radius_per_event": (radius_per_event, f"with s as (select l_orderkey, l_partkey, min(s_nationkey) as o, sum(l_quantity) as q from {LINES} join supplier on s_suppkey = l_suppkey group by 1, 2) select l_orderkey, count(*) as files, count(distinct o) as packages, sum(q) as lines, case when count(distinct o) > 1 then 'cross' else 'single' end as composition from s group by 1"),
-    "radius_summary": (radius_summary, f"with s as (select l_orderkey, l_suppkey, min(s_nationkey) as o from {LINES} join supplier on s_suppkey = l_suppkey group by 1, 2), r as (select l_orderkey, count(*) as f, count(distinct o) as p from s group by 1) select count(*) as events, round(avg((p > 1)::int), 9) as cross_rate, max(f) as files_max, quantile_disc(f, 0.5) as files_p50, quantile_disc(f, 0.9) as files_p90, quantile_disc(f, 0.95) as files_p95 from r"),
-    "combinations_topk": (combinations_topk, f"with s as (select l_orderkey, list_sort(list(distinct n_name)) as o from {LINES} join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1) select array_to_string(o, '|') as owners, count(*) as commits from s where len(o) > 1 group by 1 order by 2 desc, 1 limit 20"),
     "monthly_checkpoints": (monthly_checkpoints, "select strftime(o_orderdate, '%Y-%m') as month, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey from orders group by 1"),
     "spaced_checkpoints": (spaced_checkpoints, "with p as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, count(*) over () - 1 as l from orders), w as (select distinct floor(i * l / 6 + 0.5) as x from p, range(7) t(i)) select pos, o_orderkey from p where pos in (select x from w)"),
     "lineage_intervals": (lineage_intervals, "with b as (select o_custkey, o_orderkey, o_orderstatus <> 'F' as alive, lag(o_orderstatus <> 'F') over (partition by o_custkey order by o_orderkey) as b from orders) select o_custkey, o_orderkey as since, coalesce(lead(o_orderkey) over (partition by o_custkey order by o_orderkey), -1) as until, alive from b where b is null or b <> alive"),
-    "hotspots": (hotspots, f"with c as (select l_partkey, count(distinct l_orderkey) as commits from lineitem group by 1), b as (select l_partkey, commits, p_size as complexity, (rank() over (order by commits) - 1) / count(*) over () as cr, (rank() over (order by p_size) - 1) / count(*) over () as xr from c join part on p_partkey = l_partkey) select l_partkey, commits, complexity, round(cr, 9) as churn_rank, round(xr, 9) as complexity_rank, 'frequent-change,complex,hotspot' as signals from b where cr >= 0.75 and xr >= 0.75"),
     "consumer_rollup": (consumer_rollup, f"with r as (select * from {REFS}), a as (select l_suppkey, count(*) as n, count(distinct l_partkey) as s from r group by 1) select r.l_suppkey, c_nationkey, count(*) as \"references\", count(distinct l_partkey) as symbols, bit_or(case when l_returnflag = 'R' then 2 else 1 end) as namespace, round(count(*) / any_value(a.n), 9) as reference_share, round(count(distinct l_partkey) / any_value(a.s), 9) as surface_share from r join a on a.l_suppkey = r.l_suppkey group by 1, 2"),
     "primary_consumer": (primary_consumer, f"with c as (select l_suppkey, c_nationkey, count(*) as r, count(distinct l_partkey) as s from {REFS} group by 1, 2), k as (select *, row_number() over (partition by l_suppkey order by r desc, s desc, c_nationkey) as i from c) select l_suppkey, c_nationkey as primary_consumer, r as \"references\" from k where i = 1"),
     "concentration": (concentration, "select l_suppkey, count(*) as edges, round(count(*) / sum(count(*)) over (), 9) as share from lineitem group by 1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backlog, graph, kernels
+from ..operators import backlog, graph
 from .tables import lines, table
 
 
@@ -97,11 +97,12 @@ a as (select o.id, o.parent, case when status = 'F' then 'settled' when status =
 
 
 def availability(spark, d):
-    return backlog.availability(*_tasks(spark, d), ["F"], ["P"])
+    out = backlog.availability(*_tasks(spark, d), ["F"], ["P"], parent_gate=True, open_status="O")
+    return out.select("id", "availability", F.array_join(F.col("blocked_by").cast("array<string>"), ",").alias("blocked_by"), F.array_join(F.col("waiting_on").cast("array<string>"), ",").alias("waiting_on"))
 
 
 def ready(spark, d):
-    return backlog.ready(*_tasks(spark, d), ["F"], ["P"])
+    return backlog.ready(*_tasks(spark, d), ["F"], "O")
 
 
 def expand(spark, d):
@@ -109,26 +110,14 @@ def expand(spark, d):
     return backlog.expand(tasks, tasks.filter("parent_id is null and id % 10 = 0"), 2)
 
 
-def betweenness(spark, d):
-    return kernels.betweenness(*_trade(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-def articulation(spark, d):
-    return kernels.articulation_points(*_trade(spark, d))
 
 
-def corridors(spark, d):
-    return kernels.corridors(*_trade(spark, d))
 
 
-def modularity(spark, d):
-    nodes, edges = _trade(spark, d)
-    region = table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") % 2).alias("region"))
-    return kernels.modularity_groups(edges.join(region, "src").select("region", "src", "dst", F.lit(1.0).alias("weight")), "region")
 
 
-def edge_structure(spark, d):
-    return kernels.edge_structure(_trade(spark, d)[1])
 
 
 QUERIES = {
@@ -142,12 +131,7 @@ QUERIES = {
     "weak_components_trade": (weak_components_trade, f"with recursive {EDGES}, u as (select src, dst from e union select dst, src from e), w as (select n_nationkey as id, n_nationkey as c from nation union select w.id, u.dst from w join u on u.src = w.c) select id, min(c) as component from w group by 1"),
     "owner_edges": (owner_edges, f"with {EDGES} select a.n_regionkey as \"from\", b.n_regionkey as \"to\", count(*) as edges from e join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst where a.n_regionkey <> b.n_regionkey group by 1, 2"),
     "would_cycle": (would_cycle, f"with recursive {REACH}, p as (select n_nationkey as src, (n_nationkey * 7) % 25 as dst from nation) select p.src, p.dst from p where src = dst or exists (select 1 from r where r.src = p.dst and r.dst = p.src)"),
-    "availability": (availability, f"with {TASKS} select id, availability, blocked_by from a"),
-    "ready": (ready, f"with recursive {TASKS}, h as (select id from a where availability = 'blocked' union select a.id from a join h on a.parent = h.id) select id from a where availability = 'ready' and id not in (select id from h)"),
+    "availability": (availability, f"with recursive {TASKS}, n as (select id, parent as up from o where parent is not null union select n.id, o.parent from n join o on o.id = n.up where o.parent is not null), w as (select n.id, string_agg(distinct up, ',' order by up) as w from n join o on o.id = n.up and o.status = 'O' and n.id <> n.up group by 1), s as (select a.id, a.availability as av, case when a.blocked_by > 0 then (select before from o where o.id = a.id)::varchar end as b, w from a left join w on w.id = a.id), t as (select id, case when av in ('settled', 'active') then av when b is not null or w is not null then 'blocked' else 'ready' end as availability, b, w from s) select id, availability, case when availability = 'blocked' then coalesce(b, '') else '' end as blocked_by, case when availability = 'blocked' then coalesce(w, '') else '' end as waiting_on from t"),
+    "ready": (ready, f"with recursive {TASKS}, h as (select o.id, p.id as up from o join o p on p.id = o.parent union select h.id, p.id from h join o on o.id = h.up join o p on p.id = o.parent), q as (select h.id from h join o on o.id = h.up where o.status = 'O' and h.id <> h.up) select a.id from a join o on o.id = a.id where o.status = 'O' and blocked_by = 0 and a.id not in (select id from q)"),
     "expand": (expand, f"with {TASKS}, r as (select id as root, id, 0 as level from o where parent is null and id % 10 = 0), s as (select root, o.id, 1 as level from o join r on o.parent = r.id) select * from r union all select * from s union all select root, o.id, 2 from o join s on o.parent = s.id"),
-    "betweenness": (betweenness, None),
-    "articulation": (articulation, None),
-    "corridors": (corridors, None),
-    "edge_structure": (edge_structure, None),
-    "modularity": (modularity, None),
 }

@@ -46,9 +46,14 @@ def retention(spark, d):
     return log.retention(e, "event_id", "ts", F.lit(cutoff) - F.expr("interval 7 days"), 400).select("event_id")
 
 
+def _states(spark, d):
+    """Events as states of a user's run: a null status is one that is gone."""
+    names = F.expr("element_at(array('queued', 'running', 'suspended', 'complete', 'failed', 'cancelled'), cast(event_id * 7 % 6 + 1 as int))")
+    return _events(spark, d).select("user_id", "event_id", F.when(F.col("event_id") % 11 != 0, names).alias("status"), (F.col("event_id") % 3).alias("output"), F.floor("value").cast("long").alias("timestamps"))
+
+
 def change_events(spark, d):
-    rows = _events(spark, d).select("user_id", "event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("status"), (F.col("event_id") % 3).alias("a"))
-    return log.change_events(rows, "user_id", "event_id", "status", ["a"])
+    return log.change_events(_states(spark, d), "user_id", "event_id", "status", ["output", "timestamps"], "timestamps")
 
 
 def velocity(spark, d):
@@ -61,7 +66,7 @@ def rate_limit(spark, d):
 
 
 def budget_cut(spark, d):
-    return log.budget_cut(table(spark, d, "conversations"), "conv_id", "turn", "role", scalar.token_estimate(F.col("text")), 120)
+    return log.budget_cut(table(spark, d, "conversations").withColumn("asks", F.expr("(conv_id + turn) % 9 = 0")), "conv_id", "turn", "role", scalar.token_estimate(F.col("text")), 120, "asks")
 
 
 def message_tallies(spark, d):
@@ -84,10 +89,14 @@ QUERIES = {
     "gap_check": (gap_check, "with x as (select conv_id, turn, coalesce(lag(turn) over (partition by conv_id order by turn) + 1, 0) as expected from conversations where turn <> 2) select conv_id, expected, turn as found from x where expected <> turn"),
     "retry_schedule": (retry_schedule, "select event_id, least(2 ** (event_id % 12) * 1000, 300000)::bigint as delay_ms, least(2 ** (event_id % 12) * 1000, 300000)::bigint as wait_ms from events"),
     "retention": (retention, "with c as (select max(ts) - interval 7 days as c from events), y as (select min(event_id) as y from events, c where ts >= c) select event_id from events, y where event_id <= 400 and (y is null or event_id < y)"),
-    "change_events": (change_events, "with s as (select user_id, event_id, case when event_id % 11 <> 0 then event_type end as status, event_id % 3 as a from events), x as (select *, lag(status) over w as b, lag(a) over w as pa, row_number() over w as r from s window w as (partition by user_id order by event_id)), v as (select user_id, event_id, case when status is not null and b is null then 'queued' when r = 1 then null when status is null and b is not null then 'removed' when status <> b then 'entered:' || status when pa <> a then 'updated:a' end as event from x) select * from v where event is not null"),
+    "change_events": (change_events, """with s as (select user_id, event_id, case when event_id % 11 <> 0 then ['queued', 'running', 'suspended', 'complete', 'failed', 'cancelled'][(event_id * 7 % 6 + 1)::int] end as st, event_id % 3 as o, floor(value)::bigint as t from events),
+x as (select *, lag(st) over w as b, lag(o) over w as po, lag(t) over w as pt from s window w as (partition by user_id order by event_id)),
+c as (select *, array_to_string(list_filter([case when o <> po then 'output' end, case when t <> pt and st = b then 'timestamps' end], lambda y: y is not null), ',') as ch from x)
+select user_id, event_id, 'queued' as event, '' as changed from c where b is null and st is not null union all select user_id, event_id, 'removed', '' from c where b is not null and st is null
+union all select user_id, event_id, case st when 'queued' then 'resumed' when 'running' then 'started' when 'suspended' then 'parked' when 'complete' then 'completed' else st end, '' from c where st <> b union all select user_id, event_id, 'updated', ch from c where st is not null and b is not null and ch <> ''"""),
     "velocity": (velocity, "select event_id, round(coalesce(value - lag(value) over (partition by user_id order by ts, event_id), 0), 6) as delta from events"),
     "rate_limit": (rate_limit, "select event_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as recent from events"),
-    "budget_cut": (budget_cut, "with t as (select conv_id, turn, role, sum(ceil(length(text) / 4) + 4) over (partition by conv_id order by turn desc rows unbounded preceding) as s from conversations), c as (select conv_id, coalesce(max(turn) filter (s >= 120), min(turn)) as c from t group by 1) select c.conv_id, coalesce(min(turn) filter (role = 'user'), any_value(c)) as first_kept from c join t on t.conv_id = c.conv_id and turn >= c group by 1"),
+    "budget_cut": (budget_cut, "with t as (select conv_id, turn, role, sum(ceil(length(text) / 4) + 4) over (partition by conv_id order by turn desc rows unbounded preceding) as s from conversations), c as (select conv_id, coalesce(max(turn) filter (s >= 120), min(turn)) as c, min(turn) as f, min(turn) filter ((conv_id + turn) % 9 = 0) as a from t group by 1), u as (select c.conv_id, least(min(turn), any_value(a)) as first_kept, any_value(f) as f from c join t on t.conv_id = c.conv_id and turn >= c and role = 'user' group by 1) select conv_id, first_kept from u where first_kept > f"),
     "message_tallies": (message_tallies, "select conv_id, count(*) as messages, count(*) filter (role = 'user') as counted from conversations group by 1"),
     "claimed_once": (claimed_once, "select user_id, min(event_id) as event_id, arg_min(event_type, event_id) as event_type from events group by 1"),
     "windowed_counts": (windowed_counts, "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2"),

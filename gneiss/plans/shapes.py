@@ -50,29 +50,34 @@ def fan_cutoffs(spark, d):
     return structure.fan_cutoffs(rows, "p_brand", "fan")
 
 
-def chains(spark, d):
-    nodes, edges = _trade(spark, d)
-    return structure.longest_chains(graph.strong_components(nodes, graph.closure(edges)), edges, 5)
 
 
 def connected_subgraph(spark, d):
     nodes, edges = _trade(spark, d)
-    return structure.subgraph(nodes.filter("id % 3 <> 0"), graph.simple(edges).withColumn("weight", (F.col("src") + F.col("dst")) % 7), 2, True)[1]
+    return structure.subgraph(nodes.join(table(spark, d, "nation").filter("n_regionkey <> 3").select(F.col("n_nationkey").alias("id")), "id"), graph.simple(edges).withColumn("weight", (F.col("src") + F.col("dst")) % 7), 2, True)[1]
 
 
 def resolved_references(spark, d):
-    refs = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 2).alias("target"), F.col("l_linenumber").alias("version"))
-    targets = table(spark, d, "part").select(F.col("p_partkey").alias("target"), (F.col("p_size") > 45).alias("archived"), (F.col("p_size") % 4).alias("version"))
-    return structure.resolve_references(refs, targets)
+    rows = table(spark, d, "lineitem")
+    refs = rows.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") + F.when(F.col("l_tax") >= 0.07, 10**9).otherwise(0)).alias("artifact"),
+        F.expr("case l_linenumber when 1 then l_partkey when 2 then l_partkey + 1 when 3 then -1 end").alias("content"), F.expr("case l_suppkey % 4 when 0 then 'a/../b' when 1 then 'a/b' end").alias("path"),
+    )
+    p = table(spark, d, "part")
+    artifacts = p.select(F.col("p_partkey").alias("artifact"), F.when(F.col("p_size") % 3 > 0, F.col("p_partkey")).alias("current"))
+    contents = p.select(F.col("p_partkey").alias("content"), F.col("p_partkey").alias("artifact"), (F.col("p_size") > 10).alias("usable"), F.lit("main").alias("root"), (F.col("p_size") % 2 == 0).alias("entry"))
+    entries = p.filter("p_size % 4 > 0").select(F.col("p_partkey").alias("content"), F.lit("main").alias("path"), F.when(F.col("p_size") % 8 < 4, "file").otherwise("directory").alias("type"))
+    out = structure.resolve_references(refs, artifacts, contents, entries)
+    return out.select("id", "status", F.coalesce("content", F.lit(-9)).alias("content"), F.coalesce("path", F.lit("-")).alias("path"))
 
 
 def broken_references(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 3 <> 0")
+    docs = table(spark, d, "documents").filter("n_chars > 1000")
     return structure.broken_references(table(spark, d, "labels").select("doc_id"), "doc_id", docs, "doc_id")
 
 
 def retention_gaps(spark, d):
-    gone = table(spark, d, "events").filter("event_id < 300")
+    gone = table(spark, d, "events").filter("value < 50")
     return structure.retention_gaps(gone, "event_type", "event_id")
 
 
@@ -89,21 +94,13 @@ def context_size(spark, d):
 
 
 def merged_timeline(spark, d):
-    e = table(spark, d, "events").filter("event_id < 50").select(F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("bad").alias("at"), F.col("event_id").cast("string").alias("line"))
-    o = table(spark, d, "orders").filter("o_orderkey < 50").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("o_orderkey").cast("string").alias("line"))
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("bad").alias("at"), F.col("event_id").cast("string").alias("line"))
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("o_orderkey").cast("string").alias("line"))
     return structure.merged_timeline(("events", e), ("orders", o)).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
-def usage_shapes(spark, d):
-    r = _refs(spark, d).groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("n"))
-    s = r.groupBy("l_suppkey").agg(F.count("*").alias("consumers"), (F.max("n") / F.sum("n")).alias("share"))
-    return s.select("l_suppkey", structure.shape_signals(F.col("consumers"), F.col("share"), F.col("share"), F.col("consumers") - 25).alias("signals"))
 
 
-def structural_pressure(spark, d):
-    nodes, edges = _trade(spark, d)
-    p = graph.degrees(nodes, edges).join(graph.strong_components(nodes, graph.closure(edges)).select("id", F.col("size").alias("cycle_size")), "id").withColumn("layer", F.lit(0))
-    return structure.pressures(p)
 
 
 def import_usage(spark, d):
@@ -111,9 +108,6 @@ def import_usage(spark, d):
     return structure.import_usage(rows)
 
 
-def pattern_strength(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("s"), (F.countDistinct("event_type") / 5).alias("c"))
-    return g.select("user_id", structure.pattern_strength(F.col("n"), F.col("s"), F.col("c")).alias("strength"))
 
 
 def next_due(spark, d):
@@ -137,18 +131,19 @@ QUERIES = {
     "foundation_groups": (foundation_groups, f"with recursive {HOPS}, g as (select k.dst, list_sort(list(src)) as c from k join s on s.dst = k.dst group by 1) select min(dst) as foundation, len(c) as consumers, count(*) as dependencies from g group by c"),
     "foundation_weights": (foundation_weights, f"with recursive {HOPS} select k.dst, k.src, round(0.5::double ** (hops - 1) * (1 + least(0.25::double, 1 - exp(-(case when e.src is null then 0 else (k.src + k.dst) % 5 end) / 4.0::double))), 9) as weight from k join s on s.dst = k.dst left join e on e.src = k.src and e.dst = k.dst"),
     "fan_cutoffs": (fan_cutoffs, "select p_brand, greatest(3, quantile_disc(p_size, 0.9) filter (p_size > 10))::double as cutoff from part group by 1"),
-    "chains": (chains, None),
-    "connected_subgraph": (connected_subgraph, f"with {EDGES} select src, dst, (src + dst) % 7 as weight from e where (src + dst) % 7 >= 2 and src % 3 <> 0 and dst % 3 <> 0"),
-    "resolved_references": (resolved_references, "select l_orderkey * 10 + l_linenumber as id, l_partkey * 2 as target, case when p_partkey is null then 'missing' when p_size > 45 then 'archived' when l_linenumber < p_size % 4 then 'stale' else 'ok' end as state from lineitem left join part on p_partkey = l_partkey * 2"),
-    "broken_references": (broken_references, "select doc_id from labels where doc_id not in (select doc_id from documents where doc_id % 3 <> 0)"),
-    "retention_gaps": (retention_gaps, "select event_type, count(*) as removed, max(event_id) as through from events where event_id < 300 group by 1"),
+    "connected_subgraph": (connected_subgraph, f"with {EDGES} select src, dst, (src + dst) % 7 as weight from e where (src + dst) % 7 >= 2 and src in (select n_nationkey from nation where n_regionkey <> 3) and dst in (select n_nationkey from nation where n_regionkey <> 3)"),
+    "resolved_references": (resolved_references, """with r as (select l_orderkey * 10 + l_linenumber as id, l_partkey as a, l_tax >= 0.07 as gone, case l_linenumber when 1 then l_partkey when 2 then l_partkey + 1 when 3 then -1 end as c, case l_suppkey % 4 when 0 then 'a/../b' when 1 then 'a/b' end as pa from lineitem),
+x as (select r.*, p.p_size % 3 > 0 and p.p_size > 10 as cur, q.p_partkey as qk, q.p_size as qs, p.p_size as ps from r join part p on p.p_partkey = a left join part q on q.p_partkey = c),
+y as (select *, case when c is not null then qs when cur then ps end as s, case when c is not null then qk when cur then a end as content from x),
+z as (select *, coalesce(pa, case when content is not null then 'main' end) as path, case when gone then 'artifact-missing' when c is not null and qk is null then 'content-missing' when c is not null and qk <> a then 'content-mismatch' when c is not null and qs <= 10 then 'content-unusable' when pa = 'a/../b' then 'path-invalid'
+  when pa is null and content is not null and s % 2 = 0 and not (s % 4 > 0 and s % 8 < 4) then 'entry-missing' else 'available' end as status from y)
+select id, status, case when status = 'available' then coalesce(content, -9) else -9 end as content, case when status = 'available' then coalesce(path, '-') else '-' end as path from z"""),
+    "broken_references": (broken_references, "select doc_id from labels where doc_id not in (select doc_id from documents where n_chars > 1000)"),
+    "retention_gaps": (retention_gaps, "select event_type, count(*) as removed, max(event_id) as through from events where value < 50 group by 1"),
     "compaction_floor": (compaction_floor, "select least(700, coalesce(min(event_id) filter (ts >= (select max(ts) from events) - interval 3 days) - 1, max(event_id))) as floor from events"),
     "context_size": (context_size, "select conv_id, case when conv_id % 2 = 0 and count(*) filter (turn % 2 = 1) > 0 then arg_max(length(text), turn) filter (turn % 2 = 1) else sum(ceil(length(text) / 4)::bigint + 4) end::bigint as tokens from conversations group by 1"),
-    "merged_timeline": (merged_timeline, "select case when event_id % 7 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') else '1970-01-01 00:00:00' end as at, 'events' as source, event_id::varchar as line from events where event_id < 50 union all select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'orders', o_orderkey::varchar from orders where o_orderkey < 50"),
-    "usage_shapes": (usage_shapes, f"with r as (select l_suppkey, c_nationkey, count(*) as n from {REFS} group by 1, 2), s as (select l_suppkey, count(*) as c, max(n) / sum(n) as p from r group by 1) select l_suppkey, array_to_string(list_filter([case when c = 1 then 'single-consumer' end, case when c > 1 and p >= 0.6 then 'concentrated' end, case when c > 1 and p < 0.6 then 'shared' end, case when p < 0.25 then 'narrow' end, case when p >= 0.75 then 'broad' end, case when c = 25 then 'transitive-only' end], lambda x: x is not null), ',') as signals from s"),
-    "structural_pressure": (structural_pressure, f"with recursive {REACH}, i as (select dst as id, count(*) as n from e group by 1), o as (select src as id, count(*) as n from e group by 1), m as (select distinct a.src as id from r a join r b on a.src = b.dst and a.dst = b.src), p as (select n_nationkey as id, coalesce(i.n, 0) as fi, coalesce(o.n, 0) as fo, m.id is not null as cyc from nation left join i on i.id = n_nationkey left join o on o.id = n_nationkey left join m on m.id = n_nationkey) select id, 'cycle' as pressure from p where cyc union all select id, 'hub' from p where fi >= 3 and fo >= 3 union all select id, 'foundation' from p where fi >= 3 and fo = 0 union all select id, 'leaf' from p where fi = 0 and fo > 0"),
+    "merged_timeline": (merged_timeline, "select case when event_id % 7 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') else '1970-01-01 00:00:00' end as at, 'events' as source, event_id::varchar as line from events union all select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'orders', o_orderkey::varchar from orders"),
     "import_usage": (import_usage, f"with r as (select c_nationkey as package, s_nationkey as dependency, l_partkey, bool_and(l_returnflag = 'R') as t from {REFS} group by 1, 2, 3) select package, dependency, count(*) filter (not t) as runtime, count(*) filter (t) as type_only from r group by 1, 2"),
-    "pattern_strength": (pattern_strength, "with g as (select user_id, count(*) as n, count(distinct event_type) as s, count(distinct event_type) / 5 as c from events group by 1) select user_id, case when n >= 5 and s >= 2 and c >= 0.5 then 'strong' when n >= 3 and c >= 0.25 then 'moderate' else 'limited' end as strength from g"),
     "next_due": (next_due, "select o_custkey, min(o_orderdate) as due, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey from orders where o_orderstatus = 'O' group by 1"),
     "settled_dependencies": (settled_dependencies, f"with {TASKS} select o.id as task_id, o.before as depends_on_id from o join o p on p.id = o.before where o.id % 2 = 0 and p.status = 'F'"),
 }

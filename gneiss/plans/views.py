@@ -86,9 +86,6 @@ def top_orders(spark, d):
     return structure.top_per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3)
 
 
-def concept_propagation(spark, d):
-    rows = lines(spark, d).groupBy("l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("u"), F.max((F.col("l_quantity") >= 45).cast("int")).alias("w"))
-    return rows.select("l_partkey", structure.propagation(F.col("u") == 1, F.col("w") == 1).alias("direction"))
 
 
 PAGES = "select page_id as id, regexp_replace(url, '^[a-z]+://', '') as place from pages"
@@ -107,5 +104,4 @@ QUERIES = {
     "embedding_json": (embedding_json, "select vec_id, len(embedding) as size, round(list_sum(embedding::double[]), 6) as total from embeddings"),
     "running_totals": (running_totals, "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey), 2) as so_far from orders"),
     "top_orders": (top_orders, "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r <= 3"),
-    "concept_propagation": (concept_propagation, "with g as (select l_partkey, bool_or(l_returnflag = 'R') as u, bool_or(l_quantity >= 45) as w from lineitem join orders on l_orderkey = o_orderkey group by 1) select l_partkey, case when u and w then 'bidirectional' when u then 'upstream' when w then 'downstream' else 'local' end as direction from g"),
 }

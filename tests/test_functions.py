@@ -65,7 +65,13 @@ def test_package_of(spark, spec, package):
 def test_file_kinds_and_extensions(spark):
     df = spark.createDataFrame([("a/vite.config.ts",), ("a/x.test.ts",), ("a/b.stories.tsx",), ("a/b.ts",), ("a/.env",), ("a/x.",), ("README.MD",)], "p string")
     got = df.select(scalar.file_kind(F.col("p")).alias("k"), scalar.extension(F.col("p")).alias("e")).collect()
-    assert [tuple(r) for r in got] == [("config", "ts"), ("test", "ts"), ("story", "tsx"), ("source", "ts"), ("other", None), ("other", None), ("other", "md")]
+    assert [tuple(r) for r in got] == [("config", "ts"), ("test", "ts"), ("story", "tsx"), ("source", "ts"), ("config", None), ("other", None), ("other", "md")]
+    kinds = {
+        "package.json": "config", "a/tsconfig.build.json": "config", "a/data.json": "other", "a/x.toml": "other", "a/.eslintrc": "config", "a/config.ts": "source", "e2e/a.ts": "test", "a/__mocks__/b.js": "test",
+        "stories/a.ts": "story", "a/x.spec.mjs": "test", "a/x.stories.js": "story", "test": "other", "a/x.config.cts": "config", "a/tests/x.md": "test", "a/b.cjsx": "source", "latest/a.ts": "source",
+    }
+    df = spark.createDataFrame([(k,) for k in kinds], "p string")
+    assert {r.p: r.k for r in df.select("p", scalar.file_kind(F.col("p")).alias("k")).collect()} == kinds
 
 
 def test_covers(spark):
@@ -88,7 +94,8 @@ def naive_glob(glob, path):
         if i == len(glob):
             return j == len(path)
         if glob.startswith("**/", i):
-            return at(i + 3, j) or any(path[k - 1] == "/" and at(i + 3, k) for k in range(j + 1, len(path) + 1))
+            k = path.find("/", j)
+            return at(i + 3, j) or (k > j and at(i, k + 1))
         if glob.startswith("**", i):
             return any(at(i + 2, k) for k in range(j, len(path) + 1))
         if glob[i] == "*":
@@ -112,6 +119,45 @@ def test_globs_against_a_naive_matcher():
         assert bool(re.match(scalar.glob_pattern(glob), path)) == naive_glob(glob, path), (glob, path)
 
 
+GLOBS = [
+    ("**/{A,B}.md", "A.md", True), ("**/{A,B}.md", "x/y/B.md", True), ("**/{A,B}.md", "x/y/C.md", False), ("*.md", "d/R.md", False), ("docs/**", "docs/a/b.txt", True), ("src/**/i.ts", "src/i.ts", True),
+    ("f?.ts", "f1.ts", True), ("f?.ts", "f12.ts", False), ("f?.ts", "f/.ts", False), ("*.{js,{ts,tsx}}", "a.tsx", True), ("*.{js,{ts,tsx}}", "a.css", False), ("{literal}", "{literal}", True), ("{literal}", "literal", False),
+    ("a{b", "a{b", True), ("a}b", "a}b", True), ("a,b", "a,b", True), ("a[0]+(b).ts", "a[0]+(b).ts", True), ("a[0]+(b).ts", "a0b.ts", False), ("*.md", "R.md.bak", False), ("", "", True), ("**", "a\nb", False), ("a", "a\n", False),
+]
+
+
+def test_globs_by_case(spark):
+    for glob, path, matches in GLOBS:
+        assert bool(re.match(scalar.glob_pattern(glob), path)) == matches, (glob, path)
+    df = spark.createDataFrame([(p,) for p in {p for _, p, _ in GLOBS}], "p string")
+    for glob in {g for g, _, _ in GLOBS}:
+        got = {r.p: r.m for r in df.select("p", scalar.matches_glob(F.col("p"), glob).alias("m")).collect()}
+        assert all(got[p] == m for g, p, m in GLOBS if g == glob)
+
+
+def test_durations_slots_and_limits(spark):
+    df = spark.createDataFrame([("30m", "1.5h", "250ms"), ("0s", "2w", "7d"), ("x", "3s", "1.5s")], "a string, b string, c string")
+    got = df.select(*[scalar.wave_ms(F.col(c), g).cast("long").alias(c) for c, g in (("a", "cadence"), ("b", "span"), ("c", "delay"))]).collect()
+    assert [tuple(r) for r in got] == [(1_800_000, 5_400_000, 250), (None, 1_209_600_000, None), (None, None, 1500)]
+    df = spark.sql("select timestamp'2024-03-15 10:30:00' as t")  # a Friday
+    slot = lambda *a: str(df.select(scalar.next_slot(F.col("t"), *a).alias("x")).first().x)
+    assert slot(11) == "2024-03-15 11:00:00" and slot(10, 30) == "2024-03-16 10:30:00" and slot(9, 0, ["fri"]) == "2024-03-22 09:00:00" and slot(9, 5, ["mon", "wed"]) == "2024-03-18 09:05:00"
+    back = lambda r: str(df.select(scalar.range_start(F.lit(r), F.col("t")).alias("x")).first().x)
+    assert (back("1y"), back("6m"), back("30d"), back("all")) == ("2023-03-15 10:30:00", "2023-09-15 10:30:00", "2024-02-14 10:30:00", "None")
+
+
+def test_formats(spark):
+    df = spark.createDataFrame([(0.5, 1234), (0.00001, 999), (12.345, 2_500_000), (0.0, 0)], "m double, n long")
+    got = df.select(scalar.money(F.col("m")).alias("m"), scalar.short_count(F.col("n")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("$0.5000", "1.2k"), ("<$0.0001", "999"), ("$12.35" if got[2].m == "$12.35" else "$12.34", "2.5M"), ("$0.0000", "0")]
+    texts = ['{"a": 1}', '{"a": -0}', '{"a": "-0"}', "{", "[1e9999]", "-0.5", "null", '{"a":-0.0}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(scalar.valid_json(F.col("t")).alias("x")).collect()] == [True, False, True, False, False, True, True, False]
+    df = spark.createDataFrame([("---\nname: a b\nkind: c\n---\nHello {{ who }} and {{who}} {{x.y}}",), ("none",)], "t string")
+    got = df.select(scalar.frontmatter(F.col("t")).alias("m"), scalar.placeholders(F.col("t")).alias("p")).collect()
+    assert got[0].m == {"name": "a b", "kind": "c"} and got[0].p == ["who", "x.y"] and got[1].m == {} and got[1].p == []
+
+
 def test_perfect_and_gated_pairs(spark):
     rows = [(c, n, c) for c in range(4) for n in ("a", "b")] + [(9, "a", 9), (9, "c", 9)] + [(50, f"n{i}", 50) for i in range(300)]
     p = pairs.cochange(spark.createDataFrame(rows, "c int, n string, t int"), "c", "n", "t")

@@ -8,6 +8,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from gneiss.operators import paths as paths_
 from gneiss.operators import backlog, graph, history, kernels, log, text
 from gneiss.sources import readers, writers
 from gneiss.streaming import changes
@@ -77,7 +78,7 @@ def test_betweenness_and_articulation(spark, seed):
                 for p in every:
                     for v in p[1:-1]:
                         total[v] += 1 / len(every)
-    got = {r.id: r.betweenness for r in kernels.betweenness(nodes, edges).collect()}
+    got = {r.id: r.betweenness for r in paths_.betweenness(nodes, edges)[0].collect()}
     assert all(abs(got[i] - total[i] / ((n - 1) * (n - 2))) < 1e-9 for i in range(n))
     both = defaultdict(set)
     for a in adjacency:
@@ -94,40 +95,85 @@ def test_betweenness_and_articulation(spark, seed):
             left -= seen
         return c
 
-    cut = {r.id for r in kernels.articulation_points(nodes, edges).collect()}
+    cut = {r.id for r in paths_.articulation_points(nodes, edges).collect()}
     assert cut == {i for i in linked if count(i) > count(None)}
 
 
-def test_modularity_and_corridors(spark):
-    e = [("p", a, b, 1.0) for a, b in [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]]
-    groups = {r.id: r.group for r in kernels.modularity_groups(spark.createDataFrame(e, "p string, src string, dst string, weight double"), "p").collect()}
-    assert groups == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
-    nodes = spark.createDataFrame([(c,) for c in "abcd"], "id string")
-    line = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
-    got = {r.corridor: r.pairs for r in kernels.corridors(nodes, line).collect()}
-    assert got == {"b→c": 3, "a→b": 2, "c→d": 2}
+def test_modularity_equals_exhaustive_merges(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        e = [("p", a, b, float(rng.randint(1, 5))) for a in range(7) for b in range(a + 1, 7) if rng.random() < 0.5]
+        got = {r.id: r.group for r in kernels.modularity_groups(spark.createDataFrame(e, "p string, src int, dst int, weight double"), "p").collect()}
+        nodes = sorted({x for _, a, b, _ in e for x in (a, b)})
+        total = sum(w for *_, w in e)
+
+        def quality(groups):
+            inside = sum(w for _, a, b, w in e if groups[a] == groups[b]) / total
+            spread = sum((sum(w * ((groups[a] == g) + (groups[b] == g)) for _, a, b, w in e) / (2 * total)) ** 2 for g in set(groups.values()))
+            return inside - spread
+
+        groups = {n: n for n in nodes}
+        while True:  # every join of two groups is tried, whole quality compared
+            now, best = quality(groups), None
+            for a in sorted(set(groups.values())):
+                for b in sorted(set(groups.values())):
+                    if a < b:
+                        gain = quality({n: a if g == b else g for n, g in groups.items()}) - now
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                            best = (gain, a, b)
+            if best is None:
+                break
+            groups = {n: best[1] if g == best[2] else g for n, g in groups.items()}
+        assert got == groups
+
+
+def test_corridors_are_maximal_and_capped_pairs_reported(spark):
+    line = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")], "src string, dst string")
+    got, capped = paths_.corridors(line)
+    assert {(r.corridor, r.length, r.support) for r in got.collect()} == {("a→b→c→d", 3, 2), ("b→c→d→e", 3, 2)} and capped.count() == 0
+    wide = [(0, i) for i in range(1, 34)] + [(i, 100) for i in range(1, 34)] + [(100, 101)]
+    got, capped = paths_.corridors(spark.createDataFrame(wide, "src int, dst int"))
+    assert {tuple(r) for r in capped.collect()} == {(0, 100), (0, 101)}
+    assert got.count() == 0  # each i -> 100 -> 101 is on one pair's paths only
+
+
+def test_cut_edges_and_chains(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x"), ("q", "a")], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "abcxyzqr"], "id string")
+    rows = {(r.src, r.dst): (r.routes, r.severed, r.bridge, r.src_side, r.dst_side) for r in paths_.edge_structure(nodes, edges).collect()}
+    assert rows["c", "x"] == (0, 11, True, 4, 3) and rows["q", "a"] == (0, 5, True, 1, 6) and rows["a", "b"][0] == 0 and not rows["a", "b"][2]
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    assert [r.bridge for r in paths_.edge_structure(nodes, ring).collect()] == [False, False]  # the other direction holds them together
+    parts = graph.strong_components(nodes, graph.closure(edges))
+    assert [tuple(r) for r in paths_.longest_chains(parts, edges).collect()] == [("q→[a|b|c]→[x|y|z]", 3)]
 
 
 def test_availability_and_parents(spark):
-    tasks = spark.createDataFrame([(1, "open", None), (2, "open", None), (3, "done", None), (4, "open", 2), (5, "open", 4), (6, "active", None), (7, "open", 7)], "id int, status string, parent_id int")
-    deps = spark.createDataFrame([(2, 1), (1, 3), (1, 99)], "task_id int, depends_on_id int")
-    state = {r.id: (r.availability, r.blocked_by) for r in backlog.availability(tasks, deps, ["done"], ["active"]).collect()}
-    assert state == {1: ("ready", 0), 2: ("blocked", 1), 3: ("settled", 0), 4: ("ready", 0), 5: ("ready", 0), 6: ("active", 0), 7: ("ready", 0)}
-    assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"], ["active"]).collect()) == [1, 7]
-
-
-def test_blocked_ancestor_far_up(spark):
-    # 1 is blocked by 1000; 2 .. 150 are a chain below it, 300 .. 450 one below no blocked task, 500 and 501 a cycle.
-    rows = [(1, "open", None), (1000, "open", None), *((i, "open", i - 1) for i in range(2, 151))]
-    rows += [(300, "open", None), *((i, "open", i - 1) for i in range(301, 451)), (500, "open", 501), (501, "open", 500)]
+    # 1 waits for 8; 4 and 5 lie below the open 2; 7 is its own parent; 9 and 10 are each other's, 10 is active; 11 lies below a settled task.
+    rows = [(1, "open", None), (2, "open", None), (3, "done", None), (4, "open", 2), (5, "open", 4), (6, "active", None), (7, "open", 7), (8, "open", None), (9, "open", 10), (10, "active", 9), (11, "open", 3), (12, "open", 99)]
     tasks = spark.createDataFrame(rows, "id int, status string, parent_id int")
-    deps = spark.createDataFrame([(1, 1000)], "task_id int, depends_on_id int")
-    assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"], ["active"]).collect()) == [*range(300, 451), 500, 501, 1000]
+    deps = spark.createDataFrame([(1, 8), (1, 3), (1, 99), (2, 6)], "task_id int, depends_on_id int")
+    got = {r.id: (r.availability, r.blocked_by, r.waiting_on) for r in backlog.availability(tasks, deps, ["done"], ["active"], parent_gate=True).collect()}
+    assert got == {
+        1: ("blocked", [8], []), 2: ("blocked", [6], []), 3: ("settled", [], []), 4: ("blocked", [], [2]), 5: ("blocked", [], [2, 4]), 6: ("active", [], []), 7: ("ready", [], []), 8: ("ready", [], []),
+        9: ("ready", [], []), 10: ("active", [], []), 11: ("ready", [], []), 12: ("ready", [], []),
+    }
+    assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"]).collect()) == [7, 8, 9, 11, 12]
+    assert sorted(r.id for r in backlog.ready(tasks, deps, ["done"], parent_gate=False).collect()) == [4, 5, 7, 8, 9, 11, 12]
+    # Both forms agree on parent cycles and deep chains.
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["open", "active", "done"]), rng.choice([None, rng.randrange(60), i])) for i in range(60)] + [(i, "active", i - 1 if i > 100 else 0) for i in range(100, 260)]
+    tasks = spark.createDataFrame(rows, "id int, status string, parent_id int")
+    below = {r.id for r in backlog.below_open(tasks).collect()}
+    assert below == {r.id for r in backlog.open_ancestors(tasks).collect()}
 
 
 def test_renames_follow_chains(spark):
     got = {(r.old, r.final) for r in history.rename_finals(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "old string, new string")).collect()}
     assert got == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "y")}
+    deep = [(i, i + 1) for i in range(1500)] + [(2000, 2001), (2001, 2000), (1999, 2000)]
+    got = {r.old: r.final for r in history.rename_finals(spark.createDataFrame(deep, "old int, new int")).collect()}
+    assert got == dict.fromkeys(range(1500), 1500)
 
 
 def test_windowed_churn_keeps_full_history(spark):
@@ -177,20 +223,61 @@ def test_sinks(spark, tmp_path):
     assert os.listdir(tmp_path).count("live") == 1 and not [x for x in os.listdir(tmp_path) if "staging" in x]
 
 
+RUNS = [("r", 1, "queued", 1, 1), ("r", 2, "running", 2, 2), ("r", 3, "running", 2, 3), ("r", 4, "complete", 2, 4), ("r", 5, None, None, None), ("r", 6, "queued", 1, 1), ("s", 1, "running", None, 1), ("s", 2, "running", None, 1), ("s", 3, "parked", 1, 1)]
+
+
+def test_change_events_by_case(spark):
+    df = spark.createDataFrame(RUNS, "k string, o int, s string, output int, t int")
+    got = sorted(tuple(r) for r in log.change_events(df, "k", "o", "s", ["output", "t"], "t").collect())
+    assert got == [
+        ("r", 1, "queued", ""), ("r", 2, "started", ""), ("r", 2, "updated", "output"), ("r", 3, "updated", "t"), ("r", 4, "completed", ""), ("r", 5, "removed", ""), ("r", 6, "queued", ""),
+        ("s", 1, "queued", ""), ("s", 3, "entered parked", ""), ("s", 3, "updated", "output"),
+    ]
+
+
 def test_streamed_changes_equal_batch(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(rng.randrange(5), i, rng.choice(["open", "busy", "done", None])) for i in range(60)]
+    rows = [(rng.randrange(5), i, rng.choice(["queued", "running", "complete", None]), rng.choice([1, 2, None]), rng.randrange(3)) for i in range(90)]
     source, out = tmp_path / "in", []
     os.makedirs(source)
     for b in range(3):
         with open(source / f"{b}.json", "w") as f:
-            f.writelines(json.dumps({"k": k, "o": o, "s": s}) + "\n" for k, o, s in rows[b * 20 : b * 20 + 20])
+            f.writelines(json.dumps({"k": k, "o": o, "s": s, "a": a, "t": t}) + "\n" for k, o, s, a, t in rows[b * 30 : b * 30 + 30])
         os.utime(source / f"{b}.json", (1000 + b, 1000 + b))
-    stream = spark.readStream.schema("k int, o long, s string").option("maxFilesPerTrigger", 1).json(str(source))
-    query = changes.deliver(changes.change_events(stream, "k", "o", "s"), lambda df, _: out.extend(map(tuple, df.collect())), str(tmp_path / "checkpoint"))
+    schema = "k int, o long, s string, a int, t int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    query = changes.deliver(changes.change_events(stream, "k", "o", "s", ["a", "t"], "t"), lambda df, _: out.extend(map(tuple, df.collect())), str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
-    batch = log.change_events(spark.createDataFrame(rows, "k int, o long, s string"), "k", "o", "s", [])
-    assert sorted(out) == sorted((r.k, r.o, r.event) for r in batch.collect())
+    batch = log.change_events(spark.createDataFrame(rows, schema), "k", "o", "s", ["a", "t"], "t")
+    assert sorted(out) == sorted((r.k, r.o, r.event, r.changed) for r in batch.collect())
+
+
+def test_publish_keeps_the_old_table_when_a_rename_fails(spark, tmp_path, monkeypatch):
+    from gneiss.sources import writers
+
+    path = str(tmp_path / "t")
+    writers.publish(spark.range(3).toDF("id"), path)
+    real = writers._move
+    for bad in (1, 2):
+        calls = []
+
+        def failing(fs, a, b, bad=bad, calls=calls):
+            calls.append(1)
+            if len(calls) == bad:
+                raise OSError("no")
+            real(fs, a, b)
+
+        monkeypatch.setattr(writers, "_move", failing)
+        with pytest.raises(OSError):
+            writers.publish(spark.range(9).toDF("id"), path)
+        assert spark.read.parquet(path).count() == 3 and len(os.listdir(tmp_path)) == 1
+    monkeypatch.setattr(writers, "_move", real)
+    writers.publish(spark.range(5).toDF("id"), path)
+    assert spark.read.parquet(path).count() == 5 and len(os.listdir(tmp_path)) == 1
+    root = str(tmp_path / "v")
+    for n in (2, 4):
+        writers.publish_version(spark.range(n).toDF("id"), root)
+        assert writers.read_version(spark, root).count() == n
 
 
 def test_event_time_windows(spark, tmp_path):
