@@ -139,13 +139,19 @@ def model_id(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "-+", "-"), "^-|-$", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its binary value; what lies exactly between two goes up."""
+    between = (x * 2 ** (digits + 1)) % 2 == 1
+    return F.replace(F.format_number(F.when(between, x + 10.0 ** -(digits + 2)).otherwise(x), digits), F.lit(","))
+
+
 def money(amount: Column, currency: Column | None = None) -> Column:
     """Amount with two decimals, with four below one, "<" where those are all zero; null for none.
 
     Dollars, or no currency given, have their sign before, others their name after.
     """
     x = amount.cast("double")
-    shown = F.when(x < 1, F.format_string("%.4f", x)).otherwise(F.format_string("%.2f", x))
+    shown = F.when(x < 1, fixed(x, 4)).otherwise(fixed(x, 2))
     tiny = (x > 0) & (shown == "0.0000")
     bound, shown = F.when(tiny, "<").otherwise(""), F.when(tiny, "0.0001").otherwise(shown)
     dollars = F.concat(bound, F.lit("$"), shown)
@@ -155,7 +161,7 @@ def money(amount: Column, currency: Column | None = None) -> Column:
 def short_count(n: Column) -> Column:
     """1234 as 1.2k, 1234567 as 1.2M; smaller numbers as they are."""
     x = n.cast("double")
-    return F.when(x >= 1_000_000, F.format_string("%.1fM", x / 1_000_000)).when(x >= 1000, F.format_string("%.1fk", x / 1000)).otherwise(n.cast("string"))
+    return F.when(x >= 1_000_000, F.concat(fixed(x / 1_000_000, 1), F.lit("M"))).when(x >= 1000, F.concat(fixed(x / 1000, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def _glob_parts(glob: str) -> tuple[list[str], int]:

@@ -11,10 +11,13 @@ from ..functions.stats import ratio, ratio_or_null
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of the session; one of our own only where it names none."""
+    """Checkpoint in the folder of the session; one of our own only where a local session names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp())
     return df.checkpoint()
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cuts, facts, graphs, logs, records, repository, shapes, views
+from . import cuts, extra, facts, graphs, logs, records, repository, shapes, views
 
-_MODULES = (facts, records, views, graphs, shapes, logs, repository, cuts)
+_MODULES = (facts, records, views, graphs, shapes, logs, repository, cuts, extra)
 
 
 def queries() -> dict:

@@ -147,9 +147,12 @@ def test_durations_slots_and_limits(spark):
 
 
 def test_formats(spark):
-    df = spark.createDataFrame([(0.5, 1234), (0.00001, 999), (12.345, 2_500_000), (0.0, 0)], "m double, n long")
+    df = spark.createDataFrame([(0.5, 1234), (0.00001, 999), (12.345000001, 2_500_000), (0.0, 0)], "m double, n long")
     got = df.select(scalar.money(F.col("m")).alias("m"), scalar.short_count(F.col("n")).alias("n")).collect()
-    assert [tuple(r) for r in got] == [("$0.5000", "1.2k"), ("<$0.0001", "999"), ("$12.35" if got[2].m == "$12.35" else "$12.34", "2.5M"), ("$0.0000", "0")]
+    assert [tuple(r) for r in got] == [("$0.5000", "1.2k"), ("<$0.0001", "999"), ("$12.35", "2.5M"), ("$0.0000", "0")]
+    df = spark.createDataFrame([(5.125, 1650), (1.005, 1250), (1234.5, 1_250_000)], "m double, n long")
+    got = df.select(scalar.money(F.col("m"), F.lit("EUR")).alias("m"), scalar.short_count(F.col("n")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("5.13 EUR", "1.6k"), ("1.00 EUR", "1.3k"), ("1234.50 EUR", "1.3M")]
     texts = ['{"a": 1}', '{"a": -0}', '{"a": "-0"}', "{", "[1e9999]", "-0.5", "null", '{"a":-0.0}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.x for r in df.select(scalar.valid_json(F.col("t")).alias("x")).collect()] == [True, False, True, False, False, True, True, False]
