@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import written
+from .store import release, written
 
 TILE = 512
 AXES = 8  # most lengths of vectors that are turned; bounds the matrices held at once
@@ -245,6 +245,8 @@ def embedding_near_duplicates(
     two = classes.select(F.col("id").alias("to"), F.col("copies").alias("cb"), F.col("v").alias("b"))
     close = found.filter("n is null").select("id", "to").join(one, "id").join(two, "to").select("id", "to", "ca", "cb", "a", "b")
     close = written(close.mapInArrow(_decided(threshold), "id long, to long, ca long, cb long"))
+    release(turned)
+    release(tiled)
     more = close.select("id", F.col("cb").alias("n")).union(close.select("to", "ca"))
     found = found.filter("n is not null").union(more.select("id", "n", F.lit(None).cast("long"))).union(close.select("id", F.lit(0).cast("long"), "to"))
     degree = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import join_groups
-from .store import written
+from .store import release, written
 
 BLOCKS = 2
 
@@ -107,7 +107,10 @@ def line_dedup(
     placed = join_groups(lines.select("id", "line", "h1", "h2"), earliest, ["h1", "h2"], "n", lines.count())
     gone = written(placed.filter("struct(id, line) > first").select("id", "line"))
     if max_edits:
-        gone = gone.union(_near_lines(lines, gone, texts))
+        near = written(_near_lines(lines, gone, texts, used := []))
+        for done in (lines, *used):
+            release(done)
+        gone = gone.union(near)
     removed = gone.groupBy("id").agg(F.collect_set("line").alias("removed"))
     whole = texts.join(removed.hint("shuffle_hash"), "id", "left").withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
     count = F.size("lines")
@@ -123,8 +126,8 @@ def line_dedup(
     )
 
 
-def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, line) of the lines that have an earlier line one word edit away."""
+def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """(id, line) of the lines that have an earlier line one word edit away; `used` takes the tables written on the way."""
     entries = lines.filter("keys is not null").select("id", "line", "h1", F.posexplode("keys").alias("kind", "key"))
     shared = entries.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
     places = entries.select("id", "line", "kind", "key").join(shared, "key").join(copies, ["id", "line"], "left_anti")
@@ -166,6 +169,7 @@ def _near_lines(lines: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFr
     fetched = texts.join(named.hint("shuffle_hash"), "id").select("id", "named", F.split("text", "\n").alias("lines"))
     fetched = fetched.select("id", F.explode(F.transform("named", lambda p: F.struct(p.alias("line"), line_words(p).alias("w")))).alias("p"))
     fetched = written(fetched.select("id", "p.line", "p.w"))
+    used += [places, pairs, fetched]
     hubs = fetched.toDF("id0", "line0", "b").join(pairs.groupBy("id0", "line0").agg(F.count("*").alias("n")), ["id0", "line0"])
     both = join_groups(pairs.join(fetched.withColumnRenamed("w", "a"), ["id", "line"]), hubs, ["id0", "line0"], "n", pairs.count())
     return both.filter(_near(F.col("a"), F.col("b"))).select("id", "line")

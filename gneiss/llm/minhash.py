@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .skew import join_groups
-from .store import small_batches, trimmed, written
+from .store import release, small_batches, trimmed, written
 from .text import lowered, mix, range_hashes, slices, window_starts, word_ranges
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -273,6 +273,8 @@ def near_duplicates(
     dealt = dealt.join(sets.hint("merge"), "id").select("hub", "p", "q", "tile", "id", "c", "items")
     dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")
     more = written(dealt.mapInArrow(_tiles(percent), "src long, dst long"))
+    for done in (buckets, stars, sets, found, apart):
+        release(done)
     groups = connected_components(links.union(more).union(copies))
     out = sketched.select("id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")

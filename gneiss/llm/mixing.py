@@ -10,6 +10,7 @@ over its own posterior and is never shuffled or stored between rounds.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,8 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = 60, tolera
     """Gradient steps that bring the domains' expected token totals to their targets.
 
     members is (tokens, posterior); targets are shares of the corpus' own token total. A target that
-    no nonnegative rates reach (a domain without any posterior mass) is approached as far as they can.
+    no nonnegative rates reach (a domain without any posterior mass) is approached as far as they can;
+    what is still missed after the last round is given as a warning.
     """
     target = np.asarray(targets, float)
     if (target < 0).any() or target.sum() <= 0:
@@ -114,6 +116,8 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = 60, tolera
             break
         steps.append(STEP * miss / share)
         now = totals(steps) / mass
+    else:
+        warnings.warn(f"domain shares of {now.round(4).tolist()} after {rounds} rounds, targets {target.round(4).tolist()}", stacklevel=2)
     return steps
 
 

@@ -27,7 +27,7 @@ from .store import small_batches, trimmed, written
 from .text import Slice, lowered, range_hashes, slices, word_ranges
 
 CACHED_WORDS = 1 << 20  # words whose ids a worker remembers
-SALTS = 64
+RANKED = 250_000  # documents of one length that a task ranks, about; the number of salts follows
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -45,6 +45,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids("Zebra, don't  stop.") != [i for part in ("zebra", ",", "don't", "stop", ".") for i in ids(part)]:
+            raise ValueError(f"{path} is no lower-case vocabulary whose tokens keep within words")
         self._forget()
 
     def _forget(self) -> None:
@@ -198,18 +201,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = written(tokenised_pieces(source, tokenizer_path, capacity))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS rows
-    totals: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(counts):
-        before.append((r.length, r.salt, totals[r.length]))
-        totals[r.length] += r.n
-    before = spark.createDataFrame(before, "length long, salt int, before long")
-    sweeps = best_fit_sweeps(dict(totals), capacity)
+    totals = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = max(8, -(-max(totals.values(), default=0) // RANKED))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
+    sweeps = best_fit_sweeps(totals, capacity)
     sweeps = spark.createDataFrame(sweeps, "length long, first_rank long, last_rank long, each long, seq long, at long")
     in_salt = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("r", F.row_number().over(in_salt)).join(F.broadcast(before), ["length", "salt"])
+    ranked = salted.withColumn("r", F.row_number().over(in_salt)).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("r") + F.col("before") - 1).alias("p")
     # The sweeps' table is bounded by the capacity alone (see above), so it may be broadcast.
     s = F.broadcast(sweeps).alias("s")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import join_groups
-from .store import small_batches, written
+from .store import release, small_batches, written
 from .text import Slice, mix, range_hashes, slices, window_starts, word_ranges
 
 KMER = 6
@@ -225,6 +225,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     opened = written(opened.groupBy("id").agg(F.collect_list("place").alias("places")))
     edges = texts.join(opened, "id").select("id", "text", "places").mapInArrow(_edge_rows(window), "edge long, id long, place long")
     edges = written(edges)
+    release(paths)
+    release(opened)
     lowest = edges.groupBy("edge").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
     single = join_groups(edges, lowest, ["edge"], "n", 0, large).filter(F.col("first") < at).select("id", "place")
     places = repeats.union(single).groupBy("id").agg(F.collect_list("place").alias("places"))

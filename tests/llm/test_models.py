@@ -13,7 +13,7 @@ from helpers import WORD, documents, normal, odd_rows
 from pyspark.sql import functions as F
 
 from gneiss.llm import embeddings, fingerprints, mixing, packing, scoring, subword, tokens, toxicity, trie
-from gneiss.llm.text import slices
+from gneiss.llm.text import range_hashes, slices
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -68,6 +68,32 @@ def test_sweeps_place_every_rank_once(seed):
     assert len(room) <= math.ceil(sum(k * v for k, v in counts.items()) / 100 * 11 / 9) + 1
 
 
+def plain_best_fit(lengths, capacity):
+    """Sequences that best fit, longest first, one document at a time, opens."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sweeps_open_no_more_sequences_than_plain_best_fit(seed):
+    rng = random.Random(seed)
+    lengths = [min(64, int(rng.expovariate(1 / 18)) + 1) for _ in range(1500)]
+    sweeps = packing.best_fit_sweeps(dict(Counter(lengths)), 64)
+    opened = {seq + k for _, a, b, each, seq, _ in sweeps for k in range((b - a) // each + 1)}
+    assert len(opened) == plain_best_fit(lengths, 64)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # --- token counts
 
 
@@ -381,6 +407,115 @@ def test_toxicity_knows_unseen_forms(spark):
     assert len(got) == len(rows) + 2 and all(0 <= s <= 1 for s in got.values()) and got[1000] == got[1001]
 
 
+def plain_grams(word, buckets):
+    """Buckets of a word: itself between its marks, and every run of 3 to 6 of those characters."""
+    marks = np.array([300, *word.encode(), 301], np.uint16)
+    spans = [(0, len(marks))] + [(i, i + n) for n in range(3, 7) for i in range(len(marks) - n + 1)]
+    h = range_hashes(marks, np.array([a for a, _ in spans]), np.array([b for _, b in spans]))
+    return [int(x) & (buckets - 1) for x in h]
+
+
+def plain_probability(model, text):
+    """The class probabilities of a text by the definition, word by word and window by window."""
+    words = WORD.findall(lower(text))
+    means = [np.mean([model.scores[g] for g in plain_grams(w, len(model.scores))], 0, dtype=float) for w in words]
+    z = np.array(model.bias, float)
+    if words:
+        width = model.window if model.pool == "max" else len(words)
+        windows = [np.mean(means[i : i + width], 0) for i in range(0, len(means), width)]
+        z = z + (np.array([0.0, max(w[1] - w[0] for w in windows)]) if model.pool == "max" else windows[0])
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+@pytest.mark.parametrize("pool", ["max", "mean"])
+def test_scores_equal_their_definition(pool):
+    rng = np.random.default_rng(2)
+    model = subword.Model(rng.normal(size=(1 << 10, 2)).astype(np.float32), np.array([0.1, -0.7]), 3, pool)
+    texts = ["", " ", "One two THREE four five", "naïve café", "a", "x " * 500 + "last", "same same same"]
+    got = model.probabilities(next(slices(pa.array(texts))))
+    assert np.allclose(got, [plain_probability(model, t) for t in texts], atol=1e-6)
+
+
+def plain_training(texts, labels, pool, buckets, size, window, epochs, batch, rate, seed):
+    """The same descent written gram by gram, with the gradients by the chain rule of the loss below."""
+    rng = np.random.default_rng(seed)
+    E, W = rng.normal(0, 1 / size, (buckets, size)).astype(np.float32).astype(float), rng.normal(0, 1 / np.sqrt(size), (size, 2)).astype(np.float32).astype(float)
+    bias = np.array([0.0, np.log(0.1 / 0.9)]) if pool == "max" else np.zeros(2)
+    gE, gW, gb = np.full(buckets, 1e-6), np.full_like(W, 1e-6), np.full(2, 1e-6)
+    steps, done = epochs * -(-len(texts) // batch), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(texts))
+        for at in range(0, len(order), batch):
+            pick = [i for i in order[at : at + batch] if WORD.findall(texts[i])]
+            if not pick:
+                continue
+            dE, dW, db = np.zeros_like(E), np.zeros_like(W), np.zeros(2)
+            met = set()
+            present = Counter(labels[i] for i in pick)
+            for i in pick:
+                words = WORD.findall(lower(texts[i]))
+                width = window if pool == "max" else len(words)
+                spans = [words[k : k + width] for k in range(0, len(words), width)]
+                grams = [[plain_grams(w, buckets) for w in span] for span in spans]
+                x = np.array([np.mean([np.mean(E[g], 0) for g in span], 0) * 20.0 for span in grams])
+                z = x @ W
+                if pool == "max":
+                    m = z[:, 1] - z[:, 0]
+                    share = np.exp(2 * (m - m.max()))
+                    logit = np.array([0.0, m.max() + np.log(share.sum()) / 2]) + bias
+                    share /= share.sum()
+                else:
+                    logit = z[0] + bias
+                p = np.exp(logit - logit.max())
+                p /= p.sum()
+                g = p - np.eye(2)[labels[i]]
+                g *= (len(pick) / (len(present) * present[labels[i]]) if pool == "mean" else 1.0) / len(pick)
+                db += g
+                for k, span in enumerate(grams):
+                    gz = np.array([-g[1], g[1]]) * share[k] if pool == "max" else g
+                    dW += np.outer(x[k], gz)
+                    for word in span:
+                        for b in word:
+                            dE[b] += W @ gz * 20.0 / len(span) / len(word)
+                            met.add(b)
+            now = rate * (1 - 0.9 * done / steps)
+            ids = sorted(met)
+            gE[ids] += (dE[ids] ** 2).mean(1)
+            E[ids] -= now * dE[ids] / np.sqrt(gE[ids])[:, None]
+            gW += dW**2
+            W -= now * dW / np.sqrt(gW)
+            if pool == "mean":
+                gb += db**2
+                bias -= now * db / np.sqrt(gb)
+            done += 1
+    E[gE <= 1e-6] = 0
+    return E @ W * 20.0, bias
+
+
+@pytest.mark.parametrize("pool", ["max", "mean"])
+def test_training_equals_a_plain_descent(pool):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "bad", "fine", "worse", "ugly"]) for _ in range(rng.randint(1, 9))) for _ in range(24)] + ["", "good"]
+    labels = np.array([int("ugly" in t) for t in texts])
+    args = dict(buckets=1 << 9, size=3, window=3, epochs=2, batch=8, rate=0.1, seed=5)
+    model = subword.train(texts, labels, 2, pool=pool, **args)
+    scores, bias = plain_training(texts, labels, pool, **args)
+    assert np.abs(model.scores - scores).max() < 2e-3 * max(1, np.abs(scores).max()) and np.abs(model.bias - bias).max() < 1e-3
+
+
+def test_toxicity_on_odd_rows(spark):
+    # Very long, repeated, tied and empty rows, and a null id: every row keeps its place and equal texts equal scores.
+    rows = odd_rows() + [(5, "w1 w2"), (5, "w1 w2"), (None, "w1 w2"), (990, "grumble " * 200_000)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)] + [(5, None), (None, 1), (5, 1)], "doc_id long, toxic int")
+    got = toxicity.with_toxicity(docs, toxicity.train_toxicity(docs, labels)).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r in got:
+        assert 0 <= r.score <= 1 and abs(by_text.setdefault(lower(r.text), r.score) - r.score) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -417,6 +552,30 @@ def test_mixing_meets_targets(spark):
         mixing.fit_rates(members, [0.0, 0.0])
 
 
+def test_mixing_equals_a_plain_descent(spark):
+    rows, labels = labelled(spark, 120)
+    rows = rows + [(5, rows[5][1]), (700, "mip " * 150_000), (701, None)]
+    members, model, steps = mixing.mix_to_targets(documents(spark, rows), labels, "toxic", [0.7, 0.3])
+    m = members.toPandas()
+    assert len(m) == len(rows)
+    texts = dict(rows)
+    for r in m.itertuples():
+        assert r.tokens == len(WORD.findall(texts[r.id] or ""))
+        if r.id != 700:
+            assert np.allclose(r.posterior, plain_probability(model, texts[r.id]), atol=1e-6)
+    # Projected gradient on the squared relative misses, and a pull towards 1, on the whole table at once.
+    p, t = np.stack(m.posterior.values), m.tokens.values.astype(float)
+    target, rate = np.array([0.7, 0.3]), np.ones(len(m))
+    share = np.maximum(t @ p / t.sum(), 1e-6)
+    for _ in range(len(steps)):
+        now = (t * rate) @ p / t.sum()
+        assert np.abs(now - target).max() >= 1e-4
+        rate = np.maximum(0, rate - p @ (mixing.STEP * (now - target) / share) - mixing.STEP * mixing.PULL * (rate - 1))
+    # One text holds nearly all words here: the rounds may end before the targets are met, and say so.
+    assert np.allclose(rate, m.rate.values, atol=1e-9) and (np.abs((t * rate) @ p / t.sum() - target).max() < 1e-4 or len(steps) == 60)
+    assert ((m.copies == np.floor(m.rate)) | (m.copies == np.floor(m.rate) + 1)).all()
+
+
 def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     members, _, steps = mixing.mix_to_targets(documents(spark, [(1, None), (None, "a b")]), none, "quality", [0.5, 0.5])
