@@ -25,18 +25,19 @@ def jaccard_of_counts(both: Column, left: Column, right: Column) -> Column:
     return ratio(both, left + right - both)
 
 
-BUCKETS = 256
+BUCKETS = 128
 
 
 def running_before(df: DataFrame, by: list[str], value: str, measure: str, name: str, how: str = "sum") -> DataFrame:
     """Sum or maximum of `measure` over the group's rows with a smaller value; value is numeric and distinct in its group.
 
-    A group may be the whole table, so it is not given to one task: values fall in BUCKETS ranges
-    between the least and the largest, ranges are totalled, and each range runs on its own.
+    A group may be the whole table, so it is not given to one task: values fall in BUCKETS ranges of
+    about as many rows each, cut at quantiles, ranges are totalled, and each range runs on its own.
     """
     total = {"sum": F.sum, "max": F.max}[how]
-    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    bucket = F.coalesce(F.width_bucket(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), F.lit(BUCKETS)), F.lit(0))
+    at = F.col(value).cast("double")
+    ends = df.groupBy(*by).agg(F.percentile_approx(at, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < at))
 
     def back(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
         """Joined on keys that may be null."""
@@ -47,9 +48,9 @@ def running_before(df: DataFrame, by: list[str], value: str, measure: str, name:
         joined = rows.join(named, same) if keys else rows.join(F.broadcast(named))  # without keys it is one row
         return joined.drop(*[f"_k{i}" for i in range(len(keys))])
 
-    rows = back(df, ends, by).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    rows = back(df, ends, by).withColumn("_bucket", bucket).drop("_cuts")
     sums = rows.groupBy(*by, "_bucket").agg(total(measure).alias("_t"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 2 rows of a group at most
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows of a group at most
     sums = sums.withColumn("_before", total("_t").over(earlier)).drop("_t")
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rows = back(rows.withColumn("_inside", total(measure).over(inside)), sums, [*by, "_bucket"])

@@ -44,8 +44,9 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, distance: bool = False) -> DataFrame:
     """(src, dst) for every dst that src reaches by one or more edges, src itself left out; with the hop count on demand.
 
-    Semi-naive: each round joins only the pairs found in the round before, drops known ones and is
-    checkpointed; cycles end because no new pair appears.
+    Semi-naive: each round joins only the pairs found in the round before, drops known ones and
+    checkpoints the new ones alone; cycles end because no new pair appears. The result has a row for
+    each linked pair: measures that need no pairs (components, layers, cycles) have ways of their own.
     """
     e = cut(simple(edges))
     found = front = e.withColumn("hops", F.lit(1))
@@ -57,7 +58,9 @@ def closure(edges: DataFrame, distance: bool = False) -> DataFrame:
         front = cut(fresh)
         if front.isEmpty():
             break
-        found = cut(found.union(front))
+        found = found.union(front)
+        if hops % 16 == 0:  # keeps the plan short
+            found = cut(found)
     return found if distance else found.select("src", "dst")
 
 
@@ -70,11 +73,49 @@ def reach_counts(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     return out.select("id", "dependencies", "dependents", ratio(F.col("dependents"), F.col("_n") - 1).alias("reach_share"))
 
 
-def strong_components(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(id, component, size): component is the smallest node that reaches and is reached."""
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low"), F.count("*").alias("n"))
-    return nodes.select("id").join(mutual, "id", "left").select("id", F.least("id", "low").alias("component"), (F.coalesce("n", F.lit(0)) + 1).alias("size"))
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, size): component is the smallest node that reaches and is reached.
+
+    Nodes without an edge in or out are on no cycle and are taken off first, over and over. In the
+    rest every node takes the smallest id that reaches it; those that reach that id back, inside its
+    colour, are its component and are taken off too. No pair of nodes is ever listed.
+    """
+    left = cut(simple(edges))
+    done = None
+    while not left.isEmpty():
+        while True:  # trim
+            kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            same = kept.count() == left.count()
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")))
+        while True:
+            low = left.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            after = cut(colour.join(low, "id", "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+            colour = after.select("id", "c")
+            if after.filter("c <> was").isEmpty():
+                break
+        inner = left.join(colour.select(F.col("id").alias("src"), "c"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").select("src", "dst", "c")
+        inner = cut(inner)
+        found = front = cut(colour.filter("id = c"))
+        while True:
+            step = inner.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct()
+            front = cut(step.join(found, "id", "left_anti"))
+            if front.isEmpty():
+                break
+            found = cut(found.union(front))
+        done = found if done is None else done.union(found)
+        gone = found.select("id")
+        left = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    out = nodes.select("id").distinct()
+    if done is None:
+        return out.select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))
+    sizes = done.groupBy("c").agg(F.count("*").alias("n"))
+    out = out.join(done.join(sizes, "c"), "id", "left")
+    return out.select("id", F.coalesce("c", "id").alias("component"), F.coalesce("n", F.lit(1)).alias("size"))
 
 
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -125,7 +166,21 @@ def owner_edges(edges: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def would_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Proposed edges that close a cycle: to themselves, or where dst already reaches src."""
-    reach = closure(edges)
-    closing = proposed.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi")
-    return closing.union(proposed.select(*closing.columns).filter("src = dst"))
+    """Proposed edges that close a cycle: to themselves, or where dst already reaches src.
+
+    Searched from the proposed ends only, and each is given up once it is found.
+    """
+    e = cut(simple(edges))
+    asked = cut(proposed.select("src", "dst").distinct())
+    found = asked.filter("src = dst")
+    seen = front = asked.filter("src <> dst").select("src", "dst", F.col("dst").alias("at"))
+    while True:
+        step = front.join(e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "at").select("src", "dst", F.col("to").alias("at")).distinct()
+        step = cut(step.join(seen, ["src", "dst", "at"], "left_anti"))
+        if step.isEmpty():
+            break
+        hit = step.filter("at = src").select("src", "dst")
+        found = cut(found.union(hit))
+        front = step.join(hit, ["src", "dst"], "left_anti")
+        seen = cut(seen.union(step))
+    return proposed.join(found, ["src", "dst"], "left_semi")

@@ -18,7 +18,7 @@ def gravity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     it depends on; cycle is 0 outside a cycle; reach is the share of all other nodes (0 without any).
     """
     reach = graph.closure(edges)
-    parts = graph.cut(graph.strong_components(nodes, reach))
+    parts = graph.cut(graph.strong_components(nodes, edges))
     up = graph.layers(parts, edges).select("id", F.col("layer").alias("upstream"))
     down = graph.layers(parts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("id", F.col("layer").alias("downstream"))
     counts = graph.reach_counts(nodes, reach)

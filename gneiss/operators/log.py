@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import retry_delay_ms
 
+LOG_RANGES = 1024
+
 
 def read_after(log: DataFrame, position: str, after: int, kinds: list[str] | None = None, kind: str = "type", limit: int = 100) -> DataFrame:
     rows = log.filter(F.col(position) > after)
@@ -14,14 +16,31 @@ def read_after(log: DataFrame, position: str, after: int, kinds: list[str] | Non
 
 
 def catch_up(log: DataFrame, consumers: DataFrame, position: str, kind: str) -> DataFrame:
-    """For each consumer (name, position, types or null): deliveries up to the head, and its new position."""
-    head = log.agg(F.max(position).alias("head"))  # one row
-    rows = log.select(F.col(position).alias("_p"), F.col(kind).alias("_k"))
-    c = consumers.join(F.broadcast(head))
-    hit = (F.col("_p") > F.col("position")) & (F.col("types").isNull() | F.array_contains("types", F.col("_k")))
-    # The consumers are a small configured table, the log is not.
-    counts = rows.join(F.broadcast(c), hit, "inner").groupBy("name").agg(F.count("*").alias("delivered"))
-    return c.join(counts, "name", "left").select("name", F.coalesce("delivered", F.lit(0)).alias("delivered"), F.greatest("head", "position").alias("position"))
+    """For each consumer (name, position, types or null): deliveries up to the head, and its new position.
+
+    Deliveries are counted, not listed: rows are totalled by type and by ranges of positions, whole
+    ranges are added up, and only the range a consumer stands in is looked at row by row.
+    """
+    ends = log.agg(F.max(position).alias("head"), F.min(position).alias("_lo"))  # one row
+    width = F.greatest(F.lit(1), F.ceil((F.col("head") - F.col("_lo") + 1) / LOG_RANGES)).cast("long")
+    rows = log.select(F.col(position).alias("_p"), F.col(kind).alias("_k")).join(F.broadcast(ends)).withColumn("_r", F.floor((F.col("_p") - F.col("_lo")) / width).cast("long"))
+    totals = rows.groupBy("_k", "_r").agg(F.count("*").alias("_n"))
+    every = totals.groupBy("_r").agg(F.sum("_n").alias("_n")).withColumn("_k", F.lit(None).cast("string"))
+    totals = totals.withColumn("_all", F.lit(False)).unionByName(every.withColumn("_all", F.lit(True)))
+    w = Window.partitionBy("_k", "_all").orderBy("_r").rowsBetween(1, Window.unboundedFollowing)  # LOG_RANGES rows of a type at most
+    later = totals.withColumn("_after", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    c = consumers.join(F.broadcast(ends))
+    c = c.withColumns({"_all": F.col("types").isNull(), "_k": F.explode(F.coalesce("types", F.array(F.lit(None).cast("string"))))})
+    c = c.withColumn("_r", F.floor((F.col("position") - F.col("_lo")) / width).cast("long"))
+    spans = later.select("_k", "_all", F.col("_r").alias("_at"), (F.col("_n") + F.col("_after")).alias("_from"))
+    near = c.select("name", "position", "_all", F.col("_k").alias("_type"), "_r")
+    whole = near.join(spans.withColumnRenamed("_k", "_type2").withColumnRenamed("_all", "_all2"), F.col("_type").eqNullSafe(F.col("_type2")) & (F.col("_all") == F.col("_all2")) & (F.col("_at") > F.col("_r"))).groupBy("name", "_type", "_all").agg(F.max("_from").alias("d"))
+    typed = near.filter("not _all").join(rows.withColumnRenamed("_r", "_row_r"), (F.col("_type") == F.col("_k")) & (F.col("_r") == F.col("_row_r"))).filter("_p > position")
+    plain = near.filter("_all").join(rows.withColumnRenamed("_r", "_row_r"), F.col("_r") == F.col("_row_r")).filter("_p > position")
+    inside = typed.select("name").union(plain.select("name")).groupBy("name").agg(F.count("*").alias("_i"))
+    sums = whole.groupBy("name").agg(F.sum("d").alias("_w"))
+    out = consumers.join(F.broadcast(ends)).join(sums, "name", "left").join(inside, "name", "left")
+    return out.select("name", (F.coalesce("_w", F.lit(0)) + F.coalesce("_i", F.lit(0))).alias("delivered"), F.greatest("head", "position").alias("position"))
 
 
 def missed_ranges(consumers: DataFrame, compacted: int) -> DataFrame:

@@ -259,3 +259,103 @@ def workflow_rankings(runs: DataFrame, spend: DataFrame) -> DataFrame:
     cost = spend.groupBy("id").agg(F.sum("amount").cast("double").alias("value")).withColumn("runs", F.lit(None).cast("long"))
     both = elapsed.withColumn("kind", F.lit("elapsed")).unionByName(cost.withColumn("kind", F.lit("spend")))
     return both.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "id")))  # a row for each workflow
+
+
+#: Weights of the families that place a concept (fixed values).
+GRAVITY = {"behavior": 0.6, "representation": 0.25, "reference": 0.15}
+
+
+def miscentering(concepts: DataFrame, shares: DataFrame, crossings: DataFrame) -> DataFrame:
+    """(concept, outcome): where the weight of a concept lies against the package that declares it.
+
+    concepts is (concept, home, governing, strong, weak, foreign_behaviors, evolution_center or null,
+    implementation_split, reference_distributed); shares (concept, family, package, share) with the
+    families behavior, representation, reference and dependency; crossings (concept, package).
+
+    behavior-light with too few governing behaviors; aligned without another package; then the first
+    signal that has two kinds of evidence: external-gravity, boundary-drift, split-gravity; without
+    one unclear where home leads no half of the behavior, usage-only where others lead the use, aligned.
+    """
+    # fixed values
+    half, mismatch, piece, several = 0.5, 0.25, 0.2, 2
+    c = concepts.select("concept", "home")
+    places = weighted_centers(shares, GRAVITY)
+    places = places.join(c, "concept").unionByName(c.join(places.select("concept", F.col("package").alias("home")), ["concept", "home"], "left_anti").select("concept", F.col("home").alias("package"), F.lit(0.0).alias("gravity"), "home"))
+    away = F.col("package") != F.col("home")
+    top = F.min(F.when(away, F.struct((-F.col("gravity")).alias("g"), F.col("package").alias("p"))))
+    centers_ = places.groupBy("concept").agg(
+        top["p"].alias("top"), (-top["g"]).alias("top_gravity"), F.coalesce(F.max(F.when(~away, F.col("gravity"))), F.lit(0.0)).alias("home_gravity"),
+        F.max("gravity").alias("largest"), F.count(F.when(F.col("gravity") >= piece, 1)).alias("pieces"),
+    )
+    rows = shares.join(c, "concept").join(centers_.select("concept", "top"), "concept")
+    flags = []
+    for f in ("behavior", "representation", "reference", "dependency"):
+        mine = F.col("family") == f
+        flags += [
+            F.coalesce(F.max(F.when(mine & (F.col("package") == F.col("home")), F.col("share"))), F.lit(0.0)).alias(f"{f}_home"),
+            F.coalesce(F.max(F.when(mine & (F.col("package") == F.col("top")), F.col("share"))), F.lit(0.0)).alias(f"{f}_top"),
+            F.coalesce((F.max(F.when(mine, F.col("share"))) < half) & (F.count(F.when(mine & (F.col("share") >= piece), 1)) >= several), F.lit(False)).alias(f"{f}_divided"),
+        ]
+    led = F.max(F.coalesce((F.col("package") != F.col("home")) & (F.col("share") >= half) & F.col("family").isin("reference", "dependency"), F.lit(False)))
+    # Use counts only where the package is a center itself.
+    known = rows.join(places.select("concept", "package", F.lit(True).alias("center")), ["concept", "package"], "left")
+    use = known.filter("center").groupBy("concept").agg(led.alias("led"))
+    facts = rows.groupBy("concept").agg(*flags)
+    met = crossings.join(centers_.select("concept", "top"), "concept").groupBy("concept").agg(F.lit(True).alias("crossed"), F.max(F.col("package") == F.col("top")).alias("crossed_top"))
+    x = concepts.join(centers_, "concept").join(facts, "concept", "left").join(use, "concept", "left").join(met, "concept", "left")
+    numbers = [f"{f}_{k}" for f in ("behavior", "representation", "reference", "dependency") for k in ("home", "top")]
+    x = x.na.fill(0.0, numbers).na.fill(False, ["led", "crossed", "crossed_top", *[f"{f}_divided" for f in ("behavior", "representation", "reference")]])
+
+    def count(*parts: Column) -> Column:
+        return sum((p.cast("int") for p in parts), F.lit(0))
+
+    moved = F.coalesce(F.col("evolution_center") == F.col("top"), F.lit(False))
+    support = count(*[F.col(f"{f}_top") >= half for f in ("behavior", "representation", "reference", "dependency")], F.col("crossed_top"), moved)
+    external = (F.col("top_gravity") >= half) & (F.col("top_gravity") - F.col("home_gravity") >= mismatch) & (support >= several) & (F.col("behavior_top") >= half)
+    foreign_center = F.coalesce(F.col("evolution_center") != F.col("home"), F.lit(False))
+    drift = (F.col("representation_home") >= half) & (1 - F.col("behavior_home") >= half) & (F.col("foreign_behaviors") >= 3) & (count(F.col("crossed"), foreign_center, F.col("implementation_split")) + 1 >= several)
+    parted = (F.col("weak") <= F.col("strong")) & (F.col("largest") < half) & (F.col("pieces") >= several) & F.col("behavior_divided")
+    split = parted & (count(F.col("representation_divided"), F.col("reference_divided"), F.col("reference_distributed") | F.col("implementation_split")) + 1 >= several)
+    rules = {
+        "behavior-light": F.col("governing") < 3, "aligned": F.col("top").isNull(), "external-gravity": external, "boundary-drift": drift, "split-gravity": split,
+        "unclear": F.col("behavior_home") < half, "usage-only": F.col("led"),
+    }
+    return x.select("concept", first_of(rules, "aligned").alias("outcome"))
+
+
+def evolutionary_pressure(static: DataFrame, history: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """(id, pressure, state) of static pressures (id, pressure): reinforced by history, static-only, or insufficient-history.
+
+    history is (id, eligible, boundary_rate, direct_pairs, primary_commits, primary_combinations,
+    seam_reinforced, hub_evidence): eligible commits, rate of those that cross a boundary, recurring
+    partners with a direct path, commits shared with the primary consumer as a pair and as a whole set.
+    """
+    # fixed values
+    rate, shared = 0.5, 10
+    reinforced = (
+        F.when(F.col("pressure") == "integration-pressure", (F.col("boundary_rate") >= rate) | (F.col("direct_pairs") > 0))
+        .when(F.col("pressure") == "surface-pressure", (F.coalesce("primary_commits", F.lit(0)) >= shared) | (F.coalesce("primary_combinations", F.lit(0)) >= shared))
+        .when(F.col("pressure") == "centralization-pressure", F.col("seam_reinforced"))
+        .when(F.col("pressure") == "internal-structure-pressure", F.col("hub_evidence"))
+    )
+    state = F.when(F.coalesce("eligible", F.lit(0)) < policy.min_history, "insufficient-history").when(F.coalesce(reinforced, F.lit(False)), "reinforced").otherwise("static-only")
+    return static.join(history, "id", "left").select("id", "pressure", state.alias("state"))
+
+
+def tensions(packages: DataFrame, file_pairs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """(id, kind, commits) where structure and history of a package (id, eligible, leaf, pressures, cross_rate,
+    hotspots, recurring, partner_commits, combination_commits) pull apart.
+
+    A leaf with a recurring partner or a set of two that recurs; pressures with a quiet history; and
+    each pair of source files (id, left, right, static_path, context, commits) without a static path
+    that often changes together. Packages with too little history have none.
+    """
+    # fixed values
+    recurring, file_commits, quiet_rate = 10, 5, 0.25
+    enough = packages.filter(F.col("eligible") >= policy.min_history)
+    best = F.greatest(F.coalesce("partner_commits", F.lit(0)), F.coalesce("combination_commits", F.lit(0)))
+    leaf = enough.filter(F.col("leaf") & ((F.col("recurring") > 0) | (F.coalesce("combination_commits", F.lit(0)) >= recurring))).select("id", F.lit("static-leaf-temporal-coupling").alias("kind"), best.cast("long").alias("commits"))
+    quiet = enough.filter((F.col("pressures") > 0) & (F.col("cross_rate") <= quiet_rate) & (F.col("hotspots") == 0) & (F.col("recurring") == 0)).select("id", F.lit("static-pressure-low-evolution").alias("kind"), F.col("eligible").cast("long"))
+    apart = file_pairs.filter((F.col("static_path") == "none") & (F.col("context") == "source-source") & (F.col("commits") >= file_commits))
+    apart = apart.join(enough.select("id"), "id", "left_semi").select("id", F.concat_ws(" ", F.lit("temporal-coupling-without-static-path"), "left", "right").alias("kind"), F.col("commits").cast("long"))
+    return leaf.union(quiet).union(apart)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ancestors, covers
-from ..functions.stats import clamp01, running_before, with_strict_rank
-from ..policy import DEFAULT, Policy
+from ..functions.stats import clamp01, running_before
+from .graph import cut
 
 
 def signals(rules: dict[str, Column]) -> Column:
@@ -23,25 +27,84 @@ def first_of(rules: dict[str, Column], otherwise: str) -> Column:
     return out
 
 
+FRONT_TILE = 4096
+
+
+def _beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which rows of points some row of `by` matches everywhere and beats somewhere; less is better."""
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(points), 256):
+        part = points[at : at + 256, None, :]
+        out[at : at + 256] = ((by[None] <= part).all(2) & (by[None] < part).any(2)).any(1)
+    return out
+
+
 def pareto(df: DataFrame, id_col: str, smaller: list[str], larger: list[str]) -> DataFrame:
     """Rows that no other row matches everywhere and beats somewhere; smaller and larger name what is better.
 
-    Equal rows are one candidate, so a front is compared by distinct values.
+    Equal rows are one candidate, so a front is compared by distinct values. Each task keeps the
+    front of its own points first; what is left is cut in tiles, and pairs of tiles are compared by
+    key, so no side is broadcast and no task holds more than two tiles. Rows with a null are left out.
     """
     values = smaller + larger
-    points = df.select(*values).distinct()
-    other = points.select(*[F.col(c).alias(f"_{c}") for c in values])
-    never_worse, better = F.lit(True), F.lit(False)
-    for c in smaller:
-        never_worse &= F.col(f"_{c}") <= F.col(c)
-        better |= F.col(f"_{c}") < F.col(c)
-    for c in larger:
-        never_worse &= F.col(f"_{c}") >= F.col(c)
-        better |= F.col(f"_{c}") > F.col(c)
-    front = points.join(other, never_worse & better, "left_anti")
+    points = df.select(*values).distinct().dropna()
+    better = points.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(smaller)], *[(-F.col(c).cast("double")).alias(f"_{len(smaller) + i}") for i, c in enumerate(larger)], *values)
+    names = [f"_{i}" for i in range(len(values))]
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = None
+        for batch in batches:
+            for at in range(0, len(batch), FRONT_TILE):
+                part = batch.iloc[at : at + FRONT_TILE]
+                both = part if front is None else pd.concat([front, part])
+                x = both[names].to_numpy()
+                both = both[~_beaten(x, x)]
+                if len(both) > 4 * FRONT_TILE:  # a large front goes on in parts
+                    yield both
+                    both = None
+                front = both
+        if front is not None:
+            yield front
+
+    kept = cut(better.mapInPandas(local, better.schema))
+    tiles = max(1, -(-kept.count() // FRONT_TILE))
+    tiled = kept.withColumn("_t", F.pmod(F.xxhash64(*names), F.lit(tiles)).cast("int"))
+    dealt = tiled.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select(F.least("_t", "_o").alias("_p"), F.greatest("_t", "_o").alias("_q"), "_t", *names, *values)
+
+    def losers(part: pd.DataFrame) -> pd.DataFrame:
+        x = part[names].to_numpy()
+        return part.loc[_beaten(x, x), values]
+
+    beaten = dealt.groupBy("_p", "_q").applyInPandas(losers, df.select(*values).schema).distinct()
+    front = kept.select(*values).join(beaten, values, "left_anti")
     return df.join(front, values, "left_semi").select(id_col, *values)
 
 
+def reviewed(items: DataFrame, measures: list[str], invalid: str, order: str) -> DataFrame:
+    """(subject, id, state) of alternatives (subject, id, ...) of each subject: invalid, indistinguishable, dominated or viable.
+
+    Less is better in every measure; a null is not measured and makes two alternatives incomparable.
+    Invalid ones judge nobody. One that equals an earlier one (by `order`) is indistinguishable from
+    it; one that another is never worse than and somewhere better than is dominated. A subject has
+    few alternatives, and they are compared by its key.
+    """
+    a = items.filter(~F.col(invalid))
+    b = a.select("subject", F.col("id").alias("_id"), F.col(order).alias("_o"), *[F.col(c).alias(f"_{c}") for c in measures])
+    same = never_worse = F.lit(True)
+    better = F.lit(False)
+    for c in measures:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+        never_worse = never_worse & (F.col(f"_{c}") <= F.col(c))
+        better = better | (F.col(f"_{c}") < F.col(c))
+    marks = a.join(b, "subject").filter(F.col("id") != F.col("_id")).groupBy("subject", "id").agg(
+        F.max(F.coalesce(same & (F.col("_o") < F.col(order)), F.lit(False))).alias("_twin"), F.max(F.coalesce(never_worse & better, F.lit(False))).alias("_beaten")
+    )
+    out = items.select("subject", "id", F.col(invalid).alias("_x")).join(marks, ["subject", "id"], "left")
+    state = F.when(F.col("_x"), "invalid").when(F.col("_twin"), "indistinguishable").when(F.col("_beaten"), "dominated").otherwise("viable")
+    return out.select("subject", "id", state.alias("state"))
+
+
 def skyline(df: DataFrame, id_col: str, smaller: str, larger: str) -> DataFrame:
     """pareto() of two numbers by one sort: a row stays if no row that is smaller or equal has more."""
     best = df.groupBy(smaller).agg(F.max(larger).alias("_m"))

@@ -152,32 +152,12 @@ def next_due(schedules: DataFrame, key: str, state: str, due: str) -> DataFrame:
     return schedules.filter(F.col(state) == "waiting").groupBy(key).agg(F.min(F.struct(due, *rest)).alias("r")).select(key, "r.*")
 
 
-def reinforced(static: DataFrame, churn: DataFrame, eligible: int, percentile: float = 0.75, least: int = 10) -> DataFrame:
-    """Static signals (id, pressure) against history (id, rank): reinforced, static-only, or insufficient-history."""
-    out = static.join(churn.select("id", "rank"), "id", "left")
-    state = F.lit("insufficient-history") if eligible < least else F.when(F.coalesce("rank", F.lit(0.0)) >= percentile, "reinforced").otherwise("static-only")
-    return out.select("id", "pressure", state.alias("state"))
-
-
 def overlap_assessment(dimensions: dict[str, Column], structural: list[str]) -> Column:
     """Dimensions that agree, if there are two or more and a structural one is among them; else empty."""
     agreed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in dimensions.items()]))
     return F.when((F.size(agreed) >= 2) & F.arrays_overlap(agreed, F.array(*map(F.lit, structural))), F.array_join(agreed, ",")).otherwise("")
 
 
-def miscentering(declared: Column, behavior: Column, usage: Column, behavior_share: Column, usage_share: Column) -> Column:
-    """Where the weight of a concept lies against where it is declared."""
-    return (
-        F.when(behavior.isNull() & usage.isNull(), "unclear")
-        .when(behavior.isNull(), F.when(usage == declared, "aligned").otherwise("usage-only"))
-        .when(behavior_share < 0.4, "behavior-light")
-        .when((behavior == declared) & (usage.isNull() | (usage == declared)), "aligned")
-        .when((behavior != declared) & (behavior == usage) & (usage_share >= 0.5), "external")
-        .when(behavior != usage, "split")
-        .otherwise("drift")
-    )
-
-
 def import_usage(imports: DataFrame) -> DataFrame:
     """(package, dependency, runtime, type_only): symbols of each import table (package, dependency, symbol, type_only)."""
     rows = imports.groupBy("package", "dependency", "symbol").agg(F.min("type_only").alias("t"))

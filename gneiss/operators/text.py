@@ -49,7 +49,7 @@ def fixed_chunks(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 
 
 def recursive_chunks(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """Paragraphs merged up to `size` characters; a longer paragraph is cut. Our own definition of recursive chunking."""
+    """Paragraphs, those of over `size` characters cut. Our own definition of recursive chunking; short ones are not merged."""
     paragraphs = df.select(id_col, F.posexplode(F.split(text, "\n\n+")).alias("_p", "content"))
     cut = fixed_chunks(paragraphs.withColumn("_k", F.struct(id_col, "_p")), "_k", "content", size)
     return cut.select(F.col(f"_k.{id_col}").alias(id_col), F.col("_k._p").alias("paragraph"), "chunk", "content")

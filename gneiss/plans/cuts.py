@@ -53,7 +53,7 @@ def seams(spark, d):
 
 def chains(spark, d):
     nodes, edges = module_graph(spark, d)
-    parts = graph.cut(graph.strong_components(nodes, graph.closure(edges)))
+    parts = graph.cut(graph.strong_components(nodes, edges))
     return paths.longest_chains(parts, edges, 8)
 
 

@@ -297,6 +297,19 @@ def weighted_shares(spark, d):
     return s.select("p_partkey", F.round(rollup.weighted_share({"a": 0.5, "b": 0.3, "c": 0.2}), 9).alias("gravity"))
 
 
+def overlap_candidates(spark, d):
+    p = _part(spark, d)
+    items = p.select(F.col("p_partkey").alias("item"), F.expr("p_partkey % 300").alias("file"), F.array(F.concat(F.lit("t"), F.expr("p_partkey % 90")), F.concat(F.lit("u"), F.expr("p_size"))).alias("tokens"), F.expr("transform(sequence(0, 5), i -> 'q' || (p_partkey * (i + 1) % 97))").alias("properties"))
+    conversions = p.filter("p_size = 7").select(F.col("p_partkey").alias("item"), F.expr("p_partkey - 1").alias("other"))
+    coupled = p.filter("p_size = 9 and p_partkey % 300 > 0").select(F.expr("p_partkey % 300 - 1").alias("left"), F.expr("p_partkey % 300").alias("right")).distinct()
+    return pairs.overlap_candidates(items, conversions, coupled, ["q1", "q2"])
+
+
+def reviewed(spark, d):
+    p = _part(spark, d).select((F.col("p_partkey") % 150).alias("subject"), F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("a"), F.expr("case when p_size % 9 > 0 then p_size % 3 end").alias("b"), (F.col("p_size") % 11 == 0).alias("bad"))
+    return rules.reviewed(p, ["a", "b"], "bad", "id")
+
+
 QUERIES = {
     "shards": (shards, "select p_partkey as id, p_brand as package, p_size from part where p_brand in ('Brand#11', 'Brand#12')"),
     "exported": (exported, "select p_partkey, p_name from part"),
@@ -347,4 +360,10 @@ select id, case when k = 3 then '-' else coalesce(case when k = 0 then a.hit end
     "renamed_lineages": (renamed_lineages, "with o as (select o_custkey % 300 as path, o_orderkey, o_orderstatus <> 'F' as alive, case when o_custkey % 300 % 3 = 0 then o_custkey % 300 + 1 else o_custkey % 300 end as lineage from orders), x as (select *, lag(path) over w as bp, lag(alive) over w as ba from o window w as (partition by lineage order by o_orderkey)), c as (select * from x where bp is null or bp <> path or ba <> alive) select lineage, path, o_orderkey as since, coalesce(lead(o_orderkey) over (partition by lineage order by o_orderkey), -1) as until, alive from c"),
     "maximal_sequences": (maximal_sequences, "with p as (select distinct x from (select l_orderkey, list_sort(list(distinct (l_suppkey % 7)::int)) as x from lineitem group by 1)) select array_to_string(x, '>') as path from p a where not exists (select 1 from p b where len(b.x) > len(a.x) and contains('>' || array_to_string(b.x, '>') || '>', '>' || array_to_string(a.x, '>') || '>'))"),
     "weighted_shares": (weighted_shares, "with s as (select p_partkey, case when p_size % 3 > 0 then p_size / 50 end as a, case when p_size % 2 > 0 then 0.5::double end as b from part) select p_partkey, round((coalesce(a, 0) * 0.5::double + coalesce(b, 0) * 0.3::double + 0.2::double * 0.2::double) / (0.2::double + case when a is null then 0 else 0.5::double end + case when b is null then 0 else 0.3::double end), 9) as gravity from s"),
+    "overlap_candidates": (overlap_candidates, """with i as (select p_partkey as item, p_partkey % 300 as file, ['t' || (p_partkey % 90), 'u' || p_size] as t, list_distinct(list_transform(range(1, 7), lambda k: 'q' || (p_partkey * k % 97))) as q from part),
+te as (select item, unnest(list_distinct(t)) as k from i), tb as (select k from te group by 1 having count(*) <= 40), pe as (select item, k from (select item, unnest(q) as k from i) where k not in ('q1', 'q2')), pb as (select k from pe group by 1 having count(*) <= 40),
+g as (select distinct a.item as l, b.item as r, 'name' as g from te a join tb on tb.k = a.k join te b on b.k = a.k and a.item < b.item union select a.item, b.item, 'property' from pe a join pb on pb.k = a.k join pe b on b.k = a.k and a.item < b.item group by 1, 2 having count(*) >= 3
+union select p_partkey - 1, p_partkey, 'conversion' from part where p_size = 7 union select least(a.item, b.item), greatest(a.item, b.item), 'temporal' from (select distinct p_partkey % 300 as f from part where p_size = 9 and p_partkey % 300 > 0) c join i a on a.file = c.f - 1 join i b on b.file = c.f)
+select l as "left", r as "right", string_agg(g, ',' order by g) as generators from g where l <> r group by 1, 2"""),
+    "reviewed": (reviewed, "with p as (select p_partkey % 150 as subject, p_partkey as id, p_size % 4 as a, case when p_size % 9 > 0 then p_size % 3 end as b, p_size % 11 = 0 as bad from part), m as (select x.subject, x.id, bool_or(coalesce(y.a = x.a and y.b = x.b and y.id < x.id, false)) as twin, bool_or(coalesce(y.a <= x.a and y.b <= x.b and (y.a < x.a or y.b < x.b), false)) as beaten from p x join p y on y.subject = x.subject and y.id <> x.id and not y.bad where not x.bad group by 1, 2) select p.subject, p.id, case when bad then 'invalid' when twin then 'indistinguishable' when beaten then 'dominated' else 'viable' end as state from p left join m on m.id = p.id"),
 }

@@ -45,12 +45,12 @@ def hop_distance(spark, d):
 
 def scc(spark, d):
     nodes, edges = _trade(spark, d)
-    return graph.strong_components(nodes, graph.closure(edges))
+    return graph.strong_components(nodes, edges)
 
 
 def layers(spark, d):
     nodes, edges = _trade(spark, d)
-    return graph.layers(graph.strong_components(nodes, graph.closure(edges)), edges)
+    return graph.layers(graph.strong_components(nodes, edges), edges)
 
 
 def _equal_documents(spark, d):

@@ -116,7 +116,7 @@ def gravity_rows(spark, d):
 
 def grouped_layers(spark, d):
     nodes, edges = module_graph(spark, d)
-    parts = graph.cut(graph.strong_components(nodes, graph.closure(edges)))
+    parts = graph.cut(graph.strong_components(nodes, edges))
     return gravity.grouped_layers(graph.layers(parts, edges))
 
 
@@ -393,6 +393,52 @@ def run_buckets(spark, d):
     return rows.groupBy("bucket").agg(F.count("*").alias("runs"))
 
 
+def miscentering(spark, d):
+    r = table(spark, d, "lineitem").select((F.col("l_partkey") % 400).alias("concept"), F.expr("case when l_partkey % 3 = 0 then l_partkey % 5 when l_suppkey % 3 > 0 then l_partkey % 4 else l_suppkey % 6 end").alias("package"), F.expr("element_at(array('behavior', 'representation', 'reference', 'dependency'), cast((l_orderkey + l_linenumber) % 4 + 1 as int))").alias("family")).filter("concept % 7 > 0 or family <> 'representation'")
+    n = r.groupBy("concept", "family", "package").agg(F.count("*").alias("n"))
+    t = r.groupBy("concept", "family").agg(F.count("*").alias("t"))
+    shares = n.join(t, ["concept", "family"]).select("concept", "family", "package", (F.col("n") / F.col("t")).alias("share"))
+    e = lambda x, name: F.expr(x).alias(name)
+    concepts = table(spark, d, "part").select((F.col("p_partkey") % 400).alias("concept")).distinct().select(
+        "concept", e("concept % 6", "home"), e("concept % 11", "governing"), e("concept % 5", "strong"), e("concept % 4", "weak"), e("concept % 9", "foreign_behaviors"),
+        e("case when concept % 4 > 0 then concept % 5 end", "evolution_center"), e("concept % 8 = 0", "implementation_split"), e("concept % 10 = 0", "reference_distributed"),
+    )
+    crossings = r.filter("family = 'dependency' and concept % 2 = 0").select("concept", "package").distinct()
+    return profiles.miscentering(concepts, shares, crossings)
+
+
+MIS = """r as (select l_partkey % 400 as concept, case when l_partkey % 3 = 0 then l_partkey % 5 when l_suppkey % 3 > 0 then l_partkey % 4 else l_suppkey % 6 end as package, ['behavior', 'representation', 'reference', 'dependency'][((l_orderkey + l_linenumber) % 4 + 1)::int] as family from lineitem),
+n as (select concept, family, package, count(*) as n from r where concept % 7 > 0 or family <> 'representation' group by 1, 2, 3), s as (select concept, family, package, n / sum(n) over (partition by concept, family) as share, case family when 'behavior' then 0.6::double when 'representation' then 0.25::double when 'reference' then 0.15::double end as w from n),
+cs as (select distinct p_partkey % 400 as concept, p_partkey % 400 % 6 as home from part), tw as (select concept, sum(w) as t from (select distinct concept, family, w from s where w is not null) group by 1),
+g0 as (select s.concept, package, sum(w * share) / any_value(t) as g from s join tw on tw.concept = s.concept where w is not null group by 1, 2), g as (select * from g0 where concept in (select concept from cs) union all select concept, home, 0 from cs where (concept, home) not in (select concept, package from g0)),
+c as (select g.concept, any_value(home) as home, arg_min(package, (-g, package)) filter (package <> home) as top, coalesce(max(g) filter (package <> home), 0) as tg, coalesce(max(g) filter (package = home), 0) as hg, max(g) as largest, count(*) filter (g >= 0.2) as pieces from g join cs on cs.concept = g.concept group by 1),
+f as (select c.concept, coalesce(max(share) filter (family = 'behavior' and package = home), 0) as bh, coalesce(max(share) filter (family = 'representation' and package = home), 0) as rh, coalesce(max(share) filter (family = 'behavior' and package = top), 0) >= 0.5 as bt, coalesce(max(share) filter (family = 'representation' and package = top), 0) >= 0.5 as rt, coalesce(max(share) filter (family = 'reference' and package = top), 0) >= 0.5 as ft, coalesce(max(share) filter (family = 'dependency' and package = top), 0) >= 0.5 as dt,
+  coalesce(max(share) filter (family = 'behavior') < 0.5 and count(*) filter (family = 'behavior' and share >= 0.2) >= 2, false) as bd, coalesce(max(share) filter (family = 'representation') < 0.5 and count(*) filter (family = 'representation' and share >= 0.2) >= 2, false) as rd, coalesce(max(share) filter (family = 'reference') < 0.5 and count(*) filter (family = 'reference' and share >= 0.2) >= 2, false) as fd,
+  coalesce(bool_or(package <> home and share >= 0.5 and family in ('reference', 'dependency') and exists (select 1 from g where g.concept = s.concept and g.package = s.package)), false) as led from c left join s on s.concept = c.concept group by 1),
+x as (select distinct concept, package from r where family = 'dependency' and concept % 2 = 0), m as (select x.concept, bool_or(package = top) as xt from x join c on c.concept = x.concept group by 1),
+z as (select c.*, f.* exclude (concept), m.concept is not null as crossed, coalesce(xt, false) as xt, case when c.concept % 4 > 0 then c.concept % 5 end as ev from c join f on f.concept = c.concept left join m on m.concept = c.concept)"""
+
+
+def _pressure_facts(spark, d):
+    s = table(spark, d, "supplier")
+    e = lambda x, name: F.expr(x).alias(name)
+    return s.select(
+        F.col("s_suppkey").alias("id"), e("s_suppkey % 23 + 5", "eligible"), e("(s_suppkey % 10) / 10", "boundary_rate"), e("s_suppkey % 3", "direct_pairs"), e("case when s_suppkey % 2 = 0 then s_suppkey % 17 end", "primary_commits"), e("s_suppkey % 13", "primary_combinations"),
+        e("s_suppkey % 4 = 0", "seam_reinforced"), e("s_suppkey % 5 = 0", "hub_evidence"), e("s_suppkey % 3 = 1", "leaf"), e("s_suppkey % 4", "pressures"), e("(s_suppkey % 6) / 10", "cross_rate"), e("s_suppkey % 2", "hotspots"), e("s_suppkey % 5", "recurring"),
+        e("s_suppkey % 19", "partner_commits"), e("case when s_suppkey % 7 > 0 then s_suppkey % 21 end", "combination_commits"),
+    )
+
+
+def evolutionary_pressures(spark, d):
+    static = structural_pressures(spark, d)
+    return profiles.evolutionary_pressure(static, _pressure_facts(spark, d))
+
+
+def tensions(spark, d):
+    p = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("left"), (F.col("l_partkey") + 1).alias("right"), F.expr("case when l_partkey % 3 = 0 then 'direct' else 'none' end").alias("static_path"), F.expr("case when l_partkey % 4 = 0 then 'source-test' else 'source-source' end").alias("context"), F.col("l_linenumber").alias("commits"))
+    return profiles.tensions(_pressure_facts(spark, d), p)
+
+
 RUNS = """rn as (select 'run-' || o_orderkey as id, o_orderpriority as queue, 'step-' || (o_orderkey % 5) as step, 'def-' || (o_custkey % 3) as definition, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'complete' end as status,
   't' || (o_custkey % 4) as team, 'S' || o_custkey as session, case when o_orderkey % 2 = 0 then 'I' || o_orderkey end as invocation, o_orderkey, o_orderdate from orders)"""
 REACHED = f"{EDGE}, w as (select src, dst from ed union select w.src, ed.dst from w join ed on w.dst = ed.src), r as (select * from w where src <> dst)"
@@ -449,4 +495,7 @@ QUERIES = {
     "feed": (feed, "select o_orderkey as id from orders order by o_orderdate desc, o_orderkey limit 30"),
     "recoverable_runs": (recoverable_runs, f"with {RUNS} select id, status from rn where queue = '1-URGENT' and status in ('queued', 'running')"),
     "run_buckets": (run_buckets, f"with {RUNS} select case when o_orderkey % 7 = 0 then 'waiting' else status end as bucket, count(*) as runs from rn group by 1"),
+    "miscentering": (miscentering, f"with {MIS} select concept, case when concept % 11 < 3 then 'behavior-light' when top is null then 'aligned' when tg >= 0.5 and tg - hg >= 0.25 and bt and bt::int + rt::int + ft::int + dt::int + xt::int + coalesce(ev = top, false)::int >= 2 then 'external-gravity' when rh >= 0.5 and 1 - bh >= 0.5 and concept % 9 >= 3 and (crossed or coalesce(ev <> home, false) or concept % 8 = 0) then 'boundary-drift' when concept % 4 <= concept % 5 and largest < 0.5 and pieces >= 2 and bd and (rd or fd or concept % 8 = 0 or concept % 10 = 0) then 'split-gravity' when bh < 0.5 then 'unclear' when led then 'usage-only' else 'aligned' end as outcome from z"),
+    "evolutionary_pressures": (evolutionary_pressures, f"with {PROFILE}, st as (select id, 'surface-pressure' as pressure from pf where public_symbols >= 50 and utilization <= 0.25 and primary_share >= 0.8 union all select id, 'integration-pressure' from pf where fan_out >= 3 and dependency_reach >= 0.1 and outgoing_sites >= 50 union all select id, 'centralization-pressure' from pf where fan_in >= 3 and incoming_references >= 100 and destination_share >= 0.2 union all select id, 'internal-structure-pressure' from pf where module_depth - package_depth >= 10 and top_fan_in >= 20 and branch_heavy >= 3) select id, pressure, case when id % 23 + 5 < 10 then 'insufficient-history' when (pressure = 'integration-pressure' and (id % 10 >= 5 or id % 3 > 0)) or (pressure = 'surface-pressure' and ((id % 2 = 0 and id % 17 >= 10) or id % 13 >= 10)) or (pressure = 'centralization-pressure' and id % 4 = 0) or (pressure = 'internal-structure-pressure' and id % 5 = 0) then 'reinforced' else 'static-only' end as state from st"),
+    "tensions": (tensions, "with s as (select s_suppkey as id from supplier where s_suppkey % 23 + 5 >= 10), k as (select id, case when id % 7 > 0 then id % 21 else 0 end as co from s) select id, 'static-leaf-temporal-coupling' as kind, greatest(id % 19, co) as commits from k where id % 3 = 1 and (id % 5 > 0 or co >= 10) union all select id, 'static-pressure-low-evolution', id % 23 + 5 from s where id % 4 > 0 and id % 6 <= 2 and id % 2 = 0 and id % 5 = 0 union all select l_suppkey, 'temporal-coupling-without-static-path ' || l_partkey || ' ' || (l_partkey + 1), l_linenumber from lineitem where l_quantity >= 45 and l_partkey % 3 > 0 and l_partkey % 4 > 0 and l_linenumber >= 5 and l_suppkey in (select id from s)"),
 }

@@ -42,7 +42,7 @@ def test_closure_components_layers(spark, seed):
     got = {(r.src, r.dst): r.hops for r in graph.closure(edges, distance=True).collect()}
     assert got == want
     reach = graph.closure(edges)
-    scc = {r.id: (r.component, r.size) for r in graph.strong_components(nodes, reach).collect()}
+    scc = {r.id: (r.component, r.size) for r in graph.strong_components(nodes, edges).collect()}
     member = {i: {j for j in range(n) if j == i or ((i, j) in want and (j, i) in want)} for i in range(n)}
     assert scc == {i: (min(m), len(m)) for i, m in member.items()}
     down = {(min(member[a]), min(member[b])) for a in adjacency for b in adjacency[a]}
@@ -51,7 +51,7 @@ def test_closure_components_layers(spark, seed):
     def depth(c):
         return max((depth(b) + 1 for a, b in down if a == c), default=0)
 
-    layers = {r.id: r.layer for r in graph.layers(graph.strong_components(nodes, reach), edges).collect()}
+    layers = {r.id: r.layer for r in graph.layers(graph.strong_components(nodes, edges), edges).collect()}
     assert layers == {i: depth(min(member[i])) for i in range(n)}
     both = defaultdict(set)
     for a in adjacency:
@@ -144,7 +144,7 @@ def test_cut_edges_and_chains(spark):
     assert rows["c", "x"] == (0, 11, True, 4, 3) and rows["q", "a"] == (0, 5, True, 1, 6) and rows["a", "b"][0] == 0 and not rows["a", "b"][2]
     ring = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
     assert [r.bridge for r in paths_.edge_structure(nodes, ring).collect()] == [False, False]  # the other direction holds them together
-    parts = graph.strong_components(nodes, graph.closure(edges))
+    parts = graph.strong_components(nodes, edges)
     assert [tuple(r) for r in paths_.longest_chains(parts, edges).collect()] == [("q→[a|b|c]→[x|y|z]", 3)]
 
 

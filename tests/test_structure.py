@@ -43,17 +43,7 @@ def test_fan_cutoffs_without_positive_values(spark):
     assert {r.k: r.cutoff for r in structure.fan_cutoffs(df, "k", "v").collect()} == {"p": float("inf"), "q": 9.0}
 
 
-def test_reinforced_needs_history(spark):
-    static = spark.createDataFrame([("a", "hub"), ("b", "leaf")], "id string, pressure string")
-    churn = spark.createDataFrame([("a", 0.9)], "id string, rank double")
-    assert [r.state for r in structure.reinforced(static, churn, 12).orderBy("id").collect()] == ["reinforced", "static-only"]
-    assert {r.state for r in structure.reinforced(static, churn, 9).collect()} == {"insufficient-history"}
-
-
 def test_labels(spark):
-    df = spark.createDataFrame([("p", "p", "p", 0.9, 0.9), ("p", "q", "q", 0.9, 0.9), ("p", "q", "r", 0.9, 0.9), ("p", None, None, 0.0, 0.0), ("p", None, "q", 0.0, 0.9), ("p", "p", "p", 0.1, 0.9)], "d string, b string, u string, bs double, us double")
-    got = [r.x for r in df.select(structure.miscentering(*(F.col(c) for c in ("d", "b", "u", "bs", "us"))).alias("x")).collect()]
-    assert got == ["aligned", "external", "split", "unclear", "usage-only", "behavior-light"]
     flags = spark.createDataFrame([(True, True, False), (True, False, True), (False, False, True)], "a boolean, b boolean, c boolean")
     out = flags.select(structure.overlap_assessment({c: F.col(c) for c in "abc"}, ["b"]).alias("o")).collect()
     assert [r.o for r in out] == ["a,b", "", ""]
