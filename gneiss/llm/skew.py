@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_GROUPS = 10_000
+LEAST = 1000  # rows below which no group is large
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     their rows never meet in one task. All other groups are small and are joined by a shuffle.
     `least` states another size from which a group counts as large.
     """
-    least = least or max(1000, total // HOT_GROUPS)
+    least = least or max(LEAST, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(F.col(size) >= least))
     cold = groups.filter(F.col(size) < least)
     rest = rows.join(F.broadcast(groups.filter(F.col(size) >= least).select(*keys)), keys, "left_anti")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .skew import join_groups
 from .store import release, small_batches, written
 from .text import Slice, mix, range_hashes, slices, window_starts, word_ranges
@@ -211,7 +212,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = source.repartition("id")
     paths = written(source.mapInArrow(_path_rows(window, KMER), "kmer long, path long, id long, place long"))
     # No key has this many rows in more than a bounded number of cases, whatever the size of the corpus.
-    large = max(1000, source.count() // 100)
+    large = max(skew.LEAST, source.count() // 100)
     known = paths.filter("kmer is not null")
     at = F.struct("id", "place")
     # A path's hash fixes its words and its node's place in them, and so its node.

@@ -154,3 +154,35 @@ def test_hot_groups_are_joined_apart(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     got = {(r.id, r.k, r.n, r.first) for r in join_groups(rows, groups, ["k"], "n", 3000).collect()}
     assert got == {(r.id, r.k, r.n, r.first) for r in rows.join(groups, "k").collect()} and len(got) == 3000
+
+
+def crowded_rows(n=120):
+    """Every document holds one line that is near a hub line, one long passage, and nearly all of one text."""
+    rng = random.Random(8)
+    hub = [f"h{i}" for i in range(12)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    body = [f"b{i}" for i in range(60)]
+    rows = [(0, " ".join(hub))]
+    for i in range(1, n):
+        line, text = list(hub), list(body)
+        line[rng.randrange(12)] = f"x{i}"
+        text[rng.randrange(60)] = f"y{i}"
+        own = " ".join(f"z{i}q{k}" for k in range(rng.randint(3, 25)))
+        rows.append((i, f"{' '.join(line)}\n{own} {passage} {own[::-1]}\n{' '.join(text) if i % 2 else own}"))
+    return rows
+
+
+@pytest.mark.parametrize("least", [2, 1000])
+def test_crowded_keys_are_joined_apart_without_loss(spark, monkeypatch, least):
+    from gneiss.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", least)  # from how many rows a group is broadcast
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rows = crowded_rows()
+    got = normal(substrings.substring_dedup(documents(spark, rows)).drop("kept_text").withColumnRenamed("id", "doc_id").toPandas())
+    assert got == oracle(substrings.OP3_SQL, rows)
+    out = lines.line_dedup(documents(spark, rows)).select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    assert normal(out.toPandas()) == oracle(lines.OP1_SQL, rows)
+    near = [(i, " ".join(t.split("\n")[-1].split())) for i, t in rows]
+    pairs = minhash.near_duplicates(documents(spark, near), shingle_words=4, percent=80).withColumnRenamed("id", "doc_id")
+    assert normal(pairs.toPandas()) == oracle(minhash.OP2_SQL, near)
