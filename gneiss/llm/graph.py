@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_GROUPS, join_groups
+from .skew import HOT_GROUPS, join_salted
 from .store import release, written
 
 
@@ -20,14 +20,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = written(e)
     seen = _mark(e)
     while True:
-        total = 2 * seen[0]
-        hub = max(64, total // HOT_GROUPS)  # still at most HOT_GROUPS nodes
+        hub = max(64, 2 * seen[0] // HOT_GROUPS)  # at most HOT_GROUPS nodes have as many links
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = join_groups(both.filter("v > u"), low, ["u"], "n", total, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_salted(both.filter("v > u"), low, ["u"], "n", hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_groups(large, low, ["u"], "n", total, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_salted(large, low, ["u"], "n", hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         after = written(small)
         release(e)
