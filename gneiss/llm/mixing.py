@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches, trimmed, written
+from .store import release_memory, small_batches, trimmed, written
 from .subword import Model, train
 from .text import mix, slices, word_ranges
 from .toxicity import sample_labelled
@@ -38,6 +38,8 @@ def train_domains(docs: DataFrame, labels: DataFrame, label_col: str, domains: i
     """
     texts, y = sample_labelled(docs, labels, label_col, dict.fromkeys(range(domains), max_labelled), id_col, text_col)
     model = train(texts, y, domains, pool="mean", epochs=int(np.clip(9_000 // max(1, len(texts)), 3, 20)))
+    del texts
+    release_memory()  # the sample and the training's arrays
     counts = {r[0]: r[1] for r in labels.groupBy(F.col(label_col).cast("int")).count().collect() if r[0] is not None}
     prior = np.array([counts.get(c, 0) for c in range(domains)], float) + 0.5
     model.bias = model.bias + np.log(prior / prior.sum())

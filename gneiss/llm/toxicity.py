@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches, trimmed
+from .store import release_memory, small_batches, trimmed
 from .subword import Model, train
 from .text import slices
 
@@ -50,7 +50,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     texts, y = sample_labelled(docs, labels, label_col, {1: max_toxic, 0: max_clean}, id_col, text_col)
     epochs = int(np.clip(18_000 // max(1, len(texts)), 4, 20))  # small samples are read more often
-    return train(texts, y, 2, pool="max", epochs=epochs)
+    model = train(texts, y, 2, pool="max", epochs=epochs)
+    del texts
+    release_memory()  # the sample and the training's arrays
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
