@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, lines, minhash, mixing, packing, scoring, substrings, tokens, toxicity
+from . import embeddings, fingerprints, lines, minhash, mixing, packing, phrases, scoring, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op9_lm_scoring": scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_collocations": phrases.op11_collocations,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_near_dedup": minhash.OP2_SQL,
         "op3_substring_dedup": substrings.OP3_SQL,
         "op8_embedding_near_dedup": embeddings.OP8_SQL,
+        "op11_collocations": phrases.OP11_SQL,
     }
