@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, lines, minhash, mixing, negatives, packing, phrases, scoring, substrings, tokens, toxicity
+from . import embeddings, fingerprints, lines, minhash, mixing, negatives, packing, pages, phrases, scoring, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_lm_scoring": scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_collocations": phrases.op11_collocations,
+        "op12_html_extraction": pages.op12_html_extraction,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
