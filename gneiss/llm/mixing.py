@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import release_memory, small_batches, trimmed, written
-from .subword import Model, train
+from .subword import SCORED_BYTES, Model, train
 from .text import mix, slices, word_ranges
 from .toxicity import sample_labelled
 
@@ -60,7 +60,7 @@ def domain_memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SCORED_BYTES):
                 tokens, p = _memberships(shared.value, part)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part)), pa.array(tokens), lists], names=["id", "tokens", "posterior"])
@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, model: Model, steps: list[np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(at)):
+            for part in slices(batch.column(at), SCORED_BYTES):
                 own = batch.slice(part.rows.start, len(part))
                 r = rates_of(_memberships(shared.value, part)[1], steps)
                 copies = np.floor(r + _uniform(own.column(who))).astype(np.int64)

@@ -20,6 +20,7 @@ import pyarrow as pa
 
 from .text import Slice, lowered, range_hashes, slices, word_ranges
 
+SCORED_BYTES = 1 << 18  # text scored at once: n-grams take a hundred times its memory
 SHARPNESS = 2.0  # of the smooth maximum
 BASE_RATE = 0.1
 
@@ -40,29 +41,68 @@ class Bag:
         return np.stack([np.bincount(self.word, v, self.words) for v in values.T], 1) / sizes[:, None]
 
 
-def bag(part: Slice, buckets: int, least: int = 3, most: int = 6) -> Bag:
-    starts, ends, rows = word_ranges(part)
-    if not len(starts):
-        return Bag(*(np.zeros(0, np.int64) for _ in range(3)), rows, 0)
-    data = lowered(part.data)
-    _, first, token = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    # The distinct words end to end, each between marks that no text byte equals.
-    size = ends[first] - starts[first]
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int, least: int = 3, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every n-gram of the given words and of each word itself, in no order."""
+    # The words end to end, each between marks that no text byte equals.
+    size = ends - starts
     to = np.concatenate([[0], np.cumsum(size + 2)])
     text = np.zeros(to[-1], np.uint16)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    text[np.repeat(to[:-1] + 1, size) + inside] = data[np.repeat(starts[first], size) + inside]
+    text[np.repeat(to[:-1] + 1, size) + inside] = data[np.repeat(starts, size) + inside]
     text[to[:-1]], text[to[1:] - 1] = 300, 301
-    lo, hi, word = [to[:-1]], [to[1:]], [np.arange(len(first))]
+    lo, hi, word = [to[:-1]], [to[1:]], [np.arange(len(starts))]
     for n in range(least, most + 1):
         count = np.maximum(size + 2 - n + 1, 0)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(to[:-1], count)
         lo.append(at)
         hi.append(at + n)
-        word.append(np.repeat(np.arange(len(first)), count))
+        word.append(np.repeat(np.arange(len(starts)), count))
     h = range_hashes(text, np.concatenate(lo), np.concatenate(hi))
-    grams = (h & np.uint64(buckets - 1)).astype(np.int64)
-    return Bag(grams, np.concatenate(word), token, rows, len(first))
+    return (h & np.uint64(buckets - 1)).astype(np.int64), np.concatenate(word)
+
+
+def bag(part: Slice, buckets: int) -> Bag:
+    starts, ends, rows = word_ranges(part)
+    if not len(starts):
+        return Bag(*(np.zeros(0, np.int64) for _ in range(3)), rows, 0)
+    data = lowered(part.data)
+    _, first, token = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return Bag(*_grams(data, starts[first], ends[first], buckets), token, rows, len(first))
+
+
+class Sample:
+    """The texts of a training sample, hashed once: each distinct word's grams, each text's words by number."""
+
+    def __init__(self, texts: list[str], buckets: int):
+        known: dict[int, int] = {}
+        grams, sizes, tokens, counts = [], [], [], []
+        for part in slices(pa.array(texts, pa.string())):
+            starts, ends, rows = word_ranges(part)
+            data = lowered(part.data)
+            u, first, inverse = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            new = np.array([h not in known for h in u.tolist()], bool)
+            known.update(zip(u[new].tolist(), range(len(known), len(known) + int(new.sum()))))
+            g, word = _grams(data, starts[first[new]], ends[first[new]], buckets)
+            grams.append(g[np.argsort(word, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(word, minlength=int(new.sum())))
+            tokens.append(np.array([known[h] for h in u.tolist()], np.int32)[inverse])
+            counts.append(np.diff(rows))
+        self.grams, self.tokens = np.concatenate(grams), np.concatenate(tokens)
+        self.gram_at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        self.token_at = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+    def bag(self, pick: np.ndarray) -> Bag:
+        """The bag of some of the texts."""
+        ids, counts = _ranges(self.token_at, pick)
+        words, token = np.unique(self.tokens[ids], return_inverse=True)
+        ids, sizes = _ranges(self.gram_at, words)
+        return Bag(self.grams[ids].astype(np.int64), np.repeat(np.arange(len(words)), sizes), token, np.concatenate([[0], np.cumsum(counts)]), len(words))
+
+
+def _ranges(at: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at[i] to at[i + 1] for each i of pick, end to end, and how many there are of each."""
+    counts = at[pick + 1] - at[pick]
+    return np.arange(counts.sum()) + np.repeat(at[pick] - np.cumsum(counts) + counts, counts), counts
 
 
 def window_bounds(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +177,13 @@ def train(
 
     steps = max(1, epochs * -(-len(texts) // batch))
     done = 0
+    sample = Sample(texts, buckets)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            part = next(slices(pa.array([texts[i] for i in pick], pa.string()), 1 << 40))
             y = labels[pick]
-            b = bag(part, buckets)
+            b = sample.bag(pick)
             full = np.flatnonzero(np.diff(b.rows) > 0)
             if not len(full):
                 continue

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import release_memory, small_batches, trimmed
-from .subword import Model, train
+from .subword import SCORED_BYTES, Model, train
 from .text import slices
 
 #: Most labelled rows that the classifier learns from.
@@ -25,8 +25,8 @@ THRESHOLD = 0.3
 
 
 def learns_from(id_col: str = "doc_id"):
-    """True for ids whose labels may be learnt; the others are held out."""
-    return F.expr(f"crc32(cast(`{id_col}` as string)) % 4 <> 2")
+    """True for ids whose labels may be learnt, a null id among them; the others are held out."""
+    return F.expr(f"coalesce(crc32(cast(`{id_col}` as string)) % 4 <> 2, true)")
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, limits: dict[int, int], id_col: str = "doc_id", text_col: str = "text"):
@@ -71,7 +71,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.probabilities(part)[:, 1] for part in slices(batch.column(at))]
+            parts = [shared.value.probabilities(part)[:, 1] for part in slices(batch.column(at), SCORED_BYTES)]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, score_col])
 
