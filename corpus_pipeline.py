@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import lines, minhash, mixing, packing, toxicity
-from gneiss.llm.store import written
+from gneiss.llm.store import release, release_memory, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,7 +70,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of sf_dir, each result written before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs)
+            out = written(out)
+            release(docs)  # what the stage before wrote
+            release_memory()
+        docs = out
     return docs
