@@ -251,12 +251,33 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def at_least_level(level: Column, least: str, levels: tuple[str, ...] = ("debug", "info", "warn", "error")) -> Column:
+#: Names of log levels, from the least.
+LEVELS = ("debug", "info", "warn", "error")
+
+
+def at_least_level(level: Column, least: str, levels: tuple[str, ...] = LEVELS) -> Column:
     """True where a named level is `least` or above; unknown levels are below all."""
     rank = F.array_position(F.array(*map(F.lit, levels)), level)
     return rank >= levels.index(least) + 1
 
 
+def log_matches(level: str, source: str = "all", query: str = "", run: str | None = None) -> Column:
+    """Log entries (level, source, message, run_name, run_id, step_id) of a level or above, a source, a run, holding a text.
+
+    The text is looked for in message, run name, run id and step id, joined by a space each, without regard to case; it is trimmed, and
+    nothing is looked for where it is empty then.
+    """
+    out = at_least_level(F.col("level"), level)
+    if run is not None:
+        out &= F.coalesce(F.col("run_id") == run, F.lit(False))
+    if source != "all":
+        out &= F.col("source") == source
+    if query.strip():
+        joined = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("message", "run_name", "run_id", "step_id")])
+        out &= F.contains(F.lower(joined), F.lit(query.strip().lower()))
+    return out
+
+
 def search_keys(keys: Column, needle: str, mode: str) -> Column:
     """True if any of an array of names matches in any case: "exact", "prefix" or "contains"."""
     n = F.lit(needle.lower())

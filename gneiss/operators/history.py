@@ -26,7 +26,8 @@ class History:
 def churn(df: DataFrame, h: History, since: Column | None = None) -> DataFrame:
     """Distinct events, amounts and authors of each subject since a time, first and last time of all history.
 
-    The primary author has the most events in the window, the smallest name of those that tie.
+    The primary author has the most events in the window; of those that tie, the one whose last event there is the
+    newest (of equal times the smallest event), as a log read from its newest event meets them.
     Subjects without an event in the window stay, with zero counts.
     """
     inside = F.lit(True) if since is None else F.col(h.ts) >= since
@@ -34,13 +35,15 @@ def churn(df: DataFrame, h: History, since: Column | None = None) -> DataFrame:
     rows = df.select(
         F.col(h.subject), F.col(h.event).alias("_e"), F.col(h.author).alias("_a"), F.col(h.ts).alias("_t"), F.col(h.additions).alias("_p"), gone.alias("_m"), inside.alias("_in")
     )
+    kind = df.schema[h.ts].dataType.typeName()
+    newest = F.unix_micros(F.col("_w").cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col("_w")
     # One partial result for each subject and author keeps the distinct counts small.
-    single = rows.groupBy(h.subject, "_e", "_a").agg(F.min("_t").alias("_f"), F.max("_t").alias("_l"), F.sum(F.when(F.col("_in"), F.col("_p"))).alias("_p"), F.sum(F.when(F.col("_in"), F.col("_m"))).alias("_m"), F.max("_in").alias("_in"))
+    single = rows.groupBy(h.subject, "_e", "_a").agg(F.min("_t").alias("_f"), F.max("_t").alias("_l"), F.sum(F.when(F.col("_in"), F.col("_p"))).alias("_p"), F.sum(F.when(F.col("_in"), F.col("_m"))).alias("_m"), F.max("_in").alias("_in"), F.max(F.when(F.col("_in"), F.col("_t"))).alias("_w"))
     by_author = single.groupBy(h.subject, "_a").agg(
-        F.count(F.when(F.col("_in"), 1)).alias("_n"), F.sum("_p").alias("_p"), F.sum("_m").alias("_m"), F.min("_f").alias("_f"), F.max("_l").alias("_l")
+        F.count(F.when(F.col("_in"), 1)).alias("_n"), F.sum("_p").alias("_p"), F.sum("_m").alias("_m"), F.min("_f").alias("_f"), F.max("_l").alias("_l"), F.min(F.when(F.col("_w").isNotNull(), F.struct((-newest).alias("w"), "_e"))).alias("_s")
     )
     seen = F.col("_n") > 0
-    best = F.min(F.when(seen, F.struct((-F.col("_n")).alias("n"), F.col("_a").alias("a"))))
+    best = F.min(F.when(seen, F.struct((-F.col("_n")).alias("n"), F.col("_s").alias("s"), F.col("_a").alias("a"))))
     out = by_author.groupBy(h.subject).agg(
         F.sum("_n").alias("commits"),
         F.coalesce(F.sum("_p"), F.lit(0)).alias("additions"),

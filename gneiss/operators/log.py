@@ -43,10 +43,15 @@ def catch_up(log: DataFrame, consumers: DataFrame, position: str, kind: str) ->
     return out.select("name", (F.coalesce("_w", F.lit(0)) + F.coalesce("_i", F.lit(0))).alias("delivered"), F.greatest("head", "position").alias("position"))
 
 
-def missed_ranges(consumers: DataFrame, compacted: int) -> DataFrame:
-    """[missed_from, missed_through] of consumers behind the compacted part of the log."""
-    rows = consumers.filter(F.col("position") < compacted)
-    return rows.select("name", (F.col("position") + 1).alias("missed_from"), F.lit(compacted).cast("long").alias("missed_through"))
+def missed_ranges(moves: DataFrame, compacted: int) -> DataFrame:
+    """[missed_from, missed_through] of moves (name, from, to, handed) over the compacted part of the log.
+
+    A move ends at `to`; where that row was handed over it was not missed, so the range ends before it. Nothing is missed by a move that
+    starts at or after the end of the range.
+    """
+    last = F.when(F.coalesce("handed", F.lit(False)), F.col("to") - 1).otherwise(F.col("to"))
+    rows = moves.withColumn("missed_through", F.least(F.lit(compacted).cast("long"), last)).filter(F.col("missed_through") > F.col("from"))
+    return rows.select("name", (F.col("from") + 1).alias("missed_from"), "missed_through")
 
 
 def gaps(df: DataFrame, by: list[str], cursor: str, first: int = 0) -> DataFrame:
@@ -123,17 +128,22 @@ def frame_faults(frames: DataFrame) -> DataFrame:
     return rows.select("run", "cursor", fault.alias("fault")).filter("fault is not null")
 
 
-#: Event that entering a status is.
+#: The event that entering a status is, and keys of metadata that the runtime keeps for itself.
+RUNTIME_METADATA = ("stream", "workflow", "workflows.execution")
 ENTERED = {"cancelled": "cancelled", "complete": "completed", "failed": "failed", "queued": "resumed", "running": "started", "suspended": "parked"}
 
 
-def change_events(states: DataFrame, key: str, order: str, status: str, fields: list[str], times: str | None = None) -> DataFrame:
+def change_events(states: DataFrame, key: str, order: str, status: str, fields: list[str], times: str | None = None, metadata: str | None = None) -> DataFrame:
     """(key, order, event, changed) between following states of a key; a null status is a state in which it is gone.
 
     A key that comes into being is queued, one that goes is removed. Between two states that are
     there, a status move gives the event of the status entered, and changed fields give updated with
-    their names; one step may give both. A move hides a change of the field named `times`.
+    their names; one step may give both. A move hides a change of the field named `times`; of the map
+    named `metadata` the runtime's own keys are no change.
     """
+    if metadata:
+        own = F.map_filter(metadata, lambda k, _: ~k.isin(*RUNTIME_METADATA))
+        states = states.withColumn(metadata, F.array_sort(F.map_entries(own)))  # maps don't compare
     w = Window.partitionBy(key).orderBy(order)
     rows = states.withColumn("_b", F.lag(F.struct(status, *fields)).over(w))
     was, now = F.col(f"_b.{status}"), F.col(status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import all_or_nothing_sum, clamp01, ratio
+from ..functions.stats import all_or_nothing_sum
 
 
 def usage_by(df: DataFrame, keys: list[str], quantities: list[str], charge: str) -> DataFrame:
@@ -54,22 +54,45 @@ def tier_brackets(thresholds: DataFrame, key: str, size: str, rate: str) -> Data
     return thresholds.select(key, F.col(size).alias("min_tokens"), F.lead(size).over(w).alias("max_tokens"), F.col(rate).alias("rate"))
 
 
-def headroom(df: DataFrame, used: str, cap: str, resets_at: str, now: Column) -> DataFrame:
-    """Remaining amount and share, exhaustion and ms to the reset of limits; a null cap is unlimited."""
-    left = F.greatest(F.lit(0.0), F.col(cap) - F.col(used))
-    wait = F.greatest(F.lit(0), F.unix_millis(F.col(resets_at).cast("timestamp")) - F.unix_millis(now.cast("timestamp")))
-    return df.withColumns({
-        "remaining": F.when(F.col(cap).isNotNull(), left),
-        "share": F.when(F.col(cap).isNotNull(), clamp01(ratio(F.col(used), F.col(cap)))),
-        "exhausted": F.coalesce(F.col(used) >= F.col(cap), F.lit(False)),
-        "resets_in_ms": wait,
+def headroom(limits: DataFrame, now: Column) -> DataFrame:
+    """Limits (kind, used_percent, cap, used, remaining, resets_at) with what is left of them, adding headroom, share, unit, exhausted, resets_in_ms.
+
+    A window leaves 100 - used_percent (held to 0..100), a spend-cap cap - used, a balance (usd) and a
+    credit-balance what remains; never less than 0. The share is of the whole: of 100, or of the cap (0 for a cap of 0 or less);
+    balances have none. Other kinds have nothing left to tell: all null but exhausted, which is false. Without resets_at there is no wait.
+    """
+    kind = F.col("kind")
+    left = (
+        F.when(kind == "window", 100 - F.least(F.greatest(F.col("used_percent"), F.lit(0.0)), F.lit(100.0)))
+        .when(kind == "spend-cap", F.col("cap") - F.col("used"))
+        .when(kind.isin("balance", "credit-balance"), F.col("remaining"))
+    )
+    left = F.when(left.isNotNull(), F.greatest(left, F.lit(0.0)))
+    wait = F.unix_millis(F.col("resets_at").cast("timestamp")) - F.unix_millis(now.cast("timestamp"))
+    return limits.withColumns({
+        "headroom": left,
+        "share": F.when(kind == "window", left / 100).when(kind == "spend-cap", F.when(F.col("cap") > 0, left / F.col("cap")).otherwise(0.0)),
+        "unit": F.when(kind == "window", "percent").when(kind.isin("spend-cap", "balance"), "usd").when(kind == "credit-balance", "credits"),
+        "exhausted": F.coalesce(left <= 0, F.lit(False)),
+        "resets_in_ms": F.when(F.col("resets_at").isNotNull(), F.greatest(wait, F.lit(0))),
     })
 
 
-def valid_budgets(df: DataFrame, share: str, started: str, resets: str, now: Column) -> DataFrame:
-    """Budgets with a finite share of at most 1 that have started and not yet reset."""
-    good = F.col(share).isNotNull() & ~F.isnan(F.col(share)) & (F.col(share) <= 1)
-    return df.filter(good & (F.col(started) <= now) & (F.col(resets) > now))
+def valid_budgets(limits: DataFrame, account: str, order: str, now: Column) -> DataFrame:
+    """The budget (account, cap, spent, remaining, share) of each account: its first limit of kind spend-cap, if that holds now.
+
+    It holds with a finite cap of 0 or more and a finite amount used, once it has started and until it resets; one
+    without a start or a reset always has. The share is what remains of the cap, 1 at most.
+    """
+    first = limits.filter("kind = 'spend-cap'").groupBy(account).agg(F.min(F.struct(order, "cap", "used", "starts_at", "resets_at")).alias("l")).select(account, "l.*")
+
+    def finite(c: str) -> Column:
+        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+    open_ = (F.col("starts_at").isNull() | (F.col("starts_at") <= now)) & (F.col("resets_at").isNull() | (F.col("resets_at") > now))
+    left = F.greatest(F.col("cap") - F.col("used"), F.lit(0.0))
+    good = first.filter(finite("cap") & finite("used") & (F.col("cap") >= 0) & open_)
+    return good.select(account, "cap", F.col("used").alias("spent"), left.alias("remaining"), F.when(F.col("cap") > 0, F.least(left / F.col("cap"), F.lit(1.0))).otherwise(0.0).alias("share"))
 
 
 def price_lookup(items: DataFrame, prices: DataFrame) -> DataFrame:

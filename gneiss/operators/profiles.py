@@ -252,13 +252,18 @@ def weighted_centers(shares: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.groupBy("concept", "package").agg(F.sum(F.col("w") * F.col("share")).alias("g")).join(present, "concept").select("concept", "package", (F.col("g") / F.col("_t")).alias("gravity"))
 
 
-def workflow_rankings(runs: DataFrame, spend: DataFrame) -> DataFrame:
-    """(kind, id, value, runs, place): workflows by money spent and by time their ended runs took, largest first, then by id."""
+def workflow_rankings(runs: DataFrame, spend: DataFrame, workflows: DataFrame) -> DataFrame:
+    """(kind, id, name, value, runs, place): the known workflows (id, name) by money spent and by the time their ended runs took.
+
+    Spend (id, currency, amount) counts in USD only; runs (id, started_at, ended_at, workspace) count where they ended, not before
+    they started, and lie in no workspace. Largest first, then by name and id.
+    """
     took = F.col("ended_at") - F.col("started_at")
-    elapsed = runs.filter(took >= 0).groupBy("id").agg(F.sum(took).cast("double").alias("value"), F.count("*").alias("runs"))
-    cost = spend.groupBy("id").agg(F.sum("amount").cast("double").alias("value")).withColumn("runs", F.lit(None).cast("long"))
-    both = elapsed.withColumn("kind", F.lit("elapsed")).unionByName(cost.withColumn("kind", F.lit("spend")))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "id")))  # a row for each workflow
+    elapsed = runs.filter((took >= 0) & F.col("workspace").isNull()).groupBy("id").agg(F.sum(took).cast("double").alias("value"), F.count("*").alias("runs"))
+    cost = spend.filter("currency = 'USD'").groupBy("id").agg(F.sum("amount").cast("double").alias("value")).withColumn("runs", F.lit(None).cast("long"))
+    both = elapsed.withColumn("kind", F.lit("elapsed")).unionByName(cost.withColumn("kind", F.lit("spend"))).join(workflows.select("id", "name"), "id")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "name", "id"))  # a row for each workflow
+    return both.select("kind", "id", "name", "value", "runs", place.alias("place"))
 
 
 #: Weights of the families that place a concept (fixed values).

@@ -109,8 +109,24 @@ def observation_density(df: DataFrame, entity: str, source: str) -> DataFrame:
     return seen.groupBy(bucket.alias("sources")).agg(F.count("*").alias("entities"))
 
 
-def operating_stats(df: DataFrame, key: str, status: str, ok: str, started: str, ended: str) -> DataFrame:
-    """Runs, failures, success rate and interpolated median duration in ms (null for none)."""
-    ms = (F.unix_micros(F.col(ended).cast("timestamp")) - F.unix_micros(F.col(started).cast("timestamp"))) / 1000
-    good = F.count(F.when(F.col(status) == ok, 1))
-    return df.groupBy(key).agg(F.count("*").alias("runs"), good.alias("succeeded"), ratio(good, F.count("*")).alias("success_rate"), F.median(ms).alias("median_ms"))
+#: The statuses that count as they are; runs that are paused or ask for attention count as waiting.
+RUN_COUNTS = ("cancelled", "complete", "failed", "queued", "running")
+PAUSED = ("suspended", "paused")
+
+
+def operating_stats(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs (status, attention, created_at, started_at, ended_at in ms) by keys: the number of each kind, success rate, median times.
+
+    A run that asks for attention or is paused counts as waiting, whatever its status; statuses not
+    known count in the total only. The success rate is complete / (complete + failed), null without either. The median run time is over
+    runs that started and ended, the median time in the queue (0 at least) over those that started.
+    """
+    waits = F.coalesce(F.col("attention"), F.lit(False)) | F.col("status").isin(*PAUSED)
+    counts = {name: F.count(F.when(~waits & (F.col("status") == name), 1)) for name in RUN_COUNTS} | {"waiting": F.count(F.when(waits, 1))}
+    out = runs.groupBy(*by).agg(
+        *[c.alias(name) for name, c in counts.items()],
+        F.count("*").alias("total"),
+        F.median(F.col("ended_at") - F.col("started_at")).alias("median_run_ms"),
+        F.median(F.when(F.col("started_at").isNotNull(), F.greatest(F.col("started_at") - F.col("created_at"), F.lit(0)))).alias("median_queue_ms"),
+    )
+    return out.withColumn("success_rate", ratio(F.col("complete"), F.col("complete") + F.col("failed")))

@@ -147,9 +147,10 @@ def merged_timeline(*sources: tuple[str, DataFrame]) -> DataFrame:
 
 
 def next_due(schedules: DataFrame, key: str, state: str, due: str) -> DataFrame:
-    """The waiting schedule of each key that is due first."""
+    """The waiting schedule of each key that is due first; one without a due time comes after all others."""
     rest = [c for c in schedules.columns if c not in (key, state, due)]
-    return schedules.filter(F.col(state) == "waiting").groupBy(key).agg(F.min(F.struct(due, *rest)).alias("r")).select(key, "r.*")
+    first = F.min(F.struct(F.col(due).isNull().alias("_late"), due, *rest)).alias("r")
+    return schedules.filter(F.col(state) == "waiting").groupBy(key).agg(first).select(key, "r.*").drop("_late")
 
 
 def overlap_assessment(dimensions: dict[str, Column], structural: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -77,8 +78,12 @@ def relabelled(spark, d):
 
 
 def valid_budgets(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 300000).alias("share"), F.col("o_orderdate").alias("started"), (F.col("o_orderdate") + F.expr("interval 200 days")).alias("resets"))
-    return metering.valid_budgets(o, "share", "started", "resets", F.expr("timestamp_ntz'1998-01-01 00:00:00'")).select("o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "window").otherwise("spend-cap")
+    starts = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate"))
+    resets = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate") + F.expr("interval 200 days"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", kind.alias("kind"), (F.col("o_totalprice") - 50000).alias("cap"), (F.col("o_totalprice") / 2 - 40000).alias("used"), starts.alias("starts_at"), resets.alias("resets_at"))
+    out = metering.valid_budgets(o, "o_custkey", "o_orderkey", F.expr("timestamp_ntz'1997-01-01 00:00:00'"))
+    return out.select("o_custkey", *[F.round(c, 6).alias(c) for c in ("cap", "spent", "remaining", "share")])
 
 
 def patched_tags(spark, d):
@@ -88,8 +93,11 @@ def patched_tags(spark, d):
 
 
 def missed_ranges(spark, d):
-    c = table(spark, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 7).alias("position"))
-    return log.missed_ranges(c, 300)
+    """Moves of consumers from one order of a customer to the next, over a log compacted up to the middle of its orders."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    moves = o.select(F.concat_ws("/", "o_custkey", "o_orderkey").alias("name"), F.coalesce(before, F.lit(0)).alias("from"), F.col("o_orderkey").alias("to"), (F.col("o_totalprice") > 100000).alias("handed"))
+    return log.missed_ranges(moves, 3000)
 
 
 def fresh_changes(spark, d):
@@ -319,9 +327,9 @@ QUERIES = {
     "shared_affinity": (shared_affinity, "with g as (select l_orderkey, l_suppkey, max(l_quantity) as w from lineitem group by 1, 2), n as (select l_orderkey, greatest(1, count(*) - 1) as n from g group by 1) select a.l_suppkey as \"left\", b.l_suppkey as \"right\", round(sum(least(a.w, b.w) / n), 6) as affinity from g a join g b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey join n on n.l_orderkey = a.l_orderkey group by 1, 2"),
     "lock_lookup": (lock_lookup, "with a as (select distinct 'a' || (p_partkey % 3) || '/b' || (p_partkey % 5) || '/c' as locator, p_brand as name from part), l as (select distinct case p_size % 3 when 0 then '' when 1 then 'a' || (p_size % 2) else 'a' || (p_size % 3) || '/b' || (p_size % 5) end as at, p_brand as name from part) select a.locator, a.name, coalesce(arg_max(l.name || '@' || l.at, length(l.at)), '-') as version from a left join l on l.name = a.name and (l.at = '' or starts_with(a.locator || '/', l.at || '/')) group by 1, 2"),
     "relabelled": (relabelled, "select p_partkey, case when p_size % 5 > 0 and p_partkey % 2 in (p_partkey % 3, p_size % 3) then 'shares-domain' else 'crosses-domain' end as label from part"),
-    "valid_budgets": (valid_budgets, "select o_orderkey from orders where o_totalprice / 300000 <= 1 and o_orderdate <= timestamp '1998-01-01' and o_orderdate + interval 200 days > timestamp '1998-01-01'"),
+    "valid_budgets": (valid_budgets, "with f as (select *, o_totalprice - 50000 as cap, o_totalprice / 2 - 40000 as used from orders where o_orderstatus <> 'F' qualify row_number() over (partition by o_custkey order by o_orderkey) = 1) select o_custkey, round(cap, 6) as cap, round(used, 6) as spent, round(greatest(cap - used, 0), 6) as remaining, round(case when cap > 0 then least(1, greatest(cap - used, 0) / cap) else 0 end, 6) as share from f where cap >= 0 and (o_orderkey % 4 = 0 or o_orderdate <= timestamp '1997-01-01') and (o_orderkey % 5 = 0 or o_orderdate + interval 200 days > timestamp '1997-01-01')"),
     "patched_tags": (patched_tags, "select p_partkey, p_brand as a, case when p_size > 25 then 'new' else '-' end as b, p_name as c from part"),
-    "missed_ranges": (missed_ranges, "select s_name as name, s_suppkey * 7 + 1 as missed_from, 300 as missed_through from supplier where s_suppkey * 7 < 300"),
+    "missed_ranges": (missed_ranges, "with m as (select o_custkey || '/' || o_orderkey as name, coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderkey), 0) as f, least(3000, case when o_totalprice > 100000 then o_orderkey - 1 else o_orderkey end) as u from orders) select name, f + 1 as missed_from, u as missed_through from m where u > f"),
     "fresh_changes": (fresh_changes, "select l_partkey as id, l_orderkey, l_linenumber from lineitem join part on p_partkey = l_partkey where p_size = l_quantity::int"),
     "hashes": (hashes, "select p_partkey, substr(sha256(p_name), 1, 12) as short, sha1(p_name) as sha1, sha256('{\"p_partkey\":' || p_partkey || ',\"p_size\":' || p_size || '}') as canonical from part"),
     "compacted": (compacted, "select p_partkey, '{' || concat_ws(',', case when p_size > 9 then '\"a\":' || p_size end, case when p_size < 30 then '\"b\":' || p_partkey end) || '}' as json from part"),

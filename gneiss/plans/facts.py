@@ -24,8 +24,8 @@ def churn_by_subject(spark, d):
 CHURN = """
 with f as (select l_partkey, l_orderkey, o_custkey, o_orderdate, l_quantity from lineitem join orders on l_orderkey = o_orderkey),
 w as (select * from f where o_orderdate >= timestamp '1995-01-01'),
-a as (select l_partkey, o_custkey, count(distinct l_orderkey) as n from w group by all),
-p as (select l_partkey, o_custkey, n, row_number() over (partition by l_partkey order by n desc, o_custkey) as r, sum(n) over (partition by l_partkey) as t, count(*) over (partition by l_partkey) as k from a),
+a as (select l_partkey, o_custkey, count(distinct l_orderkey) as n, max(o_orderdate) as d, min(l_orderkey) filter (newest) as e from (select *, o_orderdate = max(o_orderdate) over (partition by l_partkey, o_custkey) as newest from w) group by all),
+p as (select l_partkey, o_custkey, n, d, row_number() over (partition by l_partkey order by n desc, d desc, e, o_custkey) as r, sum(n) over (partition by l_partkey) as t, count(*) over (partition by l_partkey) as k from a),
 q as (select l_partkey, sum(l_quantity) as additions from w group by all),
 s as (select l_partkey, min(o_orderdate) as first_changed_at, max(o_orderdate) as last_changed_at from f group by all),
 c as (select s.l_partkey, p_brand, coalesce(p.t, 0)::bigint as commits, coalesce(additions, 0) as additions, coalesce(k, 0) as authors, coalesce(p.o_custkey, -1) as primary_author,
@@ -165,9 +165,14 @@ def observation_density(spark, d):
 
 
 def operating_stats(spark, d):
-    rows = lines(spark, d)
-    out = rollup.operating_stats(rows, "l_returnflag", "l_linestatus", "F", "o_orderdate", "l_shipdate")
-    return out.withColumn("success_rate", F.round("success_rate", 9))
+    """Lines as runs by supplier: open lines are under way, some were never started."""
+    status = F.expr("case when l_returnflag = 'R' then 'complete' when l_returnflag = 'A' then 'failed' when l_linestatus = 'F' then 'cancelled' when l_linenumber = 1 then 'queued' when l_linenumber = 2 then 'paused' when l_linenumber = 3 then 'lost' else 'running' end")
+    ms = {c: F.unix_millis(F.col(c).cast("timestamp")) for c in ("o_orderdate", "l_shipdate")}
+    started = F.when(F.col("l_linenumber") != 1, ms["l_shipdate"] - 3_600_000 * F.col("l_quantity").cast("long"))
+    ended = F.when(F.col("l_linestatus") == "F", ms["l_shipdate"])
+    runs = lines(spark, d).select("l_suppkey", status.alias("status"), (F.col("l_tax") > 0.07).alias("attention"), ms["o_orderdate"].alias("created_at"), started.alias("started_at"), ended.alias("ended_at"))
+    out = rollup.operating_stats(runs, ["l_suppkey"])
+    return out.withColumn("success_rate", F.round(F.coalesce("success_rate", F.lit(-1.0)), 9)).na.fill(-1, ["median_run_ms", "median_queue_ms"])
 
 
 def skyline(spark, d):
@@ -210,7 +215,11 @@ QUERIES = {
     "matrix_cells": (matrix_cells, f"select c_nationkey as row, s_nationkey as \"column\", count(distinct l_partkey) as value from {REFS} join supplier on s_suppkey = l_suppkey group by 1, 2"),
     "histogram": (histogram, "select coalesce(case when o_orderstatus <> 'P' then o_orderstatus end, 'null') as value, count(*) as n from orders group by 1"),
     "observation_density": (observation_density, "with s as (select l_partkey, count(distinct l_suppkey) as s from lineitem group by 1) select case when s >= 3 then '3+' else s::varchar end as sources, count(*) as entities from s group by 1"),
-    "operating_stats": (operating_stats, f"select l_returnflag, count(*) as runs, count(*) filter (l_linestatus = 'F') as succeeded, round(count(*) filter (l_linestatus = 'F') / count(*), 9) as success_rate, median((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000) as median_ms from {LINES} group by 1"),
+    "operating_stats": (operating_stats, f"""with r as (select l_suppkey, case when l_returnflag = 'R' then 'complete' when l_returnflag = 'A' then 'failed' when l_linestatus = 'F' then 'cancelled' when l_linenumber = 1 then 'queued' when l_linenumber = 2 then 'paused' when l_linenumber = 3 then 'lost' else 'running' end as s, l_tax > 0.07 as a, epoch_ms(o_orderdate) as c, case when l_linenumber <> 1 then epoch_ms(l_shipdate) - 3600000 * l_quantity::bigint end as b, case when l_linestatus = 'F' then epoch_ms(l_shipdate) end as e from {LINES}),
+k as (select *, case when a or s = 'paused' then 'waiting' else s end as k from r)
+select l_suppkey, count(*) filter (k = 'cancelled') as cancelled, count(*) filter (k = 'complete') as complete, count(*) filter (k = 'failed') as failed, count(*) filter (k = 'queued') as queued, count(*) filter (k = 'running') as running, count(*) filter (k = 'waiting') as waiting, count(*) as total,
+coalesce(median(e - b), -1)::double as median_run_ms, coalesce(median(greatest(0, b - c)) filter (b is not null), -1)::double as median_queue_ms,
+coalesce(round(count(*) filter (k = 'complete') / nullif(count(*) filter (k in ('complete', 'failed')), 0), 9), -1) as success_rate from k group by 1"""),
     "skyline": (skyline, "select p_partkey, p_retailprice, p_size from part a where not exists (select 1 from part b where b.p_retailprice <= a.p_retailprice and b.p_size >= a.p_size and (b.p_retailprice < a.p_retailprice or b.p_size > a.p_size))"),
     "pareto_groups": (pareto_groups, "with g as (select p_brand, min(p_retailprice) as price, max(p_size) as size, count(*) as n from part group by 1) select * from g a where not exists (select 1 from g b where b.price <= a.price and b.size >= a.size and b.n >= a.n and (b.price < a.price or b.size > a.size or b.n > a.n))"),
     "classified_parts": (classified_parts, "select p_partkey, array_to_string(list_filter([case when p_size >= 40 then 'big' end, case when p_retailprice >= 1500 then 'dear' end, case when p_size >= 40 and p_retailprice >= 1500 then 'both' end], lambda x: x is not null), ',') as signals, case when p_size >= 40 and p_retailprice >= 1500 then 'junction' when p_size >= 40 or p_retailprice >= 1500 then 'mixed' else 'commons' end as role from part"),

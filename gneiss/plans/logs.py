@@ -49,11 +49,11 @@ def retention(spark, d):
 def _states(spark, d):
     """Events as states of a user's run: a null status is one that is gone."""
     names = F.expr("element_at(array('queued', 'running', 'suspended', 'complete', 'failed', 'cancelled'), cast(event_id * 7 % 6 + 1 as int))")
-    return _events(spark, d).select("user_id", "event_id", F.when(F.col("event_id") % 11 != 0, names).alias("status"), (F.col("event_id") % 3).alias("output"), F.floor("value").cast("long").alias("timestamps"))
+    return _events(spark, d).select("user_id", "event_id", F.when(F.col("event_id") % 11 != 0, names).alias("status"), (F.col("event_id") % 3).alias("output"), F.floor("value").cast("long").alias("timestamps"), F.create_map(F.lit("stream"), F.col("event_id"), F.lit("note"), F.col("event_id") % 4).alias("metadata"))
 
 
 def change_events(spark, d):
-    return log.change_events(_states(spark, d), "user_id", "event_id", "status", ["output", "timestamps"], "timestamps")
+    return log.change_events(_states(spark, d), "user_id", "event_id", "status", ["output", "timestamps", "metadata"], "timestamps", "metadata")
 
 
 def velocity(spark, d):
@@ -89,9 +89,9 @@ QUERIES = {
     "gap_check": (gap_check, "with x as (select conv_id, turn, coalesce(lag(turn) over (partition by conv_id order by turn) + 1, 0) as expected from conversations where turn <> 2) select conv_id, expected, turn as found from x where expected <> turn"),
     "retry_schedule": (retry_schedule, "select event_id, least(2 ** (event_id % 12) * 1000, 300000)::bigint as delay_ms, least(2 ** (event_id % 12) * 1000, 300000)::bigint as wait_ms from events"),
     "retention": (retention, "with c as (select max(ts) - interval 7 days as c from events), y as (select min(event_id) as y from events, c where ts >= c) select event_id from events, y where event_id <= 400 and (y is null or event_id < y)"),
-    "change_events": (change_events, """with s as (select user_id, event_id, case when event_id % 11 <> 0 then ['queued', 'running', 'suspended', 'complete', 'failed', 'cancelled'][(event_id * 7 % 6 + 1)::int] end as st, event_id % 3 as o, floor(value)::bigint as t from events),
-x as (select *, lag(st) over w as b, lag(o) over w as po, lag(t) over w as pt from s window w as (partition by user_id order by event_id)),
-c as (select *, array_to_string(list_filter([case when o <> po then 'output' end, case when t <> pt and st = b then 'timestamps' end], lambda y: y is not null), ',') as ch from x)
+    "change_events": (change_events, """with s as (select user_id, event_id, case when event_id % 11 <> 0 then ['queued', 'running', 'suspended', 'complete', 'failed', 'cancelled'][(event_id * 7 % 6 + 1)::int] end as st, event_id % 3 as o, floor(value)::bigint as t, event_id % 4 as m from events),
+x as (select *, lag(m) over w as pm, lag(st) over w as b, lag(o) over w as po, lag(t) over w as pt from s window w as (partition by user_id order by event_id)),
+c as (select *, array_to_string(list_filter([case when m <> pm then 'metadata' end, case when o <> po then 'output' end, case when t <> pt and st = b then 'timestamps' end], lambda y: y is not null), ',') as ch from x)
 select user_id, event_id, 'queued' as event, '' as changed from c where b is null and st is not null union all select user_id, event_id, 'removed', '' from c where b is not null and st is null
 union all select user_id, event_id, case st when 'queued' then 'resumed' when 'running' then 'started' when 'suspended' then 'parked' when 'complete' then 'completed' else st end, '' from c where st <> b union all select user_id, event_id, 'updated', ch from c where st is not null and b is not null and ch <> ''"""),
     "velocity": (velocity, "select event_id, round(coalesce(value - lag(value) over (partition by user_id order by ts, event_id), 0), 6) as delta from events"),

@@ -162,10 +162,11 @@ def tier_brackets(spark, d):
 
 
 def headroom(spark, d):
-    cap = F.when(F.col("c_mktsegment") != "BUILDING", 5000.0)
-    rows = table(spark, d, "customer").select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("used"), cap.alias("cap"), F.expr("timestamp_ntz '2000-01-01'").alias("r"))
-    out = metering.headroom(rows, "used", "cap", "r", F.expr("timestamp_ntz '1999-12-31'"))
-    return out.select("c_custkey", F.round(F.coalesce("remaining", F.lit(-1.0)), 2).alias("remaining"), F.round(F.coalesce("share", F.lit(-1.0)), 9).alias("share"), "exhausted", "resets_in_ms")
+    kind = F.expr("case c_mktsegment when 'AUTOMOBILE' then 'window' when 'BUILDING' then 'spend-cap' when 'FURNITURE' then 'balance' when 'MACHINERY' then 'credit-balance' else 'other' end")
+    bal = F.col("c_acctbal")
+    rows = table(spark, d, "customer").select("c_custkey", kind.alias("kind"), (bal / 64).alias("used_percent"), F.when(F.col("c_nationkey") != 3, 5000.0).otherwise(0.0).alias("cap"), bal.alias("used"), bal.alias("remaining"), F.expr("case when c_custkey % 3 > 0 then timestamp_ntz '2000-01-01' end").alias("resets_at"))
+    out = metering.headroom(rows, F.expr("timestamp_ntz '1999-12-31'"))
+    return out.select("c_custkey", F.round(F.coalesce("headroom", F.lit(-1.0)), 6).alias("headroom"), F.round(F.coalesce("share", F.lit(-1.0)), 9).alias("share"), F.coalesce("unit", F.lit("-")).alias("unit"), "exhausted", F.coalesce("resets_in_ms", F.lit(-1)).alias("resets_in_ms"))
 
 
 def price_lookup(spark, d):
@@ -223,7 +224,7 @@ QUERIES = {
     "usage_totals": (usage_totals, "select case when l_linestatus = 'F' then 'EUR' else 'none' end as currency, count(*) as turns, sum(l_quantity) filter (l_linenumber <> 3) as tokens, count(*) filter (l_linenumber = 3) as untokened, count(*) filter (l_returnflag not in ('R', 'A')) as unpriced, round(coalesce(sum(l_extendedprice) filter (l_returnflag = 'R'), 0), 2) as reported, round(coalesce(sum(l_extendedprice) filter (l_returnflag = 'A'), 0), 2) as estimated from lineitem group by 1"),
     "tiered_cost": (tiered_cost, "with r as (select *, case when l_quantity < 20 then 3.0 when l_quantity < 40 then 2.0 else 1.0 end::double as r from lineitem) select l_orderkey, l_linenumber, round((greatest(l_quantity - l_linenumber, 0) * r + l_linenumber * 0.5::double + l_tax * 100 * r * 5) / 1000000, 12) as cost from r"),
     "tier_brackets": (tier_brackets, "with t as (select p_brand, p_size, max(p_retailprice) as price from part group by 1, 2) select p_brand, p_size as min_tokens, coalesce(lead(p_size) over (partition by p_brand order by p_size), -1) as max_tokens, price as rate from t"),
-    "headroom": (headroom, "with r as (select c_custkey, greatest(c_acctbal, 0) as u, c_mktsegment <> 'BUILDING' as c from customer) select c_custkey, round(case when c then greatest(0, 5000 - u) else -1 end, 2) as remaining, round(case when c then least(1, u / 5000) else -1 end, 9) as share, c and u >= 5000 as exhausted, 86400000::bigint as resets_in_ms from r"),
+    "headroom": (headroom, "with r as (select *, case c_mktsegment when 'AUTOMOBILE' then 100 - least(100, greatest(0, c_acctbal / 64)) when 'BUILDING' then greatest(0, case when c_nationkey <> 3 then 5000 else 0 end - c_acctbal) when 'FURNITURE' then greatest(0, c_acctbal) when 'MACHINERY' then greatest(0, c_acctbal) end as h from customer) select c_custkey, round(coalesce(h, -1), 6) as headroom, round(case c_mktsegment when 'AUTOMOBILE' then h / 100 when 'BUILDING' then case when c_nationkey <> 3 then h / 5000 else 0 end else -1 end, 9) as share, case c_mktsegment when 'AUTOMOBILE' then 'percent' when 'BUILDING' then 'usd' when 'FURNITURE' then 'usd' when 'MACHINERY' then 'credits' else '-' end as unit, coalesce(h <= 0, false) as exhausted, (case when c_custkey % 3 > 0 then 86400000 else -1 end)::bigint as resets_in_ms from r"),
     "price_lookup": (price_lookup, "with p as (select p_brand as v, p_size as s, max(p_retailprice) as price from part group by 1, 2 having max(p_retailprice) > 1500), b as (select s, min(price) as price from p group by 1 having count(*) = 1) select p_partkey, coalesce(p.price, b.price, -1) as price, case when p.price is not null then 'vendor' when b.price is not null then 'unique-id' else 'none' end as price_from from part left join p on v = p_brand and p.s = p_size left join b on b.s = p_size"),
     "inside_runs": (inside_runs, "select l_orderkey as o_orderkey, l_linenumber, case when o_orderkey is null then true else o_orderdate <= l_shipdate and (o_orderstatus <> 'F' or l_shipdate <= o_orderdate + interval 30 days) end as inside from lineitem left join orders on o_orderkey = l_orderkey and o_orderkey % 4 <> 0"),
     "scalar_pack": (scalar_pack, "with o as (select *, o_orderkey % 5000 * 1000 as ms from orders) select o_orderkey, case when ms > 0 and ms % 86400000 = 0 then (ms // 86400000) || 'd' when ms > 0 and ms % 3600000 = 0 then (ms // 3600000) || 'h' when ms > 0 and ms % 60000 = 0 then (ms // 60000) || 'm' when ms > 0 and ms % 1000 = 0 then (ms // 1000) || 's' else ms || 'ms' end as cadence, case when o_orderkey % 7 = 6 then -1 else o_orderkey * [1, 1000, 60000, 3600000, 86400000, 604800000, 0][o_orderkey % 7 + 1] end as duration, least(2 ** (o_orderkey % 12) * 1000, 300000)::bigint as delay, ceil(length(o_orderpriority) / 4)::bigint + 4 as tokens, floor((epoch_us(timestamp '2000-01-01') - epoch_us(o_orderdate)) / 86400000000)::bigint as age from o"),

@@ -311,10 +311,12 @@ def weighted_centers(spark, d):
 
 
 def workflow_rankings(spark, d):
-    r = lines(spark, d)
-    runs = r.select((F.col("l_suppkey") % 30).alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ended_at"))
-    spend = r.filter("l_suppkey % 30 > 3").select((F.col("l_suppkey") % 30).alias("id"), F.col("l_quantity").alias("amount"))
-    return profiles.workflow_rankings(runs, spend).withColumn("runs", F.coalesce("runs", F.lit(-1)))
+    """Suppliers as workflows, but for every seventh; lines as their runs and their spend in two currencies."""
+    r = lines(spark, d).withColumn("id", F.col("l_suppkey"))
+    runs = r.select("id", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ended_at"), F.when(F.col("l_linenumber") == 7, "w").alias("workspace"))
+    spend = r.select("id", F.when(F.col("l_returnflag") == "R", "EUR").otherwise("USD").alias("currency"), F.col("l_quantity").alias("amount"))
+    known = table(spark, d, "supplier").filter("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return profiles.workflow_rankings(runs, spend, known).withColumn("runs", F.coalesce("runs", F.lit(-1)))
 
 
 def _runs(spark, d):
@@ -481,7 +483,7 @@ QUERIES = {
     "file_roles": (file_roles, "with x as (select p_partkey as file, case when p_size = 1 then 'junction' when p_size % 6 = 0 then null when p_size % 6 = 1 then 'mixed' when p_partkey % 2 = 0 and p_partkey % 3 + p_partkey % 5 > 0 then 'commons' when p_size % 4 > 0 and p_partkey % 4 = p_size % 4 then 'unknown' end as role from part) select * from x where role is not null"),
     "centers": (centers, "with v as (select l_suppkey as concept, l_returnflag as dimension, o_custkey % 25 as package, sum(case when o_custkey % 3 > 0 then l_linenumber else 0 end)::bigint as v from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3), t as (select concept, dimension, sum(v)::bigint as t from v group by 1, 2), b as (select v.*, row_number() over (partition by concept, dimension order by v desc, package <> s_nationkey, package) as r from v join supplier on s_suppkey = concept where v > 0) select b.concept, b.dimension, package as leader, v as value, round(v / t, 9) as share from b join t on t.concept = b.concept and t.dimension = b.dimension where r = 1 and t >= 20 and v / t >= 0.06"),
     "weighted_centers": (weighted_centers, "with n as (select o_custkey % 200 as concept, o_orderstatus as family, o_custkey % 9 as package, count(*) as n from orders group by 1, 2, 3), s as (select *, n / sum(n) over (partition by concept, family) as share, case family when 'F' then 0.5 when 'O' then 0.3 end as w from n), t as (select concept, sum(w) as t from (select distinct concept, family, w from s where w is not null) group by 1) select s.concept, package, round(sum(w * share)::double / any_value(t)::double, 9) as gravity from s join t on t.concept = s.concept where w is not null group by 1, 2"),
-    "workflow_rankings": (workflow_rankings, "with r as (select l_suppkey % 30 as id, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) as took, l_quantity as amount from lineitem join orders on o_orderkey = l_orderkey), x as (select 'elapsed' as kind, id, sum(took)::double as value, count(*) as runs from r where took >= 0 group by 2 union all select 'spend', id, sum(amount)::double, -1 from r where id > 3 group by 2) select kind, id, value, runs, row_number() over (partition by kind order by value desc, id) as place from x"),
+    "workflow_rankings": (workflow_rankings, "with r as (select l_suppkey as id, s_name as name, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) as took, l_quantity as amount, l_returnflag, l_linenumber from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey and s_suppkey % 7 > 0), x as (select 'elapsed' as kind, id, name, sum(took)::double as value, count(*) as runs from r where took >= 0 and l_linenumber <> 7 group by 2, 3 union all select 'spend', id, name, sum(amount)::double, -1 from r where l_returnflag <> 'R' group by 2, 3) select kind, id, name, value, runs, row_number() over (partition by kind order by value desc, name, id) as place from x"),
     "runs_query": (runs_query, f"with {RUNS} select id, queue, status from rn where status in ('queued', 'running') and team = 't1' and definition = 'def-1' and (contains(lower(id), 's1') or contains(lower(queue), 's1') or contains(lower(step), 's1') or contains(lower(definition), 's1') or contains(lower(session), 's1') or contains(lower(coalesce(invocation, '')), 's1'))"),
     "jobs_query": (jobs_query, f"with {RUNS} select id, status from rn where status = 'queued' and definition = 'def-2' and invocation is null"),
     "suspensions_query": (suspensions_query, f"with {RUNS} select id, step as name from rn where queue = '1-URGENT' and o_orderkey % 4 = 2 and o_orderkey % 3 = 1 and status in ('queued', 'complete')"),

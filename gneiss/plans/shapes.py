@@ -111,7 +111,7 @@ def import_usage(spark, d):
 
 
 def next_due(spark, d):
-    rows = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "O", "waiting").otherwise("done").alias("state"), F.col("o_orderdate").alias("due"), "o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "O", "waiting").otherwise("done").alias("state"), F.when(F.col("o_totalprice") >= 50000, F.col("o_orderdate")).alias("due"), "o_orderkey")
     return structure.next_due(rows, "o_custkey", "state", "due")
 
 
@@ -144,6 +144,6 @@ select id, status, case when status = 'available' then coalesce(content, -9) els
     "context_size": (context_size, "select conv_id, case when conv_id % 2 = 0 and count(*) filter (turn % 2 = 1) > 0 then arg_max(length(text), turn) filter (turn % 2 = 1) else sum(ceil(length(text) / 4)::bigint + 4) end::bigint as tokens from conversations group by 1"),
     "merged_timeline": (merged_timeline, "select case when event_id % 7 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') else '1970-01-01 00:00:00' end as at, 'events' as source, event_id::varchar as line from events union all select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'orders', o_orderkey::varchar from orders"),
     "import_usage": (import_usage, f"with r as (select c_nationkey as package, s_nationkey as dependency, l_partkey, bool_and(l_returnflag = 'R') as t from {REFS} group by 1, 2, 3) select package, dependency, count(*) filter (not t) as runtime, count(*) filter (t) as type_only from r group by 1, 2"),
-    "next_due": (next_due, "select o_custkey, min(o_orderdate) as due, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey from orders where o_orderstatus = 'O' group by 1"),
+    "next_due": (next_due, "select o_custkey, case when o_totalprice >= 50000 then o_orderdate end as due, o_orderkey from orders where o_orderstatus = 'O' qualify row_number() over (partition by o_custkey order by case when o_totalprice >= 50000 then o_orderdate end nulls last, o_orderkey) = 1"),
     "settled_dependencies": (settled_dependencies, f"with {TASKS} select o.id as task_id, o.before as depends_on_id from o join o p on p.id = o.before where o.id % 2 = 0 and p.status = 'F'"),
 }

@@ -14,8 +14,11 @@ MEDIA = [("htm", "text/html"), ("html", "text/html"), ("json", "application/json
 
 
 def log_filter(spark, d):
+    """Events as log entries: of level info or above, from runs, holding a text that spans the joined fields."""
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "info").otherwise("debug")
-    return table(spark, d, "events").select("event_id", level.alias("level")).filter(scalar.at_least_level(F.col("level"), "info"))
+    source = F.when(F.col("event_id") % 3 == 0, "host").otherwise("run")
+    e = table(spark, d, "events").select("event_id", level.alias("level"), source.alias("source"), F.col("event_type").alias("message"), F.concat(F.lit("Run "), F.col("user_id")).alias("run_name"), F.col("user_id").cast("string").alias("run_id"), F.lit(None).cast("string").alias("step_id"))
+    return e.filter(scalar.log_matches("info", "run", " CLICK run 1 ")).select("event_id", "level").union(e.filter(scalar.log_matches("error", "host")).select("event_id", "level"))
 
 
 def entity_search(spark, d):
@@ -91,7 +94,7 @@ def top_orders(spark, d):
 PAGES = "select page_id as id, regexp_replace(url, '^[a-z]+://', '') as place from pages"
 
 QUERIES = {
-    "log_filter": (log_filter, "select event_id, case event_type when 'error' then 'error' else 'info' end as level from events where event_type in ('error', 'click')"),
+    "log_filter": (log_filter, "select event_id, 'info' as level from events where event_type = 'click' and event_id % 3 > 0 and contains('click run ' || user_id || ' ' || user_id || ' ', 'click run 1') union all select event_id, 'error' from events where event_type = 'error' and event_id % 3 = 0"),
     "entity_search": (entity_search, "select p_partkey, 'exact' as mode from part where lower(p_brand) = 'brand#21' or lower(p_name) = 'brand#21' union all select p_partkey, 'prefix' from part where starts_with(lower(p_name), 'red') or starts_with(lower(p_brand), 'red') union all select p_partkey, 'contains' from part where contains(lower(p_name), 'gear') or contains(lower(p_brand), 'gear')"),
     "tagged_runs": (tagged_runs, "select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linestatus = 'F'"),
     "media_types": (media_types, "select page_id, case page_id % 3 when 0 then 'text/html' when 1 then 'application/json' else 'unknown' end as media from pages"),

@@ -1,5 +1,6 @@
 """Graph measures against naive models, logs in batch and streaming form, sources and sinks."""
 
+import datetime as dt
 import json
 import os
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.operators import paths as paths_
-from gneiss.operators import backlog, graph, history, kernels, log, text
+from gneiss.operators import backlog, graph, history, kernels, log, metering, rollup, structure, text
 from gneiss.sources import readers, writers
 from gneiss.streaming import changes
 
@@ -185,6 +186,47 @@ def test_windowed_churn_keeps_full_history(spark):
     assert (got["g"].commits, got["g"].authors, got["g"].primary_author, got["g"].primary_share) == (0, 0, None, 0.0)
 
 
+def test_author_ties_go_to_the_newest_event(spark):
+    h = history.History("e", "p", "a", "t", "plus")
+    rows = [("c1", "f", "ann", 1, 1), ("c2", "f", "zoe", 9, 1), ("c3", "f", "ann", 2, 1), ("c4", "f", "zoe", 3, 1), ("c5", "g", "zoe", 9, 1), ("c6", "g", "ann", 9, 1), ("c7", "h", "ann", 9, 1), ("c8", "h", "zoe", 5, 1), ("c9", "h", "zoe", 6, 1)]
+    got = {r.p: r.primary_author for r in history.churn(spark.createDataFrame(rows, "e string, p string, a string, t int, plus int"), h).collect()}
+    assert got == {"f": "zoe", "g": "zoe", "h": "zoe"}
+
+
+def test_limits_and_budgets(spark):
+    schema = "id string, o int, kind string, used_percent double, cap double, used double, remaining double, resets_at timestamp, starts_at timestamp"
+    at = [dt.datetime(2025, 1, d) for d in range(1, 6)]
+    rows = [
+        ("a", 1, "spend-cap", None, 100.0, 25.0, None, at[4], at[0]), ("b", 1, "window", 130.0, None, None, None, at[1], None), ("c", 1, "balance", None, None, None, -3.0, None, None),
+        ("d", 1, "credit-balance", None, None, None, 7.0, None, None), ("e", 1, "spend-cap", None, 0.0, 0.0, None, None, None), ("f", 1, "spend-cap", None, 10.0, -5.0, None, None, None),
+        ("g", 1, "spend-cap", None, 10.0, 5.0, None, at[2], None), ("h", 1, "spend-cap", None, 10.0, 5.0, None, None, at[3]), ("i", 1, "spend-cap", None, float("nan"), 5.0, None, None, None),
+        ("i", 2, "spend-cap", None, 10.0, 5.0, None, None, None), ("j", 1, "spend-cap", None, -1.0, 5.0, None, None, None),
+    ]
+    df, now = spark.createDataFrame(rows, schema), F.lit(at[2])
+    got = {(r.id, r.o): (r.headroom, r.share, r.unit, r.exhausted, r.resets_in_ms) for r in metering.headroom(df, now).collect()}
+    assert got["a", 1] == (75.0, 0.75, "usd", False, 2 * 86_400_000) and got["b", 1] == (0.0, 0.0, "percent", True, 0)
+    assert got["c", 1] == (0.0, None, "usd", True, None) and got["d", 1] == (7.0, None, "credits", False, None) and got["e", 1][:2] == (0.0, 0.0)
+    budgets = {r.id: (r.cap, r.spent, r.remaining, r.share) for r in metering.valid_budgets(df, "id", "o", now).collect()}
+    assert budgets == {"a": (100.0, 25.0, 75.0, 0.75), "e": (0.0, 0.0, 0.0, 0.0), "f": (10.0, -5.0, 15.0, 1.0)}
+
+
+def test_operating_stats_and_next_due(spark):
+    rows = [("complete", None, 0, 5, 9), ("failed", False, 0, 1, 4), ("queued", None, 3, None, None), ("cancelled", None, 9, 4, None), ("running", True, 0, 2, None), ("suspended", None, 0, None, None), ("odd", None, 0, None, None)]
+    got = rollup.operating_stats(spark.createDataFrame([("k", *r) for r in rows], "k string, status string, attention boolean, created_at long, started_at long, ended_at long"), ["k"]).first()
+    assert (got.complete, got.failed, got.queued, got.cancelled, got.running, got.waiting, got.total) == (1, 1, 1, 1, 0, 2, 7)
+    assert (got.success_rate, got.median_run_ms, got.median_queue_ms) == (0.5, 3.5, 1.5)
+    due = spark.createDataFrame([("k", "waiting", None, 1), ("k", "waiting", 5, 2), ("l", "waiting", None, 4), ("l", "waiting", None, 3), ("l", "done", 1, 9)], "k string, s string, due int, id int")
+    assert sorted((r.k, r.due, r.id) for r in structure.next_due(due, "k", "s", "due").collect()) == [("k", 5, 2), ("l", None, 3)]
+
+
+def test_missed_ranges_and_runtime_metadata(spark):
+    moves = spark.createDataFrame([("a", 0, 5, False), ("b", 0, 5, True), ("c", 3, 20, False), ("d", 10, 12, False), ("e", 4, 5, True)], "name string, `from` long, `to` long, handed boolean")
+    assert sorted(map(tuple, log.missed_ranges(moves, 10).collect())) == [("a", 1, 5), ("b", 1, 4), ("c", 4, 10)]
+    states = [("r", 1, "running", {"stream": "1"}), ("r", 2, "running", {"stream": "2", "workflow": "x"}), ("r", 3, "running", {"note": "n", "stream": "2"}), ("r", 4, "running", {"stream": "9", "note": "n"}), ("r", 5, "running", None)]
+    got = log.change_events(spark.createDataFrame(states, "k string, o int, s string, m map<string,string>"), "k", "o", "s", ["m"], metadata="m")
+    assert sorted((r.o, r.event) for r in got.collect()) == [(1, "queued"), (3, "updated"), (5, "updated")]
+
+
 def test_history_log_and_inventory(spark, tmp_path):
     raw = "\x1eh1\x1f100\x1fann\n3\t1\tsrc/a.ts\n-\t-\timg.png\n\x1eh2\x1f200\x1fbob\n2\t0\tsrc/a.ts => src/b.ts\n"
     (tmp_path / "log").write_text(raw)
