@@ -21,6 +21,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Hubs:
+    """Joins of a table with a row for each node to the edges of one end, where a few nodes may have a large share of them.
+
+    Nodes with LEAST edges and a hundred-thousandth of all (so 100,000 nodes at most) are hubs: their edges are
+    dealt over a task for each LEAST of them, and the row of the node goes to each of these.
+    """
+
+    LEAST = 100_000
+
+    def __init__(self, edges: DataFrame, end: str):
+        self.end = end
+        counts = edges.groupBy(end).agg(F.count("*").alias("_n"))
+        least = max(self.LEAST, edges.count() // 100_000)
+        self.hubs = counts.filter(F.col("_n") >= least).select(end, F.ceil(F.col("_n") / self.LEAST).cast("int").alias("_parts"))
+        self.some = not self.hubs.isEmpty()
+        if self.some:
+            self.hubs = F.broadcast(cut(self.hubs))
+
+    def join(self, table: DataFrame, edges: DataFrame) -> DataFrame:
+        """table ⋈ edges on the end; table has one row a node."""
+        if not self.some:
+            return table.join(edges, self.end)
+        salt = F.pmod(F.xxhash64(*edges.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+        dealt = edges.join(self.hubs, self.end, "left").withColumn("_salt", salt).drop("_parts")
+        copies = table.join(self.hubs, self.end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        return copies.join(dealt, [self.end, "_salt"]).drop("_salt")
+
+
 def simple(edges: DataFrame) -> DataFrame:
     """Edges without self loops and repeats."""
     return edges.select("src", "dst").filter("src <> dst").distinct()
@@ -148,8 +176,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     e = cut(simple(edges.select("src", "dst").union(edges.select("dst", "src"))))
     label = cut(nodes.select("id", F.col("id").alias("c")).distinct())
+    hubs = Hubs(e, "dst")
     while True:
-        near = e.join(label.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
+        near = hubs.join(label.select(F.col("id").alias("dst"), "c"), e).groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         low = label.join(near, "id", "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         far = low.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         after = cut(low.join(far, "c", "left").select("id", F.least("c", "cc").alias("c"), "was"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import DEFAULT, Policy
-from .graph import condensation, cut, layers, simple, weak_components
+from .blocks import blocks, cut_edges, cut_nodes
+from .graph import condensation, cut, layers, simple
 
 
 def shortest_counts(edges: DataFrame) -> DataFrame:
@@ -120,49 +121,10 @@ def longest_chains(components: DataFrame, edges: DataFrame, k: int = 10) -> Data
     return named.select(F.array_join(F.col("xs.x"), "→").alias("chain"), (F.col("top") + 1).alias("length"))
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    e = simple(edges)
-    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, src_side, dst_side) of edges whose removal parts their weak component, with the sizes of both parts.
-
-    A tree is grown from the least node of every component. Each edge outside the trees has a random
-    label; a tree edge that no such edge spans is a bridge, and the labels met below it cancel out.
-    """
-    e = cut(simple(edges))
-    both = cut(_both_ways(e))
-    parts = cut(weak_components(nodes, e))
-    tree = front = parts.filter("id = component").select(F.col("id").alias("node"), F.lit(None).cast(parts.schema["id"].dataType).alias("up"), F.lit(0).alias("depth"))
-    depth = 0
-    while True:
-        depth += 1
-        step = front.select(F.col("node").alias("src")).join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up"))
-        front = cut(step.join(tree, "node", "left_anti").select("node", "up", F.lit(depth).alias("depth")))
-        if front.isEmpty():
-            break
-        tree = cut(tree.union(front))
-    once = both.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    used = tree.filter("up is not null").select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
-    rest = once.join(used, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64(F.lit(7), "a", "b").alias("g"))
-    marks = rest.select(F.col("a").alias("node"), "h", "g").union(rest.select("b", "h", "g")).groupBy("node").agg(F.expr("bit_xor(h)").alias("h"), F.expr("bit_xor(g)").alias("g"))
-    zero = F.lit(0).cast("long")
-    state = cut(tree.join(marks, "node", "left").select("node", "up", "depth", F.coalesce("h", zero).alias("h"), F.coalesce("g", zero).alias("g"), F.lit(1).cast("long").alias("size")))
-    below = None
-    done = None
-    for level in range(depth - 1, 0, -1):
-        own = state.filter(F.col("depth") == level)
-        if below is not None:
-            own = own.join(below, "node", "left").select("node", "up", "depth", F.expr("h ^ coalesce(bh, 0)").alias("h"), F.expr("g ^ coalesce(bg, 0)").alias("g"), F.expr("size + coalesce(bs, 0)").alias("size"))
-        own = cut(own)
-        below = own.groupBy(F.col("up").alias("node")).agg(F.expr("bit_xor(h)").alias("bh"), F.expr("bit_xor(g)").alias("bg"), F.sum("size").alias("bs"))
-        done = own if done is None else done.union(own)
-    if done is None:
-        return e.limit(0).select("src", "dst", F.lit(0).cast("long").alias("src_side"), F.lit(0).cast("long").alias("dst_side"))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    alone = done.filter("h = 0 and g = 0").join(parts.select(F.col("id").alias("node"), "component"), "node").join(sizes, "component")
-    alone = alone.select("node", "up", "size", (F.col("n") - F.col("size")).alias("rest"))
+    """(src, dst, src_side, dst_side) of edges whose removal parts their weak component, with the sizes of both parts."""
+    e = simple(edges)
+    alone = cut_edges(blocks(nodes, e))
     down = alone.select(F.col("up").alias("src"), F.col("node").alias("dst"), F.col("rest").alias("src_side"), F.col("size").alias("dst_side"))
     either = down.union(alone.select("node", "up", "size", "rest"))
     # An edge with its reverse beside it parts nothing.
@@ -215,33 +177,5 @@ def edge_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes (id) whose removal leaves more weak components.
-
-    Leaves are taken off until none is left: a node that loses a leaf while it has another neighbour
-    is one. In what remains, the neighbours of each node are tied together again without it.
-    """
-    core = cut(_both_ways(edges))
-    first = core
-    hung = None
-    while True:
-        degree = core.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
-        leaves = cut(degree.filter("n = 1").select(F.col("src").alias("leaf"), "to"))
-        if leaves.isEmpty():
-            break
-        one = leaves.select(F.col("to").alias("id"))
-        hung = one if hung is None else hung.union(one)
-        gone = leaves.select(F.col("leaf"))
-        core = cut(core.join(gone.withColumnRenamed("leaf", "src"), "src", "left_anti").join(gone.withColumnRenamed("leaf", "dst"), "dst", "left_anti").select("src", "dst"))
-    several = first.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    out = several.join((hung if hung is not None else several.limit(0)).distinct(), "id", "left_semi")
-    # Keyed by the node left out: labels of its neighbours spread over the rest of its component.
-    label = cut(core.select(F.col("src").alias("out"), F.col("dst").alias("node"), F.col("dst").alias("c")))
-    front = label
-    while not front.isEmpty():
-        near = front.withColumnRenamed("node", "src").join(core, "src").filter("dst <> out").groupBy("out", F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-        low = near.join(label, ["out", "node"], "left").filter("c is null or m < c").select("out", "node", F.col("m").alias("c"))
-        front = cut(low)
-        label = cut(label.join(front.select("out", "node"), ["out", "node"], "left_anti").unionByName(front))
-    ends = label.join(core.select(F.col("src").alias("out"), F.col("dst").alias("node")), ["out", "node"], "left_semi")
-    inner = ends.groupBy("out").agg(F.countDistinct("c").alias("n")).filter("n > 1").select(F.col("out").alias("id"))
-    return out.union(inner).distinct()
+    """Nodes (id) whose removal leaves more weak components: those in two blocks or more."""
+    return cut_nodes(blocks(nodes, edges))

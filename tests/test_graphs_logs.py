@@ -186,6 +186,60 @@ def test_windowed_churn_keeps_full_history(spark):
     assert (got["g"].commits, got["g"].authors, got["g"].primary_author, got["g"].primary_share) == (0, 0, None, 0.0)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_against_removal(spark, seed):
+    """Tree edges share a block where no single node parts them; cut nodes and edges are those whose removal parts a component."""
+    from gneiss.operators import blocks
+
+    rng = random.Random(seed)
+    n = 26
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(30)] + [(30, 31), (31, 32), (32, 30), (32, 33), (33, 34), (34, 35), (35, 33), (40, 41)]
+    names = [*range(n), *range(30, 36), 40, 41, 50]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+
+    def parts(gone=(), lost=None):
+        seen = {}
+        for s in names:
+            if s in gone or s in seen:
+                continue
+            seen[s], queue = s, [s]
+            for v in queue:
+                for w in near[v]:
+                    if w not in gone and w not in seen and {v, w} != lost:
+                        seen[w] = s
+                        queue.append(w)
+        return seen
+
+    whole = parts()
+    table = blocks.blocks(spark.createDataFrame([(i,) for i in names], "id int"), spark.createDataFrame(edges, "src int, dst int"))
+    rows = {r.node: r for r in table.collect()}
+    assert sorted(rows) == sorted(names)
+    want = {x for x in names if len(set(parts((x,)).values())) > len(set(whole.values())) - (not near[x])}
+    assert {r.id for r in blocks.cut_nodes(table).collect()} == want
+    alone = {frozenset((r.node, r.up)) for r in blocks.cut_edges(table).collect()}
+    assert alone == {frozenset((a, b)) for a in near for b in near[a] if parts(lost={a, b})[a] != parts(lost={a, b})[b]}
+    for v, r in rows.items():
+        for w, q in rows.items():
+            if r.up is not None and q.up is not None and v != w:
+                # One block: no node outside both edges' shared ends separates them.
+                together = whole[v] == whole[w] and all(parts((x,)).get(next(iter({v, r.up} - {x}))) == parts((x,)).get(next(iter({w, q.up} - {x}))) for x in names)
+                assert (r.block == q.block) == together
+
+
+def test_hubs_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(graph.Hubs, "LEAST", 3)
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 40)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(20)]
+    nodes, frame = spark.createDataFrame([(i,) for i in range(60)], "id int"), spark.createDataFrame(edges, "src int, dst int")
+    with_hubs = sorted(map(tuple, graph.weak_components(nodes, frame).collect()))
+    monkeypatch.setattr(graph.Hubs, "LEAST", 1000)
+    assert with_hubs == sorted(map(tuple, graph.weak_components(nodes, frame).collect()))
+
+
 def test_author_ties_go_to_the_newest_event(spark):
     h = history.History("e", "p", "a", "t", "plus")
     rows = [("c1", "f", "ann", 1, 1), ("c2", "f", "zoe", 9, 1), ("c3", "f", "ann", 2, 1), ("c4", "f", "zoe", 3, 1), ("c5", "g", "zoe", 9, 1), ("c6", "g", "ann", 9, 1), ("c7", "h", "ann", 9, 1), ("c8", "h", "zoe", 5, 1), ("c9", "h", "zoe", 6, 1)]
