@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,21 @@ from ..functions.stats import ratio, ratio_or_null
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of the session; one of our own only where a local session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
+    """Write df once in the folder that all executors share and read it back; a folder of our own only where a local session names none.
+
+    A checkpoint would keep the size that was guessed for the plan behind it. In a loop these guesses multiply with
+    every join, until planning itself takes minutes; a table that is read has the size of its files.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp())
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="gneiss-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/gneiss-cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Hubs:
