@@ -115,6 +115,18 @@ def ticks(schedules: DataFrame, now: Column) -> DataFrame:
     return rows.select("key", F.when(run, "run").otherwise(F.concat(F.lit("held by "), "held_by")).alias("outcome"), F.when(run, again).alias("next_due"))
 
 
+def replay_gaps(frames: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(run, after, earliest, latest) of the cursors (run, after) that cannot be replayed from the frames (run, cursor) still held.
+
+    Either frames behind the cursor are gone, or the cursor is beyond the last one. A null `after` is -1, the start; a run
+    without frames is held from 0 to -1. Frames are reduced to a row for each run before they meet the cursors.
+    """
+    held = frames.groupBy("run").agg(F.min("cursor").alias("_e"), F.max("cursor").alias("_l"))
+    rows = cursors.select("run", F.coalesce("after", F.lit(-1)).cast("long").alias("after")).join(held, "run", "left")
+    rows = rows.select("run", "after", F.coalesce("_e", F.lit(0)).cast("long").alias("earliest"), F.coalesce("_l", F.lit(-1)).cast("long").alias("latest"), "_e")
+    return rows.filter(F.coalesce(F.col("_e") > F.col("after") + 1, F.lit(False)) | (F.col("after") > F.col("latest"))).drop("_e")
+
+
 def frame_faults(frames: DataFrame) -> DataFrame:
     """(run, cursor, fault) of frames (run, cursor, kind, evidence): kind terminal or other.
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..operators import log
+from ..streaming import delivery
 from .tables import table
 
 
@@ -82,7 +83,31 @@ def windowed_counts(spark, d):
     return e.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def _frames(spark, d):
+    """Lines as frames of their order; the last line of some orders ends them."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") - 1).alias("cursor"), ((F.col("l_linenumber") > 3) & (F.col("l_returnflag") == "R")).alias("terminal"), F.col("l_partkey").cast("string").alias("payload"))
+
+
+def replay_gaps(spark, d):
+    cursors = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_custkey") % 9 != 8, F.col("o_custkey") % 9 - 1).alias("after"))
+    frames = _frames(spark, d).withColumn("cursor", F.col("cursor") + F.col("run") % 2)
+    return log.replay_gaps(frames, cursors)
+
+
+def observed_frames(spark, d):
+    """Frames of every order behind its cursor up to the one that ends it; the stateful operator of the stream, run over a table."""
+    cursors = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 4 - 1).alias("after"))
+    frames = _frames(spark, d).withColumn("cursor", F.when((F.col("run") % 5 == 0) & (F.col("cursor") > 2), F.col("cursor") + 1).otherwise(F.col("cursor")))
+    out = delivery.observed(frames, cursors, on_gap="mark")
+    return out.select("run", "cursor", "event", F.when(F.col("event") != "gap", F.col("payload")).otherwise("").alias("payload"))
+
+
 QUERIES = {
+    "replay_gaps": (replay_gaps, "with h as (select l_orderkey as run, min(l_linenumber - 1 + l_orderkey % 2) as e, max(l_linenumber - 1 + l_orderkey % 2) as l from lineitem group by 1), c as (select o_orderkey as run, case when o_custkey % 9 = 8 then -1 else o_custkey % 9 - 1 end as after from orders) select c.run, after, coalesce(e, 0) as earliest, coalesce(l, -1) as latest from c left join h on h.run = c.run where coalesce(e > after + 1, false) or after > coalesce(l, -1)"),
+    "observed_frames": (observed_frames, """with f as (select l_orderkey as run, l_linenumber - 1 + (l_orderkey % 5 = 0 and l_linenumber > 3)::int as cursor, l_linenumber > 3 and l_returnflag = 'R' as terminal, l_partkey::varchar as payload, o_custkey % 4 - 1 as after from lineitem join orders on o_orderkey = l_orderkey qualify row_number() over (partition by run, cursor order by terminal, payload) = 1),
+b as (select *, row_number() over w + after as due, coalesce(max(terminal::int) over (partition by run order by cursor rows between unbounded preceding and 1 preceding), 0) as over_ from f where cursor > after window w as (partition by run order by cursor)),
+g as (select run, min(due) as cursor from b where cursor > due and over_ = 0 group by 1)
+select b.run::varchar as run, b.cursor, case when terminal then 'closing' else 'frame' end as event, payload from b left join g on g.run = b.run where over_ = 0 and (g.cursor is null or b.cursor < g.cursor) union all select run::varchar, cursor, 'gap', '' from g"""),
     "log_read": (log_read, "select event_id, event_type, user_id from events where event_id > 100 order by event_id limit 100"),
     "log_offsets": (log_offsets, "with h as (select max(event_id) as head from events), k as (select distinct event_type as t from events order by 1 limit 2) select 'all' as name, (select count(*) from events where event_id > 10) as delivered, head as position from h union all select 'some', (select count(*) from events where event_id > 500 and event_type in (select t from k)), greatest(head, 500) from h union all select 'ahead', 0, 1000000000 from h"),
     "log_gap": (log_gap, "with r as (select event_id % 5 as run, event_id // 5 as cursor from events where event_id % 50 <> 7), x as (select *, coalesce(lag(cursor) over (partition by run order by cursor) + 1, 0) as expected from r) select run, expected, cursor as found from x where expected <> cursor"),
