@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..operators import log
+from ..sources import git
 from ..streaming import delivery
 from .tables import table
 
@@ -102,7 +103,23 @@ def observed_frames(spark, d):
     return out.select("run", "cursor", "event", F.when(F.col("event") != "gap", F.col("payload")).otherwise("").alias("payload"))
 
 
+def scanned_changes(spark, d):
+    """Orders as commits, their lines as changed files: written in git's format, then parsed."""
+    nul, tab = F.lit("\0"), F.lit("\t")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
+    binary = F.col("l_returnflag") == "A"
+    counts = F.concat(F.when(binary, "-").otherwise(F.col("q").cast("string")), tab, F.when(binary, "-").otherwise((F.col("q") % 7).cast("string")), tab)
+    name = F.concat(F.lit("s"), "l_suppkey", F.lit(" d\t=> /p"), "l_partkey", F.lit(".ts"))
+    entry = F.when(F.col("l_partkey") % 3 == 0, F.concat(counts, nul, F.lit("5\t5\told"), "l_linenumber", nul, name)).otherwise(F.concat(counts, name))
+    files = rows.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(entry, nul)), "").alias("files"))
+    orders = table(spark, d, "orders").join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    value = F.concat(F.concat(F.lit("h"), "o_orderkey"), nul, F.date_format("o_orderdate", "yyyy-MM-dd"), nul, F.concat(F.lit("a"), "o_custkey"), nul, F.lit("\n"), F.coalesce("files", F.lit("")))
+    out = git.changes(git.parsed(orders.select(value.alias("value"), F.col("o_orderkey").alias("place"))))
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("additions", "deletions")}).withColumn("previous_path", F.coalesce("previous_path", F.lit("")))
+
+
 QUERIES = {
+    "scanned_changes": (scanned_changes, "select 'h' || o_orderkey as hash, strftime(o_orderdate, '%Y-%m-%d') as timestamp, 'a' || o_custkey as author, 's' || l_suppkey || ' d' || chr(9) || '=> /p' || l_partkey || '.ts' as path, case when l_partkey % 3 = 0 then '5' || chr(9) || '5' || chr(9) || 'old' || l_linenumber else '' end as previous_path, case when l_returnflag = 'A' then -1 else l_quantity::bigint end as additions, case when l_returnflag = 'A' then -1 else l_quantity::bigint % 7 end as deletions from lineitem join orders on o_orderkey = l_orderkey"),
     "replay_gaps": (replay_gaps, "with h as (select l_orderkey as run, min(l_linenumber - 1 + l_orderkey % 2) as e, max(l_linenumber - 1 + l_orderkey % 2) as l from lineitem group by 1), c as (select o_orderkey as run, case when o_custkey % 9 = 8 then -1 else o_custkey % 9 - 1 end as after from orders) select c.run, after, coalesce(e, 0) as earliest, coalesce(l, -1) as latest from c left join h on h.run = c.run where coalesce(e > after + 1, false) or after > coalesce(l, -1)"),
     "observed_frames": (observed_frames, """with f as (select l_orderkey as run, l_linenumber - 1 + (l_orderkey % 5 = 0 and l_linenumber > 3)::int as cursor, l_linenumber > 3 and l_returnflag = 'R' as terminal, l_partkey::varchar as payload, o_custkey % 4 - 1 as after from lineitem join orders on o_orderkey = l_orderkey qualify row_number() over (partition by run, cursor order by terminal, payload) = 1),
 b as (select *, row_number() over w + after as due, coalesce(max(terminal::int) over (partition by run order by cursor rows between unbounded preceding and 1 preceding), 0) as over_ from f where cursor > after window w as (partition by run order by cursor)),
