@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cuts, extra, facts, graphs, internal, logs, records, repository, shapes, views
+from . import cuts, extra, facts, graphs, internal, logs, manifests, records, repository, shapes, views
 
-_MODULES = (facts, records, views, graphs, shapes, logs, repository, cuts, extra, internal)
+_MODULES = (facts, records, views, graphs, shapes, logs, repository, cuts, extra, internal, manifests)
 
 
 def queries() -> dict:
