@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, internal
+from ..operators import graph, internal, proximity
 from .tables import table
 
 PATH = "concat(case when p_size % 7 = 0 then '' else concat('src/r', p_size % 3, case when p_size % 2 = 0 then concat('/d', p_size % 5) else '' end, '/') end, 'f', p_partkey)"
@@ -57,6 +57,37 @@ def responsibility_regions(spark, d):
     return out.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("region", "reason")})
 
 
+def _placed(spark, d):
+    """Modules at their regions of responsibility, and the imports and common changes between them."""
+    modules = graph.cut(_topology(spark, d))
+    symbols = graph.cut(_imports(spark, d))
+    concepts = _modules(spark, d).filter("p_size < 10").select(F.col("key").alias("_k"))
+    local = internal.localized_symbols(symbols, modules).withColumn("_k", F.regexp_extract("symbol", "s([0-9]+)/", 1).cast("long"))
+    local = local.join(concepts.withColumn("concept", F.lit(True)), "_k", "left").select("package", "symbol", "concept")
+    regions = internal.responsibilities(modules, symbols, local)
+    files = proximity.placed(modules.withColumn("root", F.concat(F.lit("packages/"), "package")), regions)
+    return modules, symbols, regions, files
+
+
+def files_apart(spark, d):
+    """Modules outside the folder that holds most of their region."""
+    return proximity.files_apart(_placed(spark, d)[3])
+
+
+def close_folders(spark, d):
+    """Folders with regions that nothing relates: no import between them, no order with parts of both two lines apart."""
+    _, symbols, regions, files = _placed(spark, d)
+    at = regions.filter("region is not null").select("package", "module", "region")
+    ends = [at.select("package", F.col("module").alias(n), F.col("region").alias(r)) for n, r in (("source", "from"), ("target", "to"))]
+    links = symbols.select("package", "source", "target").join(ends[0], ["package", "source"]).join(ends[1], ["package", "target"]).select("package", "from", "to")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 2).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    name = _modules(spark, d).select("key", F.concat(F.lit("packages/"), "package", F.lit("/"), "module").alias("file"))
+    pairs = rows.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 40 = b % 40")
+    pairs = pairs.join(name.select(F.col("key").alias("l_partkey"), F.col("file").alias("left")), "l_partkey").join(name.select(F.col("key").alias("b"), F.col("file").alias("right")), "b")
+    return proximity.close_folders(files, proximity.related(files, links, pairs))
+
+
 TOPOLOGY = f"""mo as (select p_partkey as id, 'p' || (p_partkey % 40) as package, {PATH} as module, p_size % 9 = 0 as test, p_size = 13 as agg, p_size from part),
 fo as (select *, case when module like '%/%' then regexp_replace(module, '/[^/]*$', '') else '.' end as folder from mo),
 md as (select *, case when folder = '.' or folder = 'src' then '.' else string_split(folder, '/')[2] end as region from fo),
@@ -110,7 +141,21 @@ m5 as (select package, module, case when stuck or (of_ and k > 1) then 'unresolv
   case when stuck then 'bridge' when agg then 'aggregator' when hi then 'distributed-primitive' else 'wide-dependent' end as reason from m4),
 rg as (select g, 'responsibility:' || left(sha256(string_agg(module, chr(10) order by module)), 12) as region from m5 where status <> 'unresolved' group by 1)"""
 
+PLACED = """fp as (select u.package, u.id, 'packages/' || u.package || '/' || m5.module as file, 'packages/' || u.package || case when folder = '.' then '' else '/' || folder end as folder, case when status <> 'unresolved' then rg.region end as region
+  from m5 join u on u.package = m5.package and u.module = m5.module left join rg using (g)),
+hm as (select package, region, arg_min(folder, (-n, folder)) as home from (select package, region, folder, count(*) as n from fp where region is not null group by 1, 2, 3) group by 1, 2),
+pc as (select fp.*, home from fp left join hm using (package, region))"""
+CLOSE = """rl as (select distinct a.package, least(a.region, b.region) as a, greatest(a.region, b.region) as b from (select src, dst from sy union select x.l_partkey, y.l_partkey from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 2 and x.l_partkey % 40 = y.l_partkey % 40) e
+  join pc a on a.id = e.src join pc b on b.id = e.dst where a.region <> b.region),
+nd as (select package, folder, region, count(*) as files, count(*) filter (home <> folder) as apart from pc where region is not null group by 1, 2, 3),
+lk as (select x.package, x.folder, x.region as s, y.region as t from nd x join nd y on x.package = y.package and x.folder = y.folder join rl on rl.package = x.package and ((rl.a = x.region and rl.b = y.region) or (rl.b = x.region and rl.a = y.region))),
+cc as (select package, folder, region as s, region as t from nd union select cc.package, cc.folder, cc.s, lk.t from cc join lk on lk.package = cc.package and lk.folder = cc.folder and lk.s = cc.t),
+cg as (select package, folder, s as region, min(t) as g from cc group by 1, 2, 3),
+gg as (select package, folder, g, count(*) as regions, sum(files)::bigint as files, sum(apart)::bigint as apart, count(*) over (partition by package, folder) as k from cg join nd using (package, folder, region) group by 1, 2, 3)"""
+
 QUERIES = {
+    "files_apart": (files_apart, f"with recursive {TOPOLOGY}, {REGIONS}, {PLACED}, pa as (select *, string_split(folder, '/') as x, string_split(home, '/') as y from pc where home <> folder) select package, file, folder, region, home, len(x) + len(y) - 2 * len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i])) as distance from pa"),
+    "close_folders": (close_folders, f'with recursive {TOPOLOGY}, {REGIONS}, {PLACED}, {CLOSE} select package, folder, g as "group", regions, files, apart, (select count(*) from pc where pc.package = gg.package and pc.folder = gg.folder and region is null) as unresolved from gg where k > 1'),
     "internal_topology": (internal_topology, f"with recursive {TOPOLOGY} select package, module, folder, region, fan_in, fan_out, context_fan_in, layer, coalesce(cycle, '-') as cycle, array_to_string(list_filter([case when near is null then 'isolated' when fan_in = 0 then 'dependency-source' when fan_out = 0 then 'dependency-sink' end, case when hi then 'high-fan-in' end, case when ho then 'high-fan-out' end, case when agg then 'aggregator' end, case when bridge then 'bridge' end, case when near = 1 and not agg then 'satellite' end, case when cycle is not null then 'cycle-member' end], lambda r: r is not null), ',') as roles from tp"),
     "responsibility_regions": (responsibility_regions, f"with recursive {TOPOLOGY}, {REGIONS} select package, module, status, case when status = 'unresolved' then '-' else region end as region, case when status = 'unresolved' then reason else '-' end as reason from m5 left join rg using (g)"),
 }
