@@ -44,10 +44,10 @@ def related(files: DataFrame, relationships: DataFrame, pairs: DataFrame) -> Dat
 
 
 def close_folders(files: DataFrame, links: DataFrame) -> DataFrame:
-    """(package, folder, group, regions, files, apart, unresolved): the groups of related regions of each folder that has two or more.
+    """(package, folder, first_region, regions, files, apart, unresolved): the groups of related regions of each folder that has two or more.
 
     files are placed(), links related(). Regions of a folder are in one group if links lead from one to the other through regions of
-    that folder: one component run over (package, folder, region) settles all folders. group is its first region; regions and files are
+    that folder: one component run over (package, folder, region) settles all folders. first_region is the first by name; regions and files are
     counts, apart the files outside their home, unresolved the folder's modules without a region.
     """
     here = cut(files.groupBy("package", "folder", "region").agg(F.count("*").alias("files"), F.count(F.when(F.col("home") != F.col("folder"), 1)).alias("apart")))
@@ -58,7 +58,7 @@ def close_folders(files: DataFrame, links: DataFrame) -> DataFrame:
     b = nodes.select("package", "folder", F.col("region").alias("b"), F.col("id").alias("dst"))
     edges = cut(links.join(a, ["package", "a"]).join(b, ["package", "folder", "b"]).select("src", "dst"))
     component = weak_components(nodes.select("id"), edges).select("id", "component")
-    groups = known.withColumn("id", node).join(component, "id").groupBy("package", "folder", "component").agg(F.min("region").alias("group"), F.count("*").alias("regions"), F.sum("files").alias("files"), F.sum("apart").alias("apart"))
+    groups = known.withColumn("id", node).join(component, "id").groupBy("package", "folder", "component").agg(F.min("region").alias("first_region"), F.count("*").alias("regions"), F.sum("files").alias("files"), F.sum("apart").alias("apart"))
     several = groups.groupBy("package", "folder").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     open_ = here.filter("region is null").select("package", "folder", F.col("files").alias("unresolved"))
     return groups.drop("component").join(several, ["package", "folder"]).join(open_, ["package", "folder"], "left").na.fill(0, ["unresolved"])

@@ -155,7 +155,7 @@ gg as (select package, folder, g, count(*) as regions, sum(files)::bigint as fil
 
 QUERIES = {
     "files_apart": (files_apart, f"with recursive {TOPOLOGY}, {REGIONS}, {PLACED}, pa as (select *, string_split(folder, '/') as x, string_split(home, '/') as y from pc where home <> folder) select package, file, folder, region, home, len(x) + len(y) - 2 * len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i])) as distance from pa"),
-    "close_folders": (close_folders, f'with recursive {TOPOLOGY}, {REGIONS}, {PLACED}, {CLOSE} select package, folder, g as "group", regions, files, apart, (select count(*) from pc where pc.package = gg.package and pc.folder = gg.folder and region is null) as unresolved from gg where k > 1'),
+    "close_folders": (close_folders, f'with recursive {TOPOLOGY}, {REGIONS}, {PLACED}, {CLOSE} select package, folder, g as first_region, regions, files, apart, (select count(*) from pc where pc.package = gg.package and pc.folder = gg.folder and region is null) as unresolved from gg where k > 1'),
     "internal_topology": (internal_topology, f"with recursive {TOPOLOGY} select package, module, folder, region, fan_in, fan_out, context_fan_in, layer, coalesce(cycle, '-') as cycle, array_to_string(list_filter([case when near is null then 'isolated' when fan_in = 0 then 'dependency-source' when fan_out = 0 then 'dependency-sink' end, case when hi then 'high-fan-in' end, case when ho then 'high-fan-out' end, case when agg then 'aggregator' end, case when bridge then 'bridge' end, case when near = 1 and not agg then 'satellite' end, case when cycle is not null then 'cycle-member' end], lambda r: r is not null), ',') as roles from tp"),
     "responsibility_regions": (responsibility_regions, f"with recursive {TOPOLOGY}, {REGIONS} select package, module, status, case when status = 'unresolved' then '-' else region end as region, case when status = 'unresolved' then reason else '-' end as reason from m5 left join rg using (g)"),
 }

@@ -51,7 +51,7 @@ def test_close_and_apart(spark):
     files = proximity.placed(spark.createDataFrame(modules, "package string, root string, module string, folder string").selectExpr("*", "1 as region", "2 as home"), spark.createDataFrame(regions, "package string, module string, region string"))
     got = proximity.related(files, spark.createDataFrame(list(links), "package string, from string, to string"), spark.createDataFrame(pairs, "left string, right string"))
     assert {tuple(r) for r in got.collect()} == near
-    assert {tuple(r) for r in proximity.close_folders(files, got).select("package", "folder", "group", "regions", "files", "apart", "unresolved").collect()} == want
+    assert {tuple(r) for r in proximity.close_folders(files, got).select("package", "folder", "first_region", "regions", "files", "apart", "unresolved").collect()} == want
     far = {r.file: r.distance for r in proximity.files_apart(files).collect()}
     assert set(far) == apart and all(d > 0 for d in far.values())
     assert proximity.close_folders(files, got.limit(0)).count() >= len(want)
