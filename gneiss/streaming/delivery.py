@@ -240,21 +240,41 @@ def observed(frames: DataFrame, cursors: DataFrame | None = None, after: int = -
     (cursor: the frame that is missing) while other runs go on. A null run or cursor is left out, a null terminal is false.
 
     The frames of a run are to arrive in order over batches; within one they are sorted. operators.log.replay_gaps() checks cursors beforehand.
+    A table is one batch and leaves no state, so its runs are sorted in one shuffle, without a call for each run; the rows are the same.
     """
     if on_gap not in ("fail", "mark"):
         raise ValueError("on_gap is fail or mark")
     if after < -1:
         raise ValueError("a cursor is -1 or more")
-    with_timers(frames.sparkSession)
     rows = frames.filter("run is not null and cursor is not null")
     rows = rows.select(F.col("run").cast("string").alias("run"), F.col("cursor").cast("long").alias("cursor"), F.coalesce("terminal", F.lit(False)).alias("terminal"), F.col("payload").cast("string").alias("payload"))
-    initial = None
+    first = None
     if cursors is not None:
-        first = cursors.filter("run is not null").groupBy(F.col("run").cast("string").alias("run")).agg(F.max("after").cast("long").alias("after"))
-        initial = first.na.fill(after, ["after"]).groupBy("run")
+        first = cursors.filter("run is not null").groupBy(F.col("run").cast("string").alias("run")).agg(F.max("after").cast("long").alias("after")).na.fill(after, ["after"])
+    if not rows.isStreaming:
+        return _observed_table(rows, first, after, on_gap == "fail")
+    with_timers(frames.sparkSession)
+    initial = None if first is None else first.groupBy("run")
     return rows.groupBy("run").transformWithStateInPandas(_Observation(after + 1, on_gap == "fail"), "run string, cursor long, event string, payload string", "Append", "None", initial)
 
 
+def _observed_table(rows: DataFrame, first: DataFrame | None, after: int, fails: bool) -> DataFrame:
+    """observed() of a table: a run is given out up to its first frame that is terminal or does not follow the one before."""
+    start = F.lit(after).cast("long")
+    rows = rows.withColumn("after", start) if first is None else rows.join(first, "run", "left").withColumn("after", F.coalesce("after", start))
+    best = F.min(F.struct("terminal", F.col("payload").isNull().alias("_none"), "payload")).alias("b")
+    kept = rows.filter("cursor > after").groupBy("run", "after", "cursor").agg(best).select("run", "after", "cursor", "b.terminal", "b.payload")
+    w = Window.partitionBy("run").orderBy("cursor")  # rows of a run are sorted and read in turn, both spill
+    kept = kept.withColumn("_next", F.coalesce(F.lag("cursor").over(w), "after") + 1).withColumn("_lost", F.col("cursor") > F.col("_next"))
+    ended = F.max(F.col("terminal") | F.col("_lost")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("_ended", ended).filter("not coalesce(_ended, false)")
+    text = F.format_string("run %s: expected frame %d, found %d", "run", "_next", "cursor")
+    if fails:
+        kept = kept.filter(F.when(F.col("_lost"), F.raise_error(text).cast("boolean")).otherwise(True))
+    event = F.when(F.col("_lost"), "gap").when(F.col("terminal"), "closing").otherwise("frame")
+    return kept.select("run", F.when(F.col("_lost"), F.col("_next")).otherwise(F.col("cursor")).alias("cursor"), event.alias("event"), F.when(F.col("_lost"), text).otherwise(F.col("payload")).alias("payload"))
+
+
 def _numbered(rows: DataFrame, scope: str, order: list[str]) -> DataFrame:
     """Dense numbers from 1 in each scope: counted by range, numbered inside a range, so that no scope is one task."""
     n = rows.count()

@@ -139,6 +139,24 @@ def test_observed_runs_over_restarts(spark, tmp_path):
     assert "again" not in {p for *_, p in out}
 
 
+def test_observed_of_a_table_equals_the_stream(spark, tmp_path):
+    """A table starts no state store: one call a run took longer than the limit at 900,000 runs."""
+    rng = random.Random(4)
+    rows = [(f"r{run}", at, rng.choice([False, False, None, True]), rng.choice(["x", "y", None]), 1) for run in range(80) for at in range(9) for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 2]))]
+    write(spark, rows, str(tmp_path / "in"), 0, FRAMES)
+    cursors = spark.createDataFrame([(f"r{run}", rng.choice([None, -1, 0, 1, 4, 9])) for run in range(60)], "run string, after long")
+    for known in (None, cursors):
+        out = []
+        stream = spark.readStream.schema(FRAMES).parquet(str(tmp_path / "in/*"))
+        run(delivery.observed(stream, known, on_gap="mark"), str(tmp_path / f"check{known is None}"), lambda df, _: out.extend(map(tuple, df.collect())))
+        table = delivery.observed(spark.read.schema(FRAMES).parquet(str(tmp_path / "in/*")), known, on_gap="mark")
+        assert "InPandas" not in table._jdf.queryExecution().toString()
+        got = [tuple(r) for r in table.collect()]
+        assert sorted(got, key=str) == sorted(out, key=str) and {"gap", "closing", "frame"} == {r[2] for r in got}
+    with pytest.raises(Exception, match="expected frame"):
+        delivery.observed(spark.read.schema(FRAMES).parquet(str(tmp_path / "in/*"))).count()
+
+
 def test_a_gap_fails_the_query(spark, tmp_path):
     write(spark, [("a", 0, False, "x", 1), ("a", 2, False, "y", 1)], str(tmp_path / "in"), 0, FRAMES)
     stream = spark.readStream.schema(FRAMES).parquet(str(tmp_path / "in/*"))
