@@ -1,4 +1,4 @@
-"""Reviews of alternatives against all pairs, on groups too large for them."""
+"""Reviews of alternatives and overlap candidates against brute force, on groups too large for pairs of rows."""
 
 import random
 import time
@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import rules
+from gneiss.operators import pairs, rules
 
 
 def states(rows):
@@ -36,3 +36,26 @@ def test_reviewed_of_one_large_subject(spark):
     got = {r.state: r.n for r in rules.reviewed(df, ["a", "b"], "bad", "id").groupBy("state").agg(F.count("*").alias("n")).collect()}
     assert got == {"viable": 100, "indistinguishable": 39_900}
     assert time.time() - began < 100
+
+
+def test_overlap_candidates_against_all_pairs(spark, monkeypatch):
+    """Tiles of a few items, an item in two files, coupling both ways and within a file; temporal pairs are not shuffled."""
+    monkeypatch.setattr(pairs, "TILE", 4)
+    rng = random.Random(3)
+    items = [(i, i % 5, [f"t{rng.randrange(30)}"], [f"p{rng.randrange(12)}" for _ in range(5)]) for i in range(60)] + [(7, 4, ["t1"], ["p1"]), (8, None, [], []), (8, 3, [], [])]
+    turned = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    coupled = [(0, 1), (1, 0), (2, 2), (4, 3), (0, 4), (4, 2), (0, 1)]
+    df = spark.createDataFrame(items, "item int, file int, tokens array<string>, properties array<string>")
+    args = df, spark.createDataFrame(turned, "item int, other int"), spark.createDataFrame(coupled, "left int, right int")
+    want = {}
+    for (x, f), (y, g) in [((a[0], a[1]), (b[0], b[1])) for a in items for b in items]:
+        if x < y and ((f, g) in coupled or (g, f) in coupled):
+            want.setdefault((x, y), set()).add("temporal")
+    for kind, column, least in (("name", "tokens", 1), ("property", "properties", 3)):
+        for r in pairs.candidates(df, "item", column, least).collect():
+            want.setdefault((r.left, r.right), set()).add(kind)
+    for x, y in turned:
+        if x != y:
+            want.setdefault((min(x, y), max(x, y)), set()).add("conversion")
+    got = [tuple(r) for r in pairs.overlap_candidates(*args).collect()]
+    assert sorted(got) == sorted((*k, ",".join(sorted(v))) for k, v in want.items())
