@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import paths, structure
+from gneiss.operators import graph, paths, structure
 
 
 def test_longest_prefix_owner(spark):
@@ -48,3 +48,12 @@ def test_labels(spark):
     flags = spark.createDataFrame([(True, True, False), (True, False, True), (False, False, True)], "a boolean, b boolean, c boolean")
     out = flags.select(structure.overlap_assessment({c: F.col(c) for c in "abc"}, ["b"]).alias("o")).collect()
     assert [r.o for r in out] == ["a,b", "", ""]
+
+
+def test_large_cuts_are_never_broadcast(spark):
+    """Packed ids are a file of a few kilobytes, by whose size they were sent to the driver."""
+    large, small = graph.cut(spark.range(100_000).select("id", F.lit(1).alias("one"))), graph.cut(spark.range(9))
+    joined = large.select("id").join(spark.range(10_000_000).filter("id % 3 = 0"), "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    joined = small.join(spark.range(10_000_000), "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
