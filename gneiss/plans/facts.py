@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import history, pairs, rollup, rules
-from .tables import lines, table
+from .tables import count, lines, table
 
 HISTORY = history.History("l_orderkey", "l_partkey", "o_custkey", "o_orderdate", "l_quantity")
 
@@ -52,7 +52,7 @@ def distribution_pack(spark, d):
 
 
 def _pairs(spark, d):
-    return pairs.cochange(lines(spark, d), "l_orderkey", "l_suppkey", "o_orderdate")
+    return pairs.cochange(lines(spark, d), "l_orderkey", "l_suppkey", "o_orderdate", rows=count(spark, d, "lineitem"))
 
 
 def cochange_pairs(spark, d):
@@ -71,7 +71,8 @@ p as (select s."left", s."right", support, a.n as left_n, b2.n as right_n, suppo
 
 
 def cochange_partner(spark, d):
-    return pairs.partners(_pairs(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
+    ends = 4 * count(spark, d, "lineitem")  # an order has four lines on average: two pairs a line
+    return pairs.partners(_pairs(spark, d), ends).withColumn("jaccard", F.round("jaccard", 9))
 
 
 def _owned(spark, d):
