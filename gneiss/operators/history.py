@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import distribution, ratio
+from .deal import deal, large
 from .graph import cut
 
+#: Tasks over which the authors of one subject are dealt.
+SLOTS = 64
+
 
 @dataclass(frozen=True)
 class History:
@@ -23,35 +27,42 @@ class History:
     deletions: str | None = None
 
 
-def churn(df: DataFrame, h: History, since: Column | None = None) -> DataFrame:
+def churn(df: DataFrame, h: History, since: Column | None = None, rows: int | None = None) -> DataFrame:
     """Distinct events, amounts and authors of each subject since a time, first and last time of all history.
 
     The primary author has the most events in the window; of those that tie, the one whose last event there is the
     newest (of equal times the smallest event), as a log read from its newest event meets them.
     Subjects without an event in the window stay, with zero counts.
+    With the number of rows, subjects and SLOTS parts of their authors are dealt by it (see deal()); a subject then has a row for each part.
     """
     inside = F.lit(True) if since is None else F.col(h.ts) >= since
     gone = F.col(h.deletions) if h.deletions else F.lit(0)
-    rows = df.select(
+    facts = df.select(
         F.col(h.subject), F.col(h.event).alias("_e"), F.col(h.author).alias("_a"), F.col(h.ts).alias("_t"), F.col(h.additions).alias("_p"), gone.alias("_m"), inside.alias("_in")
     )
     kind = df.schema[h.ts].dataType.typeName()
     newest = F.unix_micros(F.col("_w").cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col("_w")
     # One partial result for each subject and author keeps the distinct counts small.
-    single = rows.groupBy(h.subject, "_e", "_a").agg(F.min("_t").alias("_f"), F.max("_t").alias("_l"), F.sum(F.when(F.col("_in"), F.col("_p"))).alias("_p"), F.sum(F.when(F.col("_in"), F.col("_m"))).alias("_m"), F.max("_in").alias("_in"), F.max(F.when(F.col("_in"), F.col("_t"))).alias("_w"))
-    by_author = single.groupBy(h.subject, "_a").agg(
+    single = facts.groupBy(h.subject, "_e", "_a").agg(F.min("_t").alias("_f"), F.max("_t").alias("_l"), F.sum(F.when(F.col("_in"), F.col("_p"))).alias("_p"), F.sum(F.when(F.col("_in"), F.col("_m"))).alias("_m"), F.max("_in").alias("_in"), F.max(F.when(F.col("_in"), F.col("_t"))).alias("_w"))
+    slot = F.pmod(F.xxhash64("_a"), F.lit(SLOTS)) if large(rows) else F.lit(0)
+    by_author = deal(single.withColumn("_slot", slot), rows, h.subject, "_slot").groupBy(h.subject, "_slot", "_a").agg(
         F.count(F.when(F.col("_in"), 1)).alias("_n"), F.sum("_p").alias("_p"), F.sum("_m").alias("_m"), F.min("_f").alias("_f"), F.max("_l").alias("_l"), F.min(F.when(F.col("_w").isNotNull(), F.struct((-newest).alias("w"), "_e"))).alias("_s")
     )
     seen = F.col("_n") > 0
-    best = F.min(F.when(seen, F.struct((-F.col("_n")).alias("n"), F.col("_s").alias("s"), F.col("_a").alias("a"))))
-    out = by_author.groupBy(h.subject).agg(
-        F.sum("_n").alias("commits"),
-        F.coalesce(F.sum("_p"), F.lit(0)).alias("additions"),
-        F.coalesce(F.sum("_m"), F.lit(0)).alias("deletions"),
-        F.count(F.when(seen, 1)).alias("authors"),
-        best.alias("_b"),
-        F.min("_f").alias("first_changed_at"),
-        F.max("_l").alias("last_changed_at"),
+    best = F.when(seen, F.struct((-F.col("_n")).alias("n"), F.col("_s").alias("s"), F.col("_a").alias("a")))
+    parts = by_author.withColumns({"_k": F.when(seen, 1).otherwise(0), "_b": best})
+    sums = [*[F.sum(c).alias(c) for c in ("_n", "_p", "_m", "_k")], F.min("_b").alias("_b"), F.min("_f").alias("_f"), F.max("_l").alias("_l")]
+    if large(rows):
+        parts = deal(parts.groupBy(h.subject, "_slot").agg(*sums), rows, h.subject)
+    out = parts.groupBy(h.subject).agg(*sums).select(
+        h.subject,
+        F.col("_n").alias("commits"),
+        F.coalesce("_p", F.lit(0)).alias("additions"),
+        F.coalesce("_m", F.lit(0)).alias("deletions"),
+        F.col("_k").alias("authors"),
+        "_b",
+        F.col("_f").alias("first_changed_at"),
+        F.col("_l").alias("last_changed_at"),
     )
     return out.select(
         h.subject, "commits", "additions", "deletions", "authors", F.col("_b.a").alias("primary_author"), ratio(-F.col("_b.n"), F.col("commits")).alias("primary_share"), "first_changed_at", "last_changed_at"

@@ -16,7 +16,7 @@ def _since():
 
 
 def churn_by_subject(spark, d):
-    out = history.churn(lines(spark, d), HISTORY, _since()).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    out = history.churn(lines(spark, d), HISTORY, _since(), count(spark, d, "lineitem")).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     out = stats.with_strict_rank(out, "commits", ["p_brand"], "commit_percentile")
     return out.select("l_partkey", "p_brand", "commits", "additions", "authors", F.coalesce("primary_author", F.lit(-1)).alias("primary_author"), F.round("primary_share", 9).alias("primary_share"), "first_changed_at", "last_changed_at", F.round("commit_percentile", 9).alias("commit_percentile"))
 
@@ -148,7 +148,7 @@ def ownership_leaders(spark, d):
 
 
 def rank_metrics(spark, d):
-    c = history.churn(lines(spark, d), HISTORY).select("l_partkey", "commits", "authors", "additions")
+    c = history.churn(lines(spark, d), HISTORY, rows=count(spark, d, "lineitem")).select("l_partkey", "commits", "authors", "additions")
     return rollup.rank_metrics(c, "l_partkey", ["commits", "authors", "additions"], 10)
 
 
