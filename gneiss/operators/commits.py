@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import file_kind
 from ..functions.stats import distribution, ratio
 from ..policy import DEFAULT, Policy
+from .deal import deal
 
 KINDS = ("config", "other", "source", "story", "test")
 
@@ -20,29 +21,29 @@ def excluded(path: Column, policy: Policy = DEFAULT) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, policy.excluded_folders)))
 
 
-def eligible_changes(changes: DataFrame, tracked: DataFrame, since: Column | None = None, aliases: DataFrame | None = None, policy: Policy = DEFAULT) -> DataFrame:
+def eligible_changes(changes: DataFrame, tracked: DataFrame, since: Column | None = None, aliases: DataFrame | None = None, policy: Policy = DEFAULT, number: int | None = None) -> DataFrame:
     """(commit, ts, path, kind, additions, deletions) of tracked, eligible paths since a time, once for each commit and path.
 
     tracked is (path); aliases (old, final) of renamed paths. Lines are summed over the rows of a
-    path; a sum is null if all of them are.
+    path; a sum is null if all of them are. With the number of changes, rows are dealt by path (see deal()).
     """
     rows = changes if since is None else changes.filter(F.col("ts") >= since)
     if aliases is not None:
         names = aliases.select(F.col("old").alias("path"), "final").distinct()
         rows = rows.join(names, "path", "left").withColumn("path", F.coalesce("final", "path"))
     rows = rows.withColumn("kind", file_kind(F.col("path"))).filter(F.col("kind").isin(*policy.eligible_kinds) & ~excluded(F.col("path"), policy))
-    rows = rows.join(tracked.select("path").distinct(), "path", "left_semi")
+    rows = deal(rows, number, "path").join(deal(tracked.select("path").distinct(), number, "path"), "path", "left_semi")
     return rows.groupBy("commit", "path").agg(F.min("ts").alias("ts"), F.first("kind").alias("kind"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
-def eligible_commits(rows: DataFrame, owners: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def eligible_commits(rows: DataFrame, owners: DataFrame, policy: Policy = DEFAULT, number: int | None = None) -> DataFrame:
     """One row for each commit of eligible_changes(): files by kind, owners touched, composition and whether it is oversized.
 
     owners is (path, owner); paths without an owner count as files only. A commit is oversized with
     too many code files, or as a configuration sweep over many packages. Owners are few for each
-    commit that is not oversized; their sorted set is kept as text.
+    commit that is not oversized; their sorted set is kept as text. With the number of rows, they are dealt by commit (see deal()).
     """
-    single = rows.join(owners.select("path", "owner"), "path", "left")
+    single = deal(rows.join(deal(owners.select("path", "owner"), number, "path"), "path", "left"), number, "commit")
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS]
     out = single.groupBy("commit").agg(
         F.min("ts").alias("ts"), F.count("*").alias("files"), *counts, F.array_join(F.array_sort(F.collect_set("owner")), "|").alias("packages"), F.countDistinct("owner").alias("n_packages"),
@@ -56,13 +57,13 @@ def eligible_commits(rows: DataFrame, owners: DataFrame, policy: Policy = DEFAUL
     return out.withColumn("oversized", (code > policy.max_code_files) | sweep)
 
 
-def change_radius(rows: DataFrame, commits: DataFrame, owners: DataFrame, owner_edges: DataFrame, target: str) -> DataFrame:
+def change_radius(rows: DataFrame, commits: DataFrame, owners: DataFrame, owner_edges: DataFrame, target: str, number: int | None = None) -> DataFrame:
     """How far each commit that is not oversized and touches the target owner reaches.
 
     owner_edges is (from, to), each dependency between two owners once; a boundary is crossed where
     a commit touches both of its ends. lines_changed is null only where additions and deletions are.
     """
-    owned = rows.join(owners.select("path", "owner"), "path")
+    owned = deal(rows.join(deal(owners.select("path", "owner"), number, "path"), "path"), number, "commit")
     mine = owned.filter(F.col("owner") == target).groupBy("commit").agg(F.count("*").alias("target_files"))
     kept = commits.filter("not oversized").join(mine, "commit")
     touched = owned.join(kept.select("commit"), "commit", "left_semi").select("commit", "owner").distinct()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, stats
 from ..operators import commits, filters, graph, gravity, history, profiles
-from .tables import lines, table
+from ..operators.deal import deal
+from .tables import count, lines, table
 
 PATH = """'p' || (p_partkey % 40) || case p_size % 10 when 0 then '/f' || p_partkey || '/package.json' when 1 then '/test/f' || p_partkey || '.ts'
   when 2 then '/src/f' || p_partkey || '.stories.tsx' when 3 then '/docs/f' || p_partkey || '.md' when 4 then '/.f' || p_partkey
@@ -28,7 +29,8 @@ def _files(spark, d):
 
 
 def _changes(spark, d):
-    rows = lines(spark, d).join(_files(spark, d).select(F.col("p_partkey").alias("l_partkey"), "path"), "l_partkey")
+    n = count(spark, d, "lineitem")
+    rows = deal(lines(spark, d), n, "l_partkey").join(deal(_files(spark, d).select(F.col("p_partkey").alias("l_partkey"), "path"), n, "l_partkey"), "l_partkey")
     return rows.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"), "path", F.expr(ADDED).alias("additions"), F.expr(GONE).alias("deletions"))
 
 
@@ -36,7 +38,7 @@ def _eligible(spark, d):
     changes, files = _changes(spark, d), _files(spark, d)
     last = table(spark, d, "orders").agg((F.max("o_orderdate") - F.expr("interval 365 days")).alias("_since"))  # one row
     changes = changes.join(F.broadcast(last)).filter("ts >= _since").drop("_since")
-    return commits.eligible_changes(changes, files.filter("p_size <> 50").select("path")), files.select("path", "owner")
+    return commits.eligible_changes(changes, files.filter("p_size <> 50").select("path"), number=count(spark, d, "lineitem")), files.select("path", "owner")
 
 
 ELIGIBLE = f"""{FILES}, ec as (select o_orderkey as commit, path, owner, kind, min(o_orderdate) as ts, sum({ADDED})::bigint as additions, sum({GONE})::bigint as deletions
@@ -60,7 +62,8 @@ def module_graph(spark, d):
     """(nodes, edges) of the files by their key."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
     after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    pairs = rows.filter("l_quantity = 50").join(after, ["l_orderkey", "l_linenumber"])
+    n, keys = count(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    pairs = deal(rows.filter("l_quantity = 50"), n, *keys).join(deal(after, n, *keys), keys)
     low, high = F.least("l_partkey", "b"), F.greatest("l_partkey", "b")
     edges = pairs.select(F.when(F.col("l_tax") > 0, low).otherwise(high).alias("src"), F.when(F.col("l_tax") > 0, high).otherwise(low).alias("dst"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id")), graph.cut(graph.simple(edges))
@@ -84,7 +87,8 @@ def eligible_commits(spark, d):
 
 def _radius(spark, d):
     rows, owners = _eligible(spark, d)
-    return commits.change_radius(rows, commits.eligible_commits(rows, owners), owners, _owner_edges(spark, d), "p7")
+    n = count(spark, d, "lineitem")
+    return commits.change_radius(rows, commits.eligible_commits(rows, owners, number=n), owners, _owner_edges(spark, d), "p7", n)
 
 
 def change_radius(spark, d):
