@@ -6,7 +6,7 @@ from test_queries import FOLDER, canonical, duck  # noqa: F401
 from gneiss.operators import deal
 from gneiss.plans import bindings
 
-DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals"]
+DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree"]
 
 
 @pytest.mark.parametrize("name", DEALT)
