@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ancestors
-from ..functions.stats import ratio
+from ..functions.stats import ratio, running_before
+from .graph import cut
 
 
 def concentration(df: DataFrame, key: str) -> DataFrame:
@@ -16,6 +17,26 @@ def concentration(df: DataFrame, key: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(key, "edges", ratio(F.col("edges"), F.col("_t")).alias("share"))
 
 
+def distributions(df: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """Total, average, max and min of a numeric value in each group, and its nearest-rank quantiles by name: as stats.aggregate(), 0 for none.
+
+    A group may be the whole table. Its distinct values are counted, and the counts run up in ranges of their own, so
+    no task holds the values of a group.
+    """
+    zero = F.lit(0)
+    whole = df.groupBy(*by).agg(F.coalesce(F.sum(value), zero).alias("total"), F.coalesce(F.avg(value), F.lit(0.0)).alias("average"), F.coalesce(F.max(value), zero).alias("max"), F.coalesce(F.min(value), zero).alias("min"), F.count(value).alias("_all"))
+    whole = cut(whole.select("*", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).drop(*by))
+    counts = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    placed = running_before(counts, by, value, "_n", "_below").join(whole.select("_all", *[f"_g{i}" for i in range(len(by))]), same)
+    upto = F.col("_below") + F.col("_n")
+    found = placed.groupBy(*by).agg(*[F.min(F.when(upto >= F.ceil(F.lit(p) * F.col("_all")), F.col(value))).alias(name) for name, p in ranks.items()])
+    out = whole.join(found, same, "left")
+    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], "total", "average", "max", *[F.coalesce(n, zero).alias(n) for n in ranks], "min")
+
+
 def traffic(edges: DataFrame, consumer_owner: str, supplier_owner: str, consumer: str, supplier: str) -> DataFrame:
     """Distinct consumers and suppliers of each ordered pair of different owners."""
     e = edges.filter(F.col(consumer_owner) != F.col(supplier_owner))

@@ -46,8 +46,7 @@ def events_over_subjects(spark, d):
 
 
 def distribution_pack(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("v", F.col("l_extendedprice"))
-    a = rows.groupBy("l_returnflag").agg(*stats.aggregate("v"), *[c for c in stats.distribution("v", "spread")][:2])
+    a = rollup.distributions(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "median": 0.5})
     return a.select("l_returnflag", F.round("total", 2).alias("total"), F.round("average", 4).alias("average"), "max", "p50", "p90", "p95", "min", "median")
 
 

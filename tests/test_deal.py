@@ -3,7 +3,8 @@
 import pytest
 from test_queries import FOLDER, canonical, duck  # noqa: F401
 
-from gneiss.operators import deal
+from gneiss.functions import stats
+from gneiss.operators import deal, rollup
 from gneiss.plans import bindings
 
 DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree"]
@@ -23,3 +24,13 @@ def test_small_tables_are_left_to_spark(spark):
     df = spark.range(10)
     assert deal.deal(df, 10, "id") is df and deal.deal(df, None, "id") is df
     assert deal.deal(df, 10_000_000, "id").rdd.getNumPartitions() == 40
+
+
+def test_distributions_equal_the_aggregates(spark):
+    rows = [(k, v) for k, n in (("a", 1), ("b", 20), (None, 40), ("c", 333)) for v in [None, *[float((i * 7919) % (n + 3) // 2) for i in range(n)]]] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = df.groupBy("k").agg(*stats.aggregate("v"), *stats.distribution("v", "spread")[:2])
+    got = rollup.distributions(df, ["k"], "v", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "median": 0.5}).select(*want.columns)
+    # No aggregate holds all values of a group.
+    assert "percentile_disc" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
