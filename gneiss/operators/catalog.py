@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import model_id
 from ..functions.stats import ratio
 from ..policy import DEFAULT, Policy
+from .deal import deal, large, tasks
 from .graph import cut, simple
 
 
@@ -99,15 +100,19 @@ def facet_lineage(facets: DataFrame) -> DataFrame:
         found = cut(found.union(front))
 
 
-def timeline(numstat: DataFrame, names: DataFrame) -> DataFrame:
+def timeline(numstat: DataFrame, names: DataFrame, rows: int | None = None) -> DataFrame:
     """Changes (hash, path, status, previous_path, additions, deletions), oldest first by (ts, hash, path), of two scans of one history.
 
     numstat is (hash, ts, path, additions, deletions), names (hash, path, status, previous_path). A
-    path that only one of them has stays, with nulls for what the other says.
+    path that only one of them has stays, with nulls for what the other says. With the number of rows of the larger
+    scan, both and the sorted ranges are dealt by it (see deal()).
     """
     times = numstat.groupBy("hash").agg(F.min("ts").alias("ts"))
-    both = numstat.drop("ts").join(names, ["hash", "path"], "full_outer").join(times, "hash", "left")
-    return both.select("hash", "ts", "path", "status", "previous_path", "additions", "deletions").orderBy("ts", "hash", "path")
+    stat = deal(numstat.drop("ts"), rows, "hash", "path")
+    both = stat.join(deal(names, rows, "hash", "path"), ["hash", "path"], "full_outer")
+    both = deal(both, rows, "hash").join(deal(times, rows, "hash"), "hash", "left").select("hash", "ts", "path", "status", "previous_path", "additions", "deletions")
+    order = ["ts", "hash", "path"]
+    return both.repartitionByRange(tasks(both, rows), *order).sortWithinPartitions(*order) if large(rows) else both.orderBy(*order)
 
 
 def module_records(modules: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
