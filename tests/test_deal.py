@@ -7,7 +7,7 @@ from gneiss.functions import stats
 from gneiss.operators import deal, rollup
 from gneiss.plans import bindings
 
-DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline"]
+DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline", "token_jaccard"]
 
 
 @pytest.mark.parametrize("name", DEALT)
