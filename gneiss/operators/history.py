@@ -69,10 +69,22 @@ def churn(df: DataFrame, h: History, since: Column | None = None, rows: int | No
     )
 
 
-def totals_by_kind(df: DataFrame, h: History, kind: str) -> DataFrame:
-    """Distinct events and subjects and summed additions of each kind, and of all (kind null)."""
-    single = df.select(kind, F.col(h.event).alias("_e"), F.col(h.subject).alias("_s"), F.col(h.additions).alias("_p"))
-    return single.rollup(kind).agg(F.countDistinct("_e").alias("commits"), F.countDistinct("_s").alias("subjects"), F.sum("_p").alias("additions"))
+def totals_by_kind(df: DataFrame, h: History, kind: str, rows: int | None = None) -> DataFrame:
+    """Distinct events and subjects and summed additions of each kind, and of all (kind null).
+
+    A distinct event or subject of a kind is a row of its own, dealt by the number of rows where that is given (see deal()); no row is repeated for each count.
+    """
+    single = df.select(F.col(kind).alias("_k"), F.col(h.event).alias("_e"), F.col(h.subject).alias("_s"), F.col(h.additions).alias("_p"))
+    by_event = deal(single, rows, "_e").groupBy("_e", "_k").agg(F.sum("_p").alias("_p"))
+    by_subject = single.select("_s", "_k").distinct()
+    # Of all: the events and subjects once, whatever their kinds.
+    all_events = by_event.groupBy("_e").agg(F.sum("_p").alias("_p")).agg(F.count("_e").alias("commits"), F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("additions"))
+    all_subjects = by_subject.filter("_s is not null").select("_s").distinct().agg(F.count("*").alias("subjects"))
+    total = all_events.filter("_n > 0").join(F.broadcast(all_subjects)).select(F.lit(None).cast(df.schema[kind].dataType).alias(kind), "commits", "subjects", "additions")  # one row each
+    events = by_event.groupBy("_k").agg(F.count("_e").alias("commits"), F.sum("_p").alias("additions"))
+    subjects = by_subject.groupBy(F.col("_k").alias("_j")).agg(F.count("_s").alias("subjects"))
+    kinds = events.join(subjects, F.col("_k").eqNullSafe(F.col("_j"))).select(F.col("_k").alias(kind), "commits", "subjects", "additions")
+    return kinds.union(total)
 
 
 def distinct_events_over(df: DataFrame, h: History, subjects: DataFrame) -> DataFrame:

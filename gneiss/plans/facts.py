@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import history, pairs, rollup, rules
+from ..operators.deal import deal
 from .tables import count, lines, table
 
 HISTORY = history.History("l_orderkey", "l_partkey", "o_custkey", "o_orderdate", "l_quantity")
@@ -36,8 +37,9 @@ select *, round((rank() over (partition by p_brand order by commits) - 1) / coun
 
 
 def churn_kind_totals(spark, d):
-    rows = lines(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    return history.totals_by_kind(rows, HISTORY, "p_type").select(F.coalesce("p_type", F.lit("(all)")).alias("kind"), "commits", "subjects", "additions")
+    n = count(spark, d, "lineitem")
+    rows = deal(lines(spark, d), n, "l_partkey").join(deal(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), n, "l_partkey"), "l_partkey")
+    return history.totals_by_kind(rows, HISTORY, "p_type", n).select(F.coalesce("p_type", F.lit("(all)")).alias("kind"), "commits", "subjects", "additions")
 
 
 def events_over_subjects(spark, d):

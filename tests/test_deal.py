@@ -4,10 +4,10 @@ import pytest
 from test_queries import FOLDER, canonical, duck  # noqa: F401
 
 from gneiss.functions import stats
-from gneiss.operators import deal, rollup
+from gneiss.operators import deal, history, rollup
 from gneiss.plans import bindings
 
-DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline", "token_jaccard"]
+DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline", "token_jaccard", "churn_kind_totals"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -34,3 +34,11 @@ def test_distributions_equal_the_aggregates(spark):
     # No aggregate holds all values of a group.
     assert "percentile_disc" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_totals_by_kind_with_nulls(spark):
+    rows = [("x", 1, 1, 2), ("x", 1, 2, 3), ("y", 1, 1, 4), ("y", None, 3, 5), (None, 2, None, 6)]
+    df = spark.createDataFrame(rows, "kind string, e int, s int, p int")
+    out = history.totals_by_kind(df, history.History("e", "s", "a", "t", "p"), "kind")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("x", 1, 2, 5), ("y", 1, 2, 9), (None, 1, 0, 6), (None, 2, 3, 20)], key=str)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
