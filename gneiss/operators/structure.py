@@ -9,6 +9,7 @@ from ..functions.scalar import ancestors
 from ..functions.stats import nearest_rank, ratio
 from ..policy import DEFAULT, Policy
 from . import graph
+from .deal import deal
 from .rules import signals
 
 
@@ -24,13 +25,16 @@ def longest_prefix_owner(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(found, "path", "left").select("path", F.col("b.owner").alias("owner"))
 
 
-def boundary(refs: DataFrame, consumer: str, supplier: str, site: str, symbol: str) -> DataFrame:
-    """Of each ordered pair of owners: sites, references, symbols, and the largest contributor's share on both sides."""
+def boundary(refs: DataFrame, consumer: str, supplier: str, site: str, symbol: str, rows: int | None = None) -> DataFrame:
+    """Of each ordered pair of owners: sites, references, symbols, and the largest contributor's share on both sides.
+
+    Sites and symbols of a pair are counted in rows of their own, dealt by the number of rows where that is given (see deal()).
+    """
     keys = [consumer, supplier]
-    whole = refs.groupBy(*keys).agg(F.countDistinct(site).alias("sites"), F.count("*").alias("references"), F.countDistinct(symbol).alias("symbols"))
-    by_site = refs.groupBy(*keys, site).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("_s"))
-    by_symbol = refs.groupBy(*keys, symbol).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("_y"))
-    out = whole.join(by_site, keys).join(by_symbol, keys)
+    refs = refs.select(*keys, site, symbol)
+    by_site = deal(refs, rows, *keys, site).groupBy(*keys, site).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("_s"), F.sum("n").alias("references"), F.count(site).alias("sites"))
+    by_symbol = deal(refs, rows, *keys, symbol).groupBy(*keys, symbol).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("_y"), F.count(symbol).alias("symbols"))
+    out = by_site.join(by_symbol, keys)
     return out.select(*keys, "sites", "references", "symbols", ratio(F.col("_s"), F.col("references")).alias("site_share"), ratio(F.col("_y"), F.col("references")).alias("symbol_share"))
 
 

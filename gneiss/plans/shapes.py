@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import graph, structure
+from ..operators.deal import deal
 from .graphs import EDGES, REACH, TASKS, _tasks, _trade
-from .tables import lines, table
+from .tables import count, lines, table
 
 
 def _refs(spark, d):
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return lines(spark, d).join(customer, "o_custkey").join(supplier, "l_suppkey")
+    n = count(spark, d, "lineitem")
+    return deal(lines(spark, d), n, "o_custkey").join(deal(customer, n, "o_custkey"), "o_custkey").join(supplier, "l_suppkey")
 
 
 def boundary_interactions(spark, d):
-    out = structure.boundary(_refs(spark, d), "c_nationkey", "s_nationkey", "o_custkey", "l_partkey")
+    out = structure.boundary(_refs(spark, d), "c_nationkey", "s_nationkey", "o_custkey", "l_partkey", count(spark, d, "lineitem"))
     return out.withColumns({c: F.round(c, 9) for c in ("site_share", "symbol_share")})
 
 

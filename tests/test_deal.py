@@ -4,10 +4,10 @@ import pytest
 from test_queries import FOLDER, canonical, duck  # noqa: F401
 
 from gneiss.functions import stats
-from gneiss.operators import deal, history, rollup
+from gneiss.operators import deal, history, rollup, structure
 from gneiss.plans import bindings
 
-DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline", "token_jaccard", "churn_kind_totals"]
+DEALT = ["cochange_partner", "cochange_pairs", "churn_by_subject", "rank_metrics", "change_radius", "radius_totals", "step_tree", "timeline", "token_jaccard", "churn_kind_totals", "boundary_interactions"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -42,3 +42,10 @@ def test_totals_by_kind_with_nulls(spark):
     out = history.totals_by_kind(df, history.History("e", "s", "a", "t", "p"), "kind")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("x", 1, 2, 5), ("y", 1, 2, 9), (None, 1, 0, 6), (None, 2, 3, 20)], key=str)
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boundary_counts_no_row_twice(spark):
+    rows = [(1, 2, i % 3, i % 5) for i in range(20)] + [(1, 3, None, 1), (1, 3, 4, None)]
+    out = structure.boundary(spark.createDataFrame(rows, "c int, s int, site int, symbol int"), "c", "s", "site", "symbol")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 3, 20, 5, 0.35, 0.2), (1, 3, 1, 2, 1, 0.5, 0.5)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
