@@ -120,3 +120,24 @@ def cut_edges(table: DataFrame) -> DataFrame:
     """(node, up, size, rest): tree edges of a blocks() table that no other edge spans, with the nodes on the lower and the other side."""
     sizes = table.filter("up is null").select("component", F.col("size").alias("n"))
     return table.filter("up is not null and (low is null or low >= depth)").join(sizes, "component").select("node", "up", "size", (F.col("n") - F.col("size")).alias("rest"))
+
+
+def articulation(edges: DataFrame) -> DataFrame:
+    """(id): nodes without which their component falls apart, as cut_nodes(blocks()) gives them.
+
+    Trees are taken off first, leaf by leaf: a leaf and its holder are cut nodes where they have two neighbours or more in the
+    whole graph. Blocks are sought in what is left, nodes on cycles and between them.
+    """
+    left = cut(both_ways(edges))
+    several = left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    ends = None
+    while True:
+        leaves = cut(left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("holder")).filter("n = 1").select("id", "holder"))
+        if leaves.isEmpty():
+            break
+        ends = ends or Appended(leaves.select("id").limit(0))
+        ends.add(leaves.select(F.explode(F.array("id", "holder")).alias("id")))
+        gone = leaves.select("id")
+        left = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    core = cut_nodes(blocks(left.select(F.col("src").alias("id")).distinct(), left))
+    return core if ends is None else core.union(several.join(ends.all(), "id", "left_semi")).distinct()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import nearest_rank, ratio
 from ..policy import DEFAULT, Policy
-from .blocks import Appended, blocks, cut_nodes
-from .graph import cut, degrees, layers, simple, strong_components, weak_components
+from .blocks import Appended, articulation
+from .graph import cut, layers, simple, strong_components, weak_components
 
 #: Roles in the order in which they are listed, and those of modules that connect others.
 ROLES = ("isolated", "dependency-source", "dependency-sink", "high-fan-in", "high-fan-out", "aggregator", "bridge", "satellite", "cycle-member")
@@ -37,33 +37,38 @@ def above_regions(folder: Column) -> Column:
     return (folder == ".") | folder.isin(*TECHNICAL_ROOTS)
 
 
-def _name(package: str, module: str) -> Column:
-    return F.concat(F.col(package), F.lit(":"), F.col(module))
+def _end(names: DataFrame, module: str, name: str) -> DataFrame:
+    """(package, module, name): the number of each module, for edges that call it `module` at this end."""
+    return names.select("package", F.col("module").alias(module), F.col("id").alias(name))
 
 
 def topology(modules: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """(package, module, folder, region, fan_in, fan_out, context_fan_in, layer, cycle, roles) of the source modules of every package.
+    """(package, module, folder, region, fan_in, fan_out, context_fan_in, layer, cycle, roles, fan_in_cut, id) of the source modules of every package.
 
     Only edges between source modules count, without self imports and repeats; context_fan_in is the number of other
     modules that import one. layer is the longest way down to a module without dependencies, cycles as one. A
     cycle's name numbers those of its package by size, then by their first module; cycle is null outside. Fan is high from the
     larger of policy.min_fan and the nearest-rank p90 of the package's positive fans. roles is an array in the order of ROLES.
+    id is a number of the module, of this run only: graphs are run on numbers, names are joined once.
     """
-    all_ = modules.select("package", "module", "kind", F.coalesce("aggregator", F.lit(False)).alias("aggregator"), _name("package", "module").alias("id"))
-    source = cut(all_.filter("kind = 'source'"))
-    named = edges.select(_name("package", "source").alias("src"), _name("package", "target").alias("dst"))
-    ids = source.select("id")
-    inner = named.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    e = cut(simple(inner.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")))
-    context = named.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(all_.select(F.col("id").alias("src")), "src", "left_semi")
-    context = context.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("context_fan_in"))
+    all_ = modules.select("package", "module", "kind", F.coalesce("aggregator", F.lit(False)).alias("aggregator"))
+    source = all_.filter("kind = 'source'")
+    names = cut(source.select("package", "module").distinct().filter("package is not null and module is not null").withColumn("id", F.monotonically_increasing_id()))
+    ids = names.select("id")
+    e = edges.join(_end(names, "source", "src"), ["package", "source"]).join(_end(names, "target", "dst"), ["package", "target"])
+    e = cut(simple(e.select("src", "dst")))
+    others = all_.filter("kind is null or kind <> 'source'").select("package", F.col("module").alias("source"))
+    context = edges.select("package", "source", "target").join(others, ["package", "source"], "left_semi").join(_end(names, "source", "src"), ["package", "source"], "left_anti")
+    context = context.groupBy("package", "target").agg(F.countDistinct("source").alias("context_fan_in")).join(_end(names, "target", "id"), ["package", "target"]).select("id", "context_fan_in")
     components = cut(strong_components(ids, e))
     level = layers(components, e).select("id", "layer")
-    degree = degrees(ids, e)
-    near = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("neighbours"))
-    bridge = cut_nodes(blocks(ids, e)).withColumn("bridge", F.lit(True))
-    out = source.join(components, "id").join(level, "id").join(degree.drop("role"), "id").join(near, "id", "left").join(bridge, "id", "left").join(context, "id", "left")
-    out = cut(out.na.fill(0, ["neighbours", "context_fan_in"]).na.fill(False, ["bridge"]))
+    ways = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.col("src").alias("to"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    near = e.select(F.inline(ways)).groupBy("id", "to").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    near = near.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.count("*").alias("neighbours"))
+    bridge = articulation(e).withColumn("bridge", F.lit(True))
+    measures = components.join(level, "id").join(near, "id", "left").join(bridge, "id", "left").join(context, "id", "left")
+    out = source.drop("kind").join(names, ["package", "module"]).join(measures, "id")
+    out = cut(out.na.fill(0, ["fan_in", "fan_out", "neighbours", "context_fan_in"]).na.fill(False, ["bridge"]))
     # One row for each cycle, numbered in its package.
     cycles = out.filter("size > 1").groupBy("package", "component").agg(F.count("*").alias("_n"), F.min("module").alias("_m"))
     number = F.row_number().over(Window.partitionBy("package").orderBy(F.desc("_n"), "_m"))
@@ -73,7 +78,7 @@ def topology(modules: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) ->
         return F.greatest(F.lit(policy.min_fan), nearest_rank(c, 0.9))
 
     cuts = [out.filter(F.col(c) > 0).groupBy("package").agg(high(c).alias(f"{c}_cut")) for c in ("fan_in", "fan_out")]
-    out = out.join(cycles, ["package", "component"], "left").join(cuts[0], "package", "left").join(cuts[1], "package", "left")
+    out = out.join(cycles, ["package", "component"], "left").join(cuts[0].join(cuts[1], "package", "full"), "package", "left")
     alone = F.col("neighbours") == 0
     has = {
         "isolated": alone,
@@ -88,7 +93,7 @@ def topology(modules: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) ->
     }
     roles = F.array_compact(F.array(*[F.when(has[r], F.lit(r)) for r in ROLES]))
     folder = folder_of(F.col("module"))
-    return out.select("package", "module", folder.alias("folder"), region_of(folder).alias("region"), "fan_in", "fan_out", "context_fan_in", "layer", "cycle", roles.alias("roles"), F.coalesce("fan_in_cut", F.lit(float("inf"))).alias("fan_in_cut"))
+    return out.select("package", "module", folder.alias("folder"), region_of(folder).alias("region"), "fan_in", "fan_out", "context_fan_in", "layer", "cycle", roles.alias("roles"), F.coalesce("fan_in_cut", F.lit(float("inf"))).alias("fan_in_cut"), "id")
 
 
 def responsibilities(modules: DataFrame, symbols: DataFrame, localized: DataFrame) -> DataFrame:
@@ -103,14 +108,18 @@ def responsibilities(modules: DataFrame, symbols: DataFrame, localized: DataFram
     touches (through localized symbols, or else through any), a region of its own where it touches none, unresolved else. A region's name is a digest of its modules.
     Bridges are settled in the order of their names, as an unresolved module is no neighbour for those after it.
     """
-    m = modules.select("package", "module", "folder", "cycle", "roles", _name("package", "module").alias("id"))
-    unit = F.when(F.col("cycle").isNotNull(), F.concat(F.lit("cycle:"), "cycle")).otherwise(F.concat(F.lit("module:"), "module"))
+    m = modules.select("package", "module", "folder", "cycle", "roles", "id")
+    # A unit goes by the least number of its modules.
+    units = m.filter("cycle is not null").groupBy("package", "cycle").agg(F.min("id").alias("unit"))
     connector = F.arrays_overlap("roles", F.array(*map(F.lit, CONNECTORS)))
-    m = cut(m.select("*", F.concat("package", F.lit(":"), unit).alias("unit"), F.col("cycle").isNull().alias("single"), connector.alias("connector"), F.array_contains("roles", "bridge").alias("bridge")))
+    m = m.join(units, ["package", "cycle"], "left").withColumn("unit", F.coalesce("unit", "id"))
+    m = cut(m.select("*", F.col("cycle").isNull().alias("single"), connector.alias("connector"), F.array_contains("roles", "bridge").alias("bridge")))
     # A symbol counts once on an edge; edges without a localized symbol stay, with a null one.
+    names = m.select("package", "module", "id").distinct()
     local = localized.select("package", "symbol", F.coalesce("concept", F.lit(False)).alias("concept"), F.lit(True).alias("local"))
-    s = symbols.filter("source <> target").join(local, ["package", "symbol"], "left")
-    s = s.select(_name("package", "source").alias("src"), _name("package", "target").alias("dst"), F.coalesce(_name("package", "declared"), _name("package", "target")).alias("partner"), F.when(F.col("local"), F.col("symbol")).alias("symbol"), "concept")
+    s = symbols.filter("source <> target").select("package", "source", "target", "symbol", "declared").distinct().join(local, ["package", "symbol"], "left")
+    s = s.join(_end(names, "source", "src"), ["package", "source"]).join(_end(names, "target", "dst"), ["package", "target"]).join(_end(names, "declared", "_d"), ["package", "declared"], "left")
+    s = s.select("src", "dst", F.when(F.col("declared").isNull(), F.col("dst")).otherwise(F.col("_d")).alias("partner"), F.when(F.col("local"), F.col("symbol")).alias("symbol"), "concept")
     s = cut(s.distinct())
     a = m.select(F.col("id").alias("src"), F.col("unit").alias("src_unit"), F.col("folder").alias("src_folder"), F.col("connector").alias("src_connector"))
     b = m.select(F.col("id").alias("partner"), F.col("unit").alias("dst_unit"), F.col("folder").alias("dst_folder"), F.col("connector").alias("dst_connector"))
@@ -129,16 +138,20 @@ def responsibilities(modules: DataFrame, symbols: DataFrame, localized: DataFram
 
     # Bridges in the order of their names: in a round those go whose earlier undecided neighbours are settled.
     lone = F.col("single") & ~F.col("joined") & ~F.col("connector")
-    open_ = cut(m.filter(lone & F.col("bridge")).select("id", F.col("group").alias("own")))
-    local_near = cut(near.filter("symbols > 0").join(open_, "id", "left_semi"))
-    unresolved = Appended(open_.select("id").limit(0))
+    open_ = cut(m.filter(lone & F.col("bridge")).select("id", F.col("group").alias("own"), "module"))
+    local_near = cut(near.filter("symbols > 0").join(open_.select("id", "own"), "id").filter("to_group <> own").select("id", "to", "to_group"))
+    # Of two neighbours that are open both, the one with the later name waits.
+    waits = near.filter("symbols > 0").join(open_.select("id", "module"), "id").join(open_.select(F.col("id").alias("to"), F.col("module").alias("_first")), "to")
+    waits = cut(waits.filter("_first < module").select("id", "to"))
+    open_ = open_.select("id")
+    unresolved = Appended(open_.limit(0))
     while not open_.isEmpty():
-        earlier = local_near.join(open_.select(F.col("id").alias("to")), "to", "left_semi").filter("to < id").select("id").distinct()
-        now = open_.join(earlier, "id", "left_anti")
-        groups = local_near.join(unresolved.all().withColumnRenamed("id", "to"), "to", "left_anti").join(now, "id").filter("to_group <> own")
+        now = open_.join(waits, "id", "left_anti")
+        groups = local_near.join(now, "id", "left_semi").join(unresolved.all().withColumnRenamed("id", "to"), "to", "left_anti")
         stuck = cut(groups.groupBy("id").agg(F.countDistinct("to_group").alias("n")).filter("n >= 2").select("id"))
         unresolved.add(stuck)
-        open_ = cut(open_.join(earlier, "id", "left_semi"))
+        open_ = cut(waits.select("id").distinct())
+        waits = cut(waits.join(open_.withColumnRenamed("id", "to"), "to", "left_semi").select("id", "to"))
     bridges = cut(unresolved.all().withColumn("stuck", F.lit(True)))
     m = m.join(bridges, "id", "left").na.fill(False, ["stuck"])
     rest = lone & ~F.col("stuck") & ~above_regions(F.col("folder"))

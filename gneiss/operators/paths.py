@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import DEFAULT, Policy
-from .blocks import blocks, cut_edges, cut_nodes
+from .blocks import articulation, blocks, cut_edges
 from .graph import condensation, cut, layers, simple
 
 
@@ -178,4 +178,4 @@ def edge_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (id) whose removal leaves more weak components: those in two blocks or more."""
-    return cut_nodes(blocks(nodes, edges))
+    return articulation(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))

@@ -16,55 +16,55 @@ def _modules(spark, d):
     return p.select(F.expr("concat('p', p_partkey % 40)").alias("package"), F.expr(PATH).alias("module"), kind.alias("kind"), (F.col("p_size") == 13).alias("aggregator"), F.col("p_partkey").alias("key"), "p_size")
 
 
-def _imports(spark, d):
-    """(package, source, target, symbol, declared) of each pair of following lines whose parts lie in one package."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_discount", "l_returnflag")
+def _steps(spark, d):
+    """(src, dst, named, elsewhere, third) of each pair of following lines whose parts lie in one package: which imports which, and how."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_tax") > 0).alias("up"), (F.col("l_discount") > 0).alias("named"), (F.col("l_returnflag") == "R").alias("elsewhere"))
     after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
     pairs = rows.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 40 = b % 40 and l_partkey <> b")
     low, high = F.least("l_partkey", "b"), F.greatest("l_partkey", "b")
-    e = pairs.select("*", F.when(F.col("l_tax") > 0, low).otherwise(high).alias("src"), F.when(F.col("l_tax") > 0, high).otherwise(low).alias("dst"))
-    e = e.select("src", "dst", F.when(F.col("l_discount") > 0, F.concat(F.lit("s"), "dst", F.lit("/"), F.col("l_linenumber") % 3)).alias("symbol"), F.when(F.col("l_returnflag") == "R", F.col("dst") + 40).alias("decl"))
+    return pairs.select(F.when(F.col("up"), low).otherwise(high).alias("src"), F.when(F.col("up"), high).otherwise(low).alias("dst"), "named", "elsewhere", (F.col("l_linenumber") % 3).alias("third"))
+
+
+def _imports(spark, d, steps):
+    """(package, source, target, symbol, declared) of each of the steps between source modules."""
+    e = steps.select("src", "dst", F.when(F.col("named"), F.concat(F.lit("s"), "dst", F.lit("/"), "third")).alias("symbol"), F.when(F.col("elsewhere"), F.col("dst") + 40).alias("decl")).distinct()
     m = _modules(spark, d).filter("kind = 'source'").select("package", "module", "key")
     s, t, v = (m.select(F.col("module").alias(n), F.col("key").alias(k)) for n, k in (("source", "src"), ("target", "dst"), ("declared", "decl")))
     return e.join(s.join(m.select(F.col("key").alias("src"), "package"), "src"), "src").join(t, "dst").join(v, "decl", "left").select("package", "source", "target", "symbol", "declared")
 
 
-def _topology(spark, d):
+def _topology(spark, d, steps):
     m = _modules(spark, d)
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_tax")
-    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    pairs = rows.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 40 = b % 40 and l_partkey <> b")
-    low, high = F.least("l_partkey", "b"), F.greatest("l_partkey", "b")
-    e = pairs.select(F.when(F.col("l_tax") > 0, low).otherwise(high).alias("src"), F.when(F.col("l_tax") > 0, high).otherwise(low).alias("dst")).distinct()
+    e = steps.select("src", "dst").distinct()
     e = e.join(m.select(F.col("key").alias("src"), "package", F.col("module").alias("source")), "src").join(m.select(F.col("key").alias("dst"), F.col("module").alias("target")), "dst")
-    return internal.topology(m.select("package", "module", "kind", "aggregator"), e.select("package", "source", "target"))
+    return internal.topology(m.select("package", "module", "kind", "aggregator"), graph.cut(e.select("package", "source", "target")))
 
 
 def internal_topology(spark, d):
     """Topology of every package, one row a module."""
-    out = _topology(spark, d).withColumn("roles", F.array_join("roles", ",")).withColumn("cycle", F.coalesce("cycle", F.lit("-")))
-    return out.drop("fan_in_cut")
+    out = _topology(spark, d, _steps(spark, d)).withColumn("roles", F.array_join("roles", ",")).withColumn("cycle", F.coalesce("cycle", F.lit("-")))
+    return out.drop("fan_in_cut", "id")
 
 
-def responsibility_regions(spark, d):
-    """Regions of responsibility of every package: topology, symbol locality and staged joins, one row a module."""
-    modules = graph.cut(_topology(spark, d))
-    symbols = graph.cut(_imports(spark, d))
+def _regions(spark, d):
+    """Topology, imports and regions of responsibility; the steps between lines are joined once for both."""
+    steps = graph.cut(_steps(spark, d))
+    modules = graph.cut(_topology(spark, d, steps))
+    symbols = graph.cut(_imports(spark, d, steps))
     concepts = _modules(spark, d).filter("p_size < 10").select(F.col("key").alias("_k"))
     local = internal.localized_symbols(symbols, modules).withColumn("_k", F.regexp_extract("symbol", "s([0-9]+)/", 1).cast("long"))
     local = local.join(concepts.withColumn("concept", F.lit(True)), "_k", "left").select("package", "symbol", "concept")
-    out = internal.responsibilities(modules, symbols, local)
-    return out.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("region", "reason")})
+    return modules, symbols, internal.responsibilities(modules, symbols, local)
+
+
+def responsibility_regions(spark, d):
+    """Regions of responsibility of every package: topology, symbol locality and staged joins, one row a module."""
+    return _regions(spark, d)[2].withColumns({c: F.coalesce(c, F.lit("-")) for c in ("region", "reason")})
 
 
 def _placed(spark, d):
     """Modules at their regions of responsibility, and the imports and common changes between them."""
-    modules = graph.cut(_topology(spark, d))
-    symbols = graph.cut(_imports(spark, d))
-    concepts = _modules(spark, d).filter("p_size < 10").select(F.col("key").alias("_k"))
-    local = internal.localized_symbols(symbols, modules).withColumn("_k", F.regexp_extract("symbol", "s([0-9]+)/", 1).cast("long"))
-    local = local.join(concepts.withColumn("concept", F.lit(True)), "_k", "left").select("package", "symbol", "concept")
-    regions = internal.responsibilities(modules, symbols, local)
+    modules, symbols, regions = _regions(spark, d)
     files = proximity.placed(modules.withColumn("root", F.concat(F.lit("packages/"), "package")), regions)
     return modules, symbols, regions, files
 
