@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, internal, proximity
@@ -17,10 +18,16 @@ def _modules(spark, d):
 
 
 def _steps(spark, d):
-    """(src, dst, named, elsewhere, third) of each pair of following lines whose parts lie in one package: which imports which, and how."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_tax") > 0).alias("up"), (F.col("l_discount") > 0).alias("named"), (F.col("l_returnflag") == "R").alias("elsewhere"))
-    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    pairs = rows.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 40 = b % 40 and l_partkey <> b")
+    """(src, dst, named, elsewhere, third) of each pair of following lines whose parts lie in one package: which imports which, and how.
+
+    Lines alone in their order and package have no such pair. They go by one count, so that only the few others are joined.
+    """
+    flags = (F.col("l_tax") > 0).alias("up"), (F.col("l_discount") > 0).alias("named"), (F.col("l_returnflag") == "R").alias("elsewhere")
+    rows = table(spark, d, "lineitem").filter("l_orderkey is not null").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("l_partkey % 40").alias("place"), *flags)
+    several = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "place")) > 1
+    rows = graph.cut(rows.withColumn("_several", several).filter("_several").drop("_several"))
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), "place", F.col("l_partkey").alias("b"))
+    pairs = rows.join(after, ["l_orderkey", "l_linenumber", "place"]).filter("l_partkey <> b")
     low, high = F.least("l_partkey", "b"), F.greatest("l_partkey", "b")
     return pairs.select(F.when(F.col("up"), low).otherwise(high).alias("src"), F.when(F.col("up"), high).otherwise(low).alias("dst"), "named", "elsewhere", (F.col("l_linenumber") % 3).alias("third"))
 

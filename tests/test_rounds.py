@@ -5,6 +5,7 @@ import random
 import pytest
 
 from gneiss.operators import blocks, graph
+from gneiss.plans import internal as plans
 
 
 @pytest.fixture
@@ -51,3 +52,24 @@ def test_articulation_seeks_blocks_off_the_trees_only(spark, monkeypatch):
     bare = spark.createDataFrame(tree, "src long, dst long")
     several = {r.id for r in blocks.both_ways(bare).groupBy("src").count().filter("count > 1").selectExpr("src as id").collect()}
     assert {r.id for r in blocks.articulation(bare).collect()} == several and seen[1] == 0
+
+
+def test_lone_lines_are_not_joined(spark, tmp_path, monkeypatch):
+    rows = [(o, n, 100 * o + n, 0.1, 0.0, "R") for o in range(50) for n in range(4)]
+    rows += [(90, 1, 5, 0.0, 0.1, "N"), (90, 2, 45, 0.0, 0.1, "N"), (90, 2, 85, 0.1, 0.1, "R"), (90, 4, 5, 0.1, 0.1, "R"), (None, 1, 5, 0.1, 0.1, "R"), (None, 2, 45, 0.1, 0.1, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_tax double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    joined, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: joined.append(df.count()) or plain(df))
+    got = sorted(tuple(r) for r in plans._steps(spark, str(tmp_path)).collect())
+    assert got == [(45, 5, True, False, 1), (85, 5, True, False, 1)]
+    assert joined == [4]
+
+
+def test_regions_read_the_lines_once(spark, monkeypatch):
+    read, plain = [], plans.table
+    monkeypatch.setattr(plans, "table", lambda s, d, name: read.append(name) or plain(s, d, name))
+    stub = spark.createDataFrame([], "package string, module string, symbol string, status string, region string, reason string")
+    for name in ("topology", "localized_symbols", "responsibilities"):
+        monkeypatch.setattr(plans.internal, name, lambda *_: stub)
+    plans.responsibility_regions(spark, "/root/testdata/sf0.001")
+    assert read.count("lineitem") == 1
