@@ -59,3 +59,36 @@ def test_overlap_candidates_against_all_pairs(spark, monkeypatch):
             want.setdefault((min(x, y), max(x, y)), set()).add("conversion")
     got = [tuple(r) for r in pairs.overlap_candidates(*args).collect()]
     assert sorted(got) == sorted((*k, ",".join(sorted(v))) for k, v in want.items())
+
+
+def test_overlap_candidates_take_few_bytes_a_pair(spark, tmp_path):
+    """Two coupled files of 1,500 items are 2.25 million rows, which took over 2 bytes each where they are written."""
+    ids = random.Random(5).sample(range(100_000), 3000)
+    df = spark.createDataFrame([(x, i % 2, [], []) for i, x in enumerate(ids)], "item long, file int, tokens array<string>, properties array<string>")
+    turned = spark.createDataFrame([(ids[0], ids[1])], "item long, other long")
+    out = pairs.overlap_candidates(df, turned, spark.createDataFrame([(0, 1)], "left int, right int"))
+    out.write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("left", "right").distinct().count() == 1500 * 1500
+    assert [tuple(r) for r in got.filter("generators <> 'temporal'").collect()] == [(min(ids[:2]), max(ids[:2]), "conversion,temporal")]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1500 * 1500 * 0.5
+
+
+@pytest.mark.parametrize("tiles", [2, 64])
+def test_overlap_candidates_of_a_hub(spark, monkeypatch, tiles):
+    """A file coupled with itself and with many small ones, in small tiles and blocks; conversions have a wider type than items."""
+    for name, value in (("TILE", 4), ("TILES", tiles), ("BLOCK", 3)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = random.Random(tiles)
+    files = {i: 0 if i < 30 else i - 29 if i < 45 else 20 for i in rng.sample(range(50), 50)}
+    coupled = [(0, f) if f % 2 else (f, 0) for f in range(1, 16)] + [(0, 0), (0, 20), (20, 20)]
+    turned = [(rng.randrange(50), rng.randrange(50)) for _ in range(300)]
+    items = spark.createDataFrame([(i, f, [], []) for i, f in files.items()], "item int, file int, tokens array<string>, properties array<string>")
+    ways = {*coupled, *((g, f) for f, g in coupled)}
+    want = {(x, y): "temporal" for x in files for y in files if x < y and (files[x], files[y]) in ways}
+    for x, y in turned:
+        if x != y:
+            pair = min(x, y), max(x, y)
+            want[pair] = "conversion,temporal" if want.get(pair, "conversion") != "conversion" else "conversion"
+    got = [tuple(r) for r in pairs.overlap_candidates(items, spark.createDataFrame(turned, "item long, other long"), spark.createDataFrame(coupled, "left int, right int")).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items())
